@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, pii, secrets, simhash, url_filter
+from . import ann, bpe, media, mixing, pii, secrets, simhash, url_filter
 from ._common import table
 
 
@@ -26,6 +26,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op4_media": op4_media,
     "op5_url_filter": op5_url_filter,
+    "op6_ann": op6_ann,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
