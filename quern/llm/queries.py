@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, media, mixing, pii, secrets, simhash, url_filter
+from . import ann, bpe, lm, media, mixing, pii, secrets, simhash, url_filter
 from ._common import table
 
 
@@ -30,6 +30,10 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media": op4_media,
     "op5_url_filter": op5_url_filter,
     "op6_ann": op6_ann,
+    "op7_lm": op7_lm,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
