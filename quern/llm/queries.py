@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, lm, media, mixing, pii, secrets, simhash, url_filter
+from . import ann, bpe, lm, media, mixing, pii, secrets, simhash, toxicity, url_filter
 from ._common import table
 
 
@@ -18,6 +18,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.report(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
+    "op3_toxicity": op3_toxicity,
     "op4_media": op4_media,
     "op5_url_filter": op5_url_filter,
     "op6_ann": op6_ann,
