@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quern.plans import relational  # noqa: F401
+    from quern.plans import aggregates, columns, evaluation, relational  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
