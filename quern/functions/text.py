@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -59,42 +60,61 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / F.when(total > 0, total))
 
 
-def hits(text: Column, lexicon: list[str]) -> Column:
-    return F.size(F.array_intersect(word_set(text), F.array(*[F.lit(w) for w in lexicon])))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _words_of(lists: dict[str, list[str]]) -> Column:
+    return F.array(*[F.struct(F.lit(-i).alias("place"), F.lit(n).alias("name"), F.array(*map(F.lit, w)).alias("words")) for i, (n, w) in enumerate(lists.items())])
+
+
+def _scores(known: Column, lists: dict[str, list[str]]) -> Column:
+    """array<struct<score,place,name>>: distinct words shared with each list; the largest is the first on a tie."""
+    return F.transform(_words_of(lists), lambda m: F.struct(F.size(F.array_intersect(known, m["words"])).alias("score"), m["place"].alias("place"), m["name"].alias("name")))
+
+
+def _total(scores: Column) -> Column:
+    return F.aggregate(scores, F.lit(0), lambda s, x: s + x["score"])
 
 
 def language(text: Column) -> Column:
     """struct(language, confidence): the language with most distinct marker words, the first on a tie.
 
-    Confidence is its share of all languages' marker words; without any, English at 0.
+    Confidence is its share of all languages' marker words; without any, the first language at 0.
     """
-    scored = [(name, hits(text, markers.split())) for name, markers in T.LANGUAGES.items()]
-    best = F.greatest(*[s for _, s in scored])
-    total = sum((s for _, s in scored[1:]), scored[0][1])
-    name = F.coalesce(*[F.when(s == best, F.lit(n)) for n, s in scored])
-    return F.when(text.isNotNull(), F.struct(name.alias("language"), F.when(total > 0, F.round(best / F.when(total > 0, total), 2)).otherwise(0.0).alias("confidence")))
+    lists = {n: w.split() for n, w in T.LANGUAGES.items()}
+
+    def best(s: Column) -> Column:
+        top = F.array_max(s)
+        return F.struct(top["name"].alias("language"), F.coalesce(F.round(F.try_divide(top["score"], _total(s)), 2), F.lit(0.0)).alias("confidence"))
+
+    return F.when(text.isNotNull(), let(word_set(text), lambda known: let(_scores(known, lists), best)))
 
 
 def sentiment(text: Column) -> Column:
     """struct(label, confidence) by distinct words of two lexicons."""
-    pos, neg = hits(text, T.POSITIVE), hits(text, T.NEGATIVE)
-    label = F.when(pos > neg, "positive").when(neg > pos, "negative").otherwise("neutral")
-    sure = F.when(pos + neg > 0, F.round(0.5 + F.abs(pos - neg) / (F.when(pos + neg > 0, pos + neg) * 2), 2)).otherwise(0.5)
-    return F.when(text.isNotNull(), F.struct(label.alias("label"), sure.alias("confidence")))
 
+    def judged(known: Column) -> Column:
+        pos, neg = (F.size(F.array_intersect(known, F.array(*map(F.lit, w)))) for w in (T.POSITIVE, T.NEGATIVE))
+        return let(F.struct(pos.alias("p"), neg.alias("n")), lambda s: F.struct(F.when(s["p"] > s["n"], "positive").when(s["n"] > s["p"], "negative").otherwise("neutral").alias("label"), F.coalesce(F.round(0.5 + F.try_divide(F.abs(s["p"] - s["n"]), (s["p"] + s["n"]) * 2), 2), F.lit(0.5)).alias("confidence")))
+
+    return F.when(text.isNotNull(), let(word_set(text), judged))
 
-def category_scores(text: Column, categories: list[str]) -> Column:
-    """map of category: share of all scores; a score counts shared words, and 3 if the category occurs as it stands."""
-    low, known = F.lower(text), word_set(text)
-    raw = [F.size(F.array_intersect(known, F.array(*[F.lit(w) for w in sorted(set(re.findall(r"\w+", c.lower())))]))) + F.when(F.contains(low, F.lit(c.lower())), 3).otherwise(0) for c in categories]
-    total = sum(raw[1:], raw[0])
-    return F.create_map(*[x for c, r in zip(categories, raw) for x in (F.lit(c), F.round(r / F.greatest(total, F.lit(1)), 3))])
 
+def category(text: Column, categories: list[str]) -> Column:
+    """struct(category, confidence): the category with the largest score, the first on a tie, and its share of all scores.
 
-def best_category(text: Column, categories: list[str]) -> Column:
-    scores = category_scores(text, categories)
-    top = F.array_max(F.map_values(scores))
-    return F.coalesce(*[F.when(scores[c] == top, F.lit(c)) for c in categories])
+    A score counts the words that text and category share, and 3 if the category occurs as it stands.
+    """
+    lists = {c: sorted(set(re.findall(r"\w+", c.lower()))) for c in categories}
+
+    def judged(low: Column) -> Column:
+        plain = let(F.array_distinct(words(low)), lambda known: _scores(known, lists))
+        scored = F.transform(plain, lambda s: F.struct((s["score"] + F.when(F.contains(low, F.lower(s["name"])), 3).otherwise(0)).alias("score"), s["place"].alias("place"), s["name"].alias("name")))
+        return let(scored, lambda s: F.struct(F.array_max(s)["name"].alias("category"), F.round(F.array_max(s)["score"] / F.greatest(_total(s), F.lit(1)), 3).alias("confidence")))
+
+    return F.when(text.isNotNull(), let(F.lower(text), judged))
 
 
 def masked(text: Column) -> Column:
@@ -104,8 +124,11 @@ def masked(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """array<struct<text,type>>, distinct, in order of type and place."""
-    lists = [F.transform(found(text, p), lambda x, k=k: F.struct(F.trim(x).alias("text"), F.lit(k).alias("type"))) for k, p in ENTITIES.items()]
-    return F.array_distinct(F.concat(*lists))
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(found(text, pattern), lambda x: F.struct(F.trim(x).alias("text"), F.lit(kind).alias("type")))
+
+    return F.array_distinct(F.concat(*[of(k, p) for k, p in ENTITIES.items()]))
 
 
 def numbers(text: Column) -> Column:
@@ -132,19 +155,26 @@ def misspelled(text: Column) -> Column:
 
 def statistics(text: Column, words_per_minute: int = 238) -> Column:
     """struct(word_count, sentence_count, avg_word_length, reading_seconds, complexity)."""
-    w = words(text)
-    n = F.size(w)
     ends = F.when(F.trim(text) == "", 0).otherwise(F.greatest(F.size(F.split(F.trim(text), "[.!?]+", -1)) - 1, F.lit(1)))
-    letters = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
-    long = F.when(n > 0, F.round(letters / F.when(n > 0, n), 2)).otherwise(0.0)
-    each = F.when(ends > 0, F.round(n / F.when(ends > 0, ends), 2)).otherwise(0.0)
-    return F.struct(n.alias("word_count"), ends.alias("sentence_count"), long.alias("avg_word_length"), F.ceil(n / words_per_minute * 60).alias("reading_seconds"), F.round(long * each * 0.1, 2).alias("complexity"))
+    counted = let(words(text), lambda w: F.struct(F.size(w).alias("n"), F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).alias("letters"), ends.alias("ends")))
+
+    def told(c: Column) -> Column:
+        long = F.coalesce(F.round(F.try_divide(c["letters"], c["n"]), 2), F.lit(0.0))
+        each = F.coalesce(F.round(F.try_divide(c["n"], c["ends"]), 2), F.lit(0.0))
+        return F.struct(c["n"].alias("word_count"), c["ends"].alias("sentence_count"), long.alias("avg_word_length"), F.ceil(c["n"] / words_per_minute * 60).alias("reading_seconds"), F.round(long * each * 0.1, 2).alias("complexity"))
+
+    return let(counted, told)
 
 
 def white_words(text: Column) -> Column:
     return F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""))
 
 
+def sentence_ends(text: Column) -> Column:
+    """How many stretches end in . ! or ?: one for each such character."""
+    return F.regexp_count(text, F.lit("[.!?]"))
+
+
 def occurrences(text: Column, old: str) -> Column:
     """How often a literal occurs, without overlap."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(old), F.lit("")))) / len(old)).cast("int")

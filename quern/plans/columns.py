@@ -102,11 +102,11 @@ def calculate_date_diff(spark, sf):
 # text
 
 T = F.col("text")
-on("word_count", "documents", "doc_id", lambda: [text.white_words(T).alias("words"), F.length(T).alias("characters"), F.regexp_count(T, F.lit("[^.!?]*[.!?]")).alias("sentences")], r"len(list_filter(regexp_split_to_array(trim(text, ' '), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))::INT AS words, length(text)::INT AS characters, len(regexp_extract_all(text, '[^.!?]*[.!?]'))::INT AS sentences")
+on("word_count", "documents", "doc_id", lambda: [text.white_words(T).alias("words"), F.length(T).alias("characters"), text.sentence_ends(T).alias("sentences")], r"len(list_filter(regexp_split_to_array(trim(text, ' '), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))::INT AS words, length(text)::INT AS characters, len(regexp_extract_all(text, '[^.!?]*[.!?]'))::INT AS sentences")
 on("tokenize_words", "documents", "doc_id", lambda: [F.size(w := text.words(T)).alias("n"), F.md5(F.array_join(w, " ")).alias("h"), F.size(text.characters(T)).alias("chars")], f"len({WORDS})::INT AS n, md5(array_to_string({WORDS}, ' ')) AS h, length(text)::INT AS chars")
 on("tokenize_sentences", "documents", "doc_id", lambda: [F.size(s := text.sentences(T)).alias("n"), F.md5(F.array_join(s, "␞")).alias("h")], r"len(string_split(m, '␞'))::INT AS n, md5(m) AS h FROM (SELECT doc_id, regexp_replace(trim(text, ' '), '([.!?])[ \t\n\x0B\f\r]+', '\1␞', 'g') AS m FROM documents) --")
 on("summarize_text", "documents", "doc_id", lambda: [(s := text.summary(T, 3)).alias("summary"), F.round(F.try_divide(F.length(s), F.length(T)), 2).alias("ratio")], r"s AS summary, round(length(s) / nullif(n, 0), 2) AS ratio FROM (SELECT doc_id, length(text) AS n, array_to_string(list_slice(string_split(regexp_replace(trim(text, ' '), '([.!?])[ \t\n\x0B\f\r]+', '\1␞', 'g'), '␞'), 1, 3), ' ') AS s FROM documents) --")
-on("text_statistics", "documents", "doc_id", lambda: [text.statistics(T).alias("s")["word_count"].alias("word_count"), text.statistics(T)["sentence_count"].alias("sentence_count"), text.statistics(T)["avg_word_length"].alias("avg_word_length"), text.statistics(T)["reading_seconds"].cast("long").alias("reading_seconds")], rf"n::INT AS word_count, e::INT AS sentence_count, CASE WHEN n > 0 THEN round((c / n)::DECIMAL(18, 10), 2)::DOUBLE ELSE 0.0 END AS avg_word_length, ceil(n / 238 * 60)::BIGINT AS reading_seconds FROM (SELECT doc_id, len(w) AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS c, CASE WHEN trim(text, ' ') = '' THEN 0 ELSE greatest(len(regexp_split_to_array(trim(text, ' '), '[.!?]+')) - 1, 1) END AS e FROM (SELECT doc_id, text, {WORDS} AS w FROM documents)) --")
+on("text_statistics", "documents", "doc_id", lambda: [(s := text.statistics(T))["word_count"].alias("word_count"), s["sentence_count"].alias("sentence_count"), s["avg_word_length"].alias("avg_word_length"), s["reading_seconds"].cast("long").alias("reading_seconds")], rf"n::INT AS word_count, e::INT AS sentence_count, CASE WHEN n > 0 THEN round((c / n)::DECIMAL(18, 10), 2)::DOUBLE ELSE 0.0 END AS avg_word_length, ceil(n / 238 * 60)::BIGINT AS reading_seconds FROM (SELECT doc_id, len(w) AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS c, CASE WHEN trim(text, ' ') = '' THEN 0 ELSE greatest(len(regexp_split_to_array(trim(text, ' '), '[.!?]+')) - 1, 1) END AS e FROM (SELECT doc_id, text, {WORDS} AS w FROM documents)) --")
 on("mask_pii", "conversations", "conv_id", lambda: ["turn", text.masked(T).alias("masked")], r"turn, regexp_replace(regexp_replace(regexp_replace(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', '[SSN]', 'g'), '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+', '[EMAIL]', 'g'), '\+?[0-9][0-9\s\-()]{7,}[0-9]', '[PHONE]', 'g') AS masked")
 on("extract_entities", "documents", "doc_id", lambda: [F.size(e := text.entities(T)).alias("n"), F.size(F.filter(e, lambda x: x["type"] == "email")).alias("emails"), F.size(F.filter(e, lambda x: x["type"] == "capitalized_phrase")).alias("phrases")], None)
 on("extract_numbers", "documents", "doc_id", lambda: [F.size(n := text.numbers(T)).alias("n"), F.round(F.aggregate(n, F.lit(0.0), lambda s, x: s + x), 2).alias("total")], r"len(x)::INT AS n, round(coalesce(list_sum(list_transform(x, lambda v: replace(v, ',', '')::DOUBLE)), 0), 2) AS total FROM (SELECT doc_id, regexp_extract_all(text, '-?[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?|-?[0-9]+(?:\.[0-9]+)?') AS x FROM documents) --")
@@ -131,7 +131,7 @@ on("detect_language", "documents", "doc_id", lambda: [(d := text.language(T))["l
 on("sentiment_analysis", "documents", "doc_id", lambda: [(s := text.sentiment(T))["label"].alias("label"), s["confidence"].alias("confidence")], f"CASE WHEN p > n THEN 'positive' WHEN n > p THEN 'negative' ELSE 'neutral' END AS label, CASE WHEN p + n > 0 THEN round(0.5 + abs(p - n) / ((p + n) * 2), 2) ELSE 0.5 END AS confidence FROM (SELECT doc_id, len(list_intersect(w, {listed(fixed.POSITIVE)})) AS p, len(list_intersect(w, {listed(fixed.NEGATIVE)})) AS n FROM (SELECT doc_id, {LOW_WORDS} AS w FROM documents)) --")
 CATEGORIES = ["the license", "der die das", "contact mail"]
 _CATS = {c: f"(len(list_intersect(w, {listed(sorted(set(c.split())))})) + CASE WHEN contains(t, {q(c)}) THEN 3 ELSE 0 END)" for c in CATEGORIES}
-on("classify_text", "documents", "doc_id", lambda: [text.best_category(T, CATEGORIES).alias("category"), F.array_max(F.map_values(text.category_scores(T, CATEGORIES))).alias("confidence")], f"{_best(_CATS)[0]} AS category, round({_best(_CATS)[1]} / greatest({' + '.join(_CATS.values())}, 1), 3) AS confidence FROM (SELECT doc_id, lower(text) AS t, {LOW_WORDS} AS w FROM documents) --")
+on("classify_text", "documents", "doc_id", lambda: [(c := text.category(T, CATEGORIES))["category"].alias("category"), c["confidence"].alias("confidence")], f"{_best(_CATS)[0]} AS category, round({_best(_CATS)[1]} / greatest({' + '.join(_CATS.values())}, 1), 3) AS confidence FROM (SELECT doc_id, lower(text) AS t, {LOW_WORDS} AS w FROM documents) --")
 
 
 @query("keyword_extract", rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\b[a-z]{{2,}}\b')) AS word, generate_subscripts(regexp_extract_all(lower(text), '\b[a-z]{{2,}}\b'), 1) AS pos FROM documents),

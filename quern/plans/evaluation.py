@@ -66,10 +66,10 @@ _PARTS = f"(SELECT *, coalesce(args, 0) AS a, done / wanted AS c FROM ({_SCORED}
 _OVERALL = "CASE level WHEN 'L0' THEN CASE WHEN (seq + a + c) / 3 >= 0.85 THEN 1.0 ELSE 0.0 END WHEN 'L1' THEN seq * 0.40 + a * 0.35 + c * 0.25 WHEN 'L2' THEN seq * 0.35 + a * 0.35 + c * 0.15 + c * 0.15 ELSE seq * 0.30 + a * 0.30 + c * 0.25 + c * 0.15 END"
 
 
-@query("level_weighted_score", f"SELECT task, level, round(({_OVERALL})::DECIMAL(18, 12), 5)::DOUBLE AS overall FROM {_PARTS}")
+@query("level_weighted_score", f"SELECT task, level, round({_OVERALL}, 9) AS overall FROM {_PARTS}")
 def level_weighted_score(spark, sf):
     c = F.col
-    return _tasks(spark, sf).select("task", "level", F.round(scoring.overall(c("level"), c("seq"), c("args"), c("complete"), c("complete")), 5).alias("overall"))
+    return _tasks(spark, sf).select("task", "level", F.round(scoring.overall(c("level"), c("seq"), c("args"), c("complete"), c("complete")), 9).alias("overall"))
 
 
 @query("error_taxonomy", f"SELECT coalesce(CASE WHEN done = 0 THEN 'E10_no_calls' END, CASE WHEN task % 97 = 0 THEN 'E6_unknown_tool' END, CASE WHEN done < wanted THEN 'E8_partial_completion' END, CASE WHEN seq < 0.95 THEN 'E3_wrong_order' END, CASE WHEN a < 0.95 THEN 'E4_wrong_arguments' END, 'none') AS error, count(*) AS n FROM {_PARTS} GROUP BY 1")
