@@ -63,7 +63,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     fill are filled by slots at the end, so each source gives exactly its quota.
     """
     spark = sources.sparkSession
-    head = sources.agg(F.max("upto").alias("all"), F.max("block").alias("block")).first()
+    head = sources.agg(F.max("upto").alias("all"), F.max("block").alias("block"), F.count(F.lit(1)).alias("n")).first()
     total, block = head["all"] or 0, head["block"] or 1
     slots = -(-total // block)
     at = F.pmod(F.col("id") % PERIOD * GOLDEN, F.lit(PERIOD)) / PERIOD
@@ -81,7 +81,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     late = short.where(F.col("n") < blocks).select("sid", F.explode(F.sequence(F.col("n").cast("long"), blocks - 1)).alias("rank"))
     every = ranked.unionByName(late.select((F.lit(slots) + F.col("rank")).alias("slot"), "sid", "rank"))
     start = F.col("rank") * F.col("block")
-    return every.join(F.broadcast(sources.select("sid", "quota", "block")), "sid").where(start < F.col("quota")).select("slot", "sid", "rank", start.alias("start"), F.least("block", F.col("quota") - start).alias("words"))
+    return every.join(_small(sources.select("sid", "quota", "block"), head["n"]), "sid").where(start < F.col("quota")).select("slot", "sid", "rank", start.alias("start"), F.least("block", F.col("quota") - start).alias("words"))
 
 
 def placed(sized: DataFrame, sources: DataFrame, n: int) -> DataFrame:

@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 4) -> DataFrame:
 def _planes(fps: np.ndarray) -> np.ndarray:
     """(64, blocks) words: bit r of word [p, k] is bit p of row r of block k. fps: (blocks, 64)."""
     bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), 64, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view(np.uint64).reshape(64, len(fps))
+    return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64).reshape(64, len(fps))
 
 
 def within(planes: np.ndarray, full: np.ndarray, queries: np.ndarray, blocks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
