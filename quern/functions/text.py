@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from . import tables as T
 
@@ -189,7 +190,7 @@ def slug(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(ascii_text(text)), r"[^a-z0-9_\s-]", ""), r"[\s_]+", "-"), "-+", "-"), F.lit("-"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_text(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
 
@@ -226,7 +227,7 @@ def _spoken(n: int) -> str:
     return _TENS[n // 10 - 2] + (f"-{_ONES[n % 10]}" if n % 10 else "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def number_words(value: pd.Series) -> pd.Series:
     """English words for a number below a thousand billion; digits after the point one by one."""
 
@@ -241,7 +242,7 @@ def number_words(value: pd.Series) -> pd.Series:
     return value.map(one)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def words_number(text: pd.Series) -> pd.Series:
     """The number that English words or digits ("1.5 million") spell; null if they don't spell one."""
     values = {w: i for i, w in enumerate(_ONES)} | {w: 10 * (i + 2) for i, w in enumerate(_TENS)}

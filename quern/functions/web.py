@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .text import found
 
@@ -86,6 +87,6 @@ def digest(text: Column, algorithm: str) -> Column:
     return F.md5(text) if algorithm == "md5" else F.sha2(text, int(algorithm.removeprefix("sha")))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def deflated_size(text: pd.Series, level: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else len(zlib.compress(t.encode(), int(k))) for t, k in zip(text, level)], dtype="Int64")

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -57,7 +58,7 @@ def _value(e: object, a: object) -> float:
     return float(str(e).strip().lower() == str(a).strip().lower())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def match_json(expected: pd.Series, actual: pd.Series) -> pd.Series:
     """Fuzzy equality of two JSON values of any depth; null where either is no JSON."""
 

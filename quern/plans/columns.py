@@ -101,24 +101,28 @@ def calculate_date_diff(spark, sf):
 
 # text
 
-T = F.col("text")
-on("word_count", "documents", "doc_id", lambda: [text.white_words(T).alias("words"), F.length(T).alias("characters"), text.sentence_ends(T).alias("sentences")], r"len(list_filter(regexp_split_to_array(trim(text, ' '), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))::INT AS words, length(text)::INT AS characters, len(regexp_extract_all(text, '[^.!?]*[.!?]'))::INT AS sentences")
-on("tokenize_words", "documents", "doc_id", lambda: [F.size(w := text.words(T)).alias("n"), F.md5(F.array_join(w, " ")).alias("h"), F.size(text.characters(T)).alias("chars")], f"len({WORDS})::INT AS n, md5(array_to_string({WORDS}, ' ')) AS h, length(text)::INT AS chars")
-on("tokenize_sentences", "documents", "doc_id", lambda: [F.size(s := text.sentences(T)).alias("n"), F.md5(F.array_join(s, "␞")).alias("h")], r"len(string_split(m, '␞'))::INT AS n, md5(m) AS h FROM (SELECT doc_id, regexp_replace(trim(text, ' '), '([.!?])[ \t\n\x0B\f\r]+', '\1␞', 'g') AS m FROM documents) --")
-on("summarize_text", "documents", "doc_id", lambda: [(s := text.summary(T, 3)).alias("summary"), F.round(F.try_divide(F.length(s), F.length(T)), 2).alias("ratio")], r"s AS summary, round(length(s) / nullif(n, 0), 2) AS ratio FROM (SELECT doc_id, length(text) AS n, array_to_string(list_slice(string_split(regexp_replace(trim(text, ' '), '([.!?])[ \t\n\x0B\f\r]+', '\1␞', 'g'), '␞'), 1, 3), ' ') AS s FROM documents) --")
-on("text_statistics", "documents", "doc_id", lambda: [(s := text.statistics(T))["word_count"].alias("word_count"), s["sentence_count"].alias("sentence_count"), s["avg_word_length"].alias("avg_word_length"), s["reading_seconds"].cast("long").alias("reading_seconds")], rf"n::INT AS word_count, e::INT AS sentence_count, CASE WHEN n > 0 THEN round((c / n)::DECIMAL(18, 10), 2)::DOUBLE ELSE 0.0 END AS avg_word_length, ceil(n / 238 * 60)::BIGINT AS reading_seconds FROM (SELECT doc_id, len(w) AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS c, CASE WHEN trim(text, ' ') = '' THEN 0 ELSE greatest(len(regexp_split_to_array(trim(text, ' '), '[.!?]+')) - 1, 1) END AS e FROM (SELECT doc_id, text, {WORDS} AS w FROM documents)) --")
-on("mask_pii", "conversations", "conv_id", lambda: ["turn", text.masked(T).alias("masked")], r"turn, regexp_replace(regexp_replace(regexp_replace(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', '[SSN]', 'g'), '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+', '[EMAIL]', 'g'), '\+?[0-9][0-9\s\-()]{7,}[0-9]', '[PHONE]', 'g') AS masked")
-on("extract_entities", "documents", "doc_id", lambda: [F.size(e := text.entities(T)).alias("n"), F.size(F.filter(e, lambda x: x["type"] == "email")).alias("emails"), F.size(F.filter(e, lambda x: x["type"] == "capitalized_phrase")).alias("phrases")], None)
-on("extract_numbers", "documents", "doc_id", lambda: [F.size(n := text.numbers(T)).alias("n"), F.round(F.aggregate(n, F.lit(0.0), lambda s, x: s + x), 2).alias("total")], r"len(x)::INT AS n, round(coalesce(list_sum(list_transform(x, lambda v: replace(v, ',', '')::DOUBLE)), 0), 2) AS total FROM (SELECT doc_id, regexp_extract_all(text, '-?[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?|-?[0-9]+(?:\.[0-9]+)?') AS x FROM documents) --")
-on("truncate_text", "documents", "doc_id", lambda: [text.truncated(T, 60).alias("short"), (F.length(T) > 60).alias("cut")], "CASE WHEN length(text) <= 60 THEN text ELSE substr(text, 1, 57) || '...' END AS short, length(text) > 60 AS cut")
-on("string_replace", "documents", "doc_id", lambda: [F.md5(F.replace(T, F.lit("the"), F.lit("THE"))).alias("h"), text.occurrences(T, "the").alias("n")], "md5(replace(text, 'the', 'THE')) AS h, ((length(text) - length(replace(text, 'the', ''))) / 3)::INT AS n")
-on("regex_match", "documents", "doc_id", lambda: [F.regexp_count(T, F.lit(r"[A-Z][a-z]+ing")).alias("n"), F.get(text.found(T, r"[A-Z][a-z]+ing"), F.lit(0)).alias("first")], r"len(regexp_extract_all(text, '[A-Z][a-z]+ing'))::INT AS n, regexp_extract_all(text, '[A-Z][a-z]+ing')[1] AS first")
-on("split_text", "documents", "doc_id", lambda: [F.size(p := F.split(T, r"\Q. \E", -1)).alias("n"), F.get(p, F.lit(0)).alias("first")], "len(string_split(text, '. '))::INT AS n, string_split(text, '. ')[1] AS first")
+
+def T():
+    return F.col("text")
+
+
+on("word_count", "documents", "doc_id", lambda: [text.white_words(T()).alias("words"), F.length(T()).alias("characters"), text.sentence_ends(T()).alias("sentences")], r"len(list_filter(regexp_split_to_array(trim(text, ' '), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))::INT AS words, length(text)::INT AS characters, len(regexp_extract_all(text, '[^.!?]*[.!?]'))::INT AS sentences")
+on("tokenize_words", "documents", "doc_id", lambda: [F.size(w := text.words(T())).alias("n"), F.md5(F.array_join(w, " ")).alias("h"), F.size(text.characters(T())).alias("chars")], f"len({WORDS})::INT AS n, md5(array_to_string({WORDS}, ' ')) AS h, length(text)::INT AS chars")
+on("tokenize_sentences", "documents", "doc_id", lambda: [F.size(s := text.sentences(T())).alias("n"), F.md5(F.array_join(s, "␞")).alias("h")], r"len(string_split(m, '␞'))::INT AS n, md5(m) AS h FROM (SELECT doc_id, regexp_replace(trim(text, ' '), '([.!?])[ \t\n\x0B\f\r]+', '\1␞', 'g') AS m FROM documents) --")
+on("summarize_text", "documents", "doc_id", lambda: [(s := text.summary(T(), 3)).alias("summary"), F.round(F.try_divide(F.length(s), F.length(T())), 2).alias("ratio")], r"s AS summary, round(length(s) / nullif(n, 0), 2) AS ratio FROM (SELECT doc_id, length(text) AS n, array_to_string(list_slice(string_split(regexp_replace(trim(text, ' '), '([.!?])[ \t\n\x0B\f\r]+', '\1␞', 'g'), '␞'), 1, 3), ' ') AS s FROM documents) --")
+on("text_statistics", "documents", "doc_id", lambda: [(s := text.statistics(T()))["word_count"].alias("word_count"), s["sentence_count"].alias("sentence_count"), s["avg_word_length"].alias("avg_word_length"), s["reading_seconds"].cast("long").alias("reading_seconds")], rf"n::INT AS word_count, e::INT AS sentence_count, CASE WHEN n > 0 THEN round((c / n)::DECIMAL(18, 10), 2)::DOUBLE ELSE 0.0 END AS avg_word_length, ceil(n / 238 * 60)::BIGINT AS reading_seconds FROM (SELECT doc_id, len(w) AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS c, CASE WHEN trim(text, ' ') = '' THEN 0 ELSE greatest(len(regexp_split_to_array(trim(text, ' '), '[.!?]+')) - 1, 1) END AS e FROM (SELECT doc_id, text, {WORDS} AS w FROM documents)) --")
+on("mask_pii", "conversations", "conv_id", lambda: ["turn", text.masked(T()).alias("masked")], r"turn, regexp_replace(regexp_replace(regexp_replace(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', '[SSN]', 'g'), '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+', '[EMAIL]', 'g'), '\+?[0-9][0-9\s\-()]{7,}[0-9]', '[PHONE]', 'g') AS masked")
+on("extract_entities", "documents", "doc_id", lambda: [F.size(e := text.entities(T())).alias("n"), F.size(F.filter(e, lambda x: x["type"] == "email")).alias("emails"), F.size(F.filter(e, lambda x: x["type"] == "capitalized_phrase")).alias("phrases")], None)
+on("extract_numbers", "documents", "doc_id", lambda: [F.size(n := text.numbers(T())).alias("n"), F.round(F.aggregate(n, F.lit(0.0), lambda s, x: s + x), 2).alias("total")], r"len(x)::INT AS n, round(coalesce(list_sum(list_transform(x, lambda v: replace(v, ',', '')::DOUBLE)), 0), 2) AS total FROM (SELECT doc_id, regexp_extract_all(text, '-?[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?|-?[0-9]+(?:\.[0-9]+)?') AS x FROM documents) --")
+on("truncate_text", "documents", "doc_id", lambda: [text.truncated(T(), 60).alias("short"), (F.length(T()) > 60).alias("cut")], "CASE WHEN length(text) <= 60 THEN text ELSE substr(text, 1, 57) || '...' END AS short, length(text) > 60 AS cut")
+on("string_replace", "documents", "doc_id", lambda: [F.md5(F.replace(T(), F.lit("the"), F.lit("THE"))).alias("h"), text.occurrences(T(), "the").alias("n")], "md5(replace(text, 'the', 'THE')) AS h, ((length(text) - length(replace(text, 'the', ''))) / 3)::INT AS n")
+on("regex_match", "documents", "doc_id", lambda: [F.regexp_count(T(), F.lit(r"[A-Z][a-z]+ing")).alias("n"), F.get(text.found(T(), r"[A-Z][a-z]+ing"), F.lit(0)).alias("first")], r"len(regexp_extract_all(text, '[A-Z][a-z]+ing'))::INT AS n, regexp_extract_all(text, '[A-Z][a-z]+ing')[1] AS first")
+on("split_text", "documents", "doc_id", lambda: [F.size(p := F.split(T(), r"\Q. \E", -1)).alias("n"), F.get(p, F.lit(0)).alias("first")], "len(string_split(text, '. '))::INT AS n, string_split(text, '. ')[1] AS first")
 on("join_texts", "pages", "page_id", lambda: [F.concat_ws(" / ", F.col("page_id").cast("string"), web.host(F.col("url"))).alias("joined")], r"concat_ws(' / ', page_id::VARCHAR, lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)', 1))) AS joined")
 on("case_convert", "part", "p_partkey", lambda: [F.upper("p_name").alias("up"), F.lower("p_type").alias("low"), text.snake(F.col("p_name")).alias("snake"), text.camel(F.col("p_name")).alias("camel"), text.title(F.col("p_name")).alias("title")], r"""upper(p_name) AS up, lower(p_type) AS low, lower(regexp_replace(regexp_replace(regexp_replace(trim(p_name), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[\s-]+', '_', 'g'), '_+', '_', 'g')) AS snake,
   array_to_string(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[\s_-]+'), lambda w: w <> ''), lambda w, i: CASE WHEN i = 1 THEN w ELSE upper(substr(w, 1, 1)) || substr(w, 2) END), '') AS camel, array_to_string(list_transform(regexp_extract_all(lower(p_name), '\p{L}+|[^\p{L}]+'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '') AS title""")
 on("slugify", "part", "p_partkey", lambda: [text.slug(F.concat(F.lit(" Çafé & "), "p_name", F.lit(" — "), "p_type")).alias("slug")], r"trim(regexp_replace(regexp_replace(regexp_replace(lower(replace(replace(replace(' Çafé & ' || p_name || ' — ' || p_type, 'Ç', 'C'), 'é', 'e'), '—', '')), '[^a-z0-9_\s-]', '', 'g'), '[\s_]+', '-', 'g'), '-+', '-', 'g'), '-') AS slug")
-on("spell_check", "conversations", "conv_id", lambda: ["turn", text.misspelled(F.concat(T, F.lit(" Teh recieve untill"))).alias("errors"), F.right(text.spelling(F.concat(T, F.lit(" Teh recieve untill"))), F.lit(17)).alias("tail")], rf"turn, len(list_filter(regexp_extract_all(lower(text || ' Teh recieve untill'), '[\p{{L}}\p{{N}}_]+'), lambda w: list_contains({listed(fixed.MISSPELLINGS)}, w)))::INT AS errors, 'The receive until' AS tail")
+on("spell_check", "conversations", "conv_id", lambda: ["turn", text.misspelled(F.concat(T(), F.lit(" Teh recieve untill"))).alias("errors"), F.right(text.spelling(F.concat(T(), F.lit(" Teh recieve untill"))), F.lit(17)).alias("tail")], rf"turn, len(list_filter(regexp_extract_all(lower(text || ' Teh recieve untill'), '[\p{{L}}\p{{N}}_]+'), lambda w: list_contains({listed(fixed.MISSPELLINGS)}, w)))::INT AS errors, 'The receive until' AS tail")
 
 
 def _best(scores: dict[str, str]) -> tuple[str, str]:
@@ -127,11 +131,11 @@ def _best(scores: dict[str, str]) -> tuple[str, str]:
 
 
 _LANG = {n: f"len(list_intersect(w, {listed(m.split())}))" for n, m in fixed.LANGUAGES.items()}
-on("detect_language", "documents", "doc_id", lambda: [(d := text.language(T))["language"].alias("language"), d["confidence"].alias("confidence")], f"{_best(_LANG)[0]} AS language, round(coalesce({_best(_LANG)[1]} / nullif({' + '.join(_LANG.values())}, 0), 0), 2) AS confidence FROM (SELECT doc_id, {LOW_WORDS} AS w FROM documents) --")
-on("sentiment_analysis", "documents", "doc_id", lambda: [(s := text.sentiment(T))["label"].alias("label"), s["confidence"].alias("confidence")], f"CASE WHEN p > n THEN 'positive' WHEN n > p THEN 'negative' ELSE 'neutral' END AS label, CASE WHEN p + n > 0 THEN round(0.5 + abs(p - n) / ((p + n) * 2), 2) ELSE 0.5 END AS confidence FROM (SELECT doc_id, len(list_intersect(w, {listed(fixed.POSITIVE)})) AS p, len(list_intersect(w, {listed(fixed.NEGATIVE)})) AS n FROM (SELECT doc_id, {LOW_WORDS} AS w FROM documents)) --")
+on("detect_language", "documents", "doc_id", lambda: [(d := text.language(T()))["language"].alias("language"), d["confidence"].alias("confidence")], f"{_best(_LANG)[0]} AS language, round(coalesce({_best(_LANG)[1]} / nullif({' + '.join(_LANG.values())}, 0), 0), 2) AS confidence FROM (SELECT doc_id, {LOW_WORDS} AS w FROM documents) --")
+on("sentiment_analysis", "documents", "doc_id", lambda: [(s := text.sentiment(T()))["label"].alias("label"), s["confidence"].alias("confidence")], f"CASE WHEN p > n THEN 'positive' WHEN n > p THEN 'negative' ELSE 'neutral' END AS label, CASE WHEN p + n > 0 THEN round(0.5 + abs(p - n) / ((p + n) * 2), 2) ELSE 0.5 END AS confidence FROM (SELECT doc_id, len(list_intersect(w, {listed(fixed.POSITIVE)})) AS p, len(list_intersect(w, {listed(fixed.NEGATIVE)})) AS n FROM (SELECT doc_id, {LOW_WORDS} AS w FROM documents)) --")
 CATEGORIES = ["the license", "der die das", "contact mail"]
 _CATS = {c: f"(len(list_intersect(w, {listed(sorted(set(c.split())))})) + CASE WHEN contains(t, {q(c)}) THEN 3 ELSE 0 END)" for c in CATEGORIES}
-on("classify_text", "documents", "doc_id", lambda: [(c := text.category(T, CATEGORIES))["category"].alias("category"), c["confidence"].alias("confidence")], f"{_best(_CATS)[0]} AS category, round({_best(_CATS)[1]} / greatest({' + '.join(_CATS.values())}, 1), 3) AS confidence FROM (SELECT doc_id, lower(text) AS t, {LOW_WORDS} AS w FROM documents) --")
+on("classify_text", "documents", "doc_id", lambda: [(c := text.category(T(), CATEGORIES))["category"].alias("category"), c["confidence"].alias("confidence")], f"{_best(_CATS)[0]} AS category, round({_best(_CATS)[1]} / greatest({' + '.join(_CATS.values())}, 1), 3) AS confidence FROM (SELECT doc_id, lower(text) AS t, {LOW_WORDS} AS w FROM documents) --")
 
 
 @query("keyword_extract", rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\b[a-z]{{2,}}\b')) AS word, generate_subscripts(regexp_extract_all(lower(text), '\b[a-z]{{2,}}\b'), 1) AS pos FROM documents),
@@ -168,14 +172,23 @@ def compare_texts(spark, sf):
 
 # web
 
-U = F.col("url")
+
+def U():
+    return F.col("url")
+
+
 _PARTS = r"'^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
-on("url_parse", "pages", "page_id", lambda: [web.parts(U)[c].alias(c) for c in ("scheme", "netloc", "path", "query", "fragment")], f"lower(regexp_extract(url, {_PARTS}, 1)) AS scheme, regexp_extract(url, {_PARTS}, 2) AS netloc, regexp_extract(url, {_PARTS}, 3) AS path, regexp_extract(url, {_PARTS}, 4) AS query, regexp_extract(url, {_PARTS}, 5) AS fragment")
-on("extract_domain", "pages", "page_id", lambda: [web.domain(U)[c].alias(c) for c in ("subdomain", "domain", "tld")], r"array_to_string(list_slice(p, 1, len(p) - 2), '.') AS subdomain, CASE WHEN len(p) >= 2 THEN p[-2] ELSE p[-1] END AS domain, CASE WHEN len(p) >= 2 THEN p[-1] ELSE '' END AS tld FROM (SELECT page_id, string_split(lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS p FROM pages) --")
-on("encode_url", "pages", "page_id", lambda: [(e := web.percent_encoded(F.concat(U, F.lit(" ~*é+")))).alias("encoded"), (web.percent_decoded(e) == F.concat(U, F.lit(" ~*é+"))).alias("same")], "url_encode(url || ' ~*é+') AS encoded, true AS same")
-on("generate_url", "pages", "page_id", lambda: [web.built(F.concat(F.lit("https://"), web.host(U), F.lit("/")), F.lit("item"), {"id": F.col("page_id"), "q": F.lit("a b")}).alias("built")], r"'https://' || lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)', 1)) || '/item?id=' || page_id::VARCHAR || '&q=a+b' AS built")
-H = F.col("html")
-on("parse_html", "pages", "page_id", lambda: [web.html_title(H).alias("title"), web.link_count(H).alias("links"), F.md5(web.html_text(H)).alias("h")], r"trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, len(regexp_extract_all(html, '(?i)<a\s'))::INT AS links, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS h")
+on("url_parse", "pages", "page_id", lambda: [web.parts(U())[c].alias(c) for c in ("scheme", "netloc", "path", "query", "fragment")], f"lower(regexp_extract(url, {_PARTS}, 1)) AS scheme, regexp_extract(url, {_PARTS}, 2) AS netloc, regexp_extract(url, {_PARTS}, 3) AS path, regexp_extract(url, {_PARTS}, 4) AS query, regexp_extract(url, {_PARTS}, 5) AS fragment")
+on("extract_domain", "pages", "page_id", lambda: [web.domain(U())[c].alias(c) for c in ("subdomain", "domain", "tld")], r"array_to_string(list_slice(p, 1, len(p) - 2), '.') AS subdomain, CASE WHEN len(p) >= 2 THEN p[-2] ELSE p[-1] END AS domain, CASE WHEN len(p) >= 2 THEN p[-1] ELSE '' END AS tld FROM (SELECT page_id, string_split(lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS p FROM pages) --")
+on("encode_url", "pages", "page_id", lambda: [(e := web.percent_encoded(F.concat(U(), F.lit(" ~*é+")))).alias("encoded"), (web.percent_decoded(e) == F.concat(U(), F.lit(" ~*é+"))).alias("same")], "url_encode(url || ' ~*é+') AS encoded, true AS same")
+on("generate_url", "pages", "page_id", lambda: [web.built(F.concat(F.lit("https://"), web.host(U()), F.lit("/")), F.lit("item"), {"id": F.col("page_id"), "q": F.lit("a b")}).alias("built")], r"'https://' || lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)', 1)) || '/item?id=' || page_id::VARCHAR || '&q=a+b' AS built")
+
+
+def H():
+    return F.col("html")
+
+
+on("parse_html", "pages", "page_id", lambda: [web.html_title(H()).alias("title"), web.link_count(H()).alias("links"), F.md5(web.html_text(H())).alias("h")], r"trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, len(regexp_extract_all(html, '(?i)<a\s'))::INT AS links, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS h")
 
 
 @query("extract_links", r"""WITH e AS (SELECT page_id, list_concat(regexp_extract_all(t, 'https?://[^\s<>"'')\]]+'), regexp_extract_all(t, '(?i)href=["'']([^"'']+)["'']', 1)) AS x FROM (SELECT page_id, html || ' see ' || url || '.' AS t FROM pages))
@@ -187,11 +200,11 @@ def extract_links(spark, sf):
 
 on("validate_email", "customer", "c_custkey", lambda: [web.valid_email(F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.when(F.col("c_custkey") % 2 == 0, "@mail.example.com").otherwise("@bad"))).alias("valid")], "c_custkey % 2 = 0 AS valid")
 on("json_extract", "events", "event_id", lambda: [web.json_path(F.col("props"), "k").alias("k"), web.json_path(F.col("props"), "missing[0].x").isNotNull().alias("found")], "json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.missing[0].x') IS NOT NULL AS found")
-on("base64_encode", "documents", "doc_id", lambda: [F.md5(b := web.base64_text(T)).alias("h"), F.length(b).alias("n")], "md5(to_base64(encode(text))) AS h, length(to_base64(encode(text)))::INT AS n")
-on("base64_decode", "documents", "doc_id", lambda: [(web.unbase64_text(web.base64_text(T)) == T).alias("same")], "decode(from_base64(to_base64(encode(text)))) = text AS same")
-on("hash_text", "documents", "doc_id", lambda: [web.digest(T, "md5").alias("md5"), web.digest(T, "sha256").alias("sha256")], "md5(text) AS md5, sha256(text) AS sha256")
-on("hash_sha512", "documents", "doc_id", lambda: [web.digest(T, "sha512").alias("sha512")], None)
-on("compress_data", "documents", "doc_id", lambda: [(d := web.deflated_size(T, F.lit(6))).alias("compressed_size"), F.octet_length(T).alias("original_size")], None)
+on("base64_encode", "documents", "doc_id", lambda: [F.md5(b := web.base64_text(T())).alias("h"), F.length(b).alias("n")], "md5(to_base64(encode(text))) AS h, length(to_base64(encode(text)))::INT AS n")
+on("base64_decode", "documents", "doc_id", lambda: [(web.unbase64_text(web.base64_text(T())) == T()).alias("same")], "decode(from_base64(to_base64(encode(text)))) = text AS same")
+on("hash_text", "documents", "doc_id", lambda: [web.digest(T(), "md5").alias("md5"), web.digest(T(), "sha256").alias("sha256")], "md5(text) AS md5, sha256(text) AS sha256")
+on("hash_sha512", "documents", "doc_id", lambda: [web.digest(T(), "sha512").alias("sha512")], None)
+on("compress_data", "documents", "doc_id", lambda: [(d := web.deflated_size(T(), F.lit(6))).alias("compressed_size"), F.octet_length(T()).alias("original_size")], None)
 on("encrypt_text", "nation", "n_nationkey", lambda: [F.base64(F.unhex(F.sha2(F.concat(F.lit('{"method": "aes256", "text": '), records.json_text(F.col("n_name")), F.lit("}")), 256))).alias("encrypted")], """to_base64(unhex(sha256('{"method": "aes256", "text": "' || n_name || '"}'))) AS encrypted""")
 
 # records drawn from hashes
@@ -260,7 +273,7 @@ drawn("get_directions", "nation", "n_nationkey", """'["directions", "' || n_name
 
 
 def _status():
-    h = records.hashed("check_url", U)
+    h = records.hashed("check_url", U())
     code = records.pick(h, fixed.HTTP_CODES)
     return [code.alias("code"), (R(h, 480) + 20).alias("ms"), F.when(code < 400, "reachable").when(code < 500, "client_error").otherwise("server_error").alias("status")]
 
@@ -268,11 +281,11 @@ def _status():
 _URL = """'["{}", "' || url || '"]'"""
 _CODE = f"{fixed.HTTP_CODES}[{mod('d', 9)} + 1]"
 drawn("check_url_status", "pages", "page_id", _URL.format("check_url"), _status, f"{_CODE} AS code, {mod('d', 480)} + 20 AS ms, CASE WHEN {_CODE} < 400 THEN 'reachable' WHEN {_CODE} < 500 THEN 'client_error' ELSE 'server_error' END AS status")
-drawn("http_request", "pages", "page_id", """'["http_request", "' || url || '", "GET"]'""", lambda: [records.pick(h := records.hashed("http_request", U, F.lit("GET")), fixed.HTTP_CODES).alias("code"), records.pick(h, fixed.RESPONSE_BODIES).alias("body")], f"{_CODE} AS code, {listed(fixed.RESPONSE_BODIES)}[{mod('d', 5)} + 1] AS body")
+drawn("http_request", "pages", "page_id", """'["http_request", "' || url || '", "GET"]'""", lambda: [records.pick(h := records.hashed("http_request", U(), F.lit("GET")), fixed.HTTP_CODES).alias("code"), records.pick(h, fixed.RESPONSE_BODIES).alias("body")], f"{_CODE} AS code, {listed(fixed.RESPONSE_BODIES)}[{mod('d', 5)} + 1] AS body")
 
 
 def _dns():
-    h = records.hashed("dns", web.host(U))
+    h = records.hashed("dns", web.host(U()))
     octet = lambda i: F.conv(F.substring(h, 57 + 2 * i, 2), 16, 10)
     first = F.when(octet(0) == "0", "1").otherwise(octet(0))
     return [F.concat_ws(".", first, octet(1), octet(2), octet(3)).alias("ip"), (R(h, 3300) + 300).alias("ttl")]
@@ -288,7 +301,7 @@ def _geo():
 
 drawn("ip_geolocation", "pages", "page_id", """'["geolocation", "10.0.0.' || page_id::VARCHAR || '"]'""", _geo, f"{listed(fixed.IP_COUNTRIES)}[{mod('d', 15)} + 1] AS country, {listed(fixed.IP_CITIES)}[{mod('d', 15)} + 1] AS city, round(({mod('d', 18000)} - 9000) / 100, 4) AS lat, round(({mod('d', 36000)} - 18000) / 100, 4) AS lon")
 drawn("generate_image", "nation", "n_nationkey", """'["image", "' || n_name || '", "256x256", "sketch"]'""", lambda: [F.concat(F.lit("img_"), F.lpad(R(h := records.hashed("image", F.col("n_name"), F.lit("256x256"), F.lit("sketch")), 10**7).cast("string"), 7, "0")).alias("id"), F.concat(F.lit("https://images.example.com/generated/"), F.lpad(R(h, 10**6).cast("string"), 6, "0"), F.lit(".png")).alias("image_url"), F.lit(0.02).alias("cost")], f"'img_' || lpad({mod('d', 10**7)}::VARCHAR, 7, '0') AS id, 'https://images.example.com/generated/' || lpad({mod('d', 10**6)}::VARCHAR, 6, '0') || '.png' AS image_url, 0.02::DOUBLE AS cost")
-drawn("send_webhook", "pages", "page_id", """'["webhook", "' || url || '", "ping"]'""", lambda: [(c := records.pick(records.hashed("webhook", U, F.lit("ping")), fixed.WEBHOOK_CODES)).alias("code"), F.when(c < 300, "delivered").otherwise("failed").alias("status")], f"{fixed.WEBHOOK_CODES}[{mod('d', 8)} + 1] AS code, CASE WHEN {fixed.WEBHOOK_CODES}[{mod('d', 8)} + 1] < 300 THEN 'delivered' ELSE 'failed' END AS status")
+drawn("send_webhook", "pages", "page_id", """'["webhook", "' || url || '", "ping"]'""", lambda: [(c := records.pick(records.hashed("webhook", U(), F.lit("ping")), fixed.WEBHOOK_CODES)).alias("code"), F.when(c < 300, "delivered").otherwise("failed").alias("status")], f"{fixed.WEBHOOK_CODES}[{mod('d', 8)} + 1] AS code, CASE WHEN {fixed.WEBHOOK_CODES}[{mod('d', 8)} + 1] < 300 THEN 'delivered' ELSE 'failed' END AS status")
 
 
 def listed_records(name, of, key, seed, value, payload, columns, sql, n=5):
@@ -296,15 +309,15 @@ def listed_records(name, of, key, seed, value, payload, columns, sql, n=5):
 
     @query(name, f"SELECT {key}, i, {sql} FROM (SELECT *, {digits('payload')} AS d FROM (SELECT *, {payload} AS payload FROM {of}, range(0, {n}) r(i)))")
     def run(spark, sf):
-        rows = table(spark, sf, of).select(key, value.alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"))
+        rows = table(spark, sf, of).select(key, F.col(value).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"))
         body = F.concat(F.lit(f'["{seed}", '), records.json_text(F.col("v")), F.lit(", "), F.col("i").cast("string"), F.lit("]"))
         return rows.withColumn("h", F.sha2(body, 256)).select(key, "i", *columns(F.col("h")))
 
 
 _ITEM = """'["{}", "' || {} || '", ' || i::VARCHAR || ']'"""
-listed_records("search_products", "nation", "n_nationkey", "product_item", F.col("n_name"), _ITEM.format("product_item", "n_name"), lambda h: [(R(h, 980) + 20).alias("price"), F.least(F.round(3.0 + R(h, 20) / 10, 1), F.lit(5.0)).alias("rating"), (R(h, 9950) + 50).alias("reviews"), (R(h, 5) != 0).alias("in_stock")], f"{mod('d', 980)} + 20 AS price, least(round(3.0::DOUBLE + {mod('d', 20)} / 10, 1), 5.0) AS rating, {mod('d', 9950)} + 50 AS reviews, {mod('d', 5)} <> 0 AS in_stock")
-listed_records("web_search", "nation", "n_nationkey", "search_result", F.col("n_name"), _ITEM.format("search_result", "n_name"), lambda h: [F.concat(F.lit("https://"), records.pick(h, fixed.SEARCH_DOMAINS), F.lit("/article/"), R(h, 100000).cast("string")).alias("link"), records.pick(h, fixed.SEARCH_SOURCES).alias("source")], f"'https://' || {listed(fixed.SEARCH_DOMAINS)}[{mod('d', 10)} + 1] || '/article/' || {mod('d', 100000)}::VARCHAR AS link, {listed(fixed.SEARCH_SOURCES)}[{mod('d', 5)} + 1] AS source")
-listed_records("rss_feed_parse", "pages", "page_id", "rss_item", U, _ITEM.format("rss_item", "url"), lambda h: [records.pick(h, fixed.FEED_TITLES).alias("title"), F.format_string("2026-%02d-%02dT%02d:00:00Z", R(h, 12) + 1, R(h, 28) + 1, R(h, 24)).alias("published")], f"{listed(fixed.FEED_TITLES)}[{mod('d', 10)} + 1] AS title, printf('2026-%02d-%02dT%02d:00:00Z', {mod('d', 12)} + 1, {mod('d', 28)} + 1, {mod('d', 24)}) AS published")
+listed_records("search_products", "nation", "n_nationkey", "product_item", "n_name", _ITEM.format("product_item", "n_name"), lambda h: [(R(h, 980) + 20).alias("price"), F.least(F.round(3.0 + R(h, 20) / 10, 1), F.lit(5.0)).alias("rating"), (R(h, 9950) + 50).alias("reviews"), (R(h, 5) != 0).alias("in_stock")], f"{mod('d', 980)} + 20 AS price, least(round(3.0::DOUBLE + {mod('d', 20)} / 10, 1), 5.0) AS rating, {mod('d', 9950)} + 50 AS reviews, {mod('d', 5)} <> 0 AS in_stock")
+listed_records("web_search", "nation", "n_nationkey", "search_result", "n_name", _ITEM.format("search_result", "n_name"), lambda h: [F.concat(F.lit("https://"), records.pick(h, fixed.SEARCH_DOMAINS), F.lit("/article/"), R(h, 100000).cast("string")).alias("link"), records.pick(h, fixed.SEARCH_SOURCES).alias("source")], f"'https://' || {listed(fixed.SEARCH_DOMAINS)}[{mod('d', 10)} + 1] || '/article/' || {mod('d', 100000)}::VARCHAR AS link, {listed(fixed.SEARCH_SOURCES)}[{mod('d', 5)} + 1] AS source")
+listed_records("rss_feed_parse", "pages", "page_id", "rss_item", "url", _ITEM.format("rss_item", "url"), lambda h: [records.pick(h, fixed.FEED_TITLES).alias("title"), F.format_string("2026-%02d-%02dT%02d:00:00Z", R(h, 12) + 1, R(h, 28) + 1, R(h, 24)).alias("published")], f"{listed(fixed.FEED_TITLES)}[{mod('d', 10)} + 1] AS title, printf('2026-%02d-%02dT%02d:00:00Z', {mod('d', 12)} + 1, {mod('d', 28)} + 1, {mod('d', 24)}) AS published")
 
 
 def identified(name, prefix, payload, columns, sql):
@@ -315,19 +328,25 @@ def identified(name, prefix, payload, columns, sql):
         return table(spark, sf, "customer").select("c_custkey", *columns())
 
 
-C = F.col("c_name")
-_BODY = F.concat(F.lit("Dear "), C, F.lit(", "), F.repeat(F.lit("thank you. "), 9))
+def C():
+    return F.col("c_name")
+
+
+def _body():
+    return F.concat(F.lit("Dear "), C(), F.lit(", "), F.repeat(F.lit("thank you. "), 9))
+
+
 _BODY_SQL = "'Dear ' || c_name || ', ' || repeat('thank you. ', 9)"
-identified("send_email", "msg", """'["msg", {"subject": "Hi", "to": "' || c_name || '"}]'""", lambda: [records.keyed_identifier("msg", to=C, subject=F.lit("Hi")).alias("id"), F.concat(F.substring(_BODY, 1, 100), F.when(F.length(_BODY) > 100, "...").otherwise("")).alias("preview")], f"substr({_BODY_SQL}, 1, 100) || CASE WHEN length({_BODY_SQL}) > 100 THEN '...' ELSE '' END AS preview")
-identified("send_message", "chat", """'["chat", {"message": "Hello", "recipient": "' || c_name || '"}]'""", lambda: [records.keyed_identifier("chat", recipient=C, message=F.lit("Hello")).alias("id"), F.substring(_BODY, 1, 80).alias("preview")], f"substr({_BODY_SQL}, 1, 80) AS preview")
-identified("create_notification", "notif", """'["notif", {"title": "' || c_name || '"}]'""", lambda: [records.keyed_identifier("notif", title=C).alias("id"), F.coalesce(F.when(F.col("c_acctbal") < 0, "high"), F.lit("normal")).alias("priority")], "CASE WHEN c_acctbal < 0 THEN 'high' ELSE 'normal' END AS priority")
-identified("create_task", "task", """'["task", {"title": "' || c_name || '"}]'""", lambda: [records.keyed_identifier("task", title=C).alias("id"), F.coalesce(F.when(F.col("c_acctbal") > 5000, "high"), F.lit("medium")).alias("priority")], "CASE WHEN c_acctbal > 5000 THEN 'high' ELSE 'medium' END AS priority")
-identified("schedule_meeting", "mtg", """'["mtg", {"datetime": "2026-03-01", "title": "' || c_name || '"}]'""", lambda: [records.keyed_identifier("mtg", title=C, datetime=F.lit("2026-03-01")).alias("id"), F.coalesce(F.lit(None).cast("int"), F.lit(30)).alias("minutes")], "30 AS minutes")
-identified("create_calendar_event", "evt", """'["cal_event", "' || c_name || '", "2026-03-01"]'""", lambda: [records.identifier("evt", "cal_event", C, F.lit("2026-03-01")).alias("id"), F.lit(45).alias("minutes")], "45 AS minutes")
-identified("set_reminder", "rem", """'["reminder", "' || c_name || '", "2026-03-01"]'""", lambda: [records.identifier("rem", "reminder", C, F.lit("2026-03-01")).alias("id"), C.alias("message")], "c_name AS message")
-identified("create_contact", "con", """'["contact", "' || c_name || '", "x@example.com"]'""", lambda: [records.identifier("con", "contact", C, F.lit("x@example.com")).alias("id"), C.alias("name")], "c_name AS name")
-identified("log_event", "log", """'["log_event", "signup", "' || c_name || '"]'""", lambda: [records.identifier("log", "log_event", F.lit("signup"), C).alias("id"), F.lit(records.STAMP).alias("logged_at")], "'2026-02-22T12:00:00' AS logged_at")
-identified("create_spreadsheet", "sht", """'["spreadsheet", "' || c_name || '"]'""", lambda: [records.identifier("sht", "spreadsheet", C).alias("id"), F.size(F.split(C, "")).alias("columns")], "length(c_name)::INT AS columns")
+identified("send_email", "msg", """'["msg", {"subject": "Hi", "to": "' || c_name || '"}]'""", lambda: [records.keyed_identifier("msg", to=C(), subject=F.lit("Hi")).alias("id"), F.concat(F.substring(_body(), 1, 100), F.when(F.length(_body()) > 100, "...").otherwise("")).alias("preview")], f"substr({_BODY_SQL}, 1, 100) || CASE WHEN length({_BODY_SQL}) > 100 THEN '...' ELSE '' END AS preview")
+identified("send_message", "chat", """'["chat", {"message": "Hello", "recipient": "' || c_name || '"}]'""", lambda: [records.keyed_identifier("chat", recipient=C(), message=F.lit("Hello")).alias("id"), F.substring(_body(), 1, 80).alias("preview")], f"substr({_BODY_SQL}, 1, 80) AS preview")
+identified("create_notification", "notif", """'["notif", {"title": "' || c_name || '"}]'""", lambda: [records.keyed_identifier("notif", title=C()).alias("id"), F.coalesce(F.when(F.col("c_acctbal") < 0, "high"), F.lit("normal")).alias("priority")], "CASE WHEN c_acctbal < 0 THEN 'high' ELSE 'normal' END AS priority")
+identified("create_task", "task", """'["task", {"title": "' || c_name || '"}]'""", lambda: [records.keyed_identifier("task", title=C()).alias("id"), F.coalesce(F.when(F.col("c_acctbal") > 5000, "high"), F.lit("medium")).alias("priority")], "CASE WHEN c_acctbal > 5000 THEN 'high' ELSE 'medium' END AS priority")
+identified("schedule_meeting", "mtg", """'["mtg", {"datetime": "2026-03-01", "title": "' || c_name || '"}]'""", lambda: [records.keyed_identifier("mtg", title=C(), datetime=F.lit("2026-03-01")).alias("id"), F.coalesce(F.lit(None).cast("int"), F.lit(30)).alias("minutes")], "30 AS minutes")
+identified("create_calendar_event", "evt", """'["cal_event", "' || c_name || '", "2026-03-01"]'""", lambda: [records.identifier("evt", "cal_event", C(), F.lit("2026-03-01")).alias("id"), F.lit(45).alias("minutes")], "45 AS minutes")
+identified("set_reminder", "rem", """'["reminder", "' || c_name || '", "2026-03-01"]'""", lambda: [records.identifier("rem", "reminder", C(), F.lit("2026-03-01")).alias("id"), C().alias("message")], "c_name AS message")
+identified("create_contact", "con", """'["contact", "' || c_name || '", "x@example.com"]'""", lambda: [records.identifier("con", "contact", C(), F.lit("x@example.com")).alias("id"), C().alias("name")], "c_name AS name")
+identified("log_event", "log", """'["log_event", "signup", "' || c_name || '"]'""", lambda: [records.identifier("log", "log_event", F.lit("signup"), C()).alias("id"), F.lit(records.STAMP).alias("logged_at")], "'2026-02-22T12:00:00' AS logged_at")
+identified("create_spreadsheet", "sht", """'["spreadsheet", "' || c_name || '"]'""", lambda: [records.identifier("sht", "spreadsheet", C()).alias("id"), F.size(F.split(C(), "")).alias("columns")], "length(c_name)::INT AS columns")
 
 
 @query("get_exchange_rate", f"WITH r(currency, rate) AS (VALUES {', '.join(f'({q(c)}, {r!r}::DOUBLE)' for c, r in fixed.RATES.items())}) SELECT a.currency AS src, b.currency AS dst, round(b.rate / a.rate, 6) AS rate FROM r a, r b")
@@ -340,7 +359,7 @@ def get_exchange_rate(spark, sf):
 @query("translate_text", f"WITH t(k, lang, x) AS (VALUES {', '.join(f'({q(k)}, {q(lang)}, {q(x)})' for k, v in fixed.PHRASES.items() for lang, x in v.items())}), a AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Thank you.' WHEN 1 THEN 'HELLO' ELSE c_name END AS s, CASE WHEN c_custkey % 2 = 0 THEN 'fr' ELSE 'ru' END AS lang FROM customer) SELECT c_custkey, coalesce(x, s || CASE a.lang WHEN 'fr' THEN ' (French translation)' ELSE ' (Russian translation)' END) AS translated FROM a LEFT JOIN t ON rtrim(lower(trim(s)), '.') = k AND a.lang = t.lang")
 def translate_text(spark, sf):
     k = F.col("c_custkey")
-    said = F.when(k % 3 == 0, "Thank you.").when(k % 3 == 1, "HELLO").otherwise(C)
+    said = F.when(k % 3 == 0, "Thank you.").when(k % 3 == 1, "HELLO").otherwise(C())
     lang = F.when(k % 2 == 0, "fr").otherwise("ru")
     known = F.map_from_arrays(*[F.array(*[F.lit(v) for v in c]) for c in zip(*((f"{p}|{g}", x) for p, t in fixed.PHRASES.items() for g, x in t.items()))])
     names = F.map_from_arrays(F.array(*map(F.lit, fixed.LANGUAGE_NAMES)), F.array(*map(F.lit, fixed.LANGUAGE_NAMES.values())))
@@ -349,6 +368,6 @@ def translate_text(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.coalesce(hit, other).alias("translated"))
 
 
-on("web_page_fetch", "pages", "page_id", lambda: [text.title(F.replace(F.replace(F.substring_index(F.regexp_replace(U, "[?#].*$", ""), "/", -1), F.lit("-"), F.lit(" ")), F.lit("_"), F.lit(" "))).alias("title"), F.lit(200).alias("status_code")], None)
+on("web_page_fetch", "pages", "page_id", lambda: [text.title(F.replace(F.replace(F.substring_index(F.regexp_replace(U(), "[?#].*$", ""), "/", -1), F.lit("-"), F.lit(" ")), F.lit("_"), F.lit(" "))).alias("title"), F.lit(200).alias("status_code")], None)
 on("lookup_entity", "nation", "n_nationkey", lambda: [text.title(F.col("n_name")).alias("title"), F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace("n_name", F.lit(" "), F.lit("_"))).alias("link")], r"array_to_string(list_transform(regexp_extract_all(lower(n_name), '\p{L}+|[^\p{L}]+'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '') AS title, 'https://en.wikipedia.org/wiki/' || replace(n_name, ' ', '_') AS link")
-on("transcribe_audio", "conversations", "conv_id", lambda: ["turn", F.explode(F.transform(text.sentences(T), lambda s, i: F.struct(i.alias("segment"), (i * 5).alias("start"), s.alias("said")))).alias("s"), ], None)
+on("transcribe_audio", "conversations", "conv_id", lambda: ["turn", F.explode(F.transform(text.sentences(T()), lambda s, i: F.struct(i.alias("segment"), (i * 5).alias("start"), s.alias("said")))).alias("s"), ], None)

@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 SCORE = "struct<task_id:string,level:string,overall:double,tool_sequence_score:double,argument_score:double,completeness_score:double,data_flow_score:double,error_type:string,call_scores:array<struct<step:string,tool_correct:boolean,args_score:double,matched:boolean>>>"
-RECORD = f"task_id string, model string, score {SCORE}, tokens struct<input:bigint,output:bigint>, latency_ms double, num_tool_calls int"
-RESULTS = f"models map<string,struct<model:struct<name:string,provider:string>,task_results:array<struct<{', '.join(f'{a}:{b}' for a, b in (x.split(' ', 1) for x in RECORD.split(', ') if ' ' in x and ':' not in x.split(' ')[0]))}>>>>".replace(", ", ",")
+RECORD = f"task_id:string,model:string,score:{SCORE},tokens:struct<input:bigint,output:bigint>,latency_ms:double,num_tool_calls:int"
+RESULTS = f"models map<string,struct<model:struct<name:string,provider:string>,task_results:array<struct<{RECORD}>>>>"
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
@@ -70,7 +70,7 @@ def write_json(df: DataFrame, path: str, append: bool = False) -> None:
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
     """A report of few rows as one file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", quote_all).csv(path)
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
