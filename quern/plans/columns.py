@@ -368,6 +368,12 @@ def translate_text(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.coalesce(hit, other).alias("translated"))
 
 
-on("web_page_fetch", "pages", "page_id", lambda: [text.title(F.replace(F.replace(F.substring_index(F.regexp_replace(U(), "[?#].*$", ""), "/", -1), F.lit("-"), F.lit(" ")), F.lit("_"), F.lit(" "))).alias("title"), F.lit(200).alias("status_code")], None)
+on("web_page_fetch", "pages", "page_id", lambda: [text.title(F.replace(F.replace(F.substring_index(F.regexp_replace(U(), "[?#].*$", ""), "/", -1), F.lit("-"), F.lit(" ")), F.lit("_"), F.lit(" "))).alias("title"), F.lit(200).alias("status_code")], r"array_to_string(list_transform(regexp_extract_all(lower(replace(replace(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '-', ' '), '_', ' ')), '\p{L}+|[^\p{L}]+'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '') AS title, 200 AS status_code")
 on("lookup_entity", "nation", "n_nationkey", lambda: [text.title(F.col("n_name")).alias("title"), F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace("n_name", F.lit(" "), F.lit("_"))).alias("link")], r"array_to_string(list_transform(regexp_extract_all(lower(n_name), '\p{L}+|[^\p{L}]+'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '') AS title, 'https://en.wikipedia.org/wiki/' || replace(n_name, ' ', '_') AS link")
-on("transcribe_audio", "conversations", "conv_id", lambda: ["turn", F.explode(F.transform(text.sentences(T()), lambda s, i: F.struct(i.alias("segment"), (i * 5).alias("start"), s.alias("said")))).alias("s"), ], None)
+
+
+@query("transcribe_audio", r"""WITH s AS (SELECT conv_id, turn, string_split(regexp_replace(trim(text, ' '), '([.!?])[ \t\n\x0B\f\r]+', '\1␞', 'g'), '␞') AS p FROM conversations)
+SELECT conv_id, turn, (i - 1)::INT AS segment, ((i - 1) * 5)::INT AS start, p[i] AS said FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM s)""")
+def transcribe_audio(spark, sf):
+    said = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(text.sentences(T())).alias("segment", "said"))
+    return said.select("conv_id", "turn", "segment", (F.col("segment") * 5).alias("start"), "said")

@@ -108,7 +108,7 @@ def greedy_assignment(spark, sf):
     return s.select("l_orderkey", scoring.assign(n, pairs).alias("chosen"))
 
 
-@query("tool_call_parser")
+@query("tool_call_parser", "SELECT event_id, event_type AS tool, replace(props, ' ', '') AS arguments FROM events")
 def tool_call_parser(spark, sf):
     said = F.concat(F.lit('```json\n{"name": "'), F.col("event_type"), F.lit('", "args": '), F.col("props"), F.lit("}\n```"))
     return table(spark, sf, "events").select("event_id", F.explode(scoring.calls(said)).alias("c")).select("event_id", "c.tool", "c.arguments")
