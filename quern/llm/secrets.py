@@ -8,7 +8,6 @@ time and memory linear in its parts, so nothing is shuffled and no pairs are lis
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from bisect import bisect_left
@@ -123,7 +122,3 @@ def report(docs: DataFrame, reach: int = REACH) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     linked = F.size(F.filter("spans", lambda s: s["linked"] != "")).cast("long")
     return find(docs, reach).select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), linked.alias("n_linked"))
-
-
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
