@@ -8,7 +8,7 @@ Counting is one exchange. Each task packs its documents into chunks: a chunk's d
 sorted 64-bit hashes with their training counts, to the task that owns that range of hashes; it adds the counts
 of all chunks and sends each chunk's totals back in the order asked. A chunk's tokens travel beside as numbers.
 So no task holds the vocabulary, a frequent word or pair arrives once from a chunk, and what is exchanged grows
-with the distinct pairs of the chunks. Two different words share a hash with probability 2**-64 a pair.
+with the distinct pairs of the chunks. Words are told apart by 64 bits of hash, pairs by 56.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from ._common import crc_mod, cut
 
 FOLDS = 10
 SMOOTH = 0.1
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 2_000_000
 """Tokens after which a chunk is closed; a single longer document is a chunk of its own."""
 
 BUCKETS = 20
@@ -36,6 +36,7 @@ STEPS = 8
 """Steps of the histogram grid in each doubling of a probability."""
 
 ROUNDS = 30
+PAIR_BITS = 56
 _END, _START = b"\n", b"\n\n"  # no words: words hold no white space
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -57,7 +58,14 @@ def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * _MIX[0] + b
     x = (x ^ (x >> np.uint64(30))) * _MIX[1]
     x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(64 - PAIR_BITS)
+
+
+def _keys(tokens: np.ndarray, lengths: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct pairs, and each token's place among them."""
+    pairs, which = np.unique(_pairs(tokens, lengths), return_inverse=True)
+    before = np.r_[np.uint64(xxhash.xxh3_64_intdigest(_START)), h][pairs >> 32]
+    return _pair_hash(before, h[pairs & 0xFFFFFFFF]), which
 
 
 class _Chunk:
@@ -103,23 +111,25 @@ def _counting(targets: int):
             tokens, lengths, held, ids = c.layout()
             trained = np.repeat(~held, lengths)
             h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in c.words), np.uint64, len(c.words))
-            start = np.uint64(xxhash.xxh3_64_intdigest(_START))
-            pairs, which = np.unique(_pairs(tokens, lengths), return_inverse=True)
-            before = np.r_[start, h][pairs >> 32]
-            keys = (h, _pair_hash(before, h[pairs & 0xFFFFFFFF]))
-            counts = (np.bincount(tokens[trained], minlength=len(h)), np.bincount(which[trained], minlength=len(pairs)))
+            often = np.argsort(-np.bincount(tokens, minlength=len(h)), kind="stable")  # frequent words get small numbers
+            number = np.empty(len(h), np.int32)
+            number[often] = np.arange(len(h), dtype=np.int32)
+            tokens, h = number[tokens], h[often]
+            pair_keys, which = _keys(tokens, lengths, h)
+            keys = (h, pair_keys)
+            counts = (np.bincount(tokens[trained], minlength=len(h)), np.bincount(which[trained], minlength=len(pair_keys)))
             out: list[tuple[int, int, int, bytes]] = []
-            for kind, (key, n) in enumerate(zip(keys, counts), 1):
+            for kind, (key, n, bits) in enumerate(zip(keys, counts, (64, PAIR_BITS)), 1):
                 order = np.argsort(key, kind="stable")
                 key, n = key[order], n[order]
-                owner = (key >> np.uint64(32)).astype(np.int64) * targets >> 32
+                owner = (key >> np.uint64(bits - 32)).astype(np.int64) * targets >> 32
                 edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(key) else np.array([], int)
                 for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(key)]):
                     gaps = np.diff(key[a:b], prepend=np.uint64(0))
                     body = _pack(gaps)
                     out.append((int(owner[a]), name, kind, len(body).to_bytes(4, "little") + body + _pack(n[a:b])))
             seen = ",".join("" if i is None else str(i) for i in ids).encode()
-            parts = [_pack(tokens), _pack(lengths), _pack(held.astype(np.uint8)), zstandard.ZstdCompressor(level=1).compress(seen), *(_pack(np.argsort(np.argsort(k, kind="stable"))) for k in keys)]
+            parts = [_pack(tokens), _pack(lengths), _pack(held.astype(np.uint8)), zstandard.ZstdCompressor(level=1).compress(seen), h.tobytes()]
             out.append((-1 - (name % (1 << 20)), name, 0, b"".join(len(p).to_bytes(4, "little") + p for p in parts)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["target", "chunk", "kind", "body"])
 
@@ -162,7 +172,7 @@ def _total(table: pa.Table) -> pa.Table:
 
 
 def _gathered(table: pa.Table) -> pa.Table:
-    """One chunk: its tokens, with each token's training count and its pair's."""
+    """One chunk: its tokens, its words' training counts, and each token's pair's."""
     rows = sorted(zip(table["kind"].to_pylist(), table["part"].to_pylist(), table["body"].to_pylist()), key=lambda r: r[:2])
     parts, body, at = [], rows[0][2], 0
     while at < len(body):
@@ -170,12 +180,14 @@ def _gathered(table: pa.Table) -> pa.Table:
         parts.append(body[at + 4 : at + 4 + n])
         at += 4 + n
     tokens, lengths = _unpack(parts[0]).astype(np.int64), _unpack(parts[1]).astype(np.int64)
-    word_at, pair_at = _unpack(parts[4]).astype(np.int64), _unpack(parts[5]).astype(np.int64)  # places in the order asked
-    words = np.concatenate([_unpack(b) for k, _, b in rows if k == 1]).astype(np.int64)[word_at]
-    pair_counts = np.concatenate([_unpack(b) for k, _, b in rows if k == 2]).astype(np.int64)[pair_at]
-    pairs = pair_counts[np.unique(_pairs(tokens, lengths), return_inverse=True)[1]]
-    single = words[tokens]
-    packed = [_pack(single), _pack(pairs), parts[1], parts[2], parts[3]]
+    h = np.frombuffer(parts[4], np.uint64)
+    pair_keys, which = _keys(tokens, lengths, h)
+    counts = []
+    for kind, key in ((1, h), (2, pair_keys)):  # totals come by rising hash
+        total = np.empty(len(key), np.int64)
+        total[np.argsort(key, kind="stable")] = np.concatenate([_unpack(b) for k, _, b in rows if k == kind])
+        counts.append(total)
+    packed = [parts[0], _pack(counts[0]), _pack(counts[1][which]), parts[1], parts[2], parts[3]]
     known, total = sum(table["types"].to_pylist()), sum(table["tokens"].to_pylist())
     return pa.table([pa.array([known], pa.int64()), pa.array([total], pa.int64()), pa.array([b"".join(len(p).to_bytes(4, "little") + p for p in packed)], pa.binary())], names=["types", "tokens", "body"])
 
@@ -187,11 +199,12 @@ def _read(body: bytes, starts: int) -> tuple[np.ndarray, ...]:
         n = int.from_bytes(body[at : at + 4], "little")
         parts.append(body[at + 4 : at + 4 + n])
         at += 4 + n
-    single, pair, lengths, held = (_unpack(p).astype(np.int64) for p in parts[:4])
+    tokens, words, pair, lengths, held = (_unpack(p).astype(np.int64) for p in parts[:5])
+    single = words[tokens]
     context = np.empty_like(single)
     context[1:] = single[:-1]
     context[np.cumsum(lengths) - lengths] = starts
-    ids = [int(i) if i else None for i in zstandard.ZstdDecompressor().decompress(parts[4]).decode().split(",")]
+    ids = [int(i) if i else None for i in zstandard.ZstdDecompressor().decompress(parts[5]).decode().split(",")]
     return single, pair, context, lengths, held.astype(bool), ids
 
 
