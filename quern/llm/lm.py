@@ -6,9 +6,9 @@ token itself is deleted.
 
 Counting is one exchange. Each task packs its documents into chunks: a chunk's distinct words and pairs go, as
 sorted 64-bit hashes with their training counts, to the task that owns that range of hashes; it adds the counts
-of all chunks and sends each chunk's totals back in the order asked. A chunk's tokens travel beside as numbers.
-So no task holds the vocabulary, a frequent word or pair arrives once from a chunk, and what is exchanged grows
-with the distinct pairs of the chunks. Words are told apart by 64 bits of hash, pairs by 56.
+of all chunks and sends each chunk's totals back in the order asked. A chunk's tokens travel beside as numbers,
+in a group of their own. So no task holds the vocabulary, a frequent word or pair arrives once from a chunk, and
+what is exchanged grows with the distinct pairs of the chunks. Words are told apart by 64 bits of hash, pairs by 56.
 """
 
 from __future__ import annotations
@@ -130,8 +130,8 @@ def _counting(targets: int):
                     out.append((int(owner[a]), name, kind, len(body).to_bytes(4, "little") + body + _pack(n[a:b])))
             seen = ",".join("" if i is None else str(i) for i in ids).encode()
             parts = [_pack(tokens), _pack(lengths), _pack(held.astype(np.uint8)), zstandard.ZstdCompressor(level=1).compress(seen), h.tobytes()]
-            out.append((-1 - (name % (1 << 20)), name, 0, b"".join(len(p).to_bytes(4, "little") + p for p in parts)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["target", "chunk", "kind", "body"])
+            out.append((-1 - name, name, 0, b"".join(len(p).to_bytes(4, "little") + p for p in parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["target", "chunk", "kind", "body"])
 
         chunk = _Chunk()
         for b in batches:
@@ -147,10 +147,13 @@ def _counting(targets: int):
 
 
 def _total(table: pa.Table) -> pa.Table:
-    """One owner's hashes: every chunk's counts replaced by the totals. Chunks' tokens pass through."""
+    """One owner's hashes: every chunk's counts replaced by the totals. A chunk's tokens, a group alone, pass through."""
+    target = table["target"][0].as_py()
+    if target < 0:
+        zero = lambda t: pa.array([0] * len(table), t)
+        return pa.table([table["chunk"], table["kind"], zero(pa.int32()), zero(pa.int64()), zero(pa.int64()), table["body"]], names=["chunk", "kind", "part", "types", "tokens", "body"])
     chunk, kind, body = table["chunk"].to_pylist(), table["kind"].to_pylist(), table["body"].to_pylist()
     out: list[tuple[int, int, int, int, int, bytes]] = []
-    target = table["target"][0].as_py()
     for k in (1, 2):
         rows = [i for i in range(len(kind)) if kind[i] == k]
         if not rows:
@@ -167,7 +170,6 @@ def _total(table: pa.Table) -> pa.Table:
             known = (int((total > 0).sum()), int(total.sum())) if j == 0 and k == 1 else (0, 0)
             out.append((chunk[i], k, target, *known, _pack(total[which[at : at + len(key)]])))
             at += len(key)
-    out += [(chunk[i], 0, 0, 0, 0, body[i]) for i in range(len(kind)) if kind[i] == 0]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["chunk", "kind", "part", "types", "tokens", "body"])
 
 
@@ -280,7 +282,7 @@ def score(docs: DataFrame) -> DataFrame:
     starts = rows.where("not held_out").select("doc_id").agg(F.count(F.lit(1))).first()[0]
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     targets = max(1, size // 8_000_000)
-    asked = rows.mapInArrow(_counting(targets), "target int, chunk long, kind int, body binary")
+    asked = rows.mapInArrow(_counting(targets), "target long, chunk long, kind int, body binary")
     totals = asked.groupBy("target").applyInArrow(_total, "chunk long, kind int, part int, types long, tokens long, body binary")
     chunks = cut(totals.groupBy("chunk").applyInArrow(_gathered, "types long, tokens long, body binary"))
     known = chunks.agg(F.sum("types").alias("v"), F.sum("tokens").alias("n")).first()

@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -236,6 +238,16 @@ def test_language_model(spark, odd, empty, monkeypatch):
     assert lm.score(empty).count() == 0
 
 
+def test_tokens_of_a_chunk_are_a_group_alone(monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 3)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "held_out": False, "text": "one two three"} for i in range(4)])
+    bodies = []
+    for task in range(3):
+        monkeypatch.setattr("pyspark.TaskContext.get", lambda: types.SimpleNamespace(partitionId=lambda: task))
+        bodies += [r for out in lm._counting(2)(iter([batch])) for r in out.to_pylist() if r["kind"] == 0]
+    assert len({r["chunk"] for r in bodies}) == 12 and len({r["target"] for r in bodies}) == 12 and all(r["target"] < 0 for r in bodies)
+
+
 def test_interpolation(spark, monkeypatch):
     weights = np.tile([0.1, 0.3, 0.6], (lm.BUCKETS, 1))
     monkeypatch.setattr(lm, "expectation_maximisation", lambda *a: weights)
