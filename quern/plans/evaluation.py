@@ -101,7 +101,7 @@ def sequence_score(spark, sf):
 
 @query("greedy_assignment")
 def greedy_assignment(spark, sf):
-    s = table(spark, sf, "lineitem").where("l_linenumber <= 4").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_discount"))).alias("s"))
+    s = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_discount"))).alias("s"))
     n = F.size("s")
     places = lambda: F.sequence(F.lit(0), n - 1)
     pairs = F.flatten(F.transform(places(), lambda i: F.transform(places(), lambda j: F.struct(i.alias("s"), j.alias("c"), F.get(F.col("s"), j)["l_discount"].alias("v")))))

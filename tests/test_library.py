@@ -105,6 +105,16 @@ def test_assignment_matches_a_plain_loop(spark):
         assert r.got == want
 
 
+def test_every_line_of_an_order_is_assigned(spark, sf):
+    from quern.plans import evaluation
+
+    orders = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount").collect():
+        orders.setdefault(r[0], []).append(tuple(r[1:]))
+    want = {k: sorted(range(len(v)), key=lambda i: (-sorted(v)[i][2], i)) for k, v in orders.items()}
+    assert {r.l_orderkey: r.chosen for r in evaluation.greedy_assignment(spark, sf).collect()} == want
+
+
 def test_calls(spark):
     said = '```json\n[{"tool": "a", "arguments": {"x": 1}}, {"function": "b", "parameters": {}}]\n```'
     assert [(c.tool, c.arguments) for c in one(spark, scoring.calls(F.lit(said)))[0]] == [("a", '{"x":1}'), ("b", "{}")]
