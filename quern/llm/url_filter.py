@@ -101,7 +101,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, blocked: s
     """
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    hosts = rows.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n")).select(F.col("host").alias("key"), F.col("host").rlike(blocked).alias("listed"))
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).select(F.col("host").alias("key"), ((F.col("host") != "") & F.col("host").rlike(blocked)).alias("listed"))
     cascade = BloomCascade.build(hosts, max_bits=max_bits)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = cascade.mark(rows, "host", "listed").select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), "listed")

@@ -52,6 +52,16 @@ def test_url_filter(spark, max_bits):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_empty_host_is_allowed_whatever_the_list(spark):
+    key = url_filter.F.col("host")
+    names = spark.createDataFrame([("",)] + [(f"s{i}.casino.org",) for i in range(400)], "host string")
+    at = {r.host: set(r.p) for r in names.select("host", url_filter.F.array(*url_filter.BloomCascade._positions(key, 0, 64, 4)).alias("p")).collect()}
+    listed = {next(h for h in at if h and p in at[h]) for p in at[""]}  # together they set every bit of the empty host
+    urls = [None, "no scheme", *(f"http://{h}/" for h in sorted(listed))]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge(pages).orderBy("page_id").collect()] == ["allow"] * 2 + ["block"] * len(listed)
+
+
 def test_pipeline_is_its_stages(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     import public_tokenizers
