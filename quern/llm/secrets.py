@@ -29,11 +29,12 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 
 # Parts that count only together with a part of another role.
 _WEAK = (
-    ("id", "client_id", re.compile(r"""(?ia)\b(?:client_?id|account|user(?:name)?|login|app_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""")),
+    ("id", "client_id", re.compile(r"""(?ia)\b(?:client_?id|account|user(?:name)?|login|app_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""")),
     ("secret", "short_secret", re.compile(r"""(?ia)\b(?:pwd|pass|auth|credential|private_?key|signing_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})""")),
-    ("secret", "random", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,63}[0-9])[A-Za-z0-9+/_-]{24,64}={0,2}(?![A-Za-z0-9+/_=-])")),
-    ("endpoint", "endpoint", re.compile(r"(?a)\b(?:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|s3)://[A-Za-z0-9._~:@/-]{4,200}")),
+    ("secret", "random", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_=-])")),
+    ("endpoint", "endpoint", re.compile(r"(?a)\b(?:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|s3)://[A-Za-z0-9._~:@/-]{4,}")),
 )
+_DIGIT = re.compile("[0-9]")  # an unlabelled random part has one at least
 _HINT = re.compile(r"(?ia)client_?id|account|user|login|app_?id|key_?id|pwd|pass|auth|credential|private_?key|signing_?key|AKIA|://|token|secret|api_?key")
 ROLE = {"assign": "secret", "hex": "secret", "access": "id"}
 MIN_ENTROPY = 4.0
@@ -69,7 +70,7 @@ def _weak(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, str, i
         for m in pattern.finditer(text):
             s, e = m.span()
             i = bisect_left(starts, e) - 1  # the last base span that starts before this one ends
-            if i >= 0 and taken[i][1] > s or kind == "random" and _entropy(m.group()) < MIN_ENTROPY:
+            if i >= 0 and taken[i][1] > s or kind == "random" and (not _DIGIT.search(m.group()) or _entropy(m.group()) < MIN_ENTROPY):
                 continue
             found.append((role, kind, s, e))
     return found

@@ -1,5 +1,6 @@
 """Operators on documents, on awkward rows and against brute force."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -164,6 +165,17 @@ def test_weak_parts_need_partners():
     assert secrets.scan("client_id=web-7431" + " " * 500 + "pass=hunter2x") == []
 
 
+def test_long_parts_are_whole():
+    key = hashlib.sha512(b"key").digest()
+    long = base64.b64encode(key).decode()
+    assert len(long) == 88
+    for part in (long, base64.b64encode(key * 4).decode()):
+        text = f"client_id = abc1234 {part}"
+        assert [(s.kind, text[s.start : s.end], s.linked) for s in secrets.scan(text)] == [("client_id", "client_id = abc1234", "secret"), ("random", part, "id")]
+    text = f"user: {'u' * 90} pwd=abcdefgh https://{'h' * 300}.com"
+    assert [text[s.start : s.end] for s in secrets.scan(text)] == [f"user: {'u' * 90}", "pwd=abcdefgh", f"https://{'h' * 300}.com"]
+
+
 # toxicity
 
 
