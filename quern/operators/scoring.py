@@ -1,13 +1,17 @@
-"""Matching of expected and actual calls, and the scores made of it: all as column expressions."""
+"""Matching of expected and actual calls, and the scores made of it.
+
+Column expressions, but for values and answers in JSON of any shape, which Python reads in Arrow batches.
+"""
 
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -38,29 +42,65 @@ def match_arguments(expected: Column, actual: Column) -> Column:
     return F.when(F.size(keys) == 0, 1.0).otherwise(F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(keys), F.lit(1)))
 
 
+def _distance(a: str, b: str) -> int:
+    """Edit distance, one machine step for a whole column of the table: a column's rises and falls are two bit sets."""
+    if not a:
+        return len(b)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    rises, falls, d = full, 0, len(a)
+    for c in b:
+        same = where.get(c, 0) | falls
+        across = (((same & rises) + rises) ^ rises) | same
+        up, down = falls | ~(across | rises) & full, rises & across
+        d += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        rises, falls = down | ~(same | up) & full, up & same
+    return d
+
+
+def _text(e: str, a: str, threshold: float = 0.85) -> float:
+    e, a = (" ".join(s.lower().split()) for s in (e, a))
+    if e == a:
+        return 1.0
+    alike = 1 - _distance(e, a) / max(len(e), len(a))
+    return alike if alike >= threshold else 0.0
+
+
+def _number(e: float, a: object) -> float:
+    try:
+        x = float(a)  # type: ignore[arg-type]
+    except (TypeError, ValueError):
+        return 0.0
+    return float(e == x or (abs(x) < 1e-4 if e == 0 else abs(e - x) <= 1e-4 * max(abs(e), abs(x))))
+
+
 def _value(e: object, a: object) -> float:
-    """Any depth: null, boolean, number, list, map, text, in this order."""
+    """By the expected value's kind, at any depth: a text may be a little off, a number may come as text, and anything
+    stands for a boolean by its truth."""
     if e is None or a is None:
-        return float(e is None and a is None)
-    if isinstance(e, bool) or isinstance(a, bool):
-        return float(isinstance(e, bool) and isinstance(a, bool) and e == a)
-    if isinstance(e, (int, float)) and isinstance(a, (int, float)):
-        return float(e == a or (abs(a) < 1e-4 if e == 0 else abs(e - a) <= 1e-4 * max(abs(e), abs(a))))
-    if isinstance(e, list) and isinstance(a, list):
-        if not e and not a:
-            return 1.0
-        if not e or not a:
+        return float(e is a)
+    if isinstance(e, bool):
+        return float(bool(a) == e)
+    if isinstance(e, (int, float)):
+        return _number(float(e), a)
+    if isinstance(e, list):
+        if not isinstance(a, list) or bool(e) != bool(a):
+            return 0.0
+        shorter, longer = sorted((len(e), len(a)))
+        return sum(map(_value, e, a)) / len(e) * shorter / longer if e else 1.0
+    if isinstance(e, dict):
+        if not isinstance(a, dict) or bool(e) != bool(a):
             return 0.0
-        return sum(map(_value, e, a)) / len(e) * min(len(e), len(a)) / max(len(e), len(a))
-    if isinstance(e, dict) and isinstance(a, dict):
-        keys = {**e, **a}
-        return sum(_value(e[k], a[k]) for k in keys if k in e and k in a) / len(keys) if keys else 1.0
-    return float(str(e).strip().lower() == str(a).strip().lower())
+        return sum(_value(e[k], a[k]) for k in e.keys() & a.keys()) / len(e.keys() | a.keys()) if e else 1.0
+    return _text(str(e), str(a))
 
 
 @F.pandas_udf(DoubleType())
 def match_json(expected: pd.Series, actual: pd.Series) -> pd.Series:
-    """Fuzzy equality of two JSON values of any depth; null where either is no JSON."""
+    """Fuzzy equality of two JSON values of any depth, the arguments of a call among them; null where either is no JSON."""
 
     def one(e: str | None, a: str | None) -> float | None:
         try:
@@ -71,6 +111,34 @@ def match_json(expected: pd.Series, actual: pd.Series) -> pd.Series:
     return pd.Series([one(e, a) for e, a in zip(expected, actual)], dtype="float64")
 
 
+PAIRS = ArrayType(StructType().add("s", IntegerType()).add("c", IntegerType()).add("v", DoubleType()))
+CALLS = ArrayType(StructType().add("tool", StringType()).add("arguments", StringType()))
+
+
+@F.pandas_udf(PAIRS)
+def pairs(steps: pd.Series, calls: pd.Series) -> pd.Series:
+    """Every step and call of one tool, names compared without case and outer space, with the score of the arguments.
+
+    Both are JSON lists of objects with tool and arguments (an object's text); arguments that are no object are none.
+    """
+
+    def read(text: str | None) -> list[tuple[str, dict]]:
+        found = []
+        for x in json.loads(text or "[]"):
+            try:
+                arguments = json.loads(x.get("arguments") or "{}")
+            except ValueError:
+                arguments = {}
+            found.append((str(x.get("tool", "")).strip().lower(), arguments if isinstance(arguments, dict) else {}))
+        return found
+
+    def one(wanted: str | None, made: str | None) -> list[dict]:
+        made = read(made)
+        return [{"s": i, "c": j, "v": _value(e, a)} for i, (tool, e) in enumerate(read(wanted)) for j, (name, a) in enumerate(made) if name == tool]
+
+    return pd.Series([one(*x) for x in zip(steps, calls)])
+
+
 def lcs(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two arrays: a fold that carries the last row of the table."""
     zero = F.array_repeat(F.lit(0), F.size(b) + 1)
@@ -100,37 +168,100 @@ def assign(steps: Column, pairs: Column) -> Column:
 WEIGHTS = {  # sequence, arguments, completeness, data flow
     "L1": (0.40, 0.35, 0.25, 0.0),
     "L2": (0.35, 0.35, 0.15, 0.15),
-    "L3": (0.30, 0.30, 0.25, 0.15),
+    "L3": (0.30, 0.30, 0.15, 0.25),
 }
 
 
-def overall(level: Column, sequence: Column, arguments: Column, complete: Column, flow: Column) -> Column:
-    """L0 is all or nothing at 0.85; the other levels weigh the four scores."""
-    single = (sequence + arguments + complete) / 3
-    out = F.when(level == "L0", F.when(single >= 0.85, 1.0).otherwise(0.0))
+def overall(level: Column, first: Column, sequence: Column, arguments: Column, complete: Column, flow: Column) -> Column:
+    """L0 is all or nothing: the first step has its call, and the arguments reach 0.85. The others weigh four scores."""
+    out = F.when(level == "L0", F.when(first & (arguments >= 0.85), 1.0).otherwise(0.0))
     for name, (s, a, c, f) in WEIGHTS.items():
         out = out.when(level == name, sequence * s + arguments * a + complete * c + flow * f)
     return out
 
 
-def error_type(calls: Column, unknown: Column, done: Column, wanted: Column, wrong: Column, arguments: Column, sequence: Column, flow: Column) -> Column:
-    """The first fault that applies, null for none."""
+def error_type(calls: Column, unknown: Column, wanted: Column, wrong: Column, order: Column, low: Column) -> Column:
+    """The first fault that applies, null for none. calls and wanted are numbers of calls and steps; unknown: a call's
+    tool is no step's; wrong: a matched call has another tool; order: the sequence is not whole; low: a matched call's
+    arguments score below 0.85."""
     return F.coalesce(
-        F.when(calls == 0, "E10_no_calls"),
-        F.when(unknown, "E6_unknown_tool"),
-        F.when(done < wanted, "E8_partial_completion"),
+        F.when(calls == 0, "E10_format_error"),
+        F.when(unknown, "E6_hallucinated_tool"),
+        F.when(calls < wanted, "E8_partial_completion"),
         F.when(wrong, "E1_wrong_tool"),
-        F.when(sequence < 1.0, "E3_wrong_order"),
-        F.when(arguments < 0.85, "E4_wrong_arguments"),
-        F.when(flow < 1.0, "E7_data_flow"),
+        F.when(order, "E3_wrong_order"),
+        F.when(low, "E4_wrong_arguments"),
+        F.when(calls > wanted, "E7_unnecessary_tool"),
     )
 
 
-def calls(text: Column) -> Column:
-    """array<struct<tool,arguments>> from a model's answer: fences stripped, the first JSON list or object, with the
-    usual names for its fields."""
-    bare = F.regexp_replace(F.trim(text), r"(?s)^```[a-z]*\s*|\s*```$", "")
-    listed = F.when(F.trim(bare).startswith("["), bare).otherwise(F.concat(F.lit("["), F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit("]")))
-    kind = "array<struct<tool:string,name:string,function:string,arguments:string,args:string,parameters:string>>"
-    parsed = F.from_json(listed, kind)
-    return F.filter(F.transform(parsed, lambda c: F.struct(F.coalesce(c["tool"], c["name"], c["function"]).alias("tool"), F.coalesce(c["arguments"], c["args"], c["parameters"]).alias("arguments"))), lambda c: c["tool"].isNotNull())
+def score(tasks: DataFrame) -> DataFrame:
+    """tasks with call_scores, sequence, arguments, complete, flow, overall and error.
+
+    tasks: level, steps array<struct<id,tool,arguments,depends_on>> and calls array<struct<tool,arguments>>, arguments as
+    JSON text. A step takes the best free call of its tool, in order; a null list counts as empty. The sequence compares
+    names as they are, the assignment without case.
+    """
+    c = F.col
+    t = tasks.withColumns({k: F.coalesce(k, F.array().cast(tasks.schema[k].dataType)) for k in ("steps", "calls")})
+    steps, calls = F.size("steps"), F.size("calls")
+    t = t.withColumn("__pairs", pairs(F.to_json("steps"), F.to_json("calls"))).withColumn("__chosen", assign(steps, c("__pairs")))
+    of = lambda i: F.get(F.filter("__pairs", lambda p: (p["s"] == i) & (p["c"] == F.get(c("__chosen"), i))), F.lit(0))["v"]
+    t = t.withColumn("call_scores", F.transform("steps", lambda s, i: F.struct(s["id"].alias("step"), (F.get(c("__chosen"), i) >= 0).alias("matched"), F.coalesce(of(i), F.lit(0.0)).alias("args_score"), s["depends_on"].alias("depends_on"))))
+    done = F.filter("call_scores", lambda s: s["matched"])
+    t = t.withColumn("__done", done).withColumn("__names", F.transform("steps", lambda s: s["tool"])).withColumn("__made", F.transform("calls", lambda s: s["tool"]))
+    t = t.withColumn("sequence", F.when(steps > 0, lcs(c("__names"), c("__made")) / F.greatest(steps, F.lit(1))).otherwise(1.0))
+    total = F.aggregate("__done", F.lit(0.0), lambda s, x: s + x["args_score"])
+    t = t.withColumn("arguments", F.when(F.size("__done") > 0, total / F.greatest(F.size("__done"), F.lit(1))).otherwise(0.0))
+    t = t.withColumn("complete", F.size("__done") / F.greatest(steps, F.lit(1)))
+    waits = F.filter("call_scores", lambda s: F.coalesce(F.size(s["depends_on"]), F.lit(0)) > 0)
+    ids = F.transform("__done", lambda s: s["step"])
+    good = F.filter(waits, lambda s: s["matched"] & F.forall(s["depends_on"], lambda d: F.array_contains(ids, d)))
+    t = t.withColumn("flow", F.when(F.size(waits) > 0, F.size(good) / F.greatest(F.size(waits), F.lit(1))).otherwise(1.0))
+    first = F.coalesce(F.get(c("call_scores"), F.lit(0))["matched"], F.lit(False))
+    t = t.withColumn("overall", overall(c("level"), first, c("sequence"), c("arguments"), c("complete"), c("flow")))
+    unknown = F.exists("__made", lambda m: ~F.array_contains("__names", m))
+    low = F.exists("__done", lambda s: s["args_score"] < 0.85)
+    return t.withColumn("error", error_type(calls, unknown, steps, F.lit(False), c("sequence") < 1.0, low)).drop("__pairs", "__chosen", "__done", "__names", "__made")
+
+
+_NAMES, _ARGUMENTS = ("tool", "name", "function"), ("arguments", "args", "parameters")
+
+
+def _call(x: object) -> dict | None:
+    if not isinstance(x, dict):
+        return None
+    tool = next((x[k] for k in _NAMES if x.get(k)), None)
+    arguments = next((x[k] for k in _ARGUMENTS if x.get(k)), None)
+    return tool and {"tool": str(tool), "arguments": json.dumps(arguments if isinstance(arguments, dict) else {}, ensure_ascii=False, separators=(",", ":"))}
+
+
+def _spoken(text: str) -> list[dict]:
+    """The calls in an answer: its fenced block, or all of it, as JSON; else each outermost run of braces in it."""
+    block = re.search(r"```json(.*?)(?:```|$)", text, re.S) or re.search(r"```(.*?)(?:```|$)", text, re.S)
+    try:
+        data = json.loads((block.group(1) if block else text).strip())
+        return [c for x in (data if isinstance(data, list) else [data]) if (c := _call(x))]
+    except ValueError:
+        pass
+    found, depth, start = [], 0, None
+    for m in re.finditer(r"[{}]", text):
+        if m.group() == "{":
+            start = m.start() if depth == 0 else start
+            depth += 1
+            continue
+        depth -= 1
+        if depth == 0 and start is not None:
+            try:
+                if c := _call(json.loads(text[start : m.end()])):
+                    found.append(c)
+            except ValueError:
+                pass
+            start = None
+    return found
+
+
+@F.pandas_udf(CALLS)
+def calls(text: pd.Series) -> pd.Series:
+    """The tool calls in a model's answer, with the usual names for their fields; none where nothing parses, null of null."""
+    return pd.Series([None if t is None else _spoken(t) for t in text])

@@ -40,45 +40,68 @@ def numeric_tolerance(spark, sf):
     return _near(spark, sf).select("p_partkey", scoring.match_numeric(F.col("p_retailprice"), F.col("other"), 0.05).alias("score"))
 
 
-@query("argument_match", """SELECT event_id, round((CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END + CASE WHEN user_id % 2 = 0 THEN 1.0 ELSE 0.0 END) / (2 + (user_id % 3 = 0)::INT), 6) AS score FROM events WHERE event_type = 'click' OR length(event_type) > 7""")
+@query("argument_match", "SELECT event_id, round(((event_type = 'click')::INT + (user_id % 2 = 0)::INT) / (2 + (user_id % 3 = 0)::INT), 6) AS score FROM events")
 def argument_match(spark, sf):
     wanted = F.create_map(F.lit("type"), F.lit("click"), F.lit("even"), F.lit("yes"))
     got = F.map_concat(F.create_map(F.lit("type"), F.col("event_type"), F.lit("even"), F.when(F.col("user_id") % 2 == 0, "Yes").otherwise("no way")), F.when(F.col("user_id") % 3 == 0, F.create_map(F.lit("extra"), F.lit("1"))).otherwise(F.create_map().cast("map<string,string>")))
-    e = table(spark, sf, "events").where((F.col("event_type") == "click") | (F.length("event_type") > 7))
-    return e.select("event_id", F.round(scoring.match_arguments(wanted, got), 6).alias("score"))
+    return table(spark, sf, "events").select("event_id", F.round(scoring.match_arguments(wanted, got), 6).alias("score"))
 
 
-@query("json_match")
+@query("json_match", "SELECT event_id, CASE WHEN json_extract(props, '$.k')::DOUBLE = 7 THEN 1.0 ELSE 0.0 END AS score FROM events")
 def json_match(spark, sf):
-    return table(spark, sf, "events").select("event_id", scoring.match_json(F.col("props"), F.lit('{"k": 7}')).alias("score"))
+    return table(spark, sf, "events").select("event_id", scoring.match_json(F.lit('{"k": 7}'), F.col("props")).alias("score"))
 
 
-_SCORED = """SELECT l_orderkey AS task, 'L' || (l_orderkey % 4)::VARCHAR AS level, count(*) AS wanted, count_if(l_returnflag <> 'R') AS done, avg(CASE WHEN l_returnflag <> 'R' THEN 1 - l_discount END) AS args, 1 - avg(l_tax) AS seq FROM lineitem GROUP BY 1"""
+_FIRST = "(l_linenumber, l_partkey, l_suppkey, l_shipdate)"
+_SCORED = f"""SELECT l_orderkey AS task, 'L' || (l_orderkey % 4)::VARCHAR AS level, count(*) AS wanted, count_if(l_returnflag <> 'R') AS done, avg(CASE WHEN l_returnflag <> 'R' THEN 1 - l_discount END) AS args,
+  min(CASE WHEN l_returnflag <> 'R' THEN 1 - l_discount END) AS lowest, 1 - avg(l_tax) AS seq, arg_min(l_returnflag <> 'R', {_FIRST}) AS first FROM lineitem GROUP BY 1"""
 
 
 def _tasks(spark, sf):
     ok = F.col("l_returnflag") != "R"
-    g = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("task")).agg(F.count(F.lit(1)).alias("wanted"), F.count_if(ok).alias("done"), F.avg(F.when(ok, 1 - F.col("l_discount"))).alias("args"), (1 - F.avg("l_tax")).alias("seq"))
+    given = F.when(ok, 1 - F.col("l_discount"))
+    g = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("task")).agg(F.count(F.lit(1)).alias("wanted"), F.count_if(ok).alias("done"), F.avg(given).alias("args"), F.min(given).alias("lowest"), (1 - F.avg("l_tax")).alias("seq"), F.min_by(ok, F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")).alias("first"))
     return g.withColumn("level", F.concat(F.lit("L"), (F.col("task") % 4).cast("string"))).withColumn("args", F.coalesce("args", F.lit(0.0))).withColumn("complete", F.col("done") / F.col("wanted"))
 
 
 _PARTS = f"(SELECT *, coalesce(args, 0) AS a, done / wanted AS c FROM ({_SCORED}))"
-_OVERALL = "CASE level WHEN 'L0' THEN CASE WHEN (seq + a + c) / 3 >= 0.85 THEN 1.0 ELSE 0.0 END WHEN 'L1' THEN seq * 0.40 + a * 0.35 + c * 0.25 WHEN 'L2' THEN seq * 0.35 + a * 0.35 + c * 0.15 + c * 0.15 ELSE seq * 0.30 + a * 0.30 + c * 0.25 + c * 0.15 END"
+_OVERALL = "CASE level WHEN 'L0' THEN CASE WHEN first AND a >= 0.85 THEN 1.0 ELSE 0.0 END WHEN 'L1' THEN 0.40 * seq + 0.35 * a + 0.25 * c WHEN 'L2' THEN 0.35 * seq + 0.35 * a + 0.30 * c ELSE 0.30 * seq + 0.30 * a + 0.15 * c + 0.25 * (1 - (wanted - done) / wanted) END"
 
 
 @query("level_weighted_score", f"SELECT task, level, round({_OVERALL}, 9) AS overall FROM {_PARTS}")
 def level_weighted_score(spark, sf):
     c = F.col
-    return _tasks(spark, sf).select("task", "level", F.round(scoring.overall(c("level"), c("seq"), c("args"), c("complete"), c("complete")), 9).alias("overall"))
+    return _tasks(spark, sf).select("task", "level", F.round(scoring.overall(c("level"), c("first"), c("seq"), c("args"), c("complete"), c("complete")), 9).alias("overall"))
 
 
-@query("error_taxonomy", f"SELECT coalesce(CASE WHEN done = 0 THEN 'E10_no_calls' END, CASE WHEN task % 97 = 0 THEN 'E6_unknown_tool' END, CASE WHEN done < wanted THEN 'E8_partial_completion' END, CASE WHEN seq < 0.95 THEN 'E3_wrong_order' END, CASE WHEN a < 0.95 THEN 'E4_wrong_arguments' END, 'none') AS error, count(*) AS n FROM {_PARTS} GROUP BY 1")
+@query("error_taxonomy", f"""SELECT error, count(*) AS n FROM (SELECT *, done + CASE WHEN task % 5 = 0 THEN 3 ELSE 0 END AS calls FROM {_PARTS}),
+LATERAL (SELECT CASE WHEN calls = 0 THEN 'E10_format_error' WHEN task % 97 = 0 THEN 'E6_hallucinated_tool' WHEN calls < wanted THEN 'E8_partial_completion' WHEN seq < 0.97 THEN 'E3_wrong_order'
+  WHEN lowest < 0.94 THEN 'E4_wrong_arguments' WHEN calls > wanted THEN 'E7_unnecessary_tool' ELSE 'none' END AS error) GROUP BY error""")
 def error_taxonomy(spark, sf):
     c = F.col
-    e = scoring.error_type(c("done"), c("task") % 97 == 0, c("done"), c("wanted"), F.lit(False), c("args") - 0.10, F.when(c("seq") < 0.95, 0.0).otherwise(1.0), F.lit(1.0))
+    calls = c("done") + F.when(c("task") % 5 == 0, 3).otherwise(0)
+    e = scoring.error_type(calls, c("task") % 97 == 0, c("wanted"), F.lit(False), c("seq") < 0.97, c("lowest") < 0.94)
     return _tasks(spark, sf).groupBy(F.coalesce(e, F.lit("none")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def order_tasks(spark, sf):
+    """Each order as a task: its lines are the steps, each waiting for the line before it, and the calls are its filled
+    lines by part, some with another quantity."""
+    s = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("task")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus", "l_quantity", "l_discount"))).alias("s"))
+    said = lambda q: F.concat(F.lit('{"q": '), q.cast("string"), F.lit("}"))
+    name = lambda i: F.concat(F.lit("s"), i.cast("string"))
+    steps = F.transform("s", lambda x, i: F.struct(name(i).alias("id"), x["l_returnflag"].alias("tool"), said(x["l_quantity"]).alias("arguments"), F.when(i > 0, F.array(name(i - 1))).otherwise(F.array().cast("array<string>")).alias("depends_on")))
+    made = F.array_sort(F.transform(F.filter("s", lambda x: (x["l_linestatus"] == "F") | (x["l_discount"] > 0.02)), lambda x: F.struct(x["l_partkey"].alias("p"), x["l_returnflag"].alias("tool"), said(F.when(x["l_discount"] > 0.08, x["l_quantity"] + 1).otherwise(x["l_quantity"])).alias("arguments"))))
+    calls = F.transform(made, lambda x: F.struct(x["tool"].alias("tool"), x["arguments"].alias("arguments")))
+    return s.select("task", F.concat(F.lit("L"), (F.col("task") % 4).cast("string")).alias("level"), steps.alias("steps"), calls.alias("calls"))
+
+
+@query("score_task")
+def score_task(spark, sf):
+    t = scoring.score(order_tasks(spark, sf))
+    return t.select("task", "level", *[F.round(c, 9).alias(c) for c in ("sequence", "arguments", "complete", "flow", "overall")], "error")
+
+
 @query("data_flow_score", """WITH s AS (SELECT l_orderkey, l_linenumber, bool_or(l_returnflag <> 'R') AS ok FROM lineitem GROUP BY ALL)
 SELECT a.l_orderkey AS task, round(avg((a.ok AND b.ok)::INT), 6) AS flow FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber - 1 GROUP BY 1""")
 def data_flow_score(spark, sf):
@@ -140,14 +163,62 @@ def gap_definitions(spark, sf):
     return m.select("event_type", F.round(l0 - l3, 6).alias("delta"), F.round(mean - l0, 6).alias("selection_gap"), F.round(l0 - mean, 6).alias("leaderboard_gap"), (l0 < F.least(l1, l2, l3)).alias("strict_gap"), F.round(l0 - l1, 6).alias("gap_l1"), F.round(l0 - l2, 6).alias("gap_l2"))
 
 
-@query("weight_ablation", f"""WITH w(config, s, a, c) AS (VALUES ('default', 0.4, 0.35, 0.25), ('equal', 1/3, 1/3, 1/3), ('sequence', 0.7, 0.15, 0.15), ('arguments', 0.15, 0.7, 0.15))
-SELECT config, level, round(avg(w.s * seq + w.a * p.a + w.c * p.c), 6) AS score FROM {_PARTS} p, w GROUP BY config, level""")
+# sequence, arguments, completeness, data flow of L1, L2 and L3, and the score that counts as a pass
+CONFIGS = (
+    ("default", ((0.40, 0.35, 0.25, 0.0), (0.35, 0.35, 0.15, 0.15), (0.30, 0.30, 0.15, 0.25)), None),
+    ("uniform", ((1 / 3, 1 / 3, 1 / 3, 0.0), (0.25,) * 4, (0.25,) * 4), None),
+    ("sequence", ((0.60, 0.20, 0.20, 0.0), (0.50, 0.20, 0.15, 0.15), (0.50, 0.20, 0.15, 0.15)), None),
+    ("arguments", ((0.20, 0.60, 0.20, 0.0), (0.15, 0.55, 0.15, 0.15), (0.15, 0.55, 0.15, 0.15)), None),
+    ("completeness", ((0.20, 0.20, 0.60, 0.0), (0.15, 0.15, 0.55, 0.15), (0.15, 0.15, 0.55, 0.15)), None),
+    ("data flow", ((0.25, 0.25, 0.50, 0.0), (0.15, 0.15, 0.15, 0.55), (0.15, 0.15, 0.15, 0.55)), None),
+    ("pass at 0.50", ((0.40, 0.35, 0.25, 0.0), (0.35, 0.35, 0.15, 0.15), (0.30, 0.30, 0.15, 0.25)), 0.50),
+    ("pass at 0.70", ((0.40, 0.35, 0.25, 0.0), (0.35, 0.35, 0.15, 0.15), (0.30, 0.30, 0.15, 0.25)), 0.70),
+)
+
+
+def rescored(t):
+    """(config, model, level, score): each task's score under each configuration; a model is a task's key modulo 7."""
+    c = F.col
+    base = scoring.overall(c("level"), c("first"), c("seq"), c("args"), c("complete"), c("complete"))
+
+    def under(weights, least):
+        s = F.when(c("level") == "L0", base)
+        for name, (x, a, z, f) in zip(("L1", "L2", "L3"), weights):
+            s = s.when(c("level") == name, x * c("seq") + a * c("args") + (z + f) * c("complete"))
+        return s if least is None else F.when(c("level") == "L0", base).otherwise(F.when(s >= least, 1.0).otherwise(0.0))
+
+    each = F.array(*[F.struct(F.lit(n).alias("config"), under(w, least).alias("score")) for n, w, least in CONFIGS])
+    return t.select((c("task") % 7).alias("model"), "level", F.explode(each).alias("x")).select("model", "level", "x.config", "x.score")
+
+
+def _config_sql() -> str:
+    def score(weights, least):
+        body = " ".join(f"WHEN '{name}' THEN {x!r} * seq + {a!r} * a + {z + f!r} * c" for name, (x, a, z, f) in zip(("L1", "L2", "L3"), weights))
+        graded = f"CASE level {body} END"
+        return f"CASE WHEN level = 'L0' THEN (first AND a >= 0.85)::INT::DOUBLE ELSE {graded if least is None else f'({graded} >= {least})::INT::DOUBLE'} END"
+
+    return " UNION ALL ".join(f"SELECT '{n}' AS config, task % 7 AS model, level, {score(w, least)} AS score FROM {_PARTS}" for n, w, least in CONFIGS)
+
+
+@query("weight_ablation", f"""SELECT config, model, round(avg(score), 6) AS overall, round(avg(CASE WHEN level = 'L0' THEN score END), 6) AS l0, round(avg(CASE WHEN level = 'L1' THEN score END), 6) AS l1,
+  round(avg(CASE WHEN level = 'L2' THEN score END), 6) AS l2, round(avg(CASE WHEN level = 'L3' THEN score END), 6) AS l3, coalesce(avg(CASE WHEN level = 'L0' THEN score END), 0) < least(coalesce(avg(CASE WHEN level = 'L1' THEN score END), 0),
+  coalesce(avg(CASE WHEN level = 'L2' THEN score END), 0), coalesce(avg(CASE WHEN level = 'L3' THEN score END), 0)) AS gap FROM ({_config_sql()}) GROUP BY ALL""")
 def weight_ablation(spark, sf):
-    third = 1 / 3
-    configs = F.array(*[F.struct(F.lit(n).alias("config"), F.lit(s).alias("s"), F.lit(a).alias("a"), F.lit(c).alias("c")) for n, s, a, c in (("default", 0.4, 0.35, 0.25), ("equal", third, third, third), ("sequence", 0.7, 0.15, 0.15), ("arguments", 0.15, 0.7, 0.15))])
-    m = _tasks(spark, sf).groupBy("level").agg(F.avg("seq").alias("x"), F.avg("args").alias("y"), F.avg("complete").alias("z"))  # a weighted mean is the mean's weights
-    r = m.select("level", "x", "y", "z", F.explode(configs).alias("w"))
-    return r.select("w.config", "level", F.round(F.col("w.s") * F.col("x") + F.col("w.a") * F.col("y") + F.col("w.c") * F.col("z"), 6).alias("score"))
+    at = lambda k: F.avg(F.when(F.col("level") == f"L{k}", F.col("score")))
+    m = rescored(_tasks(spark, sf)).groupBy("config", "model").agg(F.round(F.avg("score"), 6).alias("overall"), *[at(k).alias(f"l{k}") for k in range(4)])
+    l0, *rest = (F.coalesce(f"l{k}", F.lit(0.0)) for k in range(4))
+    return m.select("config", "model", "overall", *[F.round(f"l{k}", 6).alias(f"l{k}") for k in range(4)], (l0 < F.least(*rest)).alias("gap"))
+
+
+@query("ablation_spearman", f"""WITH m AS (SELECT config, model, round(avg(score), 9) AS s FROM ({_config_sql()}) GROUP BY ALL),
+r AS (SELECT config, model, rank() OVER (PARTITION BY config ORDER BY s) + (count(*) OVER (PARTITION BY config, s) - 1) / 2 AS r FROM m)
+SELECT b.config, count(*) AS n, round(corr(a.r, b.r), 6) AS rho FROM r a JOIN r b ON a.model = b.model WHERE a.config = 'default' AND b.config <> 'default' GROUP BY 1""")
+def ablation_spearman(spark, sf):
+    m = rescored(_tasks(spark, sf)).groupBy("config", "model").agg(F.round(F.avg("score"), 9).alias("s"))
+    r = m.select("config", "model", stats.average_rank("s", ["config"]).cast("double").alias("r"))  # one row for each model
+    base = r.where("config = 'default'").select("model", F.col("r").alias("base"))
+    g = r.where("config <> 'default'").join(base, "model").groupBy("config").agg(F.count(F.lit(1)).alias("n"), F.round(stats.correlation(F.col("base"), F.col("r")), 6).alias("rho"))
+    return g
 
 
 # statistics
