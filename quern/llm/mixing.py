@@ -2,14 +2,17 @@
 
 Each source's documents stand in shuffled order on a line of words, cut into equal blocks. Golden-ratio points,
 mapped through the cumulative targets, give each slot of the schedule its source; a slot's rank among its
-source's slots names the block it takes, and the line starts again when it ends. Offsets and ranks are two-level
-prefix sums, so that no task sees a whole source.
+source's slots names the block it takes, and the line starts again when it ends. How many slots the points give a
+source, and so how many words it contributes, is the schedule's doing: the points' low discrepancy keeps it near the
+target, and only the limit on repeats ends a source earlier. Blocks grow with the corpus, so the schedule has a bounded
+number of slots; offsets and ranks are two-level prefix sums over small buckets, so that no task sees a whole source.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql.window import Window as W
 
 from ._common import cut
@@ -20,8 +23,16 @@ LIMIT = 2
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 1327217885  # 2^31 divided by the golden ratio, made odd
 PERIOD = 1 << 31
-CELLS = 4096
-CHUNK = 65536
+CELLS = 4096  # or as many as there are sources
+SLOTS = 1 << 23
+"""Slots of the schedule, about, from which on blocks grow instead."""
+
+BLOCK = 256
+"""Words of a block, until the corpus needs more SLOTS than allowed; fewer in a corpus of few words."""
+
+CHUNK = 1024
+"""Slots that are ranked together."""
+
 BROADCAST_SOURCES = 10_000
 """Most sources whose table is broadcast; more are joined by a shuffle."""
 
@@ -31,16 +42,19 @@ def _small(sources: DataFrame, n: int) -> DataFrame:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_md5, source, size, h): size counts words (null: 0), h orders the shuffle."""
-    return docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
+    """(doc_id, text_md5, source, size, h, row): size counts words (null: 0), h orders the shuffle, row is a hash of all
+    columns (maps aside) that tells rows apart which share a doc_id and a text."""
+    columns = [f.name for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    return docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("row"), "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
-    """One row for each source: sid (rank by code point, null last), source, source_size, target, quota, block.
+    """One row for each source: sid (rank by code point, null last), source, source_size, target, quota, block, upto.
 
     Targets share out share times all words by weight, stop at limit times the source's size and hand on the
     excess: target = least(limit * size, weight * level), where the level is the largest that capping the first
-    sources by size over weight gives. The windows run over one row for each source.
+    sources by size over weight gives. quota is the target in whole words, upto the quotas' running sum. The windows
+    run over one row for each source.
     """
     by = W.orderBy(F.col("source").asc_nulls_last())
     s = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("sid", F.row_number().over(by).cast("long"))
@@ -52,36 +66,33 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     s = s.withColumn("level", (F.col("total") * F.lit(share) - before) / rest).withColumn("level", F.max("level").over(W.partitionBy()))
     s = s.withColumn("target", F.least(F.col("cap").cast("double"), F.col("w") * F.col("level")))
     s = s.withColumn("quota", F.least("cap", F.floor(F.col("target") + 0.5)).cast("long"))
-    block = F.greatest(F.lit(1), F.least(F.lit(256), F.floor(F.col("total") * F.lit(share) / 65536))).cast("long")
+    words = F.floor(F.col("total") * F.lit(share))
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(words / 65536)), F.ceil(words / SLOTS)).cast("long")
     return s.withColumn("block", block).withColumn("upto", F.sum("quota").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0))).select("sid", "source", "source_size", "target", "quota", "block", "upto")
 
 
 def schedule(sources: DataFrame) -> DataFrame:
     """(slot, sid, rank, start, words): which words of its source's endless line each slot takes.
 
-    sources: targets(), cut. Slots beyond a source's quota are left out, and quotas that the points did not
-    fill are filled by slots at the end, so each source gives exactly its quota.
+    sources: targets(), cut. A slot takes a whole block; only the last slot before a source's limit on repeats may take
+    less, and slots beyond that limit take nothing and are left out.
     """
     spark = sources.sparkSession
     head = sources.agg(F.max("upto").alias("all"), F.max("block").alias("block"), F.count(F.lit(1)).alias("n")).first()
     total, block = head["all"] or 0, head["block"] or 1
     slots = -(-total // block)
     at = F.pmod(F.col("id") % PERIOD * GOLDEN, F.lit(PERIOD)) / PERIOD
-    points = spark.range(slots).select(F.col("id").alias("slot"), (at * float(total)).alias("x")).withColumn("cell", F.floor(F.col("x") / max(1.0, float(total)) * CELLS))
-    cell = lambda c: F.floor(c / max(1.0, float(total)) * CELLS)
+    cell = lambda c: F.floor(c / max(1.0, float(total)) * max(CELLS, head["n"]))
+    points = spark.range(slots).select(F.col("id").alias("slot"), (at * float(total)).alias("x")).withColumn("cell", cell(F.col("x")))
     lo = F.col("upto") - F.col("quota")
     cells = sources.where("quota > 0").select("sid", lo.alias("lo"), F.col("upto").alias("hi"), F.explode(F.sequence(cell(lo), cell(F.col("upto")))).alias("cell"))
-    drawn = points.join(cells, "cell").where("x >= lo and x < hi").select("slot", "sid", F.floor(F.col("slot") / CHUNK).alias("chunk"))
+    drawn = points.join(F.broadcast(cells) if head["n"] <= BROADCAST_SOURCES else cells, "cell").where("x >= lo and x < hi").select("slot", "sid", F.floor(F.col("slot") / CHUNK).alias("chunk"))
     counts = drawn.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n"))
     base = counts.withColumn("base", F.sum("n").over(W.partitionBy("sid").orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
     ranked = drawn.withColumn("k", F.row_number().over(W.partitionBy("sid", "chunk").orderBy("slot")) - 1).join(base.select("sid", "chunk", "base"), ["sid", "chunk"])
     ranked = ranked.select("slot", "sid", (F.col("base") + F.col("k")).alias("rank"))
-    blocks = F.ceil(F.col("quota") / F.col("block")).cast("long")
-    short = sources.join(counts.groupBy("sid").agg(F.sum("n").alias("n")), "sid", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    late = short.where(F.col("n") < blocks).select("sid", F.explode(F.sequence(F.col("n").cast("long"), blocks - 1)).alias("rank"))
-    every = ranked.unionByName(late.select((F.lit(slots) + F.col("rank")).alias("slot"), "sid", "rank"))
-    start = F.col("rank") * F.col("block")
-    return every.join(_small(sources.select("sid", "quota", "block"), head["n"]), "sid").where(start < F.col("quota")).select("slot", "sid", "rank", start.alias("start"), F.least("block", F.col("quota") - start).alias("words"))
+    start, limit = F.col("rank") * F.col("block"), F.col("source_size") * LIMIT
+    return ranked.join(_small(sources.select("sid", "source_size", "block"), head["n"]), "sid").where(start < limit).select("slot", "sid", "rank", start.alias("start"), F.least("block", limit - start).alias("words"))
 
 
 def placed(sized: DataFrame, sources: DataFrame, n: int) -> DataFrame:
@@ -89,7 +100,7 @@ def placed(sized: DataFrame, sources: DataFrame, n: int) -> DataFrame:
     d = sized.join(_small(sources.withColumnRenamed("source", "s"), n), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.substring("h", 1, 3))
     sums = d.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("base", F.sum("n").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
-    within = F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "text_md5").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    within = F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "text_md5", "row").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     return d.withColumn("in", within).join(sums.select("sid", "bucket", "base"), ["sid", "bucket"]).withColumn("off", F.col("base") + F.col("in"))
 
 
@@ -97,29 +108,29 @@ def segments(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The mix itself, and the placed documents.
 
     The mix has, for each slot and each document in its block, the words [first, first + words) taken of that
-    document: (slot, sid, off, doc_id, text_md5, size, first, words). Documents are known by (sid, off) where
-    size > 0; a document that is not taken has one row with a null slot and 0 words.
+    document: (slot, sid, off, turn, doc_id, text_md5, row, source, size, first, words). Documents are known by (sid, off)
+    where size > 0; turn counts how often the source's line has started again. What no slot takes has a null slot and 0
+    words.
     """
     sized = cut(sizes(docs))
     sources = cut(targets(sized))
     n = sources.count()
     put = placed(sized, sources, n)
-    turn = F.explode(F.array(*[F.col("off") + F.col("source_size") * i for i in range(LIMIT)]))
-    copies = put.where("size > 0").select("sid", "off", "doc_id", "text_md5", "size", "block", "quota", turn.alias("at"))
-    last = F.floor((F.least(F.col("at") + F.col("size"), F.col("quota")) - 1) / F.col("block"))
-    ranks = F.when(F.col("at") < F.col("quota"), F.sequence(F.floor(F.col("at") / F.col("block")), last))
-    pieces = copies.withColumn("rank", F.explode_outer(ranks))
+    turn = F.explode(F.sequence(F.lit(0), F.lit(LIMIT - 1)))
+    copies = put.where("size > 0").select("sid", "off", "doc_id", "text_md5", "row", "source", "size", "source_size", "block", turn.alias("turn"))
+    copies = copies.withColumn("at", F.col("off") + F.col("source_size") * F.col("turn"))
+    pieces = copies.withColumn("rank", F.explode(F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((F.col("at") + F.col("size") - 1) / F.col("block")))))
     mixed = pieces.join(schedule(sources).select("slot", "sid", "rank", "start", F.col("words").alias("of")), ["sid", "rank"], "left")
     first = F.greatest(F.col("start") - F.col("at"), F.lit(0))
     words = F.least(F.col("start") + F.col("of") - F.col("at"), F.col("size")) - first
-    return mixed.select("slot", "sid", "off", "doc_id", "text_md5", "size", first.alias("first"), F.when(F.col("start").isNotNull(), words).otherwise(0).alias("words")), put
+    return mixed.select("slot", "sid", "off", "turn", "doc_id", "text_md5", "row", "source", "size", first.alias("first"), F.when(F.col("start").isNotNull(), words).otherwise(0).alias("words")), put
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source, text_md5): a row for each row of docs.
 
     Null texts and texts without words have size 0 and are not taken; a null source is a source of its own; rows
-    that repeat are placed one after another. Other columns are ignored. Reruns give the same rows.
+    that repeat are placed one after another. Other columns only order such rows. Reruns give the same rows.
     """
     mix, put = segments(docs)
     some = mix.groupBy("sid", "off").agg(F.sum("words").alias("taken"))
@@ -135,22 +146,28 @@ def _start(text: Column, words: Column) -> Column:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixed documents, with docs' columns: a document taken k times and r words over comes k times whole and
-    once up to its r-th word (n_chars, where there is one, follows). Documents that are not taken are left out."""
-    t = taken(docs).where("taken > 0").groupBy("doc_id", "text_md5", "source", "size").agg(F.count(F.lit(1)).alias("rows"), F.collect_list("taken").alias("each"))
-    t = t.select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5"), F.col("source").alias("__source"), "rows", F.explode(F.flatten(F.transform("each", lambda n: F.concat(F.array_repeat(F.col("size"), F.floor(n / F.col("size")).cast("int")), F.when(n % F.col("size") > 0, F.array(n % F.col("size"))).otherwise(F.array().cast("array<bigint>")))))).alias("__words"), F.col("size").alias("__size"))
-    t = cut(t)
-    if t.where("rows > 1").head(1):
-        docs = docs.dropDuplicates(["doc_id", "text", "source"])
-    keyed = docs.withColumn("__key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    same = keyed["doc_id"].eqNullSafe(t["__id"]) & (keyed["__key"] == t["__md5"]) & keyed["source"].eqNullSafe(t["__source"])
-    out = keyed.join(t, same).withColumn("text", F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(_start(F.col("text"), F.col("__words"))))
+    """The mixed documents, with docs' columns, in the order of the schedule: partitions by rising slots, sorted within.
+
+    A document comes once for each turn in which slots take words of it, where the first of these slots stands: whole,
+    or up to the word at which its source ends (n_chars, where there is one, follows). Documents that no slot takes,
+    null texts and texts without words among them, are left out. Rows without a doc_id or source, rows that repeat and
+    rows that differ in further columns only are documents of their own.
+    """
+    pieces, put = segments(docs)
+    copies = pieces.where("slot is not null").groupBy("sid", "off", "turn").agg(F.min("slot").alias("__slot"), F.sum("words").alias("__words"), *[F.first(c).alias(f"__{c}") for c in ("doc_id", "text_md5", "row", "source", "size")])
+    copies = cut(copies.where("__words > 0").drop("sid", "off", "turn"))
+    columns = [f.name for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    keyed = docs.withColumn("__key", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).withColumn("__all", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    if put.where("size > 0").groupBy("doc_id", "row", "text_md5").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):  # of equal rows one stands for all
+        keyed = keyed.dropDuplicates(["doc_id", "__key", "__all"])
+    same = keyed["doc_id"].eqNullSafe(copies["__doc_id"]) & (keyed["__key"] == copies["__text_md5"]) & (keyed["__all"] == copies["__row"])
+    out = keyed.join(copies, same).withColumn("text", F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(_start(F.col("text"), F.col("__words"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.repartitionByRange("__slot").sortWithinPartitions("__slot", "__key", "__all").select(docs.columns)
 
 
-ORACLE_SQL = r"""
+ORACLE_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     md5(coalesce(doc_id::VARCHAR, '')) AS h, md5(coalesce(text, '')) AS text_md5 FROM documents),
@@ -160,9 +177,14 @@ s2 AS (SELECT *, CASE (sid - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w,
 s3 AS (SELECT *, (total * 1.5::DOUBLE - ((sum(cap) OVER (ORDER BY cap::DOUBLE / w, sid))::BIGINT - cap)) /
     (sum(w) OVER (ORDER BY cap::DOUBLE / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level FROM s2),
 s4 AS (SELECT *, least(cap::DOUBLE, w * max(level) OVER ()) AS target FROM s3),
-s AS (SELECT *, least(cap, floor(target + 0.5)::BIGINT) AS quota FROM s4),
-p AS (SELECT d.doc_id, d.size, s.source_size, s.target, s.quota, s.source, d.text_md5,
+s5 AS (SELECT *, least(cap, floor(target + 0.5)::BIGINT) AS quota FROM s4),
+s6 AS (SELECT *, (sum(quota) OVER (ORDER BY sid))::BIGINT AS upto, (sum(quota) OVER ())::BIGINT AS mixed,
+    greatest(1, least({BLOCK}, floor(floor(total * 1.5::DOUBLE) / 65536)), ceil(floor(total * 1.5::DOUBLE) / {SLOTS}))::BIGINT AS block FROM s5),
+slots AS (SELECT ((i % {PERIOD}) * {GOLDEN}) % {PERIOD} / {PERIOD}::DOUBLE * mixed::DOUBLE AS x FROM (SELECT DISTINCT mixed, (mixed + block - 1) // block AS n FROM s6), LATERAL (SELECT unnest(range(n)) AS i)),
+drawn AS (SELECT sid, count(*) AS n FROM slots JOIN s6 ON x >= upto - quota AND x < upto GROUP BY sid),
+s AS (SELECT s6.*, least(coalesce(n, 0) * block, {LIMIT} * source_size) AS given FROM s6 LEFT JOIN drawn USING (sid)),
+p AS (SELECT d.doc_id, d.size, s.source_size, s.target, s.given, s.source, d.text_md5,
     ((sum(d.size) OVER (PARTITION BY s.sid ORDER BY d.h, d.doc_id, d.size, d.text_md5 ROWS UNBOUNDED PRECEDING))::BIGINT - d.size) AS off
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)
-SELECT doc_id, size, source_size, target, (greatest(least(size, quota - off), 0) + greatest(least(size, quota - off - source_size), 0))::BIGINT AS taken, source, text_md5 FROM p
+SELECT doc_id, size, source_size, target, (greatest(least(size, given - off), 0) + greatest(least(size, given - off - source_size), 0))::BIGINT AS taken, source, text_md5 FROM p
 """
