@@ -1,31 +1,50 @@
 """SimHash near-duplicates: fingerprints, bit-sliced comparison within candidate buckets, components.
 
-Two fingerprints within ``radius`` bits agree on at least two of six bit blocks (radius 4), so each
-distinct fingerprint enters one bucket for each pair of blocks. Buckets are compared bit-sliced: 64
-fingerprints stand in 64 vertical bit planes, one machine word updates 64 distances through carry-save
-counters, and a probe is abandoned as soon as all lanes of its block exceed the radius. A bucket returns
-a star over its components, never its pairs; buckets above ``CHUNK`` rows are dealt out as pairs of chunks
-over many tasks. Nothing but counts reaches the driver.
+Fingerprints stand in vertical bit planes, 64 to a machine word; one word updates 64 distances through carry-save
+counters, and a probe is abandoned as soon as all lanes of its block exceed the radius. Buckets hold few fingerprints;
+those above ``CHUNK`` rows are dealt out as pairs of chunks over many tasks, and a bucket returns no more links than it
+has rows, never its pairs. Keys with many rows are salted wherever rows are joined on them. Nothing but counts reaches
+the driver.
+
+Two searches use it. ``near_duplicates`` is exact in the distance of 64-bit fingerprints: two within ``radius`` bits agree
+on at least two of six bit blocks (radius 4), or three of seven and so on in larger corpora, so each distinct fingerprint
+enters one bucket for each such choice. ``deduplicate`` looks for a similarity of shingle sets: fingerprints of 512 bits
+enter buckets by random choices of their bits, as many as find a pair at the threshold with a stated chance; close
+fingerprints are linked, and doubtful ones are compared by their shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ._common import cut
 
 CHUNK = 4096
 """Rows of a bucket that one task compares; larger buckets are split into pairs of chunks."""
 
+HOT = 512
+"""Rows of a key from which on a join deals them out over several tasks."""
+
 HOT_BROADCAST = 100_000
-"""Most rows of the list of large buckets that are broadcast; a longer list is joined by a shuffle."""
+"""Most rows of the list of large buckets or keys that are broadcast; a longer list is joined by a shuffle."""
+
+BUCKET = 512
+"""Rows of a bucket that deduplicate aims at."""
+
+WORDS = 8
+"""Machine words of a wide fingerprint."""
+
+RECALL = 0.97
+"""Chance that a pair exactly at the threshold meets in a bucket."""
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _NULL_BASE = 0x7000000000000000  # node ids of fingerprints whose documents all lack a doc_id
@@ -64,43 +83,55 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 4) -> DataFrame:
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
-    """(64, blocks) words: bit r of word [p, k] is bit p of row r of block k. fps: (blocks, 64)."""
-    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), 64, 8), axis=2, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64).reshape(64, len(fps))
+    """(64 * words, blocks) words: bit r of word [p, k] is bit p of row r of block k. fps: (blocks, 64, words)."""
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=2, bitorder="little")
+    return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64).reshape(bits.shape[2], len(fps))
+
+
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save: three words in, their sum and their carry out."""
+    half = a ^ b
+    return half ^ c, (a & b) | (half & c)
 
 
-def within(planes: np.ndarray, full: np.ndarray, queries: np.ndarray, blocks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Probe i asks which lanes of blocks[i] lie within radius (at most 7) of queries[i].
+def within(planes: np.ndarray, full: np.ndarray, queries: np.ndarray, blocks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Probe i asks which lanes of blocks[i] lie within radius (at most 127) of queries[i] (n, words).
 
-    full holds each block's used lanes. Returns the probes with a hit and their lanes as bits.
+    full holds each block's used lanes. Returns the probes with a hit, their lanes as bits, and the counters' planes.
     """
+    size = max(3, radius.bit_length())
     over, probe = ~full[blocks], np.arange(len(queries))
-    c0, c1, c2 = (np.zeros(len(queries), np.uint64) for _ in range(3))
-    for at in range(0, 64, 8):
-        for p in range(at, at + 8, 2):
-            x, y = (planes[k, blocks] ^ (((queries >> np.uint64(k)) & np.uint64(1)) * _ALL) for k in (p, p + 1))
-            half = c0 ^ x
-            carry = (c0 & x) | (half & y)  # carry-save: three words in, a sum and a carry out
-            c0 = half ^ y
-            t = c1 & carry
-            c1 = c1 ^ carry
-            over |= c2 & t
-            c2 = c2 ^ t
-        beyond = over.copy()  # lanes whose 3-bit count is above the radius
+    c = [np.zeros(len(queries), np.uint64) for _ in range(size)]
+    step = 8 if len(planes) == 64 else 64
+    for top in range(0, len(planes), step):
+        for at in range(top, top + step, 8):
+            x = [planes[k, blocks] ^ (((queries[:, k >> 6] >> np.uint64(k & 63)) & np.uint64(1)) * _ALL) for k in range(at, at + 8)]
+            c[0], a = _add(c[0], x[0], x[1])
+            c[0], b = _add(c[0], x[2], x[3])
+            c[1], fours = _add(c[1], a, b)
+            c[0], a = _add(c[0], x[4], x[5])
+            c[0], b = _add(c[0], x[6], x[7])
+            c[1], more = _add(c[1], a, b)
+            c[2], carry = _add(c[2], fours, more)
+            for i in range(3, size):
+                c[i], carry = c[i] ^ carry, c[i] & carry
+            over |= carry
+        beyond = over.copy()  # lanes whose count is above the radius
         equal = np.full(len(queries), _ALL)
-        for bit, c in ((2, c2), (1, c1), (0, c0)):
-            if radius >> bit & 1:
-                equal &= c
+        for i in reversed(range(size)):
+            if radius >> i & 1:
+                equal &= c[i]
             else:
-                beyond |= equal & c
-                equal &= ~c
+                beyond |= equal & c[i]
+                equal &= ~c[i]
         over |= beyond
         alive = over != _ALL
         if not alive.all():
-            over, probe, queries, blocks, c0, c1, c2 = (v[alive] for v in (over, probe, queries, blocks, c0, c1, c2))
+            over, probe, queries, blocks = (v[alive] for v in (over, probe, queries, blocks))
+            c = [v[alive] for v in c]
         if not len(probe):
             break
-    return probe, ~over
+    return probe, ~over, c
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
@@ -116,11 +147,9 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None)
             root = up
 
 
-def _link(group: np.ndarray, side: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars over the links inside each group. Rows come sorted by group, then side; side -1: a whole
-    bucket or chunk, compared with itself; 0 and 1: two chunks, compared with each other only."""
-    order = np.lexsort((rep, side, group))
-    group, side, fp, rep = group[order], side[order], fp[order], rep[order]
+def _hits(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows within the radius, and their distances, in batches. Rows come sorted by group, then side; side -1: a
+    whole bucket or chunk, compared with itself; 0 and 1: two chunks, compared with each other only."""
     n = len(fp)
     run = np.r_[True, (group[1:] != group[:-1]) | (side[1:] != side[:-1])]
     first = np.flatnonzero(run)
@@ -128,7 +157,7 @@ def _link(group: np.ndarray, side: np.ndarray, fp: np.ndarray, rep: np.ndarray,
     start = np.flatnonzero(at % 64 == 0)
     block = np.cumsum(at % 64 == 0) - 1
     lane = at % 64
-    rows = np.zeros((len(start), 64), np.uint64)
+    rows = np.zeros((len(start), 64, fp.shape[1]), np.uint64)
     rows[block, lane] = fp
     full = np.zeros(len(start), np.uint64)
     np.bitwise_or.at(full, block, np.uint64(1) << lane.astype(np.uint64))
@@ -145,52 +174,98 @@ def _link(group: np.ndarray, side: np.ndarray, fp: np.ndarray, rep: np.ndarray,
         begin[side == 1] = 1 << 60
     probes = np.maximum(end - begin + 1, 0)
     probes[(begin == end) & ~crossing & (lane + 1 == np.bitwise_count(full[block]))] = 0  # last row: no later lane
-    root, rows_with = np.arange(n), np.flatnonzero(probes)
+    rows_with = np.flatnonzero(probes)
     todo = np.cumsum(probes[rows_with])
-    done = 0
+    done, most = 0, 65536 // fp.shape[1]
     while done < len(rows_with):
-        upto = max(done + 1, int(np.searchsorted(todo, (todo[done - 1] if done else 0) + 65536)))
+        upto = max(done + 1, int(np.searchsorted(todo, (todo[done - 1] if done else 0) + most)))
         who = rows_with[done:upto]
         q = np.repeat(who, probes[who])
         b = begin[q] + np.arange(len(q)) - np.repeat(np.cumsum(probes[who]) - probes[who], probes[who])
-        hit, lanes = within(planes, full, fp[q], b, radius)
+        hit, lanes, counters = within(planes, full, fp[q], b, radius)
         own = b[hit] == block[q[hit]]  # in its own block a row looks at later lanes only
         later = _ALL << (lane[q[hit]].astype(np.uint64))
         lanes = np.where(own, lanes & (later ^ (np.uint64(1) << lane[q[hit]].astype(np.uint64))), lanes)
         k, l = np.nonzero(np.unpackbits(lanes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-        root = _roots(n, q[hit][k], start[b[hit][k]] + l, root)
+        away = sum(((c[k] >> l.astype(np.uint64)) & np.uint64(1)).astype(np.int64) << i for i, c in enumerate(counters))
+        yield q[hit][k], start[b[hit][k]] + l, away
         done = upto
-    # rows of a group stand by side, then rep: take the smallest rep of each component as its centre
-    low = np.full(n, np.iinfo(np.int64).max)
+
+
+def _star(rep: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row of a component but its smallest, with the smallest."""
+    low = np.full(len(rep), np.iinfo(np.int64).max)
     np.minimum.at(low, root, rep)
     keep = rep != low[root]
     return rep[keep], low[root[keep]]
 
 
-def _linker(radius: int):
+def _nearest_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which of the links a-b make a forest of least total distance."""
+    root, kept = np.arange(n), np.zeros(len(a), bool)
+    order = np.argsort(d, kind="stable")
+    while len(order):
+        ra, rb = root[a[order]], root[b[order]]
+        order = order[ra != rb]
+        ra, rb = root[a[order]], root[b[order]]
+        best = np.full(n, len(order))  # each component's first link: links stand by distance, then place
+        np.minimum.at(best, ra, np.arange(len(order)))
+        np.minimum.at(best, rb, np.arange(len(order)))
+        pick = order[np.unique(best[best < len(order)])]
+        kept[pick] = True
+        root = _roots(n, a[pick], b[pick], root)
+    return kept
+
+
+def _links(group: np.ndarray, side: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, distance): stars, at distance 0, over the links of at most sure bits inside each group, and the nearest
+    pairs that connect the stars, of at most radius bits: together fewer than there are rows."""
+    order = np.lexsort((rep, side, group))
+    group, side, fp, rep = group[order], side[order], fp[order], rep[order]
+    root = np.arange(len(fp))
+    far = [np.zeros(0, np.int64)] * 3
+    for a, b, d in _hits(group, side, fp, radius):
+        root = _roots(len(fp), a[d <= sure], b[d <= sure], root)
+        if sure < radius:
+            far = [np.concatenate(x) for x in zip(far, (c[d > sure] for c in (a, b, d)))]
+            kept = _nearest_forest(len(fp), root[far[0]], root[far[1]], far[2])
+            far = [c[kept] for c in far]
+    a, b = _star(rep, root)
+    return np.r_[a, rep[far[0]]], np.r_[b, rep[far[1]]], np.r_[np.zeros(len(a), np.int64), far[2]]
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    """Fingerprints, a long or a binary of WORDS words each, as (n, words)."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _linker(radius: int, sure: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
         rows = 0
 
         def flush(final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, rows
-            t, key, lo, hi, slot, fp, rep = (np.concatenate(c) for c in zip(*held))
+            t, key, lo, hi, slot, rep, fp = (np.concatenate(c) for c in zip(*held))
             new = np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
             stop = len(t) if final else int(np.flatnonzero(new)[-1])
             group = np.cumsum(new) - 1
-            held, rows = ([] if final else [tuple(c[stop:] for c in (t, key, lo, hi, slot, fp, rep))]), len(t) - stop
+            held, rows = ([] if final else [tuple(c[stop:] for c in (t, key, lo, hi, slot, rep, fp))]), len(t) - stop
             size = np.bincount(group[:stop])
             on = size[group[:stop]] > 1
             if on.any():
                 pick = lambda c: c[:stop][on]
                 side = np.where(pick(lo) == pick(hi), -1, (pick(slot) == pick(hi)).astype(np.int64))
-                a, b = _link(pick(group), side, pick(fp).view(np.uint64), pick(rep), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                found = _links(pick(group), side, pick(fp), pick(rep), radius, sure)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b", "d"])
 
         for batch in batches:
-            held.append(tuple(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns))
+            fp = _words(batch.column(6))
+            held.append((*(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:6]), fp))
             rows += batch.num_rows
-            if rows >= 200_000:
+            if rows >= 200_000 // fp.shape[1]:
                 yield from flush(False)
         if held:
             yield from flush(True)
@@ -198,21 +273,34 @@ def _linker(radius: int):
     return run
 
 
-def _tables(radius: int) -> list[int]:
-    """Bit masks (signed): every choice of two of radius + 2 blocks; fingerprints within the radius agree on one."""
+def salted(many: DataFrame, one: DataFrame, key: str, apart: Column, how: str = "inner", hot: int = HOT) -> DataFrame:
+    """many joined with one, which has a row for each key; a key with over hot rows of many is dealt over several tasks by
+    the hash of apart, a column of many."""
+    large = cut(many.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot))
+    n = large.count()
+    if not n:
+        return many.join(one, key, how)
+    large = F.broadcast(large) if n <= HOT_BROADCAST else large
+    parts = F.coalesce(F.ceil(F.col("__n") / hot), F.lit(1)).cast("int")
+    many = many.join(large, key, "left").withColumn("__part", F.pmod(F.xxhash64(apart), parts).cast("int")).drop("__n")
+    one = one.join(large, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__n")
+    return many.join(one, [key, "__part"], how).drop("__part")
+
+
+def _tables(radius: int, n: int = 0, chunk: int = CHUNK) -> list[int]:
+    """Bit masks (signed): every choice of k - radius of k blocks; fingerprints within the radius agree on one. k grows
+    until n random fingerprints give buckets well under a chunk."""
     k = radius + 2
+    while k < 12 and n * 4 > chunk << 64 * (k - radius) // k:
+        k += 1
     edges = [round(64 * i / k) for i in range(k + 1)]
     block = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return [signed(x | y) for x, y in combinations(block, 2)]
-
+    return [signed(sum(x)) for x in combinations(block, k - radius)]
 
-def links(nodes: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
-    """(a, b), b < a: stars that connect exactly the nodes connected by fingerprints at radius bits or fewer.
 
-    nodes: (fp, rep), distinct in both. radius: 0 to 7.
-    """
-    keys = nodes.select(F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(_tables(radius))])).alias("k"), "fp", "rep").select("k.t", "k.key", "fp", "rep")
+def _search(keys: DataFrame, radius: int, sure: int, chunk: int) -> DataFrame:
+    """(a, b, d) of _links for every bucket. keys: (t, key, fp, rep)."""
     hot = cut(keys.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk))
     large = hot.count()
     if large:
@@ -220,27 +308,37 @@ def links(nodes: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
         keys = keys.join(hot, ["t", "key"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
         keys = keys.withColumn("slot", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int"))
         keys = keys.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        keys = keys.select("t", "key", F.least("slot", "j").alias("lo"), F.greatest("slot", "j").alias("hi"), "slot", "fp", "rep")
+        keys = keys.select("t", "key", F.least("slot", "j").alias("lo"), F.greatest("slot", "j").alias("hi"), "slot", "rep", "fp")
     else:
         zero = F.lit(0)
-        keys = keys.select("t", "key", zero.alias("lo"), zero.alias("hi"), zero.alias("slot"), "fp", "rep")
+        keys = keys.select("t", "key", zero.alias("lo"), zero.alias("hi"), zero.alias("slot"), "rep", "fp")
     dealt = keys.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
-    return dealt.mapInArrow(_linker(radius), "a long, b long").distinct()
+    return dealt.mapInArrow(_linker(radius, sure), "a long, b long, d long")
+
+
+def links(nodes: DataFrame, radius: int = 4, chunk: int = CHUNK, n: int = 0) -> DataFrame:
+    """(a, b), b < a: stars that connect exactly the nodes connected by fingerprints at radius bits or fewer.
+
+    nodes: (fp, rep), distinct in both, about n of them. radius: 0 to 7.
+    """
+    keys = nodes.select(F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(_tables(radius, n, chunk))])).alias("k"), "fp", "rep").select("k.t", "k.key", "fp", "rep")
+    return _search(keys, radius, radius, chunk).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): each node that has a link, other than its component's smallest, with that smallest node.
 
-    Alternates large-star and small-star steps with joins and partial minima only; a step's edges are checkpointed.
+    Alternates large-star and small-star steps with joins and partial minima only, a node's many links dealt over
+    several tasks; a step's edges are checkpointed.
     """
     edges = cut(edges)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = salted(both, least, "a", F.col("b")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = salted(large, least, "a", F.col("b"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         edges = cut(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -260,24 +358,137 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4
     fps = cut(fingerprints(docs, words_per_shingle))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     nodes = cut(nodes.select("fp", F.coalesce("rep", F.col("fp").bitwiseAND((1 << 60) - 1).bitwiseOR(F.lit(_NULL_BASE))).alias("rep")))
-    roots = components(links(nodes, radius, chunk)).select(F.col("a").alias("rep"), "b")
+    roots = components(links(nodes, radius, chunk, nodes.count())).select(F.col("a").alias("rep"), "b")
     known = nodes.join(roots, "rep", "left").select("fp", F.coalesce("b", "rep").alias("component_id"))
-    found = fps.join(known, "fp", "left")
+    found = salted(fps, known, "fp", F.col("doc_id"), "left")
     owner = F.when(F.col("component_id") < _NULL_BASE, F.col("component_id"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), owner.alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id (once, if its row repeats).
+# similarity of shingle sets
+
 
-    Rows without a doc_id can't be told apart; of these, one of each distinct text stays.
+def shingles(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles (the whole sequence, if it has fewer words; none without words)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    k = min(words_per_shingle, len(h))
+    n = len(h) - k + 1
+    mixed = np.full(n, len(h) if n == 1 else k, np.uint64)  # of fewer words than k, or as many: their number counts
+    for i in range(k):
+        mixed = _scramble(mixed + h[i : i + n])
+    return np.unique(mixed)
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """SimHash of 64 * WORDS bits of a shingle set; zero of an empty one."""
+    counts = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(hashes), 16384):
+        part = np.stack([_scramble(hashes[at : at + 16384] + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF)) for i in range(WORDS)], axis=1)
+        counts += np.unpackbits(np.ascontiguousarray(part).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
+
+
+def _share(similarity: float) -> float:
+    """The share of bits that differ, on average, between sets of one size with this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _row(docs: DataFrame) -> Column:
+    """A hash of all columns but maps: with doc_id it tells rows apart that are not equal."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)])
+
+
+def similar(nodes: DataFrame, texts: DataFrame, similarity: float, words_per_shingle: int = 5, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): each node that is similar to another, other than its group's smallest, with that smallest node.
+
+    nodes: (fp, rep), wide fingerprints; texts: (rep, text), a row for each. Links of less than the sure distance, four
+    deviations below the threshold's, are taken as they are; of the others, up to two deviations above it, the nearest that
+    connect what the sure ones leave apart are compared by their shingle sets, exactly.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), radius)
-    chosen = found.groupBy(F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint")).alias("g")).agg(F.min("doc_id").alias("doc_id"), F.min("fingerprint").alias("fingerprint"))
-    ids = cut(chosen.where("doc_id is not null").select("doc_id"))
-    kept = docs.join(ids, "doc_id", "left_semi").select(docs.columns)
-    rows = kept.select("doc_id").agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if rows > ids.count():
-        kept = kept.dropDuplicates(["doc_id"])
-    bare = docs.where("doc_id is null")
-    return kept.unionByName(bare.dropDuplicates(["text"])) if bare.head(1) else kept
+    n, bits, p = nodes.count(), 64 * WORDS, _share(similarity)
+    spread = math.sqrt(bits * p * (1 - p))
+    radius, sure = min(127, int(bits * p + 2 * spread)), max(0, int(bits * p - 4 * spread))
+    width = max(4, math.ceil(math.log2(max(2, n / BUCKET))))
+    meet = (1 - p) ** width
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+    rng = np.random.default_rng(11)
+    chosen = [sorted(rng.choice(bits, width, replace=False).tolist()) for _ in range(tables)]
+    schema = "t int, key long, fp binary, rep long"
+
+    def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fp = np.unpackbits(_words(b.column(0)).view(np.uint8), axis=1, bitorder="little")
+            for t, places in enumerate(chosen):
+                key = fp[:, places].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(key), b.column(0), b.column(1)], ["t", "key", "fp", "rep"])
+
+    found = cut(_search(nodes.select("fp", "rep").mapInArrow(spread_out, schema), radius, sure, chunk).distinct())
+    roots = components(found.where("d = 0").select("a", "b"))
+    up = roots.select(F.col("a").alias("x"), F.col("b").alias("r"))
+    far = found.where("d > 0")
+    for c in ("a", "b"):
+        far = salted(far.withColumnRenamed(c, "x"), up, "x", F.col("d"), "left").withColumn(f"r{c}", F.coalesce("r", "x")).withColumnRenamed("x", c).drop("r")
+    far = far.where("ra <> rb").groupBy(F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high")).agg(F.min(F.struct("d", "a", "b")).alias("m"))
+    far = cut(far.select("low", "high", "m.a", "m.b"))
+    asked = cut(far.select(F.col("a").alias("rep")).unionByName(far.select(F.col("b").alias("rep"))).distinct())
+    asked = F.broadcast(asked) if asked.count() <= HOT_BROADCAST else asked
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words_per_shingle).tobytes() for t in b.column(1)], pa.binary())], ["x", "s"])
+
+    known = cut(texts.select("rep", "text").join(asked, "rep", "left_semi").mapInArrow(sets, "x long, s binary"))
+    pairs = far
+    for c in ("a", "b"):
+        pairs = salted(pairs.withColumnRenamed(c, "x"), known, "x", F.xxhash64("low", "high")).withColumnRenamed("s", f"s{c}").drop("x")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    more = pairs.select("low", "high", "sa", "sb").mapInArrow(exact, "a long, b long")
+    return components(roots.unionByName(more))
+
+
+def deduplicate(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, chunk: int = CHUNK) -> DataFrame:
+    """docs with one row of each group of near-copies: that with the smallest doc_id, rows without one last.
+
+    Two texts are near-copies if the Jaccard similarity of their sets of shingles is at least similarity; groups are closed
+    under this. A null text counts as empty, and texts without words are copies of one another. Of equal rows, and of rows
+    that differ in further columns only, one stays. Rows that share a doc_id but not their text are documents of their
+    own. An empty table gives an empty result.
+    """
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [wide_fingerprint(shingles(t.as_py(), words_per_shingle)) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], ["doc_id", "row", "fp"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row(docs).alias("row"), F.col("text").cast("string").alias("text"))
+    fps = cut(rows.mapInArrow(sketch, "doc_id long, row long, fp binary"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")).alias("best")
+    nodes = cut(fps.groupBy("fp").agg(best).withColumn("rep", F.xxhash64("fp")))
+    texts = rows.join(nodes.select("rep", F.col("best.row").alias("row"), F.col("best.doc_id").alias("id")), "row").where(F.col("id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["rep"])
+    groups = similar(nodes, texts, similarity, words_per_shingle, chunk)
+    joined = nodes.select("rep", "best").join(groups.select(F.col("a").alias("rep"), "b"), "rep", "left")
+    chosen = cut(joined.groupBy(F.coalesce("b", "rep").alias("g")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"), F.col("best.doc_id").alias("__id")))
+    tagged = docs.withColumn("__r", _row(docs))
+    kept = tagged.join(chosen, (tagged["__r"] == chosen["__row"]) & tagged["doc_id"].cast("long").eqNullSafe(chosen["__id"]), "left_semi")
+    if kept.select("doc_id").agg(F.count(F.lit(1)).alias("n")).first()["n"] > chosen.count():  # equal rows
+        kept = kept.dropDuplicates(["doc_id", "__r"])
+    return kept.select(docs.columns)

@@ -74,19 +74,84 @@ def test_within_matches_popcount():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 64).astype(np.uint64)
     base[1::2] = base[::2] ^ np.uint64(0b1011)
-    planes, full = simhash._planes(base[None, :]), np.array([np.uint64(0xFFFFFFFFFFFFFFFF)])
+    planes, full = simhash._planes(base.reshape(1, 64, 1)), np.array([np.uint64(0xFFFFFFFFFFFFFFFF)])
     for radius in (0, 2, 3, 4, 7):
-        probe, lanes = simhash.within(planes, full, base, np.zeros(64, int), radius)
+        probe, lanes, _ = simhash.within(planes, full, base.reshape(64, 1), np.zeros(64, int), radius)
         got = {(int(p), k) for p, m in zip(probe, lanes) for k in range(64) if int(m) >> k & 1}
         assert got == {(i, j) for i in range(64) for j in range(64) if bin(int(base[i]) ^ int(base[j])).count("1") <= radius}
 
 
-def test_deduplicate(odd, empty):
+def test_wide_distances():
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 2**63, (200, simhash.WORDS)).astype(np.uint64)
+    fps[1::2] = fps[::2] ^ (rng.integers(0, 2**63, (100, simhash.WORDS)).astype(np.uint64) & rng.integers(0, 2**63, (100, simhash.WORDS)).astype(np.uint64) & rng.integers(0, 2**63, (100, simhash.WORDS)).astype(np.uint64))
+    group = np.repeat([0, 1], 100)
+    got = {(int(i), int(j)): int(d) for a, b, c in simhash._hits(group, np.full(200, -1), fps, 100) for i, j, d in zip(a, b, c)}
+    bits = lambda i, j: int(np.bitwise_count(fps[i] ^ fps[j]).sum())
+    assert got == {(i, j): bits(i, j) for i in range(200) for j in range(i + 1, 200) if group[i] == group[j] and bits(i, j) <= 100} and len(got) >= 90
+
+
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_groups(texts, similarity=0.8):
+    sets, root = [plain_shingles(t) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if (not x and not sets[j]) or len(x & sets[j]) >= similarity * len(x | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def near_copies(rng, texts, rates, words):
+    out = []
+    for _ in range(texts):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 300))]
+        out += [" ".join(base)] + [" ".join(rng.choice(words) if rng.random() < rate else w for w in base) for rate in rates]
+    return out
+
+
+@pytest.mark.parametrize("chunk", [4096, 16])
+def test_deduplicate_finds_near_copies(spark, chunk):
+    rng = random.Random(chunk)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    texts = near_copies(rng, 60, [0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.2], words)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicate(docs, chunk=chunk).collect()}
+    want = {i for i, r in enumerate(plain_groups(texts)) if r == i}
+    assert want <= kept and len(kept) <= len(want) * 1.02  # nothing similar is kept but by chance, nothing else is lost
+
+
+def test_deduplicate(spark, odd, empty):
     kept = simhash.deduplicate(odd)
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
     assert sorted(ids) == sorted(set(ids)) and {3, 4, 6, 8, 9} <= set(ids) and 5 not in ids
     assert kept.columns == odd.columns
     assert simhash.deduplicate(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
+    data = [(1, "a b c", "x"), (1, "quite another text", "x"), (1, "a b c", "y"), (None, "a b c", "x"), (None, "no id here", "x"), (None, "no id here", "x"), (2, None, "x"), (3, "", "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, row string")
+    assert sorted((str(r.doc_id), str(r.text)) for r in simhash.deduplicate(docs).collect()) == [("1", "a b c"), ("1", "quite another text"), ("2", "None"), ("None", "no id here")]
+
+
+def test_a_hot_key_is_dealt_out(spark):
+    many = spark.createDataFrame([(i % 3 if i % 10 == 0 else 7, i) for i in range(400)], "k int, v int")
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "k int, w string")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, simhash.salted(many, one, "k", many["v"], how, hot=50).select("k", "v", "w").collect()), key=str)
+        assert got == sorted(map(tuple, many.join(one, "k", how).select("k", "v", "w").collect()), key=str)
+
+
+def test_tables_grow_with_the_corpus():
+    assert len(simhash._tables(4, 10**6)) == 15 and len(simhash._tables(4, 10**11)) == 35
+    rng = random.Random(3)
+    for n in (0, 10**11):
+        masks = [m & (1 << 64) - 1 for m in simhash._tables(4, n)]
+        for _ in range(200):
+            flip = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(not m & flip for m in masks)
 
 
 # personal data and secrets
