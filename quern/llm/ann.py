@@ -1,11 +1,12 @@
-"""Nearest neighbours over shifted space-filling curves, with an exact completion in blocks.
+"""Nearest neighbours over shifted space-filling curves, with an exact completion over the first curve's cells.
 
 Every vector is projected onto a few random orthonormal directions, and each of several shifted Hilbert curves
 through the projections orders all rows. The rows are range-partitioned by curve and key; each query is compared
 with its window of neighbouring keys on every curve, and the merged, reranked windows give it ten first neighbours
 and so a bound on the tenth distance. On vectors without low-dimensional structure no window short of the table
-reaches a recall of 0.9 (see the README), so the stated queries then pass over all rows in blocks, keeping only
-rows within the bound; that pass is exact.
+reaches a recall of 0.9 (see the README), so a second step makes the answer exact: the first curve's order is cut into
+cells of neighbouring rows, the queries' order into blocks, each with a centre and a radius, and a block is sent to those
+cells that the bounds don't rule out. It is one pass, however many queries there are; a task holds one cell.
 """
 
 from __future__ import annotations
@@ -29,8 +30,14 @@ WINDOW = 64
 SAMPLE = 5000
 """Most vectors that fit the projections' ranges; every row is indexed whatever the sample."""
 
-QUERY_BLOCK = 2048
-"""Queries of one exact pass, sent to the tasks together."""
+CELL = 8192
+"""Rows of a cell, which a task holds while it reads the queries sent there."""
+
+QUERY_BLOCK = 512
+"""Neighbouring queries that are sent to a cell together or not at all; more where there would be over BLOCKS blocks."""
+
+BLOCKS = 8192
+"""Most blocks of queries, whose centres and radii every task knows."""
 
 _FOUND = "query_id long, vec_id long, score double"
 
@@ -76,9 +83,10 @@ class Curves:
             width = np.where(hi > lo, (hi - lo) * 2.0, 1.0)  # room to shift by up to half the range
             self.parts.append((basis, lo - (hi - lo) * 0.5 * (k / curves + 0.25), width))
 
-    def keys(self, vectors: np.ndarray) -> list[np.ndarray]:
+    def keys(self, vectors: np.ndarray, first: int | None = None) -> list[np.ndarray]:
+        """Places on all curves, or on the first few."""
         top = (1 << self.bits) - 1
-        return [hilbert(np.clip((vectors @ b - lo) / width * (top + 1), 0, top), self.bits).astype(np.int64) for b, lo, width in self.parts]
+        return [hilbert(np.clip((vectors @ b - lo) / width * (top + 1), 0, top), self.bits).astype(np.int64) for b, lo, width in self.parts[:first]]
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -144,7 +152,7 @@ def windows(rows: DataFrame, dim: int, curves: Curves, k: int, every: int, windo
             yield near(*held, done, len(held[0]))
 
     kind = rows.schema["embedding"].dataType.simpleString()
-    ordered = rows.mapInArrow(spread, f"curve int, key long, vec_id long, embedding {kind}").repartitionByRange("curve", "key").sortWithinPartitions("curve", "key", "vec_id")
+    ordered = rows.mapInArrow(spread, f"curve int, key long, vec_id long, embedding {kind}").repartitionByRange("curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
     return ordered.select("curve", "vec_id", "embedding").mapInArrow(look, _FOUND)
 
 
@@ -155,38 +163,79 @@ def nearest(found: DataFrame, k: int) -> DataFrame:
     return once.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
 
 
-def complete(rows: DataFrame, queries: list[tuple[int, list[float], float]], dim: int, k: int) -> DataFrame:
-    """All rows against one block of queries (id, vector, bound on the k-th distance); exact."""
-    ids = np.array([q[0] for q in queries], np.int64)
-    v = np.array([q[1] for q in queries], np.float64).reshape(-1, dim)
-    bound0 = np.array([q[2] for q in queries], np.float64)
+def _stretches(rows: DataFrame, dim: int, curves: Curves, size: int, *more: str) -> DataFrame:
+    """rows with place: neighbours on the first curve, size of them at most, share it. Equal keys are told apart by vec_id."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    names = ["vec_id", "embedding", *more]
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(curves.keys(_matrix(b.column(1), dim), 1)[0]), *b.columns], ["key", *names])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, done = TaskContext.get().partitionId(), 0
+        for b in batches:
+            place = (task << 32) + (done + np.arange(b.num_rows)) // size
+            done += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), *b.columns], ["place", *names])
+
+    columns = ", ".join(f"{c} {kinds[c]}" for c in names)
+    ordered = rows.select(names).mapInArrow(key, f"key long, {columns}").repartitionByRange("key", "vec_id").sortWithinPartitions("key", "vec_id")
+    return cut(ordered.select(names).mapInArrow(number, f"place long, {columns}"))
+
+
+def _ball(x: np.ndarray) -> tuple[np.ndarray, float]:
+    centre = x.mean(axis=0)
+    return centre, float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
+
+
+def complete(rows: DataFrame, asked: DataFrame, dim: int, curves: Curves, k: int) -> DataFrame:
+    """All rows within each query's bound, k at most from a cell. asked: vec_id, embedding, bound; exact."""
+    cells = _stretches(rows, dim, curves, CELL)
+    blocks = _stretches(asked, dim, curves, max(QUERY_BLOCK, -(-asked.count() // BLOCKS)), "bound")
+
+    def block_ball(table: pa.Table) -> pa.Table:
+        centre, radius = _ball(_matrix(table["embedding"].combine_chunks(), dim))
+        return pa.table([pa.array([table["place"][0].as_py()]), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius + max(table["bound"].to_pylist())])], names=["block", "centre", "reach"])
+
+    balls = blocks.groupBy("place").applyInArrow(block_ball, "block long, centre array<double>, reach double").toArrow()  # BLOCKS rows and one for each task, at most
+    names, reach = balls["block"].to_numpy(), balls["reach"].to_numpy()
+    centres = np.array(balls["centre"].to_pylist(), np.float64).reshape(-1, dim)
+
+    def route(table: pa.Table) -> pa.Table:
+        centre, radius = _ball(_matrix(table["embedding"].combine_chunks(), dim))
+        away = np.sqrt(((centres - centre) ** 2).sum(axis=1))
+        to = names[away * (1 - 1e-9) <= reach + radius]
+        return pa.table([pa.array(np.full(len(to), table["place"][0].as_py()), pa.int64()), pa.array(to, pa.int64())], names=["cell", "block"])
+
+    sent = cells.groupBy("place").applyInArrow(route, "cell long, block long").join(blocks.withColumnRenamed("place", "block"), "block")
+    every = cells.select(F.col("place").alias("cell"), F.lit(0).alias("kind"), "vec_id", "embedding", F.lit(0.0).alias("bound"))
+    every = every.unionByName(sent.select("cell", F.lit(1).alias("kind"), "vec_id", "embedding", "bound"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bound, square = bound0.copy(), (v * v).sum(axis=1)
-        best = (np.array([], np.int64), np.array([], np.int64), np.array([], np.float64))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, held = None, np.array([], np.int64), np.zeros((0, dim))
         for b in batches:
-            every, x_all = b.column(0).to_numpy(), _matrix(b.column(1), dim)
-            for at in range(0, b.num_rows, 2048):
-                x, own = x_all[at : at + 2048], every[at : at + 2048]
-                norm = (x * x).sum(axis=1)
-                for lo in range(0, len(ids), 512):
-                    part = slice(lo, lo + 512)
-                    d2 = square[part, None] + norm[None, :] - 2 * (v[part] @ x.T)
-                    slack = 1e-9 * (square[part, None] + norm[None, :])
-                    i, j = np.nonzero((d2 <= bound[part, None] ** 2 + slack) & (own[None, :] != ids[part, None]))
-                    if not len(i):
-                        continue
-                    i += lo
-                    dist = np.sqrt(((v[i] - x[j]) ** 2).sum(axis=1))
-                    q, n, d = (np.concatenate(c) for c in zip(best, (i, own[j], dist)))
-                    keep = _best(q, n, d, k)
-                    best = (q[keep], n[keep], d[keep])
-                    full = np.flatnonzero(np.bincount(best[0], minlength=len(ids)) == k)
-                    last = np.searchsorted(best[0], full, side="right") - 1
-                    bound[full] = np.minimum(bound[full], best[2][last])
-        yield _found(ids[best[0]], best[1], best[2])
-
-    return rows.mapInArrow(run, _FOUND)
+            of, kind, every_id, every_v, bounds = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3), dim), b.column(4).to_numpy()
+            edges = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (kind[1:] != kind[:-1])]) if len(of) else []
+            for a, z in zip(edges, [*edges[1:], len(of)]):
+                if not kind[a]:
+                    fresh = of[a] != cell
+                    cell, ids, held = of[a], every_id[a:z] if fresh else np.r_[ids, every_id[a:z]], every_v[a:z] if fresh else np.concatenate([held, every_v[a:z]])
+                    continue
+                for lo in range(a, z, 512):
+                    part = slice(lo, min(z, lo + 512))
+                    q, v, most = every_id[part], every_v[part], bounds[part]
+                    square, norm = (v * v).sum(axis=1), (held * held).sum(axis=1)
+                    away = square[:, None] + norm[None, :] - 2 * (v @ held.T)
+                    i, j = np.nonzero((away <= most[:, None] ** 2 + 1e-9 * (square[:, None] + norm[None, :])) & (ids[None, :] != q[:, None]))
+                    dist = np.sqrt(((v[i] - held[j]) ** 2).sum(axis=1))
+                    best = _best(i, ids[j], dist, k)
+                    yield _found(q[i[best]], ids[j[best]], dist[best])
+
+    return every.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(scan, _FOUND)
 
 
 def search(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CURVES, window: int = WINDOW, exact: bool = True) -> DataFrame:
@@ -206,7 +255,8 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CURV
         total = same.count()
         sample = same.orderBy(F.xxhash64("vec_id")).limit(SAMPLE) if total > SAMPLE else same
         fit = np.array([r[0] for r in sample.select("embedding").collect()], np.float64)
-        first = windows(same, size, Curves(fit, size, curves, DIMENSIONS, BITS), k, every, window)
+        curve = Curves(fit, size, curves, DIMENSIONS, BITS)
+        first = windows(same, size, curve, k, every, window)
         if not exact:
             results.append(nearest(first, k))
             continue
@@ -214,12 +264,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CURV
         asked = same.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
         asked = asked.join(bounds.where(F.col("n") >= k), asked["vec_id"] == bounds["query_id"], "left")
         asked = cut(asked.select("vec_id", "embedding", F.coalesce("bound", F.lit(float("inf"))).alias("bound")))
-        blocks = -(-asked.count() // QUERY_BLOCK)
-        marked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(blocks, 1))))
-        for i in range(blocks):
-            block = [(r["vec_id"], r["embedding"], r["bound"]) for r in marked.where(F.col("block") == i).collect()]
-            if block:
-                results.append(complete(same, block, size, k))
+        results.append(complete(same, asked, size, curve, k))
     if not results:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = results[0]

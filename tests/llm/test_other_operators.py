@@ -17,10 +17,14 @@ def test_hilbert_is_a_walk():
         assert (np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
 
 
-def test_nearest_is_exact(spark):
+@pytest.mark.parametrize("cell", [8192, 40])
+def test_nearest_is_exact(spark, cell, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", cell)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 512 if cell > 100 else 3)
     rng = np.random.default_rng(3)
     x = rng.standard_normal((600, 8)).astype(np.float32)
     x[50:80] = x[50]
+    x[300:] += 40 * rng.standard_normal((3, 8))[rng.integers(0, 3, 300)].astype(np.float32)  # clusters, which bounds tell apart
     df = spark.createDataFrame([(i, v.tolist(), 1.0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, score double").repartition(4)
     got = [tuple(r) for r in ann.search(df, every=50).orderBy("query_id", "rank").collect()]
     v, want = x.astype(np.float64), []
@@ -41,8 +45,9 @@ def test_odd_vectors(spark):
 URLS = [None, "", "x", "HTTP://A.Spam.ORG", "a://b.c/en/?x://y", "http://Example.com/en/x", "http://www.EXAMPLE.com/en/", "http://x.net/fr/a#b", "http://x.net?fr/", "https://casino-win.org/", "https://good.org/", "://", "http://bets.org:80/"]
 
 
-@pytest.mark.parametrize("max_bits", [1 << 20, 1])
-def test_url_filter(spark, max_bits):
+@pytest.mark.parametrize("max_bits", [1 << 20, 1 << 9])
+def test_url_filter(spark, max_bits, monkeypatch):
+    monkeypatch.setattr(url_filter, "SHARDS_A_PASS", 2)
     hosts = [f"https://h{i}.{'spam' if i % 3 == 0 else 'fine'}.org/p" for i in range(400)]
     df = spark.createDataFrame([(i, u, "", "", "x") for i, u in enumerate(URLS + hosts + hosts[:50])] + [(None, "http://a.com/", None, None, None)], "page_id long, url string, html string, host string, verdict string")
     pages = df.select("page_id", "url").toArrow()  # noqa: F841
@@ -51,7 +56,6 @@ def test_url_filter(spark, max_bits):
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert url_filter.judge(df.limit(0)).count() == 0
 
-
 def test_empty_host_is_allowed_whatever_the_list(spark):
     key = url_filter.F.col("host")
     names = spark.createDataFrame([("",)] + [(f"s{i}.casino.org",) for i in range(400)], "host string")
