@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 from ._common import ascii_lower, cut
 
 MAX_BITS = 1 << 25
-"""Most bits of one level that are carried as a literal (4 MB); a longer list is matched by a join instead."""
+"""Most bits, about, of one level that are carried as a literal (4 MB); a longer list is dealt to several cascades by the
+keys' hash."""
+
+SHARDS_A_PASS = 8
+"""Cascades that one pass over the rows carries; more take further passes, each over its own share of the rows."""
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
@@ -42,10 +46,10 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 
 
 class BloomCascade:
-    """Exact membership within a universe of keys."""
+    """Exact membership within a universe of keys. A key belongs to one of the shards, by hash; each has its levels."""
 
-    def __init__(self, levels: list[tuple[int, str]], hashes: int, listed: DataFrame | None):
-        self.levels, self.hashes, self.listed = levels, hashes, listed
+    def __init__(self, shards: list[list[tuple[int, str]]], hashes: int):
+        self.shards, self.hashes = shards, hashes
 
     @staticmethod
     def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
@@ -61,35 +65,54 @@ class BloomCascade:
             found = found & (F.getbit(F.get(array, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1)
         return found
 
+    @staticmethod
+    def _shard(key: Column, shards: int) -> Column:
+        return F.coalesce(F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shards)), F.lit(0)) if shards > 1 else F.lit(0)
+
     @classmethod
-    def build(cls, universe: DataFrame, bits_per_key: int = 10, hashes: int = 4, max_bits: int = MAX_BITS) -> BloomCascade:
-        """universe: key string, listed boolean; null keys are left out, a key listed once counts as listed."""
-        keys = cut(universe.where("key is not null").groupBy("key").agg(F.max("listed").alias("listed")))
-        side, other = keys.where("listed"), keys.where("not listed")
+    def _levels(cls, side: DataFrame, other: DataFrame, n: int, bits_per_key: int, hashes: int) -> list[tuple[int, str]]:
         levels: list[tuple[int, str]] = []
-        while n := side.count():
+        while n:
             bits = max(64, -(-n * bits_per_key // 64) * 64)
-            if bits > max_bits:
-                return cls([], hashes, keys.where("listed").select("key"))
             at = F.explode(F.array(*cls._positions(F.col("key"), len(levels), bits, hashes))).alias("p")
             rows = side.select(at).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
             words = {r["w"]: r["v"] for r in rows.collect()}  # at most bits / 64 rows
             levels.append((bits, ",".join(str(words.get(w, 0)) for w in range(bits // 64))))
             side, other = other.where(cls._test(F.col("key"), len(levels) - 1, levels[-1], hashes)), side
-        return cls(levels, hashes, None)
+            n = side.count()
+        return levels
 
-    def contains(self, key: Column) -> Column:
-        """For keys of the universe; false for null."""
-        inside = F.lit(len(self.levels) % 2 == 1)
-        for level in reversed(range(len(self.levels))):
-            inside = F.when(self._test(key, level, self.levels[level], self.hashes), inside).otherwise(F.lit(level % 2 == 1))
-        return F.coalesce(inside, F.lit(False))
+    @classmethod
+    def build(cls, universe: DataFrame, bits_per_key: int = 10, hashes: int = 4, max_bits: int = MAX_BITS) -> BloomCascade:
+        """universe: key string, listed boolean; null keys are left out, a key listed once counts as listed."""
+        keys = cut(universe.where("key is not null").groupBy("key").agg(F.max("listed").alias("listed")))
+        n = keys.where("listed").count()
+        shards = max(1, -(-n * bits_per_key // max(64, max_bits)))
+        made = []
+        for i in range(shards):
+            own = keys.where(cls._shard(F.col("key"), shards) == i) if shards > 1 else keys
+            side = own.where("listed")
+            made.append(cls._levels(side, own.where("not listed"), side.count() if shards > 1 else n, bits_per_key, hashes))
+        return cls(made, hashes)
+
+    def contains(self, key: Column, first: int = 0, last: int | None = None) -> Column:
+        """For keys of the universe, of the shards from first to before last; false for null."""
+        out = F.lit(False)
+        for i, levels in list(enumerate(self.shards))[first:last]:
+            inside = F.lit(len(levels) % 2 == 1)
+            for level in reversed(range(len(levels))):
+                inside = F.when(self._test(key, level, levels[level], self.hashes), inside).otherwise(F.lit(level % 2 == 1))
+            out = F.when(self._shard(key, len(self.shards)) == i, inside).otherwise(out) if len(self.shards) > 1 else inside
+        return F.coalesce(out, F.lit(False))
 
     def mark(self, df: DataFrame, key: str, to: str) -> DataFrame:
-        """df with a boolean column: by the levels, or by a join where the list is beyond their bound."""
-        if self.listed is None:
-            return df.withColumn(to, self.contains(F.col(key)))
-        return df.join(self.listed.select(F.col("key").alias(key), F.lit(True).alias("__in")), key, "left").withColumn(to, F.coalesce("__in", F.lit(False))).drop("__in")
+        """df with a boolean column, by bit tests alone."""
+        n, out = len(self.shards), None
+        for at in range(0, n, SHARDS_A_PASS):
+            rows = df.where(self._shard(F.col(key), n).between(at, at + SHARDS_A_PASS - 1)) if n > SHARDS_A_PASS else df
+            rows = rows.withColumn(to, self.contains(F.col(key), at, at + SHARDS_A_PASS))
+            out = rows if out is None else out.unionByName(rows)
+        return out
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, blocked: str = BLOCK_PATTERN, max_bits: int = MAX_BITS) -> DataFrame:
