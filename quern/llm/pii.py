@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn")
+RUN = 128
+"""Matches whose spans are gathered together; a text's runs are joined at its end."""
+
 THRESHOLD = 0.5
 """Least score of an added kind's span; base spans are reported whatever their score."""
 
@@ -73,11 +76,14 @@ def _accepts(kind: str, m: str, before: str, after: str) -> str:
 
 def _spans(kind: str, f: str, g: str) -> Column:
     m, before, after = f"get({f}, k)", f"get({g}, k)", f"get({g}, k + 1)"
-    start = f"acc.pos + length({before})"
+    start = f"run.pos + length({before})"
     one = f"named_struct('kind', '{kind}', 'start', {start}, 'end', {start} + length({m}), 'score', {_score(kind, m, before, after)}, 'text', {m})"
     kind_of = "array<struct<kind:string,start:int,end:int,score:double,text:string>>"
-    fold = f"""aggregate(sequence(0, size({f}) - 1), named_struct('pos', 0, 'out', cast(array() as {kind_of})), (acc, k) -> named_struct(
-      'pos', {start} + length({m}), 'out', if({_accepts(kind, m, before, after)}, concat(acc.out, array({one})), acc.out))).out"""
+    # matches are folded in runs, each with a list of its own, so that no step copies more than a run or the list of runs
+    inner = f"""aggregate(sequence(c * {RUN}, least(size({f}) - 1, c * {RUN} + {RUN - 1})), named_struct('pos', acc.pos, 'out', cast(array() as {kind_of})), (run, k) -> named_struct(
+      'pos', {start} + length({m}), 'out', if({_accepts(kind, m, before, after)}, concat(run.out, array({one})), run.out)))"""
+    fold = f"""flatten(aggregate(sequence(0, (size({f}) - 1) div {RUN}), named_struct('pos', 0, 'out', cast(array() as array<{kind_of}>)), (acc, c) ->
+      transform(array({inner}), x -> named_struct('pos', x.pos, 'out', concat(acc.out, array(x.out))))[0]).out)"""
     return F.expr(f"if(size({f}) > 0, {fold}, cast(array() as {kind_of}))")
 
 
@@ -100,7 +106,7 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each reported span of text replaced by its kind in brackets, kind after kind; null stays null.
 
-    n_chars, where there is one, follows the new text. The other columns stay as they are.
+    n_chars, where there is one, follows the new text. The other columns, and rows that repeat, stay as they are.
     """
     out = docs
     for k in BASE + ADDED:
