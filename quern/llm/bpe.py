@@ -54,6 +54,10 @@ class Cache:
         return self.new, self.old
 
 
+PAIRS = 1 << 20
+"""Most pairs whose compatibility a worker remembers; then it starts anew."""
+
+
 class Codec:
     """An encoder and decoder for a BPE file with word ends."""
 
@@ -137,6 +141,8 @@ class Codec:
                 limit, b = rb + 1, self.parts[b][1]
             else:
                 limit, b = rb + 1, self.parts[b][1]
+        if len(self.compatible) >= PAIRS:
+            self.compatible.clear()
         self.compatible[left, right] = out
         return out
 
@@ -233,7 +239,8 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids array<int>): a null text counts as empty. path must exist on every executor."""
+    """(doc_id, ids array<int>): a row for each row of docs, repeated rows and null ids among them; a null text counts as
+    empty. path must exist on every executor; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -244,7 +251,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); null ids decode to an empty text."""
+    """(doc_id, text) from (doc_id, ids), a row for each row; null ids decode to an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

@@ -292,11 +292,21 @@ def to_avi(docs: DataFrame) -> DataFrame:
 
 
 def to_clips(files: DataFrame) -> DataFrame:
-    """(doc_id, clip, start_ms, end_ms, brightness) from (doc_id, avi); null files have no clips."""
+    """(doc_id, clip, start_ms, end_ms, brightness) from (doc_id, avi); null files and files without frames have no clips.
+
+    A damaged file, or one of another kind, has one row whose clip is null, so that it is seen and stops nothing. Rows
+    that repeat are measured each.
+    """
+
+    def measured(avi: bytes) -> list[tuple]:
+        try:
+            return clips(avi)
+        except (ValueError, IndexError, KeyError, struct.error):
+            return [(None,) * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i.as_py(), *c) for i, avi in zip(b.column(0), b.column(1)) if avi.is_valid for c in clips(avi.as_py())]
+            rows = [(i.as_py(), *c) for i, avi in zip(b.column(0), b.column(1)) if avi.is_valid for c in measured(avi.as_py())]
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "clip", "start_ms", "end_ms", "brightness"), r)) for r in rows], pa.schema([("doc_id", b.schema.field(0).type), ("clip", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("brightness", pa.float64())]))
 
     return files.select("doc_id", "avi").mapInArrow(run, f"doc_id {files.schema['doc_id'].dataType.simpleString()}, clip int, start_ms long, end_ms long, brightness double")

@@ -180,7 +180,7 @@ def digest(spans):
 def noise(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab@.%+-1234567890 ().é😀") for _ in range(150)) for _ in range(150)]
-    texts += ["a@b.c%x@d.e 1.2.3.4.5.6.7.8 001.002.3.255 4111 1111 1111 1111", "x" * 200_000, "9" * 20_000, "a@b" + ".c" * 5_000]
+    texts += ["x@y.zz " * 700 + "1.2.3.4 " * 300, "a@b.c%x@d.e 1.2.3.4.5.6.7.8 001.002.3.255 4111 1111 1111 1111", "x" * 200_000, "9" * 20_000, "a@b" + ".c" * 5_000]
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
@@ -281,6 +281,44 @@ def test_media_round_trip(odd, empty):
     assert media.to_clips(media.to_avi(odd)).count() >= odd.count()
 
 
+def test_damaged_files_stop_nothing(spark):
+    whole = media.write_avi(bytes(range(256)) * 40)
+    files = [whole, whole[: len(whole) // 2], b"", b"RIFF", None, whole[:60] + b"\xff" * 200 + whole[260:], b"no video"]
+    got = collections.defaultdict(list)
+    for r in media.to_clips(spark.createDataFrame([(i, None if f is None else bytearray(f)) for i, f in enumerate(files)], "doc_id int, avi binary")).collect():
+        got[r.doc_id].append(r.clip)
+    assert got[0] == [0, 1] and 4 not in got and all(got[i] == [None] for i in (2, 3, 6)) and set(got) <= {0, 1, 2, 3, 5, 6}
+
+
+def test_media_features_are_the_pictures(spark):
+    """The features, from pixels that an inverse cosine transform written out here gives."""
+    rng = random.Random(12)
+    u, x = np.meshgrid(np.arange(8), np.arange(8), indexing="ij")
+    basis = np.where(u == 0, math.sqrt(1 / 8), 0.5) * np.cos((2 * x + 1) * u * math.pi / 16)
+    for payload in (b"abc" * 64, bytes(rng.randrange(256) for _ in range(64 * 700)), b"\0" * 64 * 300 + bytes(rng.randrange(200, 256) for _ in range(64 * 300))):
+        frames, _, us = media.parse_avi(media.write_avi(payload))
+        light, hist = [], []
+        for f in frames:
+            coefficients, _, _, quant = media._decode_any(f)
+            flat = coefficients.reshape(-1, 64).astype(float) * quant
+            blocks = np.zeros((len(flat), 8, 8))
+            for k, (r, c) in enumerate(media_zigzag()):
+                blocks[:, r, c] = flat[:, k]
+            pixels = np.clip(np.rint(basis.T @ blocks @ basis + 128), 0, 255)
+            h = np.bincount((pixels.ravel() // (256 / media.BINS)).astype(int), minlength=media.BINS) / pixels.size
+            hist.append(h)
+            light.append(float(h @ ((np.arange(media.BINS) + 0.5) * 256 / media.BINS)))
+        got = media.clips(media.write_avi(payload))
+        starts = media.shots(np.array(hist))
+        assert [c[1] for c in got] == [s * us // 1000 for s in starts]
+        for (_, _, _, mean), a, b in zip(got, starts, [*starts[1:], len(frames)]):
+            assert mean == pytest.approx(np.mean(light[a:b]), abs=0.5)
+
+
+def media_zigzag():
+    return sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
+
+
 def test_shots():
     flat, other = np.eye(media.BINS)[[3] * 10], np.eye(media.BINS)[[20] * 10]
     assert media.shots(np.concatenate([flat, other, flat])) == [0, 10, 20]
@@ -438,7 +476,8 @@ def test_bpe_is_the_library_s(spark, odd, empty, vocabulary):
         e = library.encode(t, add_special_tokens=False)
         assert codec.encode(t) == e.ids and codec.decode(e.ids) == library.decode(e.ids, skip_special_tokens=False)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    want = sorted((str(r.doc_id), sha(" ".join(map(str, library.encode(r.text or "", add_special_tokens=False).ids)))) for r in odd.collect())
-    assert sorted((str(r.doc_id), r.ids_sha256) for r in bpe.report(odd, vocabulary).collect()) == want
+    ids = [(r.doc_id, library.encode(r.text or "", add_special_tokens=False).ids) for r in odd.collect()]
+    want = sorted((str(i), len(x), sha(" ".join(map(str, x))), sha(library.decode(x, skip_special_tokens=False))) for i, x in ids)
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.report(odd, vocabulary).collect()) == want
     assert bpe.report(empty, vocabulary).count() == 0
     assert bpe.decode(bpe.encode(odd, vocabulary), vocabulary).count() == odd.count()
