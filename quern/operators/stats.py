@@ -1,25 +1,40 @@
 """Statistics on grouped samples: bootstrap, paired tests, effect sizes, agreement and rank correlation.
 
-Resampling is by md5 of replicate and place, so every engine draws the same; no sample meets in one task: a group's
-values are numbered by a window, and a replicate's mean is a sum over value times how often it was drawn.
+A replicate of the bootstrap weighs every row by a draw from the Poisson distribution, which resampling with replacement
+tends to in large samples. The draws are digits of an md5 of the row's key, so every engine draws the same, no row needs a
+number, and a replicate's mean is two partial sums: no sample meets in one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window as W
 
+THRESHOLDS = [int(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8)]
+"""A draw below 65536 stands for as many copies of a row as there are thresholds at or below it."""
+
+
+def weights(key: Column, replicates: int) -> Column:
+    """How often each replicate draws the row with this key: eight replicates to one md5."""
+    draw = lambda h, k: F.conv(F.substring(h, 4 * k + 1, 4), 16, 10).cast("int")
+    times = lambda u: sum((u >= t).cast("int") for t in THRESHOLDS)
+    eight = lambda h: F.array(*[F.transform(F.array(draw(h, k)), times)[0] for k in range(8)])
+    blocks = F.sequence(F.lit(0), F.lit(-(-replicates // 8) - 1))
+    every = F.flatten(F.transform(blocks, lambda b: F.transform(F.array(F.md5(F.concat_ws("|", key, b.cast("string")))), eight)[0]))
+    return F.slice(every, 1, replicates)
+
 
 def resampled(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], replicates: int) -> DataFrame:
-    """(keys, replicate, mean): means of samples with replacement, one for each replicate and group."""
-    numbered = df.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
-    drawn = numbered.select(*keys, "i", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("replicate").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")
-    counts = drawn.withColumn("i", place).groupBy(*keys, "replicate", "i").agg(F.count(F.lit(1)).alias("times"))
-    return counts.join(numbered.select(*keys, "i", "n", value), [*keys, "i"]).groupBy(*keys, "replicate").agg((F.sum(F.col(value) * F.col("times")) / F.max("n")).alias("mean"))
+    """(keys, replicate, mean): weighted means, one for each replicate and group. The columns of order tell rows apart."""
+    row = F.concat_ws("|", *[F.col(c).cast("string") for c in order])
+    drawn = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"), F.posexplode(weights(row, replicates)).alias("replicate", "__w")).where("__w > 0")
+    return drawn.groupBy(*keys, "replicate").agg((F.sum(F.col("__v") * F.col("__w")) / F.sum("__w")).alias("mean"))
 
 
 def bootstrap(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], replicates: int = 200, alpha: float = 0.05) -> DataFrame:
@@ -29,6 +44,42 @@ def bootstrap(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[st
     return df.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean")).join(bounds, list(keys))
 
 
+def paired(pairs: DataFrame, keys: Sequence[str], x: str, y: str, order: Sequence[str], replicates: int = 200) -> DataFrame:
+    """(keys, n, diff, p_value, effect_size) of paired scores: two-sided bootstrap test that x - y has mean 0, and Cohen's d.
+    A replicate of the centred differences is one of the differences less their mean."""
+    diffs = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__d", F.col(x) - F.col(y))
+    own = diffs.groupBy(*keys).agg(F.count("__d").alias("n"), F.avg("__d").alias("diff"), *[f(c).alias(f"__{n}{c}") for c in (x, y) for n, f in (("m", F.avg), ("v", F.var_samp))])
+    means = resampled(diffs, keys, "__d", order, replicates).join(own.select(*keys, "diff"), list(keys))
+    p = means.groupBy(*keys).agg(F.round(F.avg((F.abs(F.col("mean") - F.col("diff")) >= F.abs("diff")).cast("double")), 6).alias("p_value"))
+    c = F.col
+    d = cohens_d(c(f"__m{x}"), c(f"__m{y}"), c(f"__v{x}"), c(f"__v{y}"), c("n"), c("n"))
+    return own.join(p, list(keys)).select(*keys, "n", F.round("diff", 6).alias("diff"), "p_value", F.round(d, 4).alias("effect_size"))
+
+
+def _tail(t: float, df: int) -> float:
+    """Chance of a larger absolute t: the finite series for whole degrees of freedom."""
+    angle = math.atan(abs(t) / math.sqrt(df))
+    c, s = math.cos(angle), math.sin(angle)
+    term = total = c if df % 2 else 1.0
+    for k in range(3 if df % 2 else 2, df - 1, 2):
+        term *= (k - 1) / k * c * c
+        total += term
+    within = (2 / math.pi * (angle + (s * total if df > 1 else 0.0))) if df % 2 else s * total
+    return min(1.0, max(0.0, 1 - within))
+
+
+@F.pandas_udf(DoubleType())
+def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p-value of a correlation of n pairs; null below three pairs. For few rows: one a group."""
+
+    def one(r: float, n: float) -> float | None:
+        if r != r or n < 3:
+            return None
+        return 0.0 if abs(r) >= 1 else _tail(r * math.sqrt((n - 2) / (1 - r * r)), int(n) - 2)
+
+    return pd.Series([one(a, b) for a, b in zip(r, n)], dtype="float64")
+
+
 def cohens_d(mean1: Column, mean2: Column, var1: Column, var2: Column, n1: Column, n2: Column) -> Column:
     """Difference over the pooled deviation; signed infinity if that is 0 and the means differ, 0 if they don't."""
     pooled = F.sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / F.when(n1 + n2 > 2, n1 + n2 - 2))

@@ -223,22 +223,25 @@ def ablation_spearman(spark, sf):
 
 # statistics
 
-_DRAW = "conv"
 
 
-def _boot_sql(keys: str, of: str, value: str, order: str, reps: int) -> str:
-    return f"""n AS (SELECT {keys}, {value} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM {of}),
-d AS (SELECT {keys}, r, ('0x' || substr(md5(r::VARCHAR || '|' || i::VARCHAR), 1, 8))::BIGINT % n AS j FROM n, range(1, {reps + 1}) t(r)),
-m AS (SELECT d.r, {', '.join('d.' + k.strip() for k in keys.split(','))}, avg(n.v) AS mean FROM d JOIN n ON n.i = d.j AND {' AND '.join(f'n.{k.strip()} = d.{k.strip()}' for k in keys.split(','))} GROUP BY ALL)"""
+def boot_sql(keys: str, of: str, value: str, order: str, reps: int) -> str:
+    copies = " + ".join(f"(u >= {t})::INT" for t in stats.THRESHOLDS)
+    return f"""draws AS (SELECT {keys}, {value} AS v, blk * 8 + dig AS r, ('0x' || substr(md5(concat_ws('|', {order}, blk)), (4 * dig + 1)::INT, 4))::INT AS u FROM {of}, range(0, {-(-reps // 8)}) t(blk), range(0, 8) s(dig) WHERE blk * 8 + dig < {reps}),
+m AS (SELECT {keys}, r, sum(v * w) / sum(w) AS mean FROM (SELECT *, {copies} AS w FROM draws WHERE v IS NOT NULL) GROUP BY {keys}, r HAVING sum(w) > 0)"""
 
 
-@query("bootstrap_interval", f"""WITH {_boot_sql('toxic', 'labels', 'quality', 'doc_id', 200)}
+PAIRED = "(avg(x) - avg(y)) / sqrt((var_samp(x) + var_samp(y)) / 2)"
+"""Cohen's d of paired scores."""
+
+
+@query("bootstrap_interval", f"""WITH {boot_sql('toxic', 'labels', 'quality', 'doc_id', 200)}
 SELECT toxic, (SELECT round(avg(quality), 6) FROM labels l WHERE l.toxic = m.toxic) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m GROUP BY toxic""")
 def bootstrap_interval(spark, sf):
     return stats.bootstrap(table(spark, sf, "labels").select("doc_id", "toxic", F.col("quality").cast("double").alias("quality")), ["toxic"], "quality", ["doc_id"])
 
 
-@query("bootstrap_gap", f"""WITH {_boot_sql('event_type', "(SELECT * FROM events WHERE event_id % 7 = 0 OR true)", 'value', 'event_id', 40)}
+@query("bootstrap_gap", f"""WITH {boot_sql('event_type', "(SELECT * FROM events WHERE event_id % 7 = 0 OR true)", 'value', 'event_id', 40)}
 SELECT b.event_type, round(quantile_cont(a.mean - b.mean, 0.025), 6) AS low, round(quantile_cont(a.mean - b.mean, 0.975), 6) AS high FROM m a JOIN m b ON a.r = b.r WHERE a.event_type = 'click' AND b.event_type <> 'click' GROUP BY 1""")
 def bootstrap_gap(spark, sf):
     m = stats.resampled(table(spark, sf, "events").select("event_id", "event_type", "value"), ["event_type"], "value", ["event_id"], 40)
@@ -247,16 +250,13 @@ def bootstrap_gap(spark, sf):
     return d.groupBy("event_type").agg(F.round(F.percentile("gap", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("gap", F.lit(0.975)), 6).alias("high"))
 
 
-@query("paired_bootstrap", f"""WITH p AS (SELECT user_id, avg(CASE WHEN event_type = 'click' THEN value END) - avg(CASE WHEN event_type = 'view' THEN value END) AS diff FROM events GROUP BY 1 HAVING diff IS NOT NULL),
-c AS (SELECT 1 AS one, user_id, diff - (SELECT avg(diff) FROM p) AS x FROM p), {_boot_sql('one', 'c', 'x', 'user_id', 200)}
-SELECT (SELECT round(avg(diff), 6) FROM p) AS observed, round(avg((abs(mean) >= (SELECT abs(avg(diff)) FROM p))::INT), 6) AS p_value FROM m""")
+@query("paired_bootstrap", f"""WITH p AS (SELECT 1 AS one, user_id, avg(CASE WHEN event_type = 'click' THEN value END) AS x, avg(CASE WHEN event_type = 'view' THEN value END) AS y FROM events GROUP BY 2 HAVING x - y IS NOT NULL), {boot_sql('one', 'p', 'x - y', 'user_id', 200)},
+o AS (SELECT avg(x - y) AS o, count(*) AS n, {PAIRED} AS d FROM p)
+SELECT n, round(o, 6) AS diff, (SELECT round(avg((abs(mean - o) >= abs(o))::INT), 6) FROM m) AS p_value, round(d, 4) AS effect_size FROM o""")
 def paired_bootstrap(spark, sf):
     pick = lambda t: F.avg(F.when(F.col("event_type") == t, F.col("value")))
-    p = table(spark, sf, "events").groupBy("user_id").agg((pick("click") - pick("view")).alias("diff")).where("diff is not null")
-    observed = p.agg(F.avg("diff").alias("observed"))
-    c = p.crossJoin(observed).select(F.lit(1).alias("one"), "user_id", (F.col("diff") - F.col("observed")).alias("x"))  # with a single row
-    m = stats.resampled(c, ["one"], "x", ["user_id"], 200).crossJoin(observed)
-    return m.agg(F.round(F.max("observed"), 6).alias("observed"), F.round(F.avg((F.abs("mean") >= F.abs("observed")).cast("double")), 6).alias("p_value"))
+    p = table(spark, sf, "events").groupBy("user_id").agg(pick("click").alias("x"), pick("view").alias("y"))
+    return stats.paired(p.withColumn("one", F.lit(1)), ["one"], "x", "y", ["user_id"]).drop("one")
 
 
 _MOMENTS = "SELECT event_type, avg(value) AS m, var_samp(value) AS v, count(*) AS n FROM events GROUP BY 1"
@@ -285,16 +285,77 @@ def spearman_rank(spark, sf):
     return r.agg(F.count(F.lit(1)).alias("n"), F.round(stats.correlation(F.col("a").cast("double"), F.col("b").cast("double")), 6).alias("rho"))
 
 
-@query("pairwise_bonferroni", f"""WITH s AS ({_MOMENTS}), p AS (SELECT a.event_type AS a, b.event_type AS b, abs(a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS z FROM s a JOIN s b ON a.event_type < b.event_type)
-SELECT a, b, round(z, 6) AS z, round(0.05 / count(*) OVER (), 8) AS alpha, count(*) OVER () AS comparisons FROM p""")
+_BY_USER = "SELECT user_id, event_type AS model, avg(value) AS score FROM events GROUP BY ALL"
+
+
+def pairwise(spark, sf):
+    """(a, b, user_id, x, y): paired scores of every two models. A user's list has a place for each model, few in number."""
+    s = table(spark, sf, "events").groupBy("user_id", F.col("event_type").alias("model")).agg(F.avg("value").alias("score"))
+    u = s.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("model", "score"))).alias("s"))
+    two = F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: y["model"] > x["model"]), lambda y: F.struct(x["model"].alias("a"), y["model"].alias("b"), x["score"].alias("x"), y["score"].alias("y")))))
+    return u.select("user_id", F.explode(two).alias("p")).select("user_id", "p.a", "p.b", "p.x", "p.y")
+
+
+@query("pairwise_bonferroni", f"""WITH s AS ({_BY_USER}), p AS (SELECT l.model AS a, r.model AS b, l.user_id, l.score AS x, r.score AS y FROM s l JOIN s r ON l.user_id = r.user_id AND l.model < r.model), {boot_sql('a, b', 'p', 'x - y', 'user_id', 96)},
+o AS (SELECT a, b, count(*) AS n, avg(x - y) AS diff, round({PAIRED}, 4) AS d FROM p GROUP BY ALL), t AS (SELECT m.a, m.b, round(avg((abs(mean - diff) >= abs(diff))::INT), 6) AS p_value FROM m JOIN o ON m.a = o.a AND m.b = o.b GROUP BY ALL)
+SELECT o.a, o.b, n, round(diff, 6) AS diff, p_value, d AS effect_size, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect,
+  round(0.05 / count(*) OVER (), 8) AS alpha, p_value < 0.05 / count(*) OVER () AS significant FROM o JOIN t ON o.a = t.a AND o.b = t.b""")
 def pairwise_bonferroni(spark, sf):
-    s = table(spark, sf, "events").groupBy("event_type").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("value").alias("n"))
-    a, b = (s.select(*[F.col(c).alias(f"{c}{i}") for c in s.columns]) for i in (1, 2))
+    p = stats.paired(pairwise(spark, sf), ["a", "b"], "x", "y", ["user_id"], 96)
+    alpha = 0.05 / F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))  # one row for each pair of models
+    return p.withColumn("effect", stats.effect(F.col("effect_size"))).withColumn("alpha", F.round(alpha, 8)).withColumn("significant", F.col("p_value") < alpha)
+
+
+# tables of the analysis
+
+
+@query("model_intervals", f"""WITH e AS (SELECT event_type AS model, unnest(['L' || (user_id % 4)::VARCHAR, 'overall']) AS level, event_id, value FROM events), {boot_sql('model, level', 'e', 'value', 'event_id', 64)}
+SELECT m.model, m.level, (SELECT round(avg(value), 6) FROM e WHERE e.model = m.model AND e.level = m.level) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high,
+  (SELECT count(*) FROM e WHERE e.model = m.model AND e.level = m.level) AS n FROM m GROUP BY ALL""")
+def model_intervals(spark, sf):
+    levels = F.explode(F.array(F.concat(F.lit("L"), (F.col("user_id") % 4).cast("string")), F.lit("overall"))).alias("level")
+    e = table(spark, sf, "events").select(F.col("event_type").alias("model"), levels, "event_id", "value")
+    return stats.bootstrap(e, ["model", "level"], "value", ["event_id"], 64).join(e.groupBy("model", "level").agg(F.count(F.lit(1)).alias("n")), ["model", "level"])
+
+
+@query("category_accuracy", f"""WITH s AS (SELECT source AS model, coalesce(lang, 'unknown') AS category, doc_id, quality::DOUBLE AS v FROM documents JOIN labels USING (doc_id)), {boot_sql('model, category', 's', 'v', 'doc_id', 64)},
+g AS (SELECT model, category, count(*) AS n, avg(v) AS mean FROM s GROUP BY ALL), o AS (SELECT model, avg(v) AS overall FROM s GROUP BY 1), b AS (SELECT model, category, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY ALL)
+SELECT g.model, g.category, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(mean - overall, 6) AS gap FROM g JOIN o ON o.model = g.model JOIN b ON b.model = g.model AND b.category = g.category""")
+def category_accuracy(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("model"), F.coalesce("lang", F.lit("unknown")).alias("category"))
+    s = d.join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("v")), "doc_id")
+    g = s.groupBy("model", "category").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.sum("v").alias("s"))
+    w = W.partitionBy("model")  # one row for each category
+    gap = g.select("model", "category", "n", F.round(F.col("m") - F.sum("s").over(w) / F.sum("n").over(w), 6).alias("gap"))
+    return gap.join(stats.bootstrap(s, ["model", "category"], "v", ["doc_id"], 64), ["model", "category"])
+
+
+@query("paired_conditions", f"""WITH s AS ({_BY_USER}), p AS (SELECT a.model AS condition, a.user_id, b.score AS x, a.score AS y FROM s a JOIN s b ON a.user_id = b.user_id AND b.model = 'view' WHERE a.model IN ('click', 'purchase')), {boot_sql('condition', 'p', 'x - y', 'user_id', 200)},
+o AS (SELECT condition, count(*) AS n, avg(x - y) AS diff, {PAIRED} AS d FROM p GROUP BY ALL), t AS (SELECT m.condition, round(avg((abs(mean - diff) >= abs(diff))::INT), 6) AS p_value FROM m JOIN o ON m.condition = o.condition GROUP BY ALL)
+SELECT 'view vs ' || o.condition AS comparison, n, round(diff, 6) AS diff, p_value, round(d, 4) AS effect_size, p_value < 0.05 AS significant_at_005, p_value < 0.01 AS significant_at_001 FROM o JOIN t ON o.condition = t.condition""")
+def paired_conditions(spark, sf):
+    s = table(spark, sf, "events").groupBy("user_id", F.col("event_type").alias("condition")).agg(F.avg("value").alias("y"))
+    base = s.where("condition = 'view'").select("user_id", F.col("y").alias("x"))
+    t = stats.paired(s.where(F.col("condition").isin("click", "purchase")).join(base, "user_id"), ["condition"], "x", "y", ["user_id"])
+    return t.select(F.concat(F.lit("view vs "), "condition").alias("comparison"), "n", "diff", "p_value", "effect_size", (F.col("p_value") < 0.05).alias("significant_at_005"), (F.col("p_value") < 0.01).alias("significant_at_001"))
+
+
+@query("proportion_interval", f"""WITH e AS (SELECT event_type, event_id, (value >= 50)::INT::DOUBLE AS v FROM events), {boot_sql('event_type', 'e', 'v', 'event_id', 64)}
+SELECT event_type, (SELECT round(avg(v), 6) FROM e WHERE e.event_type = m.event_type) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m GROUP BY 1""")
+def proportion_interval(spark, sf):
+    e = table(spark, sf, "events").select("event_type", "event_id", (F.col("value") >= 50).cast("double").alias("v"))
+    return stats.bootstrap(e, ["event_type"], "v", ["event_id"], 64)
+
+
+@query("correlation_test")
+def correlation_test(spark, sf):
+    """Pearson and Spearman with their p-values over documents' length and quality, by source."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    g = d.groupBy("source").agg(F.avg("n_chars").alias("x"), F.avg("quality").alias("y"))
+    r = g.select("x", "y", stats.average_rank("x").cast("double").alias("rx"), stats.average_rank("y").cast("double").alias("ry"))  # one row for each source
     c = F.col
-    p = a.join(b, c("event_type1") < c("event_type2"))
-    every = F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))  # one row for each pair of types
-    z = F.abs(c("m1") - c("m2")) / F.sqrt(c("v1") / c("n1") + c("v2") / c("n2"))
-    return p.select(c("event_type1").alias("a"), c("event_type2").alias("b"), F.round(z, 6).alias("z"), F.round(0.05 / every, 8).alias("alpha"), every.alias("comparisons"))
+    t = r.agg(F.count(F.lit(1)).cast("double").alias("n"), stats.correlation(c("x"), c("y")).alias("pearson"), stats.correlation(c("rx"), c("ry")).alias("spearman"))
+    return t.select("n", F.round("pearson", 6).alias("pearson"), F.round(stats.correlation_p("pearson", "n"), 6).alias("pearson_p"), F.round("spearman", 6).alias("spearman"), F.round(stats.correlation_p("spearman", "n"), 6).alias("spearman_p"))
 
 
 @query("random_baseline", "SELECT round(avg(1.0 / n), 6) AS random FROM (SELECT l_orderkey, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY 1)")
