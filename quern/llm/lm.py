@@ -1,18 +1,21 @@
 """Language-model scores by deleted interpolation.
 
-Word and word-pair counts of the whole training part are mixed, p(w | v) = l2 f(w | v) + l1 f(w) + l0 / (V + 1),
-with weights by the frequency of the context v, learned by expectation-maximisation on counts from which the
-token itself is deleted.
+Counts of words and of n-grams up to an order, taken over the whole training part, are mixed: for order 2
+p(w | v) = l2 f(w | v) + l1 f(w) + l0 / (V + 1), for order 3 with l3 f(w | u v) before it. The weights go by the frequency
+of the longest context that was seen, and are learned by expectation-maximisation on counts from which the token itself
+is deleted.
 
-Counting is one exchange. Each task packs its documents into chunks: a chunk's distinct words and pairs go, as
-sorted 64-bit hashes with their training counts, to the task that owns that range of hashes; it adds the counts
+Counting is one exchange. Each task packs its documents into chunks: a chunk's distinct words and n-grams go, as
+sorted hashes with their training counts, to the task that owns that range of hashes; it adds the counts
 of all chunks and sends each chunk's totals back in the order asked. A chunk's tokens travel beside as numbers,
-in a group of their own. So no task holds the vocabulary, a frequent word or pair arrives once from a chunk, and
-what is exchanged grows with the distinct pairs of the chunks. Words are told apart by 64 bits of hash, pairs by 56.
+in a group of their own. So no task holds the vocabulary, a frequent word or n-gram arrives once from a chunk, and
+what is exchanged grows with the distinct n-grams of the chunks. Words are told apart by 64 bits of hash; n-grams by as
+many as the corpus's characters take to number, and SPARE more, so that one in 2 ** SPARE at most shares its hash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +33,18 @@ CHUNK_TOKENS = 2_000_000
 """Tokens after which a chunk is closed; a single longer document is a chunk of its own."""
 
 BUCKETS = 20
-"""Context buckets: bit length of the context's training count."""
+"""Context buckets for each length of a context: bit length of its training count."""
 
-STEPS = 8
-"""Steps of the histogram grid in each doubling of a probability."""
+STEPS = {2: 8, 3: 2}
+"""Steps of the histogram grid in each doubling of a probability, by order."""
 
 ROUNDS = 30
-PAIR_BITS = 56
+ORDER = 2
+"""Words of the longest n-gram, 2 or 3. Order 3 needs more disk than the check tool allows (README)."""
+
+SPARE = 16
+"""Bits of an n-gram's hash beyond those that number the corpus's characters."""
+
 _END, _START = b"\n", b"\n\n"  # no words: words hold no white space
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -54,18 +62,30 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(f"u{size}").ravel().astype(np.int64 if size < 8 else np.uint64)
 
 
-def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _gram_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * _MIX[0] + b
     x = (x ^ (x >> np.uint64(30))) * _MIX[1]
     x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return (x ^ (x >> np.uint64(31))) >> np.uint64(64 - PAIR_BITS)
+    return x ^ (x >> np.uint64(31))
+
+
+def _before(places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What stands before each token, plus one; 0 at a document's start."""
+    before = np.empty(len(places), np.int64)
+    before[1:] = places[:-1] + 1
+    before[np.cumsum(lengths) - lengths] = 0
+    return before
 
 
-def _keys(tokens: np.ndarray, lengths: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct pairs, and each token's place among them."""
-    pairs, which = np.unique(_pairs(tokens, lengths), return_inverse=True)
-    before = np.r_[np.uint64(xxhash.xxh3_64_intdigest(_START)), h][pairs >> 32]
-    return _pair_hash(before, h[pairs & 0xFFFFFFFF]), which
+def _grams(tokens: np.ndarray, lengths: np.ndarray, h: np.ndarray, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For pairs, then triples: hashes of the distinct ones, and each token's place among them (the n-gram it ends)."""
+    out, places, known = [], tokens.astype(np.int64), h
+    for n in range(2, order + 1):
+        codes, which = np.unique(_before(places, lengths) << 32 | tokens.astype(np.int64), return_inverse=True)
+        full = _gram_hash(np.r_[np.uint64(xxhash.xxh3_64_intdigest(_START * (n - 1))), known][codes >> 32], h[codes & 0xFFFFFFFF])
+        out.append((full >> np.uint64(64 - bits), which))
+        places, known = which, full
+    return out
 
 
 class _Chunk:
@@ -90,15 +110,7 @@ class _Chunk:
         return np.concatenate(self.tokens), lengths, np.array([h for _, h, _ in self.rows], bool), np.array([i for i, _, _ in self.rows], object)
 
 
-def _pairs(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The token before each token, plus one; 0 at a document's start."""
-    before = np.empty(len(tokens), np.int64)
-    before[1:] = tokens[:-1] + 1
-    before[np.cumsum(lengths) - lengths] = 0
-    return before << 32 | tokens.astype(np.int64)
-
-
-def _counting(targets: int):
+def _counting(targets: int, order: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -115,14 +127,12 @@ def _counting(targets: int):
             number = np.empty(len(h), np.int32)
             number[often] = np.arange(len(h), dtype=np.int32)
             tokens, h = number[tokens], h[often]
-            pair_keys, which = _keys(tokens, lengths, h)
-            keys = (h, pair_keys)
-            counts = (np.bincount(tokens[trained], minlength=len(h)), np.bincount(which[trained], minlength=len(pair_keys)))
             out: list[tuple[int, int, int, bytes]] = []
-            for kind, (key, n, bits) in enumerate(zip(keys, counts, (64, PAIR_BITS)), 1):
-                order = np.argsort(key, kind="stable")
-                key, n = key[order], n[order]
-                owner = (key >> np.uint64(bits - 32)).astype(np.int64) * targets >> 32
+            for kind, (key, which) in enumerate([(h, tokens), *_grams(tokens, lengths, h, order, bits)], 1):
+                n = np.bincount(which[trained], minlength=len(key))
+                by = np.argsort(key, kind="stable")
+                key, n = key[by], n[by]
+                owner = (key >> np.uint64((bits if kind > 1 else 64) - 32)).astype(np.int64) * targets >> 32
                 edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(key) else np.array([], int)
                 for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(key)]):
                     gaps = np.diff(key[a:b], prepend=np.uint64(0))
@@ -154,7 +164,7 @@ def _total(table: pa.Table) -> pa.Table:
         return pa.table([table["chunk"], table["kind"], zero(pa.int32()), zero(pa.int64()), zero(pa.int64()), table["body"]], names=["chunk", "kind", "part", "types", "tokens", "body"])
     chunk, kind, body = table["chunk"].to_pylist(), table["kind"].to_pylist(), table["body"].to_pylist()
     out: list[tuple[int, int, int, int, int, bytes]] = []
-    for k in (1, 2):
+    for k in sorted({*kind}):
         rows = [i for i in range(len(kind)) if kind[i] == k]
         if not rows:
             continue
@@ -173,76 +183,100 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["chunk", "kind", "part", "types", "tokens", "body"])
 
 
-def _gathered(table: pa.Table) -> pa.Table:
-    """One chunk: its tokens, its words' training counts, and each token's pair's."""
-    rows = sorted(zip(table["kind"].to_pylist(), table["part"].to_pylist(), table["body"].to_pylist()), key=lambda r: r[:2])
-    parts, body, at = [], rows[0][2], 0
-    while at < len(body):
-        n = int.from_bytes(body[at : at + 4], "little")
-        parts.append(body[at + 4 : at + 4 + n])
-        at += 4 + n
-    tokens, lengths = _unpack(parts[0]).astype(np.int64), _unpack(parts[1]).astype(np.int64)
-    h = np.frombuffer(parts[4], np.uint64)
-    pair_keys, which = _keys(tokens, lengths, h)
-    counts = []
-    for kind, key in ((1, h), (2, pair_keys)):  # totals come by rising hash
-        total = np.empty(len(key), np.int64)
-        total[np.argsort(key, kind="stable")] = np.concatenate([_unpack(b) for k, _, b in rows if k == kind])
-        counts.append(total)
-    packed = [parts[0], _pack(counts[0]), _pack(counts[1][which]), parts[1], parts[2], parts[3]]
-    known, total = sum(table["types"].to_pylist()), sum(table["tokens"].to_pylist())
-    return pa.table([pa.array([known], pa.int64()), pa.array([total], pa.int64()), pa.array([b"".join(len(p).to_bytes(4, "little") + p for p in packed)], pa.binary())], names=["types", "tokens", "body"])
-
-
-def _read(body: bytes, starts: int) -> tuple[np.ndarray, ...]:
-    """Counts of each token, its pair and its context; document lengths, held-out flags and ids."""
+def _parts(body: bytes) -> list[bytes]:
     parts, at = [], 0
     while at < len(body):
         n = int.from_bytes(body[at : at + 4], "little")
         parts.append(body[at + 4 : at + 4 + n])
         at += 4 + n
-    tokens, words, pair, lengths, held = (_unpack(p).astype(np.int64) for p in parts[:5])
-    single = words[tokens]
-    context = np.empty_like(single)
-    context[1:] = single[:-1]
-    context[np.cumsum(lengths) - lengths] = starts
-    ids = [int(i) if i else None for i in zstandard.ZstdDecompressor().decompress(parts[5]).decode().split(",")]
-    return single, pair, context, lengths, held.astype(bool), ids
+    return parts
+
+
+def _gathering(order: int, bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One chunk: its tokens, its words' training counts, and those of the n-grams that each token ends."""
+        rows = sorted(zip(table["kind"].to_pylist(), table["part"].to_pylist(), table["body"].to_pylist()), key=lambda r: r[:2])
+        parts = _parts(rows[0][2])
+        tokens, lengths = _unpack(parts[0]).astype(np.int64), _unpack(parts[1]).astype(np.int64)
+        h = np.frombuffer(parts[4], np.uint64)
+        counts = []
+        for kind, (key, which) in enumerate([(h, None), *_grams(tokens, lengths, h, order, bits)], 1):  # totals come by rising hash
+            total = np.empty(len(key), np.int64)
+            total[np.argsort(key, kind="stable")] = np.concatenate([_unpack(b) for k, _, b in rows if k == kind])
+            counts.append(_pack(total if which is None else total[which]))
+        packed = [parts[0], *counts, parts[1], parts[2], parts[3]]
+        known, total = sum(table["types"].to_pylist()), sum(table["tokens"].to_pylist())
+        return pa.table([pa.array([known], pa.int64()), pa.array([total], pa.int64()), pa.array([b"".join(len(p).to_bytes(4, "little") + p for p in packed)], pa.binary())], names=["types", "tokens", "body"])
+
+    return run
+
+
+def _read(body: bytes, starts: int):
+    """(counts, contexts, lengths, held-out flags, ids): counts of each token and of the n-grams it ends, by length, and
+    of the contexts of those n-grams."""
+    *packed, seen = _parts(body)
+    tokens, words, *grams, lengths, held = (_unpack(p).astype(np.int64) for p in packed)
+    counts, contexts = [words[tokens], *grams], []
+    for c in counts[:-1]:
+        context = np.empty_like(c)
+        context[1:] = c[:-1]
+        context[np.cumsum(lengths) - lengths] = starts
+        contexts.append(context)
+    ids = [int(i) if i else None for i in zstandard.ZstdDecompressor().decompress(seen).decode().split(",")]
+    return counts, contexts, lengths, held.astype(bool), ids
 
 
-def _bucket(context: np.ndarray) -> np.ndarray:
-    return np.minimum(np.frexp(context.astype(np.float64))[1], BUCKETS - 1)
+def _bucket(contexts: list[np.ndarray]) -> np.ndarray:
+    """The longest context that was seen, and the bit length of its count."""
+    bucket = np.zeros(len(contexts[0]), np.int64)
+    for n, c in enumerate(contexts):
+        bucket = np.where(c > 0, n * BUCKETS + np.minimum(np.frexp(c.astype(np.float64))[1], BUCKETS - 1), bucket)
+    return bucket
 
 
-def _grid(starts: int, total: int):
-    """Training tokens by context bucket and by their two estimates, the token itself deleted, on a log grid."""
-    span = 64 * STEPS
+def _span(order: int) -> int:
+    return 64 * STEPS[order]
+
+
+def _grid(starts: int, total: int, order: int):
+    """Training tokens by context bucket and by their estimates, the token itself deleted, on a log grid."""
+    span, steps = _span(order), STEPS[order]
+
+    def step(top: np.ndarray, low: np.ndarray | int) -> np.ndarray:
+        near = np.minimum(1 + np.rint(-np.log2(np.maximum(top, 1) / np.maximum(low, 1)) * steps), span - 1)
+        return np.where((top > 0) & (low > 0), near, 0).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for body in b.column(0):
-                single, pair, context, lengths, held, _ = _read(body.as_py(), starts)
+                counts, contexts, lengths, held, _ = _read(body.as_py(), starts)
                 on = np.repeat(~held, lengths)
-                single, pair, context = single[on] - 1, pair[on] - 1, context[on] - 1
-                step = lambda top, low: np.where((top > 0) & (low > 0), np.minimum(1 + np.rint(-np.log2(np.maximum(top, 1) / np.maximum(low, 1)) * STEPS), span - 1), 0).astype(np.int64)
-                cell = (_bucket(context + 1) * span + step(pair, context)) * span + step(single, np.full_like(single, total - 1))
+                counts, contexts = [c[on] - 1 for c in counts], [c[on] - 1 for c in contexts]
+                cell = _bucket(contexts)
+                for top, low in reversed(list(zip(counts, [total - 1, *contexts]))):
+                    cell = cell * span + step(top, low)
                 cells, n = np.unique(cell, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], ["cell", "n"])
 
     return run
 
 
-def expectation_maximisation(cells: np.ndarray, n: np.ndarray, vocabulary: int, rounds: int = ROUNDS) -> np.ndarray:
-    """(BUCKETS, 3): weights of the uniform, word and pair estimates for each context bucket."""
-    span = 64 * STEPS
-    bucket, p2, p1 = cells // span // span, cells // span % span, cells % span
-    value = lambda s: np.where(s > 0, 2.0 ** (-(s - 1) / STEPS), 0.0)
-    p = np.stack([np.full(len(cells), 1 / (vocabulary + 1)), value(p1), value(p2)], axis=1)
-    weight = np.full((BUCKETS, 3), 1 / 3)
+def expectation_maximisation(cells: np.ndarray, n: np.ndarray, vocabulary: int, order: int = ORDER, rounds: int = ROUNDS) -> np.ndarray:
+    """(buckets, order + 1): weights of the uniform, word, pair ... estimates for each context bucket."""
+    span, steps = _span(order), STEPS[order]
+    value = lambda s: np.where(s > 0, 2.0 ** (-(s - 1) / steps), 0.0)
+    bucket = cells // span**order
+    return _maximise(np.stack([np.full(len(cells), 1 / (vocabulary + 1)), *(value(cells // span**i % span) for i in range(order))], axis=1), bucket, n, rounds)
+
+
+def _maximise(p: np.ndarray, bucket: np.ndarray, n: np.ndarray, rounds: int) -> np.ndarray:
+    order = p.shape[1] - 1
+    size = (order - 1) * BUCKETS
+    weight = np.full((size, order + 1), 1 / (order + 1))
     for _ in range(rounds):
         share = p * weight[bucket]
         share *= (n / share.sum(axis=1))[:, None]
-        new = np.stack([np.bincount(bucket, share[:, k], BUCKETS) for k in range(3)], axis=1) + 1e-3
+        new = np.stack([np.bincount(bucket, share[:, k], size) for k in range(order + 1)], axis=1) + 1e-3
         weight = new / new.sum(axis=1, keepdims=True)
     return weight
 
@@ -253,40 +287,42 @@ def _scoring(weight: np.ndarray, starts: int, total: int, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for body in b.column(0):
-                single, pair, context, lengths, held, ids = _read(body.as_py(), starts)
-                l0, l1, l2 = weight[_bucket(context)].T
-                seen = context > 0
-                f2 = np.where(seen, pair / np.maximum(context, 1), 0.0)
-                f1 = single / max(total, 1)
-                # a context without counts hands its pair weight to the words, and a model without tokens to the uniform part
-                l1, l2 = np.where(seen, l1, l1 + l2), np.where(seen, l2, 0.0)
-                l0 = l0 if total else l0 + l1
-                score = np.log10(l2 * f2 + l1 * f1 + l0 / (vocabulary + 1))
+                counts, contexts, lengths, held, ids = _read(body.as_py(), starts)
+                by = list(weight[_bucket(contexts)].T)
+                # a context without counts hands its weight to the shorter one, and a model without tokens all of it to the uniform part
+                for n in range(len(by) - 1, 1, -1):
+                    seen = contexts[n - 2] > 0
+                    by[n - 1], by[n] = np.where(seen, by[n - 1], by[n - 1] + by[n]), np.where(seen, by[n], 0.0)
+                by[0], by[1] = (by[0], by[1]) if total else (by[0] + by[1], by[1] * 0)
+                p = by[0] / (vocabulary + 1) + by[1] * counts[0] / max(total, 1)
+                for n in range(2, len(by)):
+                    p = p + by[n] * counts[n - 1] / np.maximum(contexts[n - 2], 1)
                 at = np.cumsum(lengths) - lengths
-                sums = [np.add.reduceat(x, at) for x in (np.log10(single + SMOOTH) - base, score, (single > 0).astype(np.int64))]
+                sums = [np.add.reduceat(x, at) for x in (np.log10(counts[0] + SMOOTH) - base, np.log10(p), (counts[0] > 0).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(lengths), pa.array(sums[2]), pa.array(np.full(len(ids), total, np.int64)), pa.array(sums[0]), pa.array(sums[1])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row for each row of docs.
 
     Learns from the rows whose crc32 of doc_id is not 0 modulo FOLDS (a null doc_id counts among them). Words are
     runs other than space and U+0009-000D, A-Z lower-cased; each text ends with a token of its own; a null text
-    counts as empty. The score is the interpolated model's log10 probability of the text, pairs included; with
+    counts as empty. The score is the interpolated model's log10 probability of the text, n-grams included; with
     no training rows all weight falls on the uniform part. Repeated rows each count; other columns are ignored.
     """
     held = F.coalesce(crc_mod(F.col("doc_id"), FOLDS) == 0, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), F.col("text").cast("string"))
     starts = rows.where("not held_out").select("doc_id").agg(F.count(F.lit(1))).first()[0]
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    targets = max(1, size // 8_000_000)
-    asked = rows.mapInArrow(_counting(targets), "target long, chunk long, kind int, body binary")
+    targets = max(1, size * order // 16_000_000)
+    bits = min(64, max(40, math.ceil(math.log2(size + 1)) + SPARE))
+    asked = rows.mapInArrow(_counting(targets, order, bits), "target long, chunk long, kind int, body binary")
     totals = asked.groupBy("target").applyInArrow(_total, "chunk long, kind int, part int, types long, tokens long, body binary")
-    chunks = cut(totals.groupBy("chunk").applyInArrow(_gathered, "types long, tokens long, body binary"))
+    chunks = cut(totals.groupBy("chunk").applyInArrow(_gathering(order, bits), "types long, tokens long, body binary"))
     known = chunks.agg(F.sum("types").alias("v"), F.sum("tokens").alias("n")).first()
     vocabulary, total = known["v"] or 0, known["n"] or 0
-    grid = chunks.select("body").mapInArrow(_grid(starts, total), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS * (64 * STEPS)**2 cells, far fewer in use
-    weight = expectation_maximisation(grid["cell"].to_numpy(np.int64), grid["n"].to_numpy(np.float64), vocabulary)
+    grid = chunks.select("body").mapInArrow(_grid(starts, total, order), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most a bucket times (64 * STEPS) ** order cells, far fewer in use
+    weight = expectation_maximisation(grid["cell"].to_numpy(np.int64), grid["n"].to_numpy(np.float64), vocabulary, order)
     return chunks.select("body").mapInArrow(_scoring(weight, starts, total, vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

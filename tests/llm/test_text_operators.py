@@ -359,29 +359,57 @@ def test_tokens_of_a_chunk_are_a_group_alone(monkeypatch):
     bodies = []
     for task in range(3):
         monkeypatch.setattr("pyspark.TaskContext.get", lambda: types.SimpleNamespace(partitionId=lambda: task))
-        bodies += [r for out in lm._counting(2)(iter([batch])) for r in out.to_pylist() if r["kind"] == 0]
+        bodies += [r for out in lm._counting(2, 2, 40)(iter([batch])) for r in out.to_pylist() if r["kind"] == 0]
     assert len({r["chunk"] for r in bodies}) == 12 and len({r["target"] for r in bodies}) == 12 and all(r["target"] < 0 for r in bodies)
 
 
 def test_interpolation(spark, monkeypatch):
-    weights = np.tile([0.1, 0.3, 0.6], (lm.BUCKETS, 1))
-    monkeypatch.setattr(lm, "expectation_maximisation", lambda *a: weights)
-    data = [(i, t) for i, t in enumerate(["a b a", "b a", "a a c", "", None, "c b zz a"] * 5)]
-    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    tokens, c, pairs, total, types, starts, _, _ = plain_scores(data)
+    data = [(i, t) for i, t in enumerate(["a b a", "b a", "a a c", "", None, "c b zz a", "a b c a b"] * 5)]
+    tokens, c, pairs, total, types, starts, _, held = plain_scores(data)
+    triples = collections.Counter(g for i, w in tokens if not held(i) for g in zip([b"start", b"start", *w], [b"start", *w], w))
+    for order, given in ((2, [0.1, 0.3, 0.6]), (3, [0.1, 0.2, 0.3, 0.4])):
+        monkeypatch.setattr(lm, "expectation_maximisation", lambda *a: np.tile(given, (lm.BUCKETS * 2, 1)))  # noqa: B023
+        got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(data, "doc_id long, text string"), order).collect()}
+        for i, w in tokens:
+            want = 0.0
+            for u, v, x in zip([b"start", b"start", *w], [b"start", *w], w):
+                l0, l1, l2, l3 = [*given, 0.0][:4]
+                before2, before3 = starts if v == b"start" else c[v], starts if v == b"start" else pairs[u, v]
+                if not before3:
+                    l2, l3 = l2 + l3, 0.0
+                if not before2:
+                    l1, l2 = l1 + l2, 0.0
+                want += math.log10((l3 * triples[u, v, x] / before3 if l3 else 0) + (l2 * pairs[v, x] / before2 if l2 else 0) + l1 * c[x] / total + l0 / (types + 1))
+            assert abs(got[i] - want) < 1e-9, (order, i)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_weights_are_those_of_ungridded_counts(spark, order, monkeypatch):
+    rng, seen = random.Random(11), {}
+    data = [(i, " ".join(rng.choices("a b c d e f g h i j".split(), [30, 20, 10, 5, 4, 3, 2, 1, 1, 1], k=rng.randint(0, 40)))) for i in range(300)]
+    exact = lm.expectation_maximisation
+    monkeypatch.setattr(lm, "expectation_maximisation", lambda *a: seen.setdefault("w", exact(*a)))
+    lm.score(spark.createDataFrame(data, "doc_id long, text string"), order)
+    tokens, c, pairs, total, types, starts, _, held = plain_scores(data)
+    triples = collections.Counter(g for i, w in tokens if not held(i) for g in zip([b"start", b"start", *w], [b"start", *w], w))
+    p, bucket = [], []
     for i, w in tokens:
-        want = 0.0
-        for v, x in zip([b"start", *w], w):
-            context = starts if v == b"start" else c[v]
-            l1, l2 = (0.3, 0.6) if context else (0.9, 0.0)
-            want += math.log10(l2 * (pairs[v, x] / context if context else 0) + l1 * c[x] / total + 0.1 / (types + 1))
-        assert abs(got[i] - want) < 1e-9
+        if held(i):
+            continue
+        for u, v, x in zip([b"start", b"start", *w], [b"start", *w], w):
+            c2, c3 = ((starts if v == b"start" else n) - 1 for n in (c[v], pairs[u, v]))
+            p.append([1 / (types + 1), (c[x] - 1) / (total - 1), (pairs[v, x] - 1) / c2 if c2 else 0.0, (triples[u, v, x] - 1) / c3 if c3 else 0.0][: order + 1])
+            bucket.append(lm.BUCKETS + c3.bit_length() if order == 3 and c3 else c2.bit_length())
+    want = lm._maximise(np.array(p), np.array(bucket), np.ones(len(p)), lm.ROUNDS)
+    likelihood = lambda w: np.log10((np.array(p) * w[bucket]).sum(axis=1)).sum()
+    assert likelihood(np.full_like(want, 1 / (order + 1))) < likelihood(seen["w"]) <= likelihood(want) + 1e-6
+    assert likelihood(want) - likelihood(seen["w"]) < 0.001 * abs(likelihood(want))  # the grid loses next to nothing
 
 
 def test_weights_prefer_what_predicts():
-    span = 64 * lm.STEPS
-    sure, rare = 1, 1 + 10 * lm.STEPS
-    w = lm.expectation_maximisation(np.array([(3 * span + sure) * span + rare, (5 * span + 0) * span + rare]), np.array([1000.0, 1000.0]), 10**6)
+    span = 64 * lm.STEPS[2]
+    sure, rare = 1, 1 + 10 * lm.STEPS[2]
+    w = lm.expectation_maximisation(np.array([(3 * span + sure) * span + rare, (5 * span + 0) * span + rare]), np.array([1000.0, 1000.0]), 10**6, 2)
     assert w[3, 2] > 0.9 and w[5, 1] > 0.9 and np.allclose(w.sum(axis=1), 1)
 
 
