@@ -125,3 +125,26 @@ UNITS = [  # from, to, before, times, over, after: (value + before) * times / ov
 ]
 
 ZONES = {"est": "America/New_York", "cst": "America/Chicago", "mst": "America/Denver", "pst": "America/Los_Angeles", "gmt": "Europe/London", "utc": "UTC", "cet": "Europe/Berlin", "jst": "Asia/Tokyo", "ist": "Asia/Kolkata", "aest": "Australia/Sydney", "kst": "Asia/Seoul", "cst_china": "Asia/Shanghai", "sgt": "Asia/Singapore"}
+
+TRANSCRIPTS = {  # Fixed values. Word in the source's name: text, seconds, segments (start, end, text)
+    "meeting": (
+        "Good morning everyone. Let's start with the quarterly review. Revenue is up 15 percent compared to last quarter. Our customer satisfaction scores have improved to 4.6 out of 5. The main challenge remains scaling our infrastructure to meet demand.",
+        22,
+        [(0.0, 3.5, "Good morning everyone."), (3.5, 7.2, "Let's start with the quarterly review."), (7.2, 12.8, "Revenue is up 15 percent compared to last quarter."), (12.8, 17.1, "Our customer satisfaction scores have improved to 4.6 out of 5."), (17.1, 22.0, "The main challenge remains scaling our infrastructure to meet demand.")],
+    ),
+    "lecture": (
+        "Today we'll discuss neural network architectures. Transformers have become the dominant architecture for natural language processing. The key innovation is the self-attention mechanism, which allows the model to weigh the importance of different parts of the input.",
+        18,
+        [(0.0, 4.0, "Today we'll discuss neural network architectures."), (4.0, 10.5, "Transformers have become the dominant architecture for natural language processing."), (10.5, 18.0, "The key innovation is the self-attention mechanism, which allows the model to weigh the importance of different parts of the input.")],
+    ),
+    "voicemail": (
+        "Hi, this is Sarah from the marketing team. I wanted to follow up on the campaign proposal we discussed on Tuesday. Could you send me the updated budget numbers by end of day Friday? Thanks, talk to you soon.",
+        14,
+        [(0.0, 3.8, "Hi, this is Sarah from the marketing team."), (3.8, 8.5, "I wanted to follow up on the campaign proposal we discussed on Tuesday."), (8.5, 12.5, "Could you send me the updated budget numbers by end of day Friday?"), (12.5, 14.0, "Thanks, talk to you soon.")],
+    ),
+}
+OTHER_TRANSCRIPT = [  # Fixed values, for any other source
+    (0.0, 15.0, "This is a transcription of the provided audio."),
+    (15.0, 30.0, "The speaker discusses various topics including project updates, timeline adjustments, and next steps for the team."),
+]
+MIME_TYPES = {".json": "application/json", ".csv": "text/csv", ".txt": "text/plain", ".md": "text/markdown", ".xml": "application/xml", ".html": "text/html"}

@@ -56,6 +56,20 @@ def query(df: DataFrame, where: Column | None = None, sort_by: str | None = None
     return out.limit(limit)
 
 
+def row_mean(*columns: Column) -> Column:
+    """The mean of a row's values that are not null."""
+    known = F.filter(F.array(*columns), lambda x: x.isNotNull())
+    return F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(known), F.lit(0))
+
+
+def head_tail(df: DataFrame, order: Sequence[str], first: int = 10, last: int = 5) -> DataFrame:
+    """df with part: the first rows by order, and the last ones where there are more rows than the first."""
+    head = df.orderBy(*order).limit(first).withColumn("part", F.lit("head"))
+    if df.limit(first + 1).count() <= first:
+        return head
+    return head.unionByName(df.orderBy(*[F.col(c).desc() for c in order]).limit(last).withColumn("part", F.lit("tail")))
+
+
 FILTERS = {
     "greater_than": lambda c, v: c.cast("double") > float(v),
     "less_than": lambda c, v: c.cast("double") < float(v),

@@ -54,11 +54,11 @@ def prefix_bucket(spark, sf):
     return d.groupBy(bucket.alias("bucket"), F.split_part("url_like", F.lit("_"), F.lit(1)).alias("head")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("row_mean_min", """SELECT p_partkey, round((p_size + p_retailprice + length(p_name)) / 3, 6) AS mean3, least(p_size, p_retailprice, length(p_name)::DOUBLE) AS min3,
+@query("row_mean_min", """SELECT p_partkey, round(list_avg(list_filter([p_size::DOUBLE, CASE WHEN p_partkey % 3 > 0 THEN p_retailprice END, length(p_name)::DOUBLE], lambda x: x IS NOT NULL)), 6) AS mean3, least(p_size, p_retailprice, length(p_name)::DOUBLE) AS min3,
   CASE WHEN p_retailprice < 1 THEN p_retailprice * 100 ELSE p_retailprice END AS percent FROM part""")
 def row_mean_min(spark, sf):
-    p = table(spark, sf, "part")
-    return p.select("p_partkey", F.round((F.col("p_size") + F.col("p_retailprice") + F.length("p_name")) / 3, 6).alias("mean3"), F.least(F.col("p_size").cast("double"), "p_retailprice", F.length("p_name").cast("double")).alias("min3"), F.when(F.col("p_retailprice") < 1, F.col("p_retailprice") * 100).otherwise(F.col("p_retailprice")).alias("percent"))
+    p = table(spark, sf, "part").withColumn("known", F.when(F.col("p_partkey") % 3 > 0, F.col("p_retailprice")))
+    return p.select("p_partkey", F.round(rel.row_mean(F.col("p_size").cast("double"), F.col("known"), F.length("p_name").cast("double")), 6).alias("mean3"), F.least(F.col("p_size").cast("double"), "p_retailprice", F.length("p_name").cast("double")).alias("min3"), F.when(F.col("p_retailprice") < 1, F.col("p_retailprice") * 100).otherwise(F.col("p_retailprice")).alias("percent"))
 
 
 @query("data_sort", "SELECT c_custkey, c_acctbal FROM customer ORDER BY coalesce(c_acctbal, 0) DESC, c_custkey")
@@ -77,12 +77,12 @@ def sort_composite(spark, sf):
     return table(spark, sf, "orders").orderBy(rank, F.col("o_totalprice").desc(), "o_orderkey").limit(50).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
-@query("head_tail", "(SELECT 'head' AS part, p_partkey FROM part ORDER BY p_retailprice, p_partkey LIMIT 10) UNION ALL (SELECT 'tail', p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey DESC LIMIT 5)")
+@query("head_tail", """SELECT 'part' AS of, part, key FROM ((SELECT 'head' AS part, p_partkey AS key FROM part ORDER BY p_retailprice, p_partkey LIMIT 10) UNION ALL (SELECT 'tail', p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey DESC LIMIT 5))
+UNION ALL SELECT 'region', 'head', r_regionkey FROM region""")
 def head_tail(spark, sf):
-    p = table(spark, sf, "part")
-    head = p.orderBy("p_retailprice", "p_partkey").limit(10).select(F.lit("head").alias("part"), "p_partkey")
-    tail = p.orderBy(F.col("p_retailprice").desc(), F.col("p_partkey").desc()).limit(5).select(F.lit("tail").alias("part"), "p_partkey")
-    return head.unionByName(tail)
+    p = rel.head_tail(table(spark, sf, "part").select(F.col("p_partkey").alias("key"), "p_retailprice"), ["p_retailprice", "key"])
+    r = rel.head_tail(table(spark, sf, "region").select(F.col("r_regionkey").alias("key")), ["key"])  # too few for a tail
+    return p.select(F.lit("part").alias("of"), "part", "key").unionByName(r.select(F.lit("region").alias("of"), "part", "key"))
 
 
 @query("seeded_sample", "SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id::VARCHAR), doc_id LIMIT 20")

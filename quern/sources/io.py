@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from quern.functions import records as R
+from quern.functions import tables as fixed
+
 SCORE = "struct<task_id:string,level:string,overall:double,tool_sequence_score:double,argument_score:double,completeness_score:double,data_flow_score:double,error_type:string,call_scores:array<struct<step:string,tool_correct:boolean,args_score:double,matched:boolean>>>"
 RECORD = f"task_id:string,model:string,score:{SCORE},tokens:struct<input:bigint,output:bigint>,latency_ms:double,num_tool_calls:int"
 RESULTS = f"models map<string,struct<model:struct<name:string,provider:string>,task_results:array<struct<{RECORD}>>>>"
@@ -98,3 +104,63 @@ def markdown(df: DataFrame, digits: int = 4) -> DataFrame:
     """(line): the rows of a Markdown table, numbers rounded, null and NaN as a dash."""
     cell = lambda f: F.when(F.col(f.name).isNull() | F.isnan(f.name), "–").otherwise(F.format_string(f"%.{digits}f", F.col(f.name))) if isinstance(f.dataType, T.DoubleType) else F.coalesce(F.col(f.name).cast("string"), F.lit("–"))
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(f) for f in df.schema.fields]), F.lit(" |")).alias("line"))
+
+
+TASK = "struct<task_id:string,level:string,prompt:string,available_tools:array<string>,num_steps:int>"
+
+
+def suite(spark: SparkSession, path: str) -> DataFrame:
+    """A task suite's tasks, a row for each. A document without name, version, stats or tasks stops the read."""
+    doc = spark.read.option("multiLine", True).schema(f"name string, version string, stats struct<n:int>, tasks array<{TASK}>").json(path)
+    whole = F.expr("name is not null and version is not null and stats is not null and tasks is not null")
+    return doc.select(F.when(whole, F.col("tasks")).otherwise(F.raise_error(F.lit("a suite has name, version, stats and tasks"))).alias("tasks")).select(F.inline("tasks"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; in a temporary one where driver and executors are one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{shared or tempfile.gettempdir()}/quern-{uuid.uuid4().hex}/{name}"
+
+
+def report(title: Column, data: Column, style: str) -> Column:
+    """A report on a map of texts: text, markdown or html."""
+    entries = F.map_entries(data)
+    each = lambda form: F.array_join(F.transform(entries, form), "\n")
+    if style == "markdown":
+        return F.concat(F.lit("# "), title, F.lit("\n\n## Summary\n\n"), each(lambda e: F.concat(F.lit("- **"), e["key"], F.lit("**: "), e["value"])), F.lit(f"\n\n*Report generated at {R.STAMP}*"))
+    if style == "html":
+        return F.concat(F.lit("<h1>"), title, F.lit("</h1>\n<h2>Summary</h2>\n<ul>\n"), each(lambda e: F.concat(F.lit("  <li><strong>"), e["key"], F.lit("</strong>: "), e["value"], F.lit("</li>"))), F.lit(f"\n</ul>\n<p><em>Report generated at {R.STAMP}</em></p>"))
+    return F.concat(F.upper(title), F.lit("\n"), F.repeat(F.lit("="), F.length(title)), F.lit("\n\nSummary:\n"), each(lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), e["value"])), F.lit(f"\n\nGenerated: {R.STAMP}"))
+
+
+def mime(path: Column) -> Column:
+    return F.coalesce(*[F.when(path.endswith(end), kind) for end, kind in fixed.MIME_TYPES.items()], F.lit("text/plain"))
+
+
+def written(log: DataFrame, order: str) -> DataFrame:
+    """(path, content, size, type, overwrote_existing): files after a log of writes (path, content), the last by order."""
+    last = log.groupBy("path").agg(F.max_by("content", order).alias("content"), F.count(F.lit(1)).alias("n"))
+    return last.select("path", "content", F.length("content").alias("size"), mime(F.col("path")).alias("type"), (F.col("n") > 1).alias("overwrote_existing"))
+
+
+def transcribed(source: Column) -> Column:
+    """struct<known,text,seconds,confidence,segments>: the transcript whose word the source's name holds, else a general one."""
+    def heard(known: bool, said: str, seconds: Column, confidence: Column, segments: list) -> Column:
+        parts = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(t).alias("text")) for a, b, t in segments])
+        return F.struct(F.lit(known).alias("known"), F.lit(said).alias("text"), seconds.alias("seconds"), confidence.alias("confidence"), parts.alias("segments"))
+
+    h = R.hashed("transcribe", source)
+    other = heard(False, " ".join(t for _, _, t in fixed.OTHER_TRANSCRIPT), R.remainder(h, 120) + 30, F.round(0.85 + R.remainder(h, 15) / 100, 2), fixed.OTHER_TRANSCRIPT)
+    return F.coalesce(*[F.when(F.lower(source).contains(word), heard(True, t, F.lit(s).cast("long"), F.lit(0.95), g)) for word, (t, s, g) in fixed.TRANSCRIPTS.items()], other)
+
+
+def latex(df: DataFrame, best: list[str], digits: int = 4) -> DataFrame:
+    """(line): the rows of a LaTeX table, the largest value of each best column in bold; a row for each group."""
+    def cell(f: T.StructField) -> Column:
+        c = F.coalesce(F.format_string(f"%.{digits}f", f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name).cast("string"), F.lit("--"))
+        top = F.col(f.name) == F.max(f.name).over(W.partitionBy(F.lit(1)))
+        return F.when(top, F.concat(F.lit("\\textbf{"), c, F.lit("}"))).otherwise(c) if f.name in best else c
+
+    return df.select(F.concat(F.concat_ws(" & ", *[cell(f) for f in df.schema.fields]), F.lit(" \\\\")).alias("line"))
