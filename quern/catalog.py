@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quern.plans import aggregates, analysis, columns, evaluation, patterns, relational  # noqa: F401
+    from quern.plans import aggregates, analysis, columns, compositions, evaluation, patterns, relational  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -356,16 +356,19 @@ def get_exchange_rate(spark, sf):
     return pairs.select(F.col("a.c").alias("src"), F.col("b.c").alias("dst"), F.round(F.col("b.r") / F.col("a.r"), 6).alias("rate"))
 
 
+def translated(said, lang):
+    """A known phrase in the language, else the text with the language's name."""
+    known = F.map_from_arrays(*[F.array(*[F.lit(v) for v in c]) for c in zip(*((f"{p}|{g}", x) for p, t in fixed.PHRASES.items() for g, x in t.items()))])
+    names = F.map_from_arrays(F.array(*map(F.lit, fixed.LANGUAGE_NAMES)), F.array(*map(F.lit, fixed.LANGUAGE_NAMES.values())))
+    hit = F.try_element_at(known, F.concat_ws("|", F.rtrim(F.lower(F.trim(said)), F.lit(".")), lang))
+    return F.coalesce(hit, F.concat(said, F.lit(" ("), F.coalesce(F.try_element_at(names, lang), F.upper(lang)), F.lit(" translation)")))
+
+
 @query("translate_text", f"WITH t(k, lang, x) AS (VALUES {', '.join(f'({q(k)}, {q(lang)}, {q(x)})' for k, v in fixed.PHRASES.items() for lang, x in v.items())}), a AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Thank you.' WHEN 1 THEN 'HELLO' ELSE c_name END AS s, CASE WHEN c_custkey % 2 = 0 THEN 'fr' ELSE 'ru' END AS lang FROM customer) SELECT c_custkey, coalesce(x, s || CASE a.lang WHEN 'fr' THEN ' (French translation)' ELSE ' (Russian translation)' END) AS translated FROM a LEFT JOIN t ON rtrim(lower(trim(s)), '.') = k AND a.lang = t.lang")
 def translate_text(spark, sf):
     k = F.col("c_custkey")
     said = F.when(k % 3 == 0, "Thank you.").when(k % 3 == 1, "HELLO").otherwise(C())
-    lang = F.when(k % 2 == 0, "fr").otherwise("ru")
-    known = F.map_from_arrays(*[F.array(*[F.lit(v) for v in c]) for c in zip(*((f"{p}|{g}", x) for p, t in fixed.PHRASES.items() for g, x in t.items()))])
-    names = F.map_from_arrays(F.array(*map(F.lit, fixed.LANGUAGE_NAMES)), F.array(*map(F.lit, fixed.LANGUAGE_NAMES.values())))
-    hit = F.try_element_at(known, F.concat_ws("|", F.rtrim(F.lower(F.trim(said)), F.lit(".")), lang))
-    other = F.concat(said, F.lit(" ("), F.coalesce(F.try_element_at(names, lang), F.upper(lang)), F.lit(" translation)"))
-    return table(spark, sf, "customer").select("c_custkey", F.coalesce(hit, other).alias("translated"))
+    return table(spark, sf, "customer").select("c_custkey", translated(said, F.when(k % 2 == 0, "fr").otherwise("ru")).alias("translated"))
 
 
 on("web_page_fetch", "pages", "page_id", lambda: [text.title(F.replace(F.replace(F.substring_index(F.regexp_replace(U(), "[?#].*$", ""), "/", -1), F.lit("-"), F.lit(" ")), F.lit("_"), F.lit(" "))).alias("title"), F.lit(200).alias("status_code")], r"array_to_string(list_transform(regexp_extract_all(lower(replace(replace(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '-', ' '), '_', ' ')), '\p{L}+|[^\p{L}]+'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '') AS title, 200 AS status_code")
