@@ -3,8 +3,8 @@
 Fingerprints stand in vertical bit planes, 64 to a machine word; one word updates 64 distances through carry-save
 counters, and a probe is abandoned as soon as all lanes of its block exceed the radius. Buckets hold few fingerprints;
 those above ``CHUNK`` rows are dealt out as pairs of chunks over many tasks, and a bucket returns no more links than it
-has rows, never its pairs. Keys with many rows are salted wherever rows are joined on them. Nothing but counts reaches
-the driver.
+has rows, never its pairs. Keys with many rows are salted wherever rows are joined on them. Nothing but counts and short
+lists of crowded keys reaches the driver.
 
 Two searches use it. ``near_duplicates`` is exact in the distance of 64-bit fingerprints: two within ``radius`` bits agree
 on at least two of six bit blocks (radius 4), or three of seven and so on in larger corpora, so each distinct fingerprint
@@ -273,14 +273,20 @@ def _linker(radius: int, sure: int):
     return run
 
 
-def salted(many: DataFrame, one: DataFrame, key: str, apart: Column, how: str = "inner", hot: int = HOT) -> DataFrame:
-    """many joined with one, which has a row for each key; a key with over hot rows of many is dealt over several tasks by
-    the hash of apart, a column of many."""
-    large = cut(many.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot))
-    n = large.count()
-    if not n:
+def crowded(many: DataFrame, key: str, hot: int = HOT) -> DataFrame | None:
+    """(key, __n): the keys with over hot rows of many, to be broadcast where they are few; None if there are none."""
+    large = many.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot)
+    few = large.limit(HOT_BROADCAST + 1).toArrow()  # key and count alone, and no more of them than that
+    if len(few) <= HOT_BROADCAST:
+        return F.broadcast(many.sparkSession.createDataFrame(few, large.schema)) if len(few) else None
+    return cut(large)
+
+
+def salted(many: DataFrame, one: DataFrame, key: str, apart: Column, how: str = "inner", large: DataFrame | None = None, hot: int = HOT) -> DataFrame:
+    """many joined with one, which has a row for each key; the keys of crowded() are dealt over several tasks by the hash
+    of apart, a column of many."""
+    if large is None:
         return many.join(one, key, how)
-    large = F.broadcast(large) if n <= HOT_BROADCAST else large
     parts = F.coalesce(F.ceil(F.col("__n") / hot), F.lit(1)).cast("int")
     many = many.join(large, key, "left").withColumn("__part", F.pmod(F.xxhash64(apart), parts).cast("int")).drop("__n")
     one = one.join(large, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__n")
@@ -335,10 +341,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hot = crowded(both, "a")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = salted(both, least, "a", F.col("b")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = salted(both, least, "a", F.col("b"), "inner", hot).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = salted(large, least, "a", F.col("b"))
+        small = salted(large, least, "a", F.col("b"), "inner", hot)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         edges = cut(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -360,7 +367,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4
     nodes = cut(nodes.select("fp", F.coalesce("rep", F.col("fp").bitwiseAND((1 << 60) - 1).bitwiseOR(F.lit(_NULL_BASE))).alias("rep")))
     roots = components(links(nodes, radius, chunk, nodes.count())).select(F.col("a").alias("rep"), "b")
     known = nodes.join(roots, "rep", "left").select("fp", F.coalesce("b", "rep").alias("component_id"))
-    found = salted(fps, known, "fp", F.col("doc_id"), "left")
+    found = salted(fps, known, "fp", F.col("doc_id"), "left", crowded(fps, "fp"))
     owner = F.when(F.col("component_id") < _NULL_BASE, F.col("component_id"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), owner.alias("component_id"))
 
@@ -438,11 +445,15 @@ def similar(nodes: DataFrame, texts: DataFrame, similarity: float, words_per_shi
     up = roots.select(F.col("a").alias("x"), F.col("b").alias("r"))
     far = found.where("d > 0")
     for c in ("a", "b"):
-        far = salted(far.withColumnRenamed(c, "x"), up, "x", F.col("d"), "left").withColumn(f"r{c}", F.coalesce("r", "x")).withColumnRenamed("x", c).drop("r")
+        far = far.withColumnRenamed(c, "x")
+        far = salted(far, up, "x", F.xxhash64(*far.columns), "left", crowded(far, "x")).withColumn(f"r{c}", F.coalesce("r", "x")).withColumnRenamed("x", c).drop("r")
     far = far.where("ra <> rb").groupBy(F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high")).agg(F.min(F.struct("d", "a", "b")).alias("m"))
     far = cut(far.select("low", "high", "m.a", "m.b"))
     asked = cut(far.select(F.col("a").alias("rep")).unionByName(far.select(F.col("b").alias("rep"))).distinct())
-    asked = F.broadcast(asked) if asked.count() <= HOT_BROADCAST else asked
+    n = asked.count()
+    if not n:
+        return roots
+    asked = F.broadcast(asked) if n <= HOT_BROADCAST else asked
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -451,7 +462,8 @@ def similar(nodes: DataFrame, texts: DataFrame, similarity: float, words_per_shi
     known = cut(texts.select("rep", "text").join(asked, "rep", "left_semi").mapInArrow(sets, "x long, s binary"))
     pairs = far
     for c in ("a", "b"):
-        pairs = salted(pairs.withColumnRenamed(c, "x"), known, "x", F.xxhash64("low", "high")).withColumnRenamed("s", f"s{c}").drop("x")
+        pairs = pairs.withColumnRenamed(c, "x")
+        pairs = salted(pairs, known, "x", F.xxhash64("low", "high"), "inner", crowded(pairs, "x")).withColumnRenamed("s", f"s{c}").drop("x")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -462,8 +474,8 @@ def similar(nodes: DataFrame, texts: DataFrame, similarity: float, words_per_shi
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(0)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    more = pairs.select("low", "high", "sa", "sb").mapInArrow(exact, "a long, b long")
-    return components(roots.unionByName(more))
+    more = cut(pairs.select("low", "high", "sa", "sb").mapInArrow(exact, "a long, b long"))
+    return components(roots.unionByName(more)) if more.head(1) else roots
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, chunk: int = CHUNK) -> DataFrame:

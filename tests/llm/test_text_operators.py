@@ -140,7 +140,7 @@ def test_a_hot_key_is_dealt_out(spark):
     many = spark.createDataFrame([(i % 3 if i % 10 == 0 else 7, i) for i in range(400)], "k int, v int")
     one = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "k int, w string")
     for how in ("inner", "left"):
-        got = sorted(map(tuple, simhash.salted(many, one, "k", many["v"], how, hot=50).select("k", "v", "w").collect()), key=str)
+        got = sorted(map(tuple, simhash.salted(many, one, "k", many["v"], how, simhash.crowded(many, "k", 50), 50).select("k", "v", "w").collect()), key=str)
         assert got == sorted(map(tuple, many.join(one, "k", how).select("k", "v", "w").collect()), key=str)
 
 
