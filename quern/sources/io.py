@@ -29,9 +29,10 @@ def results(spark: SparkSession, path: str) -> DataFrame:
 
 def records(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """JSON lines of scored tasks with the file's name; a malformed line is left out, or stops a strict read."""
+    schema = T.StructType.fromDDL(RECORD)
     if strict:
-        return spark.read.option("mode", "FAILFAST").schema(RECORD).json(path).withColumn("file", F.col("_metadata.file_name"))
-    schema = T.StructType.fromDDL(RECORD).add("_corrupt", T.StringType())
+        return spark.read.option("mode", "FAILFAST").schema(schema).json(path).withColumn("file", F.col("_metadata.file_name"))
+    schema = schema.add("_corrupt", T.StringType())
     rows = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(schema).json(path)
     return rows.withColumn("file", F.col("_metadata.file_name")).where("_corrupt is null and task_id is not null").drop("_corrupt")
 
