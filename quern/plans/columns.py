@@ -112,6 +112,7 @@ on("tokenize_sentences", "documents", "doc_id", lambda: [F.size(s := text.senten
 on("summarize_text", "documents", "doc_id", lambda: [(s := text.summary(T(), 3)).alias("summary"), F.round(F.try_divide(F.length(s), F.length(T())), 2).alias("ratio")], r"s AS summary, round(length(s) / nullif(n, 0), 2) AS ratio FROM (SELECT doc_id, length(text) AS n, array_to_string(list_slice(string_split(regexp_replace(trim(text, ' '), '([.!?])[ \t\n\x0B\f\r]+', '\1␞', 'g'), '␞'), 1, 3), ' ') AS s FROM documents) --")
 on("text_statistics", "documents", "doc_id", lambda: [(s := text.statistics(T()))["word_count"].alias("word_count"), s["sentence_count"].alias("sentence_count"), s["avg_word_length"].alias("avg_word_length"), s["reading_seconds"].cast("long").alias("reading_seconds")], rf"n::INT AS word_count, e::INT AS sentence_count, CASE WHEN n > 0 THEN round((c / n)::DECIMAL(18, 10), 2)::DOUBLE ELSE 0.0 END AS avg_word_length, ceil(n / 238 * 60)::BIGINT AS reading_seconds FROM (SELECT doc_id, len(w) AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS c, CASE WHEN trim(text, ' ') = '' THEN 0 ELSE greatest(len(regexp_split_to_array(trim(text, ' '), '[.!?]+')) - 1, 1) END AS e FROM (SELECT doc_id, text, {WORDS} AS w FROM documents)) --")
 on("mask_pii", "conversations", "conv_id", lambda: ["turn", text.masked(T()).alias("masked")], r"turn, regexp_replace(regexp_replace(regexp_replace(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', '[SSN]', 'g'), '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+', '[EMAIL]', 'g'), '\+?[0-9][0-9\s\-()]{7,}[0-9]', '[PHONE]', 'g') AS masked")
+on("mask_pii_found", "conversations", "conv_id", lambda: ["turn", F.array_join(F.concat(text.found(T(), text.SSN), text.found(T(), text.EMAIL)), ",").alias("found")], r"turn, array_to_string(list_concat(regexp_extract_all(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b'), regexp_extract_all(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+')), ',') AS found")
 on("extract_entities", "documents", "doc_id", lambda: [F.size(e := text.entities(T())).alias("n"), F.size(F.filter(e, lambda x: x["type"] == "email")).alias("emails"), F.size(F.filter(e, lambda x: x["type"] == "capitalized_phrase")).alias("phrases")], None)
 on("extract_numbers", "documents", "doc_id", lambda: [F.size(n := text.numbers(T())).alias("n"), F.round(F.aggregate(n, F.lit(0.0), lambda s, x: s + x), 2).alias("total")], r"len(x)::INT AS n, round(coalesce(list_sum(list_transform(x, lambda v: replace(v, ',', '')::DOUBLE)), 0), 2) AS total FROM (SELECT doc_id, regexp_extract_all(text, '-?[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?|-?[0-9]+(?:\.[0-9]+)?') AS x FROM documents) --")
 on("truncate_text", "documents", "doc_id", lambda: [text.truncated(T(), 60).alias("short"), (F.length(T()) > 60).alias("cut")], "CASE WHEN length(text) <= 60 THEN text ELSE substr(text, 1, 57) || '...' END AS short, length(text) > 60 AS cut")
@@ -142,10 +143,9 @@ on("classify_text", "documents", "doc_id", lambda: [(c := text.category(T(), CAT
 c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM w WHERE NOT list_contains({listed(fixed.STOPWORDS)}, word) GROUP BY ALL)
 SELECT doc_id, word, rank, round(n / max(n) OVER (PARTITION BY doc_id), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM c) QUALIFY rank <= 5""")
 def keyword_extract(spark, sf):
-    found = table(spark, sf, "documents").select("doc_id", F.posexplode(text.found(F.lower("text"), r"(?<![0-9A-Za-z_])[a-z]{2,}(?![0-9A-Za-z_])")).alias("pos", "word"))
-    n = found.where(~F.col("word").isin(*fixed.STOPWORDS)).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    ranked = n.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("n").desc(), "first")).cast("long")).withColumn("top", F.max("n").over(W.partitionBy("doc_id")))
-    return ranked.where("rank <= 5").select("doc_id", "word", "rank", F.round(F.col("n") / F.col("top"), 4).alias("score"))
+    counted = table(spark, sf, "documents").select("doc_id", text.keyword_counts(F.lower("text")).alias("top"))
+    top = counted.select("doc_id", F.get("top", F.lit(0))["n"].alias("most"), F.posexplode("top").alias("rank", "k"))
+    return top.select("doc_id", "k.word", (F.col("rank") + 1).cast("long").alias("rank"), F.round(F.col("k.n") / F.col("most"), 4).alias("score"))
 
 
 def _pairs(spark, sf):
