@@ -230,6 +230,19 @@ def test_weak_parts_need_partners():
     assert secrets.scan("client_id=web-7431" + " " * 500 + "pass=hunter2x") == []
 
 
+def test_interval_join_matches_all_pairs():
+    rng = random.Random(21)
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(0, 14)):
+            s = rng.randint(0, 120)
+            parts.append((rng.choice(["id", "secret", "endpoint"]), "k", s, s + rng.randint(1, 40)))
+        parts.sort(key=lambda p: (p[2], p[3]))
+        reach = rng.choice([0, 5, 30])
+        want = [{r for r, _, s, e in parts if r != role and max(s - b, a - e) <= reach} for role, _, a, b in parts]
+        assert secrets._interval_join(parts, reach) == want
+
+
 def test_long_parts_are_whole():
     key = hashlib.sha512(b"key").digest()
     long = base64.b64encode(key).decode()
@@ -262,6 +275,42 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels.limit(0))).count() == 0
 
 
+def test_toxicity_beside_a_plain_version(spark):
+    """Posterior and scores of a small sample, from the formulas written out row by row."""
+    rng = random.Random(6)
+    clean, bad = "alpha beta gamma delta please thanks".split(), "zork blarg idiot scum".split()
+    texts = [" ".join(rng.choices(clean, k=12) + (rng.choices(bad, k=rng.randint(1, 3)) if i % 4 == 0 else [])) for i in range(240)]
+    labels = np.array([int(i % 4 == 0) if rng.random() > 0.05 else int(i % 4 != 0) for i in range(240)])
+    rows = [toxicity.features(t) for t in texts]
+    words, fixed = [h for h, _ in rows], np.array([v for _, v in rows])
+    votes = toxicity.cast_votes(words, fixed, labels, toxicity.induce(words, labels))
+    model = toxicity.LabelModel.fit(votes)
+    got = model.posterior(votes)
+    for i in range(len(texts)):
+        odds = math.log(model.prior / (1 - model.prior))
+        for j in range(votes.shape[1]):
+            k = int(votes[i, j]) + 1
+            odds += model.discount[j] * math.log(model.rates[1, k, j] / model.rates[0, k, j])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-50, min(50, odds)))), abs=1e-9)
+    right = model.accuracy(votes.shape[1] - 1)
+    assert 0.8 < right[0] <= 1 and 0.6 < right[1] <= 1
+    judge = toxicity.train(words, fixed, labels)
+    for t, (h, v) in list(zip(texts, rows))[:40]:
+        odds = judge.bias + sum(float(judge.words[w]) for w in h) / math.sqrt(len(h)) + sum(float(judge.induced[w]) for w in h) + sum(float(a) * float(b) for a, b in zip(v, judge.votes))
+        assert judge.score(h, v) == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-5)
+    predicted = [judge.score(h, v) >= 0.5 for h, v in rows]
+    assert sum(p == (i % 4 == 0) for i, p in enumerate(predicted)) >= 235  # the true class, whatever the noise of the labels
+
+
+def test_fit_takes_ties_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(i % 50, "same text idiot" if i % 2 else "same text") for i in range(200)] + [(None, None), (51, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(i, 0) for i in range(50)] + [(51, 0)], "doc_id long, toxic int")
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs.repartition(7), labels.repartition(3))
+    assert np.array_equal(a.words, b.words) and a.bias == b.bias
+    few = toxicity.fit(docs, labels, chars=200)  # a bound on characters draws fewer rows, and still fits
+    assert 0 <= few.score(*toxicity.features("same text idiot")) <= 1
+
+
 # media
 
 
