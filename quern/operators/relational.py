@@ -17,14 +17,21 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key by order."""
+    """The first row of each key by order, whose parts may fall: for keys of few rows, as aggregates have."""
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], last: bool = False) -> DataFrame:
+    """The first, or last, row of each key by rising order: partial aggregates, so that no key's rows meet in one task."""
+    rest = [c for c in df.columns if c not in keys]
+    choose = F.max_by if last else F.min_by
+    return df.groupBy(*keys).agg(choose(F.struct(*rest), F.struct(*order)).alias("__r")).select(*keys, "__r.*").select(df.columns)
+
+
 def merge(left: DataFrame, right: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """Left join on the key as text; of equal right keys the last by order wins, right columns replace left ones of
     the same name where there is a match, and matched tells it."""
-    last = pick(right.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit(""))), ["__key"], [c.desc() for c in order]).drop(key)
+    last = first(right.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit(""))), ["__key"], order, last=True).drop(key)
     last = last.select("__key", F.lit(True).alias("__hit"), *[F.col(c).alias(f"__r_{c}") for c in last.columns if c != "__key"])
     out = left.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit(""))).join(last, "__key", "left")
     hit = F.coalesce("__hit", F.lit(False))

@@ -193,7 +193,7 @@ def best_flags(spark, sf):
 
 @query("first_wins", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
 def first_wins(spark, sf):
-    return rel.pick(table(spark, sf, "events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id")
+    return rel.first(table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id")
 
 
 @query("global_rank", "SELECT source, row_number() OVER (ORDER BY avg(n_chars) DESC, source) AS rank FROM documents GROUP BY source")

@@ -43,8 +43,8 @@ def first_complete(runs: list[DataFrame], least: int = 200) -> DataFrame:
     for i, r in enumerate(runs):
         r = r.withColumn("run", F.lit(i))
         every = r if every is None else every.unionByName(r, allowMissingColumns=True)
-    counted = every.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy("model", "run"))).where(F.col("__n") >= least)
-    return counted.withColumn("__first", F.min("run").over(W.partitionBy("model"))).where("run = __first").drop("__n", "__first")
+    whole = every.groupBy("model", "run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return every.join(whole.groupBy("model").agg(F.min("run").alias("run")), ["model", "run"], "left_semi").select(every.columns)
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
