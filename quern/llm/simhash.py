@@ -16,7 +16,7 @@ fingerprints are linked, and doubtful ones are compared by their shingles.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -414,10 +414,10 @@ def _row(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)])
 
 
-def similar(nodes: DataFrame, texts: DataFrame, similarity: float, words_per_shingle: int = 5, chunk: int = CHUNK) -> DataFrame:
+def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float, words_per_shingle: int = 5, chunk: int = CHUNK) -> DataFrame:
     """(a, b): each node that is similar to another, other than its group's smallest, with that smallest node.
 
-    nodes: (fp, rep), wide fingerprints; texts: (rep, text), a row for each. Links of less than the sure distance, four
+    nodes: (fp, rep), wide fingerprints; texts: from (rep), distinct and asked for, to (rep, text). Links of less than the sure distance, four
     deviations below the threshold's, are taken as they are; of the others, up to two deviations above it, the nearest that
     connect what the sure ones leave apart are compared by their shingle sets, exactly.
     """
@@ -450,16 +450,14 @@ def similar(nodes: DataFrame, texts: DataFrame, similarity: float, words_per_shi
     far = far.where("ra <> rb").groupBy(F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high")).agg(F.min(F.struct("d", "a", "b")).alias("m"))
     far = cut(far.select("low", "high", "m.a", "m.b"))
     asked = cut(far.select(F.col("a").alias("rep")).unionByName(far.select(F.col("b").alias("rep"))).distinct())
-    n = asked.count()
-    if not n:
+    if not asked.head(1):
         return roots
-    asked = F.broadcast(asked) if n <= HOT_BROADCAST else asked
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words_per_shingle).tobytes() for t in b.column(1)], pa.binary())], ["x", "s"])
 
-    known = cut(texts.select("rep", "text").join(asked, "rep", "left_semi").mapInArrow(sets, "x long, s binary"))
+    known = cut(texts(asked).select("rep", "text").mapInArrow(sets, "x long, s binary"))
     pairs = far
     for c in ("a", "b"):
         pairs = pairs.withColumnRenamed(c, "x")
@@ -495,7 +493,13 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     fps = cut(rows.mapInArrow(sketch, "doc_id long, row long, fp binary"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")).alias("best")
     nodes = cut(fps.groupBy("fp").agg(best).withColumn("rep", F.xxhash64("fp")))
-    texts = rows.join(nodes.select("rep", F.col("best.row").alias("row"), F.col("best.doc_id").alias("id")), "row").where(F.col("id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["rep"])
+
+    def texts(asked: DataFrame) -> DataFrame:
+        """The asked nodes' texts; where they are few, the documents stay where they are."""
+        wanted = cut(nodes.join(asked, "rep", "left_semi").select("rep", F.col("best.row").alias("row"), F.col("best.doc_id").alias("id")))
+        wanted = F.broadcast(wanted) if wanted.count() <= HOT_BROADCAST else wanted
+        return rows.join(wanted, "row").where(F.col("id").eqNullSafe(F.col("doc_id"))).select("rep", "text").dropDuplicates(["rep"])
+
     groups = similar(nodes, texts, similarity, words_per_shingle, chunk)
     joined = nodes.select("rep", "best").join(groups.select(F.col("a").alias("rep"), "b"), "rep", "left")
     chosen = cut(joined.groupBy(F.coalesce("b", "rep").alias("g")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"), F.col("best.doc_id").alias("__id")))
