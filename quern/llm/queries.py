@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, lm, media, mixing, pii, secrets, simhash, toxicity, url_filter
+from . import ann, bpe, line_dedup, lm, media, mixing, pii, runs, secrets, simhash, toxicity, url_filter
 from ._common import table
 
 
@@ -53,6 +53,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.DEFAULT_VOCABULARY))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -64,9 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_runs": op12_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": url_filter.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op11_line_dedup": line_dedup.ORACLE_SQL,
 }
