@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, line_dedup, lm, media, mixing, pii, runs, secrets, simhash, toxicity, url_filter
+from . import ann, bpe, line_dedup, lm, media, mixing, phrases, pii, runs, secrets, simhash, toxicity, url_filter
 from ._common import table
 
 
@@ -61,6 +61,10 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -74,10 +78,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op11_line_dedup": op11_line_dedup,
     "op12_runs": op12_runs,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": url_filter.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
     "op11_line_dedup": line_dedup.ORACLE_SQL,
+    "op13_phrases": phrases.ORACLE_SQL,
 }
