@@ -39,6 +39,9 @@ QUERY_BLOCK = 512
 BLOCKS = 8192
 """Most blocks of queries, whose centres and radii every task knows."""
 
+CENTRES = 1 << 19
+"""Numbers in all blocks' centres (4 MB): fewer blocks where vectors are long."""
+
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -195,7 +198,7 @@ def _ball(x: np.ndarray) -> tuple[np.ndarray, float]:
 def complete(rows: DataFrame, asked: DataFrame, dim: int, curves: Curves, k: int) -> DataFrame:
     """All rows within each query's bound, k at most from a cell. asked: vec_id, embedding, bound; exact."""
     cells = _stretches(rows, dim, curves, CELL)
-    blocks = _stretches(asked, dim, curves, max(QUERY_BLOCK, -(-asked.count() // BLOCKS)), "bound")
+    blocks = _stretches(asked, dim, curves, max(QUERY_BLOCK, -(-asked.count() // max(1, min(BLOCKS, CENTRES // dim)))), "bound")
 
     def block_ball(table: pa.Table) -> pa.Table:
         centre, radius = _ball(_matrix(table["embedding"].combine_chunks(), dim))
@@ -245,7 +248,8 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CURV
     Rows without a vec_id, and vectors that are null, empty, zero or hold nulls or non-finite numbers, take no part;
     only vectors of equal length are compared. Rows that repeat a vec_id count as one candidate at their smallest
     distance, and a repeated query id is answered with its smallest vector. exact=False returns what the windows
-    alone find. Other columns are ignored; an empty table gives an empty result.
+    alone find, which lack a query's neighbours beyond the window or another task's border, and a repeated query id's
+    other vectors. Other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = valid(vectors)
@@ -256,12 +260,12 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CURV
         sample = same.orderBy(F.xxhash64("vec_id")).limit(SAMPLE) if total > SAMPLE else same
         fit = np.array([r[0] for r in sample.select("embedding").collect()], np.float64)
         curve = Curves(fit, size, curves, DIMENSIONS, BITS)
-        first = windows(same, size, curve, k, every, window)
+        asked = cut(same.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+        first = windows(same.where(F.col("vec_id") % every != 0).unionByName(asked), size, curve, k, every, window)  # a bound is of the vector that is asked
         if not exact:
             results.append(nearest(first, k))
             continue
         bounds = nearest(first, k).groupBy("query_id").agg(F.max("score").alias("bound"), F.count(F.lit(1)).alias("n"))
-        asked = same.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
         asked = asked.join(bounds.where(F.col("n") >= k), asked["vec_id"] == bounds["query_id"], "left")
         asked = cut(asked.select("vec_id", "embedding", F.coalesce("bound", F.lit(float("inf"))).alias("bound")))
         results.append(complete(same, asked, size, curve, k))
