@@ -157,14 +157,13 @@ def mix(docs: DataFrame) -> DataFrame:
     copies = pieces.where("slot is not null").groupBy("sid", "off", "turn").agg(F.min("slot").alias("__slot"), F.sum("words").alias("__words"), *[F.first(c).alias(f"__{c}") for c in ("doc_id", "text_md5", "row", "source", "size")])
     copies = cut(copies.where("__words > 0").drop("sid", "off", "turn"))
     columns = [f.name for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
-    keyed = docs.withColumn("__key", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).withColumn("__all", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("all"))
     if put.where("size > 0").groupBy("doc_id", "row", "text_md5").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):  # of equal rows one stands for all
-        keyed = keyed.dropDuplicates(["doc_id", "__key", "__all"])
-    same = keyed["doc_id"].eqNullSafe(copies["__doc_id"]) & (keyed["__key"] == copies["__text_md5"]) & (keyed["__all"] == copies["__row"])
-    out = keyed.join(copies, same).withColumn("text", F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(_start(F.col("text"), F.col("__words"))))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.repartitionByRange("__slot").sortWithinPartitions("__slot", "__key", "__all").select(docs.columns)
+        keyed = keyed.dropDuplicates(["id", "key", "all"])
+    same = keyed["id"].eqNullSafe(copies["__doc_id"]) & (keyed["key"] == copies["__text_md5"]) & (keyed["all"] == copies["__row"])
+    out = keyed.join(copies, same).withColumn("cut", F.when(F.col("__words") == F.col("__size"), F.col("r.text")).otherwise(_start(F.col("r.text"), F.col("__words"))))
+    made = {"text": F.col("cut")} | ({"n_chars": F.length("cut").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.repartitionByRange("__slot").sortWithinPartitions("__slot", "key", "all").select(*[made.get(c, F.col(f"r.`{c}`")).alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = rf"""

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import fresh
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn")
 RUN = 128
@@ -110,7 +112,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     out = docs
     for k in BASE + ADDED:
-        f, g = f"__f_{k}", f"__g_{k}"
+        f, g = fresh(docs, f"__f_{k}"), fresh(docs, f"__g_{k}")
         out = out.withColumn(f, _proposed(F.col("text"), k))
         out = out.withColumn(g, F.when(F.size(f) > 0, F.split("text", PATTERNS[k], -1)))
         m, before, after = f"get({f}, k)", f"get({g}, k)", f"get({g}, k + 1)"

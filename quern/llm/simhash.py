@@ -414,7 +414,7 @@ def _row(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)])
 
 
-def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float, words_per_shingle: int = 5, chunk: int = CHUNK) -> DataFrame:
+def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float, words_per_shingle: int = 5, chunk: int = CHUNK, recall: float = RECALL) -> DataFrame:
     """(a, b): each node that is similar to another, other than its group's smallest, with that smallest node.
 
     nodes: (fp, rep), wide fingerprints; texts: from (rep), distinct and asked for, to (rep, text). Links of less than the sure distance, four
@@ -426,7 +426,7 @@ def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarit
     radius, sure = min(127, int(bits * p + 2 * spread)), max(0, int(bits * p - 4 * spread))
     width = max(4, math.ceil(math.log2(max(2, n / BUCKET))))
     meet = (1 - p) ** width
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - meet))
     rng = np.random.default_rng(11)
     chosen = [sorted(rng.choice(bits, width, replace=False).tolist()) for _ in range(tables)]
     schema = "t int, key long, fp binary, rep long"
@@ -476,7 +476,7 @@ def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarit
     return components(roots.unionByName(more)) if more.head(1) else roots
 
 
-def deduplicate(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, chunk: int = CHUNK) -> DataFrame:
+def deduplicate(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, chunk: int = CHUNK, recall: float = RECALL) -> DataFrame:
     """docs with one row of each group of near-copies: that with the smallest doc_id, rows without one last.
 
     Two texts are near-copies if the Jaccard similarity of their sets of shingles is at least similarity; groups are closed
@@ -500,11 +500,12 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
         wanted = F.broadcast(wanted) if wanted.count() <= HOT_BROADCAST else wanted
         return rows.join(wanted, "row").where(F.col("id").eqNullSafe(F.col("doc_id"))).select("rep", "text").dropDuplicates(["rep"])
 
-    groups = similar(nodes, texts, similarity, words_per_shingle, chunk)
+    groups = similar(nodes, texts, similarity, words_per_shingle, chunk, recall)
     joined = nodes.select("rep", "best").join(groups.select(F.col("a").alias("rep"), "b"), "rep", "left")
-    chosen = cut(joined.groupBy(F.coalesce("b", "rep").alias("g")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"), F.col("best.doc_id").alias("__id")))
-    tagged = docs.withColumn("__r", _row(docs))
-    kept = tagged.join(chosen, (tagged["__r"] == chosen["__row"]) & tagged["doc_id"].cast("long").eqNullSafe(chosen["__id"]), "left_semi")
-    if kept.select("doc_id").agg(F.count(F.lit(1)).alias("n")).first()["n"] > chosen.count():  # equal rows
-        kept = kept.dropDuplicates(["doc_id", "__r"])
-    return kept.select(docs.columns)
+    chosen = cut(joined.groupBy(F.coalesce("b", "rep").alias("g")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"), F.col("best.doc_id").alias("doc_id")))
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col("doc_id").cast("long").alias("id"), _row(docs).alias("h"))
+    kept = tagged.join(chosen, (tagged["h"] == chosen["row"]) & tagged["id"].eqNullSafe(chosen["doc_id"]), "left_semi")
+    again = fps.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # equal rows
+    if again.alias("a").join(chosen.alias("c"), F.expr("a.row = c.row and a.doc_id <=> c.doc_id"), "left_semi").head(1):
+        kept = kept.dropDuplicates(["id", "h"])
+    return kept.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns])
