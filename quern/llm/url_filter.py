@@ -8,6 +8,7 @@ bit tests against literals, with no join. Built-in functions only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from ._common import ascii_lower, cut
 
 MAX_BITS = 1 << 25
-"""Most bits, about, of one level that are carried as a literal (4 MB); a longer list is dealt to several cascades by the
-keys' hash."""
+"""Most bits of one level, which the driver gathers and which is carried as a literal (4 MB). Where the listed keys, or the
+unlisted ones that pass for them, need more, the keys are dealt to several cascades by hash."""
 
 SHARDS_A_PASS = 8
 """Cascades that one pass over the rows carries; more take further passes, each over its own share of the rows."""
@@ -59,20 +60,21 @@ class BloomCascade:
     @classmethod
     def _test(cls, key: Column, level: int, spec: tuple[int, str], hashes: int) -> Column:
         bits, words = spec
-        array = F.split(F.lit(words), ",").cast("array<bigint>")  # folded to one literal when planned
-        found = F.lit(True)
-        for p in cls._positions(key, level, bits, hashes):
-            found = found & (F.getbit(F.get(array, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1)
-        return found
+        array = F.split(F.lit(words), ",").cast("array<bigint>")  # folded to one literal when planned, which all hashes share
+        at = F.array(*cls._positions(key, level, bits, hashes))
+        return F.forall(at, lambda p: F.getbit(F.get(array, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1)
 
     @staticmethod
     def _shard(key: Column, shards: int) -> Column:
         return F.coalesce(F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shards)), F.lit(0)) if shards > 1 else F.lit(0)
 
     @classmethod
-    def _levels(cls, side: DataFrame, other: DataFrame, n: int, bits_per_key: int, hashes: int) -> list[tuple[int, str]]:
+    def _levels(cls, side: DataFrame, other: DataFrame, n: int, bits_per_key: int, hashes: int, max_bits: int) -> list[tuple[int, str]] | None:
+        """None where a level, listed or not, would have over max_bits, a word's 64 at least."""
         levels: list[tuple[int, str]] = []
         while n:
+            if n * bits_per_key > max(64, max_bits):
+                return None
             bits = max(64, -(-n * bits_per_key // 64) * 64)
             at = F.explode(F.array(*cls._positions(F.col("key"), len(levels), bits, hashes))).alias("p")
             rows = side.select(at).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
@@ -87,13 +89,20 @@ class BloomCascade:
         """universe: key string, listed boolean; null keys are left out, a key listed once counts as listed."""
         keys = cut(universe.where("key is not null").groupBy("key").agg(F.max("listed").alias("listed")))
         n = keys.where("listed").count()
-        shards = max(1, -(-n * bits_per_key // max(64, max_bits)))
-        made = []
-        for i in range(shards):
-            own = keys.where(cls._shard(F.col("key"), shards) == i) if shards > 1 else keys
-            side = own.where("listed")
-            made.append(cls._levels(side, own.where("not listed"), side.count() if shards > 1 else n, bits_per_key, hashes))
-        return cls(made, hashes)
+        passing = 1.5 * (1 - math.exp(-hashes / bits_per_key)) ** hashes * (keys.count() - n)  # level 1: the unlisted that level 0 lets through
+        shards = max(1, math.ceil(max(n, passing) * bits_per_key / max(64, max_bits)))
+        while True:
+            made = []
+            for i in range(shards):
+                own = keys.where(cls._shard(F.col("key"), shards) == i) if shards > 1 else keys
+                side = own.where("listed")
+                levels = cls._levels(side, own.where("not listed"), side.count() if shards > 1 else n, bits_per_key, hashes, max_bits)
+                if levels is None:
+                    break
+                made.append(levels)
+            else:
+                return cls(made, hashes)
+            shards += shards // 4 + 1  # a shard above the mean
 
     def contains(self, key: Column, first: int = 0, last: int | None = None) -> Column:
         """For keys of the universe, of the shards from first to before last; false for null."""
