@@ -106,7 +106,9 @@ def average_rank(value: str, keys: Sequence[str] = ()) -> Column:
 
 
 def correlation(x: Column, y: Column) -> Column:
-    """Pearson's r, null where either side doesn't vary (the built-in would divide by zero)."""
+    """Pearson's r of the rows where both sides are known, null where either doesn't vary (the built-in would divide by zero)."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = (F.when(both, c.cast("double")) for c in (x, y))
     varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    top = F.avg(x * y) - F.avg(x) * F.avg(y)
-    return F.when(varies, top / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+    r = F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    return F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
