@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._common import ascii_lower, cut
+from ._common import cut
 
 LEAST_LENGTH = 40
 """Code points from which on a key counts."""
@@ -31,9 +31,18 @@ HOT_SHARE = 1 / 1024
 SKETCHES = 256
 """Sketches that the tasks' sketches are merged to before they meet."""
 
+def stripped(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\v\f\r"))
+
+
 def line_key(line: Column) -> Column:
-    """The line without space and U+0009-000D at both ends, A-Z lower-cased."""
-    return ascii_lower(F.regexp_replace(line, r"^[\x20\x09-\x0D]++|(?<![\x20\x09-\x0D])[\x20\x09-\x0D]++$", ""))
+    """Equal for two lines that are equal without space and U+0009-000D at both ends, A-Z lower-cased.
+
+    Of a line beyond ASCII it is not that text itself: its UTF-8 is read as one character a byte, so that lower() touches A-Z
+    and else lead bytes alone, in a way that tells texts apart, for the bytes that follow are as many as the true lead asks for.
+    """
+    own = stripped(line)
+    return F.lower(F.when(F.octet_length(own) == F.length(own), own).otherwise(F.decode(own.cast("binary"), "ISO-8859-1")))
 
 
 def _text(docs: DataFrame) -> Column:
@@ -47,9 +56,8 @@ def _known(docs: DataFrame) -> DataFrame:
 
 def lines(docs: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
     """(doc_id, th, pos, h1, h2): the lines whose keys count, with their keys' hashes."""
-    key = line_key(F.col("line"))
-    at = _known(docs).select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.length("line") >= least_length)
-    at = at.select("doc_id", "th", "pos", key.alias("key")).where(F.length("key") >= least_length)
+    at = _known(docs).select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    at = at.where((F.octet_length("line") >= least_length) & (F.length(stripped(F.col("line"))) >= least_length)).withColumn("key", line_key(F.col("line")))
     return at.select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
@@ -67,7 +75,7 @@ def dropped(docs: DataFrame, least_length: int = LEAST_LENGTH, least_documents:
 
     Rows that share a doc_id are one document, rows without one another, the smallest.
     """
-    every = lines(docs, least_length)
+    every = cut(lines(docs, least_length))  # a fifth of the texts' size, about, and read several times
     gone = F.lit(False)
     hot = cut(hot_keys(every, hot_share))
     if hot.head(1):
@@ -87,13 +95,14 @@ def dropped(docs: DataFrame, least_length: int = LEAST_LENGTH, least_documents:
     return ranked.where(F.col("gone") | (F.col("documents") >= least_documents) & (F.col("nth") > 1)).select("doc_id", "th", "pos")
 
 
-def compressed(gone: Column, n: Column) -> Column:
-    """Lengths of the runs of a bitmap of n bits, kept ones first, then dropped ones, by turns. gone: dropped places, sorted."""
-    starts = F.filter(gone, lambda x, i: (i == 0) | (F.get(gone, i - 1) != x - 1))
-    ends = F.filter(gone, lambda x, i: (i == F.size(gone) - 1) | (F.get(gone, i + 1) != x + 1))
-    borders = F.flatten(F.zip_with(starts, ends, lambda a, z: F.array(a, z + 1)))
-    borders = F.concat(F.array(F.lit(0)), borders, F.array(n))
-    return F.transform(F.slice(borders, 2, F.size(borders) - 1), lambda x, i: x - F.get(borders, i))
+def borders(gone: DataFrame) -> DataFrame:
+    """gone: (..., n, gone: dropped places, sorted) with borders instead of gone: where a kept run begins, and where it ends,
+    by turns; the first begins at 0, the last ends at n. A column for each step, so that no step is worked out twice."""
+    rest = [c for c in gone.columns if c != "gone"]
+    starts = F.filter("gone", lambda x, i: (i == 0) | (F.get("gone", i - 1) != x - 1))
+    ends = F.filter("gone", lambda x, i: (i == F.size("gone") - 1) | (F.get("gone", i + 1) != x + 1))
+    between = F.flatten(F.zip_with("starts", "ends", lambda a, z: F.array(a, z + 1)))
+    return gone.select(*rest, starts.alias("starts"), ends.alias("ends")).select(*rest, F.concat(F.array(F.lit(0)), between, F.array("n")).alias("borders"))
 
 
 def _bitmaps(docs: DataFrame, **limits) -> DataFrame:
@@ -107,13 +116,22 @@ def _judged(docs: DataFrame, columns: list[str], **limits) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").cast("long").alias("k_id"), F.xxhash64(_text(docs)).alias("k_th"), F.split(_text(docs), "\n", -1).alias("lines"))
     found = rows.join(gone, F.col("k_id").eqNullSafe(F.col("g_id")) & (F.col("k_th") == F.col("g_th")), "left")
     none = F.array().cast("array<int>")
-    return found.select("row", "lines", compressed(F.coalesce("gone", none), F.size("lines")).alias("keep"))
+    return borders(found.select("row", "lines", F.size("lines").alias("n"), F.coalesce("gone", none).alias("gone")))
+
+
+def _runs() -> Column:
+    """Lengths of a bitmap's runs, from its borders: kept lines, then dropped ones, by turns."""
+    return F.transform(F.slice("borders", 2, F.size("borders") - 1), lambda x, i: x - F.get("borders", i))
+
+
+def _lost() -> Column:
+    return F.aggregate(F.transform("keep", lambda x, i: F.when(i % 2 == 1, x).otherwise(0)), F.lit(0), lambda s, x: s + x).cast("long")
 
 
-def kept_lines(lines: Column, keep: Column) -> Column:
-    """The lines that a bitmap's kept runs name."""
-    ends = F.transform(keep, lambda x, i: F.aggregate(F.slice(keep, 1, i + 1), F.lit(0), lambda s, y: s + y))
-    return F.flatten(F.filter(F.transform(keep, lambda x, i: F.when(i % 2 == 0, F.slice(lines, F.get(ends, i) - x + 1, x))), lambda x: x.isNotNull()))
+def _kept() -> Column:
+    """The text of the lines within the kept runs."""
+    pieces = F.transform(F.sequence(F.lit(0), F.size("borders") - 1, F.lit(2)), lambda i: F.slice("lines", F.get("borders", i) + 1, F.get("borders", i + 1) - F.get("borders", i)))
+    return F.array_join(F.flatten(pieces), "\n")
 
 
 def keep_bitmaps(docs: DataFrame, **limits) -> DataFrame:
@@ -124,15 +142,14 @@ def keep_bitmaps(docs: DataFrame, **limits) -> DataFrame:
     A row for each row of docs: rows that share a doc_id are one document, and so are rows without one; equal rows have
     equal results. Other columns are ignored; an empty table gives an empty result.
     """
-    judged = _judged(docs, ["doc_id"], **limits)
-    lost = F.aggregate(F.transform("keep", lambda x, i: F.when(i % 2 == 1, x).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return judged.select(F.col("row.doc_id").alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), lost.cast("long").alias("n_dropped"), "keep")
+    judged = _judged(docs, ["doc_id"], **limits).select(F.col("row.doc_id").alias("doc_id"), "n", _runs().alias("keep"))
+    return judged.select("doc_id", F.col("n").cast("long").alias("n_lines"), _lost().alias("n_dropped"), "keep")
 
 
 def deduplicate(docs: DataFrame, **limits) -> DataFrame:
     """docs with the dropped lines gone from text; n_chars, where there is one, follows. Cases as in keep_bitmaps; a null
     text stays null."""
-    judged = _judged(docs, docs.columns, **limits).select("row", F.array_join(kept_lines(F.col("lines"), F.col("keep")), "\n").alias("new"))
+    judged = _judged(docs, docs.columns, **limits).select("row", _kept().alias("new"))
     text = F.when(F.col("row.text").isNotNull(), F.col("new"))
     made = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return judged.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
@@ -140,10 +157,8 @@ def deduplicate(docs: DataFrame, **limits) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256): the digest columns of keep_bitmaps and deduplicate; cases as there."""
-    judged = _judged(docs, ["doc_id"])
-    kept = F.array_join(kept_lines(F.col("lines"), F.col("keep")), "\n")
-    lost = F.aggregate(F.transform("keep", lambda x, i: F.when(i % 2 == 1, x).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return judged.select(F.col("row.doc_id").alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), lost.cast("long").alias("n_dropped"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+    judged = _judged(docs, ["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "n", _runs().alias("keep"), F.sha2(_kept().cast("binary"), 256).alias("kept_sha256"))
+    return judged.select("doc_id", F.col("n").cast("long").alias("n_lines"), _lost().alias("n_dropped"), "kept_sha256")
 
 
 ORACLE_SQL = r"""

@@ -74,6 +74,16 @@ def test_line_dedup_corners(spark, odd, empty):
     assert sorted((tuple(r) for r in line_dedup.report(odd).collect()), key=str) == brute_lines([(r["doc_id"], r["text"]) for r in odd.collect()])
 
 
+def test_keys_tell_apart_what_lower_casing_would_join(spark):
+    """Only A-Z is lower-cased: É, the Kelvin sign, İ and lead bytes that differ by 32 stay what they are."""
+    tail = " and a common rest of the line that is long enough to count"
+    heads = ["É", "é", "K", "k", "K", "İ", "i", "Ñandú", "ñandú", "\u00c9x", "\u3069x", "\ud7a3", "Ω", "ω", "Ω", "ß", "ẞ"]
+    lines = [h + tail for h in heads] + [h + tail.upper() + " \x0b" for h in heads]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select(line_dedup.line_key(line_dedup.F.col("line"))).collect()
+    want = [x.strip(SPACE).translate({c: c + 32 for c in range(65, 91)}) for x in lines]
+    assert all((a == b) == (x == y) for (a,), x in zip(got, want) for (b,), y in zip(got, want))
+
+
 def test_line_dedup_stays_in_one_exchange_of_lines(spark, sf):
     """The stream runs on the range partitions; its windows ask for no exchange of their own."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
