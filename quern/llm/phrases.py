@@ -20,7 +20,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from quern.operators.ordered import numbered
 
 from ._common import cut
 from .simhash import _scramble, crowded, salted
@@ -45,9 +46,6 @@ CHUNK = 1 << 20
 MOST_BITS = 1 << 27
 """Bits of a table of frequent words or pairs (16 MB), which grows with their number until then."""
 
-BUCKETS = 256
-"""Parts of a language that are ranked apart before their first TOP are ranked together."""
-
 _BREAK, _NONE = b"\n", b""
 _TABLE = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 
@@ -270,10 +268,7 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: int
     columns = ["a", "l", "r", "score"]
     found = spelled.groupBy("w").agg(*[F.first(c).alias(c) for c in columns], F.first("named.lang").alias("lang"), F.sort_array(F.collect_list(F.struct("at", "named.word"))).alias("words"))
     found = found.select("lang", F.array_join(F.transform("words", lambda x: x["word"]), " ").alias("phrase"), *columns)
-    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    first = F.row_number().over(W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS))).orderBy(*order))
-    few = found.withColumn("rank", first).where(F.col("rank") <= top)
-    ranked = few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = numbered(found, [F.col("score").desc(), F.col("a").desc(), "phrase"], ["lang"], "rank").where(F.col("rank") <= top)
     sums = words.where("word is null").select("lang", "n")
     return ranked.join(sums, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", *[F.col(c).cast("long").alias(c) for c in ("a", "l", "r", "n", "score")])
 
