@@ -8,14 +8,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quern.session import cut
+
 BROADCAST_ROWS = 50_000
 
+HOT = 1 << 16
+"""Rows of a key from which on a join deals them over several tasks."""
+
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most so many rows; else as it is, to be shuffled."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def salted(many: DataFrame, few: DataFrame, on: Sequence[str], apart: Column, hot: int = HOT) -> DataFrame:
+    """The inner join on the columns named, the keys with over hot rows of many dealt out by the hash of apart.
+
+    The list of such keys has a row for each hot rows of many at most; few's rows are repeated for them.
+    """
+    large = cut(many.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot))
+    if not large.head(1):
+        return many.join(few, list(on))
+    parts = F.coalesce(F.ceil(F.col("__n") / hot), F.lit(1)).cast("int")
+    dealt = many.join(small(large), list(on), "left").withColumn("__part", F.pmod(F.xxhash64(apart), parts).cast("int")).drop("__n")
+    repeated = few.join(small(large), list(on), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__n")
+    return dealt.join(repeated, [*on, "__part"]).drop("__part")
+
+
 def pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key by order, whose parts may fall: for keys of few rows, as aggregates have."""
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

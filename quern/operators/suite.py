@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quern.operators.ordered import bottom
 from quern.operators.relational import small
+from quern.session import cut
 
 
 def draw(seed: str, *key: Column) -> Column:
@@ -29,10 +31,25 @@ def stratified(df: DataFrame, level: str, category: str, key: str, targets: dict
     share = F.greatest(F.lit(1), F.floor(F.col("__want") / n))
     extra = (F.row_number().over(at.orderBy("__cat")) <= F.col("__want") - share * n).cast("int")
     quota = sizes.withColumn("__want", want[F.col(level)]).select(level, "__cat", "__want", (share + extra).alias("__quota"))
-    first = F.row_number().over(W.partitionBy(level, "__cat").orderBy(draw(seed, F.col(key)), key))
-    drawn = rows.withColumn("__cat", F.coalesce(category, F.lit("unknown"))).withColumn("__n", first).join(small(quota), [level, "__cat"])
-    again = W.partitionBy(level).orderBy((F.col("__n") > F.col("__quota")).cast("int"), draw(f"{seed}+", F.col(key)), key)
-    return drawn.withColumn("__m", F.row_number().over(again)).where("__m <= __want").select(df.columns)
+    rows = rows.withColumn("__cat", F.coalesce(category, F.lit("unknown")))
+    most = max(targets.values(), default=0)
+    drawn = bottom(rows, [level, "__cat"], [draw(seed, F.col(key)), F.col(key)], most)
+    drawn = drawn.withColumn("__n", F.row_number().over(W.partitionBy(level, "__cat").orderBy(draw(seed, F.col(key)), key)))
+    first = drawn.join(small(quota), [level, "__cat"]).where("__n <= __quota").select(*df.columns)
+    return _refilled(first, rows.select(*df.columns), level, [key], key, targets, seed).select(df.columns)
+
+
+def _refilled(first: DataFrame, rows: DataFrame, level: str, same: list[str], key: str, targets: dict[str, int], seed: str) -> DataFrame:
+    """Each level's target of rows: of first in the order of a second draw, then of the level's others. same tells rows apart."""
+    want = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])
+    again = [draw(f"{seed}+", F.col(key)), F.col(key)]
+    most = max(targets.values(), default=0)
+    first = cut(bottom(first, [level], again, most))
+    # a level lacks others only if it has fewer first ones than its target, so twice the target's rows hold enough
+    others = bottom(rows, [level], again, 2 * most).join(first, [level, *same], "left_anti")
+    both = first.withColumn("__late", F.lit(0)).unionByName(others.withColumn("__late", F.lit(1)))
+    place = F.row_number().over(W.partitionBy(level).orderBy("__late", *again))
+    return both.withColumn("__m", place).where(F.col("__m") <= want[F.col(level)]).drop("__m", "__late")
 
 
 def assemble(candidates: DataFrame, targets: dict[str, int], seed: str = "42", floor: int = 1) -> DataFrame:
@@ -47,11 +64,13 @@ def assemble(candidates: DataFrame, targets: dict[str, int], seed: str = "42", f
     rows = candidates.groupBy("level", F.when(alone, same).otherwise(F.col("task").cast("string")).alias("k")).agg(F.min(F.struct("pattern", "task", "tools")).alias("t")).select("level", "t.*")
     patterns = rows.groupBy("level").agg(F.count_distinct("pattern").alias("__p"))
     want = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])
-    rows = rows.join(small(patterns), "level").withColumn("__want", want[F.col("level")])
-    quota = F.greatest(F.floor(F.col("__want") / F.col("__p")), F.lit(floor))
-    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy("level", "pattern").orderBy(draw(seed, F.col("task")), "task")))
-    order = W.partitionBy("level").orderBy((F.col("__n") > quota).cast("int"), draw(f"{seed}+", F.col("task")), "task")
-    return rows.withColumn("__m", F.row_number().over(order)).where("__m <= __want").select("level", "pattern", "task", "tools")
+    quota = F.greatest(F.floor(want[F.col("level")] / F.col("__p")), F.lit(floor))
+    most = max(*targets.values(), floor)
+    rows = rows.where(F.col("level").isin(*targets))
+    drawn = bottom(rows, ["level", "pattern"], [draw(seed, F.col("task")), F.col("task")], most)
+    drawn = drawn.withColumn("__n", F.row_number().over(W.partitionBy("level", "pattern").orderBy(draw(seed, F.col("task")), "task")))
+    first = drawn.join(small(patterns), "level").where(F.col("__n") <= quota).select("level", "pattern", "task", "tools")
+    return _refilled(first, rows.select("level", "pattern", "task", "tools"), "level", ["task"], "task", targets, seed).select("level", "pattern", "task", "tools")
 
 
 def distractors(task: Column, used: Column, tools: list[str], n: int, seed: str = "42") -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quern.catalog import query, table
+from quern.operators import ordered, stats
 from quern.operators import relational as rel
-from quern.operators import stats
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 
@@ -31,7 +31,17 @@ _agg("min_max_range", lambda: F.round(F.max("l_extendedprice") - F.min("l_extend
   min(l_quantity) AS low, max(l_quantity) AS high, round(sum(l_quantity), 4) AS total FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode_like FROM lineitem) GROUP BY 1""")
 def statistical_summary(spark, sf):
     q = F.col("l_quantity")
-    return table(spark, sf, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(q), 4).alias("mean"), F.round(F.median(q), 4).alias("median"), F.round(F.stddev_samp(q), 4).alias("stdev"), F.min(q).alias("low"), F.max(q).alias("high"), F.round(F.sum(q), 4).alias("total"))
+    lines = table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("grp"), q)
+    g = lines.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(q), 4).alias("mean"), F.round(F.stddev_samp(q), 4).alias("stdev"), F.min(q).alias("low"), F.max(q).alias("high"), F.round(F.sum(q), 4).alias("total"))
+    middle = ordered.quantiles(lines, ["grp"], "l_quantity", [0.5])
+    return g.join(middle, "grp").select("grp", "n", "mean", F.round("quantile", 4).alias("median"), "stdev", "low", "high", "total")
+
+
+@query("quartiles", """WITH g AS (SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice, [0.25, 0.5, 0.75, 0.99]) AS q FROM lineitem GROUP BY 1, 2), a AS (SELECT unnest([0.25, 0.5, 0.75, 0.99]::DOUBLE[]) AS share, unnest([1, 2, 3, 4]) AS i)
+SELECT l_returnflag, l_linestatus, share, round(q[i], 4) AS quantile FROM g, a""")
+def quartiles(spark, sf):
+    q = ordered.quantiles(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.25, 0.5, 0.75, 0.99])
+    return q.select("l_returnflag", "l_linestatus", F.col("at").alias("share"), F.round("quantile", 4).alias("quantile"))
 
 
 @query("standard_deviation", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(var_samp(value), 6) AS variance FROM events GROUP BY event_type")
@@ -141,13 +151,48 @@ def normalize_data(spark, sf):
 
 @query("percent_rank_window", "SELECT p_partkey, round(100 * cume_dist() OVER (PARTITION BY p_brand ORDER BY p_retailprice), 4) AS pct FROM part")
 def percent_rank_window(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.round(100 * F.cume_dist().over(W.partitionBy("p_brand").orderBy("p_retailprice")), 4).alias("pct"))
+    p = ordered.ranked(table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice"), ["p_brand"], "p_retailprice")
+    return p.select("p_partkey", F.round(100 * F.col("share"), 4).alias("pct"))
+
+
+@query("order_of_events", "SELECT event_id, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) AS place FROM events")
+def order_of_events(spark, sf):
+    return ordered.numbered(table(spark, sf, "events").select("event_id", "value"), [F.col("value").desc_nulls_last(), "event_id"]).select("event_id", "place")
+
+
+@query("ranks_of_events", """SELECT event_id, rank() OVER w AS rank, rank() OVER w + (count(*) OVER (PARTITION BY value) - 1) / 2 AS average_rank, round(100 * cume_dist() OVER w, 4) AS pct FROM events WHERE value IS NOT NULL WINDOW w AS (ORDER BY value)""")
+def ranks_of_events(spark, sf):
+    e = ordered.ranked(table(spark, sf, "events").select("event_id", "value"), [], "value")
+    return e.select("event_id", "rank", "average_rank", F.round(100 * F.col("share"), 4).alias("pct"))
+
+
+@query("spearman_of_orders", """WITH r AS (SELECT rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS a, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2 AS b
+  FROM orders WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r""")
+def spearman_of_orders(spark, sf):
+    return ordered.spearman(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey"), [], "o_totalprice", "o_custkey").select("n", F.round("rho", 6).alias("rho"))
+
+
+@query("series_of_events", """SELECT event_id, CASE WHEN count(value) OVER w = 20 THEN round(avg(value) OVER w, 4) END AS sma, lead(event_type) OVER (ORDER BY ts, event_id) AS next, round(value - lag(value, 7) OVER (ORDER BY ts, event_id), 6) AS change
+  FROM events WINDOW w AS (ORDER BY ts, event_id ROWS 19 PRECEDING)""")
+def series_of_events(spark, sf):
+    """All events as one series in time: a moving average of full windows, the next type, and the change from seven before."""
+    made = {"mean": F.avg("value"), "n": F.count("value"), "next": F.lead("event_type"), "old": F.lag("value", 7)}
+    e = ordered.moving(table(spark, sf, "events").select("event_id", "ts", "event_type", "value"), ["ts", "event_id"], made, 19, 1, frame=(-19, 0))
+    return e.select("event_id", F.when(F.col("n") == 20, F.round("mean", 4)).alias("sma"), "next", F.round(F.col("value") - F.col("old"), 6).alias("change"))
 
 
 @query("pareto_frontier", """SELECT p_brand, p_partkey FROM part QUALIFY p_retailprice > coalesce(max(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_size, p_retailprice DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)""")
 def pareto_frontier(spark, sf):
-    w = W.partitionBy("p_brand").orderBy("p_size", F.col("p_retailprice").desc(), "p_partkey").rowsBetween(W.unboundedPreceding, -1)
-    return table(spark, sf, "part").withColumn("m", F.coalesce(F.max("p_retailprice").over(w), F.lit(-1.0))).where("p_retailprice > m").select("p_brand", "p_partkey")
+    return ordered.frontier(table(spark, sf, "part").select("p_brand", "p_size", "p_retailprice", "p_partkey"), ["p_brand"], "p_size", "p_retailprice", "p_partkey").select("p_brand", "p_partkey")
+
+
+@query("pareto_lines", """SELECT l_extendedprice, l_quantity, l_orderkey FROM (SELECT round(l_extendedprice * (1 - l_discount), 2) AS l_extendedprice, l_quantity, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY ALL)
+  QUALIFY l_quantity > coalesce(max(l_quantity) OVER (ORDER BY l_extendedprice, l_quantity DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)""")
+def pareto_lines(spark, sf):
+    """What is cheapest for its quantity, of all lines: one frontier over the whole table."""
+    price = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("l_extendedprice")
+    lines = table(spark, sf, "lineitem").select(price, "l_quantity", "l_orderkey")
+    return ordered.frontier(lines, [], "l_extendedprice", "l_quantity", "l_orderkey")
 
 
 _STEPS = "(SELECT *, l_returnflag = 'R' AS failed FROM lineitem)"

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from quern.catalog import query, table
 from quern.functions import tables as fixed
+from quern.operators import containment
 from quern.operators import relational as rel
 
 
@@ -208,6 +209,26 @@ def knowledge_base_query(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", hit.alias("h")).select("c_custkey", "h.answer", "h.confidence")
 
 
+@query("containment_join", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def containment_join(spark, sf):
+    """Which documents hold which benchmark passages, whole."""
+    return containment.pairs(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
+
+
+_ASKED_PART = "CASE p_partkey % 4 WHEN 0 THEN 'what does the ' || p_name || ' cost?' WHEN 1 THEN split_part(p_name, ' ', 1) WHEN 2 THEN ' ' || upper(p_name) ELSE 'part ' || p_partkey::VARCHAR END"
+
+
+@query("knowledge_table", f"""WITH kb AS (SELECT p_name AS k, min(p_partkey) AS i, count(*) AS parts FROM part GROUP BY 1), q AS (SELECT p_partkey, lower(trim({_ASKED_PART})) AS q FROM part)
+SELECT p_partkey, i, parts FROM q LEFT JOIN kb ON contains(q, k) OR contains(k, q) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY i) = 1""")
+def knowledge_table(spark, sf):
+    """A question's first match in a table of keys, either in the other: questions about parts, keys the parts' names."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name")
+    kind = F.col("p_partkey") % 4
+    asked = F.when(kind == 0, F.concat(F.lit("what does the "), "p_name", F.lit(" cost?"))).when(kind == 1, F.split_part("p_name", F.lit(" "), F.lit(1))).when(kind == 2, F.concat(F.lit(" "), F.upper("p_name"))).otherwise(F.concat(F.lit("part "), F.col("p_partkey").cast("string")))
+    base = p.groupBy(F.col("p_name").alias("k")).agg(F.min("p_partkey").alias("i"), F.count(F.lit(1)).alias("parts"))
+    return containment.first_match(p.select("p_partkey", F.lower(F.trim(asked)).alias("q")), "p_partkey", "q", base, "i", "k", either=True).select("p_partkey", "i", "parts")
+
+
 @query("cross_config", """WITH w(config, a, b) AS (VALUES ('default', 0.5, 0.5), ('first', 0.8, 0.2), ('second', 0.2, 0.8))
 SELECT config, source, round(avg(a * quality + b * toxic), 6) AS score FROM documents JOIN labels USING (doc_id), w GROUP BY config, source""")
 def cross_config(spark, sf):

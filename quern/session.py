@@ -1,11 +1,12 @@
-"""What a session needs so that its Python workers can import this package."""
+"""What a session needs so that its Python workers can import this package, and where lineage is cut."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def importable(spark: SparkSession) -> None:
@@ -13,3 +14,15 @@ def importable(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in (paths := env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)):
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the session's spark.checkpoint.dir; where that is unset and the master local, in a temporary
+    folder. A cluster without a shared folder is an error."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-ckpt-"))
+    return df.checkpoint()
