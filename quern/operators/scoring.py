@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 
+WORD = 62
+"""Bits of a long that an addition of two leaves room above."""
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 less the edit distance over the longer length; 1 for two empty texts."""
     longest = F.greatest(F.length(a), F.length(b))
@@ -139,16 +144,41 @@ def pairs(steps: pd.Series, calls: pd.Series) -> pd.Series:
     return pd.Series([one(*x) for x in zip(steps, calls)])
 
 
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: a fold that carries the last row of the table."""
-    zero = F.array_repeat(F.lit(0), F.size(b) + 1)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def row(last: Column, x: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), lambda made, j: F.array_append(made, F.when(F.get(b, j - 1) == x, F.get(last, j - 1) + 1).otherwise(F.greatest(F.get(last, j), F.get(made, j - 1))))
-        )
 
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, zero, row), -1))
+def lcs(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays of any length, by sets of bits.
+
+    A bit for each element of a, WORD to a long: each element of b takes one addition of longs, whose carry goes on from one to
+    the next; at the end a cleared bit stands for a common element. Elements of b that a lacks change nothing.
+    """
+    full = F.lit((1 << WORD) - 1)
+    words = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / WORD).cast("int"))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    summed = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x)
+    mask = lambda s: F.transform(words, lambda w: summed(F.transform(F.slice(a, w * WORD + 1, WORD), lambda x, i: F.when(x == s, bit(i)).otherwise(F.lit(0).cast("long")))))
+
+    def added(v: Column, m: Column) -> Column:
+        def one(acc: Column, w: Column) -> Column:
+            of, on = F.get(v, w), F.get(m, w)
+            total = of + of.bitwiseAND(on) + acc["carry"]
+            new = total.bitwiseAND(full).bitwiseOR(of.bitwiseAND(F.bitwise_not(on)))
+            return F.struct(F.array_append(acc["v"], new).alias("v"), F.shiftright(total, WORD).alias("carry"))
+
+        start = F.struct(F.array().cast("array<bigint>").alias("v"), F.lit(0).cast("long").alias("carry"))
+        return F.aggregate(words, start, one, lambda acc: acc["v"])
+
+    def fold(bound: Column) -> Column:
+        left = F.aggregate(bound["places"], F.transform(words, lambda w: full), lambda v, p: added(v, F.get(bound["masks"], (p - 1).cast("int"))))
+        return summed(F.transform(left, lambda v: WORD - F.bit_count(v).cast("long"))).cast("int")
+
+    symbols = F.array_distinct(a)
+    places = lambda s: F.filter(F.transform(b, lambda y: F.array_position(s, y)), lambda p: p > 0)
+    common = let(symbols, lambda s: let(F.struct(F.transform(s, mask).alias("masks"), places(s).alias("places")), fold))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(common)
 
 
 def assign(steps: Column, pairs: Column) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql.window import Window as W
 
 from quern.catalog import query, table
 from quern.functions import numeric, text, web
-from quern.operators import compose, scoring, state, stats
+from quern.operators import compose, nested, scoring, state, stats
+from quern.sources import io
+from quern.streaming import memory
 
 # matching and scores
 
@@ -47,9 +49,13 @@ def argument_match(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(scoring.match_arguments(wanted, got), 6).alias("score"))
 
 
-@query("json_match", "SELECT event_id, CASE WHEN json_extract(props, '$.k')::DOUBLE = 7 THEN 1.0 ELSE 0.0 END AS score FROM events")
+@query("json_match", """SELECT event_id, round(((json_extract(props, '$.k')::DOUBLE = 7)::INT + (event_type = 'click')::INT + ((user_id % 5 = 3)::INT + (value > 50)::INT) / 2 + ((user_id % 2 = 1)::INT + 1) / 2 * 2 / 3) / 4, 9) AS score FROM events""")
 def json_match(spark, sf):
-    return table(spark, sf, "events").select("event_id", scoring.match_json(F.lit('{"k": 7}'), F.col("props")).alias("score"))
+    """What a call was given, beside what it should have been: numbers, texts, an object and lists of unequal length."""
+    wanted = F.lit('{"k": 7, "type": "Click ", "who": {"id": "3", "ok": true}, "list": [1, 2.0]}')
+    made = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("event_type").alias("type"), F.struct((F.col("user_id") % 5).cast("string").alias("id"), (F.col("value") > 50).alias("ok")).alias("who"), F.array(F.col("user_id") % 2, F.lit(2), F.lit(3)).alias("list")))
+    e = table(spark, sf, "events").select("event_id", wanted.alias("wanted"), made.alias("made"))
+    return nested.match(e, "wanted", "made").select("event_id", F.round("score", 9).alias("score"))
 
 
 _FIRST = "(l_linenumber, l_partkey, l_suppkey, l_shipdate)"
@@ -114,7 +120,8 @@ def data_flow_score(spark, sf):
     return t.where(F.size(dependent) > 0).select(F.col("l_orderkey").alias("task"), F.round(F.size(good) / F.size(dependent), 6).alias("flow"))
 
 
-@query("sequence_score")
+@query("sequence_score", """WITH t AS (SELECT l_orderkey AS task, list(l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag) AS f FROM lineitem GROUP BY 1), p AS (SELECT task, f, unnest(range(len(f) + 1)) AS p FROM t), q AS (SELECT *, unnest(range(p, len(f) + 1)) AS q FROM p)
+SELECT task, round(max(len(list_filter(f[1:p], lambda x: x = 'A')) + len(list_filter(f[p + 1:q], lambda x: x = 'N')) + len(list_filter(f[q + 1:], lambda x: x = 'R'))) / any_value(len(f)), 6) AS score FROM q GROUP BY task""")
 def sequence_score(spark, sf):
     steps = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag"))).alias("s"))
     flags = F.transform("s", lambda x: x["l_returnflag"])
@@ -127,7 +134,9 @@ def greedy_assignment(spark, sf):
     s = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_discount"))).alias("s"))
     n = F.size("s")
     places = lambda: F.sequence(F.lit(0), n - 1)
-    pairs = F.flatten(F.transform(places(), lambda i: F.transform(places(), lambda j: F.struct(i.alias("s"), j.alias("c"), F.get(F.col("s"), j)["l_discount"].alias("v")))))
+    # every step would like a call that is close to it in discount, and several like the same
+    near = lambda i, j: 1 - F.abs(F.get(F.col("s"), i)["l_discount"] - F.get(F.col("s"), n - 1 - j)["l_discount"] / 2)
+    pairs = F.flatten(F.transform(places(), lambda i: F.transform(places(), lambda j: F.struct(i.alias("s"), j.alias("c"), near(i, j).alias("v")))))
     return s.select("l_orderkey", scoring.assign(n, pairs).alias("chosen"))
 
 
@@ -462,6 +471,24 @@ def get_session_context(spark, sf):
     return state.context(_log(spark, sf), "key", "at")
 
 
+@query("memory_stream", """WITH l AS (SELECT user_id::VARCHAR AS key, arg_max(event_type, (ts, event_id)) AS value, arg_max(value, (ts, event_id)) > 50 AS high, count(*) AS versions FROM events GROUP BY 1)
+SELECT key, value, versions, versions > 1 AS overwrote, high FROM l""")
+def memory_stream(spark, sf):
+    """The store as a stream leaves it: events replayed through keyed state, and the changes it wrote."""
+    at = io.scratch(spark, "memory")
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")  # a pattern, for the table may be one file
+    writes = events.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.array(F.when(F.col("value") > 50, "high").otherwise("low")).alias("tags"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, memory.PROVIDER)
+    try:
+        memory.keep(memory.remember(writes), f"{at}/out", f"{at}/log").awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return memory.current(spark, f"{at}/out").select("key", "value", "versions", "overwrote", F.array_contains("tags", "high").alias("high"))
+
+
 # extensions of the batch forms
 
 

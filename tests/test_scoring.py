@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import scoring
+from quern.operators import nested, scoring
 
 TASK = "task int, level string, steps array<struct<id:string,tool:string,arguments:string,depends_on:array<string>>>, calls array<struct<tool:string,arguments:string>>"
 
@@ -161,3 +161,72 @@ def test_answers(spark):
     df = spark.createDataFrame([(t,) for t in ANSWERS] + [(None,)], "t string").select("t", scoring.calls("t").alias("c"))
     for r in df.collect():
         assert (r.c if r.t is None else [(c.tool, c.arguments) for c in r.c]) == (None if r.t is None else ANSWERS[r.t]), r.t
+
+
+def random_json(rng, depth=3):
+    k = rng.random()
+    if depth and k < 0.3:
+        return [random_json(rng, depth - 1) for _ in range(rng.randint(0, 4))]
+    if depth and k < 0.6:
+        return {c: random_json(rng, depth - 1) for c in rng.sample("abcde", rng.randint(0, 4))}
+    return rng.choice([None, True, False, 0, 1, 7, 7.0001, -3, 2.5, "7", "true", "some text", "some  Text", "sometext", "", " 2.5 ", "é"])
+
+
+def changed(rng, x):
+    if rng.random() < 0.15:
+        return random_json(rng, 1)
+    if isinstance(x, list):
+        return [changed(rng, v) for v in x][: rng.randint(0, 9)]
+    if isinstance(x, dict):
+        return {k: changed(rng, v) for k, v in x.items() if rng.random() < 0.9}
+    return x
+
+
+def comparable(e, a):
+    """A text is compared with what JSON, not Python, writes of a container or a number beyond plain ones."""
+    if isinstance(e, dict) and isinstance(a, dict):
+        return all(comparable(e[k], a[k]) for k in e.keys() & a.keys())
+    if isinstance(e, list) and isinstance(a, list):
+        return all(map(comparable, e, a))
+    return not (isinstance(e, str) and isinstance(a, (dict, list, float)))
+
+
+def test_nested_values_in_the_jvm(spark):
+    rng = random.Random(6)
+    cases = [(e, a) for e in VALUES for a in VALUES]
+    for _ in range(400):
+        e = random_json(rng, 4)
+        cases += [(e, changed(rng, e)), (e, random_json(rng, 2))]
+    cases = [(e, a) for e, a in cases if comparable(e, a)]
+    texts = [(json.dumps(e, ensure_ascii=i % 2 == 0), json.dumps(a)) for i, (e, a) in enumerate(cases)]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)] + [(-1, "{", "1"), (-2, None, "1"), (-3, "1", "nope")], "i long, e string, a string")
+    out = nested.match(df, "e", "a", "v")
+    assert out.columns == ["i", "e", "a", "v"] and "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: r.v for r in out.collect()}
+    assert got[-1] is got[-2] is got[-3] is None
+    for i, (e, a) in enumerate(cases):
+        assert got[i] == pytest.approx(plain_value(e, a)), (e, a)
+    assert nested.match(df.limit(0), "e", "a").count() == 0
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old = row[:]
+        for j, y in enumerate(b, 1):
+            row[j] = old[j - 1] + 1 if x == y else max(old[j], row[j - 1])
+    return row[-1]
+
+
+def test_lcs_of_any_length(spark):
+    rng = random.Random(2)
+    cases = [([], ["a"]), (["a"], []), ([], []), (["a"], ["b"])]
+    for n in (1, 2, 5, 40, 61, 62, 63, 64, 124, 125, 130, 300, 1000):
+        for letters in ("ab", "abcdefghij", [f"w{i}" for i in range(50)]):
+            cases.append((rng.choices(letters, k=n), rng.choices(letters, k=rng.randint(1, n + 5))))
+    cases.append((["a"] * 200, ["a"] * 150))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a array<string>, b array<string>").repartition(4)
+    got = {r.i: r.n for r in df.select("i", scoring.lcs(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert [got[i] for i in range(len(cases))] == [plain_lcs(a, b) for a, b in cases]
+    odd = spark.createDataFrame([(["a", None, "b"], [None, "b"]), (None, ["a"])], "a array<string>, b array<string>")
+    assert [r.n for r in odd.select(scoring.lcs(F.col("a"), F.col("b")).alias("n")).collect()] == [1, None]
