@@ -266,12 +266,16 @@ def _call(x: object) -> dict | None:
     return tool and {"tool": str(tool), "arguments": json.dumps(arguments if isinstance(arguments, dict) else {}, ensure_ascii=False, separators=(",", ":"))}
 
 
-def _spoken(text: str) -> list[dict]:
-    """The calls in an answer: its fenced block, or all of it, as JSON; else each outermost run of braces in it."""
+def heard(text: str) -> list[tuple[dict | None, str | None]]:
+    """What an answer holds: its calls, or the fault of what should be one; no_call where there is nothing of the kind.
+
+    Its fenced block, or all of it, is read as JSON; failing that, each outermost run of braces in it.
+    """
     block = re.search(r"```json(.*?)(?:```|$)", text, re.S) or re.search(r"```(.*?)(?:```|$)", text, re.S)
+    judged = lambda x: (c, None) if (c := _call(x)) else (None, "no_tool")
     try:
         data = json.loads((block.group(1) if block else text).strip())
-        return [c for x in (data if isinstance(data, list) else [data]) if (c := _call(x))]
+        return [judged(x) for x in (data if isinstance(data, list) else [data])] or [(None, "no_call")]
     except ValueError:
         pass
     found, depth, start = [], 0, None
@@ -283,12 +287,15 @@ def _spoken(text: str) -> list[dict]:
         depth -= 1
         if depth == 0 and start is not None:
             try:
-                if c := _call(json.loads(text[start : m.end()])):
-                    found.append(c)
+                found.append(judged(json.loads(text[start : m.end()])))
             except ValueError:
-                pass
+                found.append((None, "not_json"))
             start = None
-    return found
+    return found or [(None, "not_json" if start is not None else "no_call")]
+
+
+def _spoken(text: str) -> list[dict]:
+    return [c for c, _ in heard(text) if c]
 
 
 @F.pandas_udf(CALLS)

@@ -20,6 +20,10 @@ THRESHOLDS = [int(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k
 """A draw below 65536 stands for as many copies of a row as there are thresholds at or below it."""
 
 
+ABREAST = 40
+"""Replicates whose sums a row adds to together: the sums of a group's block are under a hundred columns."""
+
+
 def weights(key: Column, replicates: int) -> Column:
     """How often each replicate draws the row with this key: eight replicates to one md5."""
     draw = lambda h, k: F.conv(F.substring(h, 4 * k + 1, 4), 16, 10).cast("int")
@@ -31,10 +35,18 @@ def weights(key: Column, replicates: int) -> Column:
 
 
 def resampled(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], replicates: int) -> DataFrame:
-    """(keys, replicate, mean): weighted means, one for each replicate and group. The columns of order tell rows apart."""
+    """(keys, replicate, mean): weighted means, one for each replicate and group. The columns of order tell rows apart.
+
+    A row adds to the sums of ABREAST replicates at once, so that what is exchanged is a few wide rows for each group and task.
+    """
     row = F.concat_ws("|", *[F.col(c).cast("string") for c in order])
-    drawn = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"), F.posexplode(weights(row, replicates)).alias("replicate", "__w")).where("__w > 0")
-    return drawn.groupBy(*keys, "replicate").agg((F.sum(F.col("__v") * F.col("__w")) / F.sum("__w")).alias("mean"))
+    blocks = F.sequence(F.lit(0), F.lit((replicates - 1) // ABREAST))
+    drawn = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"), weights(row, replicates).alias("__w"))
+    drawn = drawn.select(*keys, "__v", "__w", F.explode(blocks).alias("__b")).withColumn("__w", F.slice("__w", F.col("__b") * ABREAST + 1, F.lit(ABREAST)))
+    times = [F.get("__w", F.lit(k)) for k in range(min(ABREAST, replicates))]
+    sums = drawn.groupBy(*keys, "__b").agg(*[F.sum(F.col("__v") * t).alias(f"__s{k}") for k, t in enumerate(times)], *[F.sum(t).alias(f"__n{k}") for k, t in enumerate(times)])
+    each = F.array(*[F.struct((F.col("__b") * ABREAST + k).alias("replicate"), F.col(f"__s{k}").alias("s"), F.col(f"__n{k}").alias("n")) for k in range(len(times))])
+    return sums.select(*keys, F.explode(each).alias("r")).where("r.n > 0").select(*keys, "r.replicate", (F.col("r.s") / F.col("r.n")).alias("mean"))
 
 
 def bootstrap(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], replicates: int = 200, alpha: float = 0.05) -> DataFrame:

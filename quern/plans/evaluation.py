@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quern.catalog import query, table
-from quern.functions import numeric, text, web
+from quern.functions import numeric, sql, text, web
 from quern.operators import compose, nested, scoring, state, stats
 from quern.sources import io
 from quern.streaming import memory
@@ -140,6 +140,29 @@ def greedy_assignment(spark, sf):
     return s.select("l_orderkey", scoring.assign(n, pairs).alias("chosen"))
 
 
+_ANSWER = """CASE event_id % 4 WHEN 0 THEN '{"tool": "' || event_type || '", "args": ' || props || '}' WHEN 1 THEN 'Two calls: ```json [{"name": "' || event_type || '", "arguments": ' || props || '}, {"function": "log"}] ``` done'
+  WHEN 2 THEN 'first {"name": "' || event_type || '", "arguments": {"k": "x"}} then {"tool": }' ELSE 'nothing to call' END"""
+
+
+@query("parse_calls", """WITH e AS (SELECT event_id, event_type, event_id % 4 AS m, json_extract_string(props, '$.k') AS k FROM events)
+SELECT event_id, 0 AS call_index, event_type AS tool, CASE WHEN m = 2 THEN 'x' ELSE k END AS k, NULL::VARCHAR AS fault FROM e WHERE m < 3 UNION ALL SELECT event_id, 1, 'log', NULL, NULL FROM e WHERE m = 1
+UNION ALL SELECT event_id, NULL, NULL, NULL, CASE WHEN m = 2 THEN 'not_json' ELSE 'no_call' END FROM e WHERE m > 1""")
+def parse_calls(spark, sf):
+    """Answers read by a table function, in SQL: their calls, an argument of each, and the faults of what should be a call."""
+    sql.register(spark)
+    e = table(spark, sf, "events").select("event_id", F.expr(_ANSWER).alias("answer"))
+    return spark.sql("SELECT event_id, t.call_index, t.tool, t.k, t.fault FROM {e}, LATERAL parse_calls(answer, 'k') t", e=e)
+
+
+@query("sql_functions", """SELECT l_orderkey, count(*) AS n, round(avg(CASE WHEN l_quantity = round(l_quantity * 1.00005, 6) OR abs(l_quantity - l_quantity * 1.00005) <= 1e-4 * (l_quantity * 1.00005) THEN 1.0 ELSE 0.0 END), 6) AS near,
+  round(sum(greatest(5, least(l_quantity, 20))), 4) AS clamped, count_if(isodow(l_shipdate) < 6) AS workdays FROM lineitem GROUP BY 1""")
+def sql_functions(spark, sf):
+    """The library's functions by their SQL names."""
+    sql.register(spark)
+    return spark.sql("""SELECT l_orderkey, count(*) AS n, round(avg(match_numeric(l_quantity, l_quantity * 1.00005D)), 6) AS near, round(sum(clamp_value(l_quantity, 5D, 20D)), 4) AS clamped,
+      count_if(is_business_day(cast(l_shipdate AS date))) AS workdays FROM {lines} GROUP BY l_orderkey""", lines=table(spark, sf, "lineitem"))
+
+
 @query("tool_call_parser", "SELECT event_id, event_type AS tool, replace(props, ' ', '') AS arguments FROM events")
 def tool_call_parser(spark, sf):
     said = F.concat(F.lit('```json\n{"name": "'), F.col("event_type"), F.lit('", "args": '), F.col("props"), F.lit("}\n```"))

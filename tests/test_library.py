@@ -185,3 +185,33 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("tumbling_rows").agg(F.sum("n")).first()[0] == 20
+
+
+def test_correlation_of_known_pairs(spark):
+    """Rows without a partner take no part, large offsets cost no digits, and r stays within -1 and 1."""
+    from quern.operators import stats
+
+    r = lambda rows: spark.createDataFrame(rows, "x double, y double").agg(stats.correlation(F.col("x"), F.col("y")).alias("r")).first()["r"]
+    assert r([(1.0, 1.0), (2.0, 2.0), (3.0, 3.0), (100.0, None), (None, 5.0)]) == 1.0
+    big = [(1.7e9 + i, 1.7e9 + i + (i % 3) * 0.01) for i in range(50)]
+    own = spark.createDataFrame(big, "x double, y double").agg(F.corr("x", "y")).first()[0]
+    assert abs(r(big) - own) < 1e-9 and r(big) <= 1.0
+    assert r([(1.0, 1.0), (1.0, 2.0), (2.0, None)]) is None and r([(None, 1.0)]) is None
+
+
+def test_bootstrap_beside_a_plain_one(spark):
+    """Each replicate's mean is that of the rows, as often as it draws them."""
+    from quern.operators import stats
+
+    rows = [(f"g{i % 3}", float(i * i % 17), i) for i in range(60)] + [("g1", None, 99)]
+    df = spark.createDataFrame(rows, "g string, v double, i int")
+    for replicates in (1, 8, 45, 100):
+        drawn = {r.i: r.w for r in df.select("i", stats.weights(F.concat_ws("|", F.col("i").cast("string")), replicates).alias("w")).collect()}
+        got = {(r.g, r.replicate): r["mean"] for r in stats.resampled(df, ["g"], "v", ["i"], replicates).collect()}
+        want = {}
+        for g in ("g0", "g1", "g2"):
+            for k in range(replicates):
+                own = [(v, drawn[i][k]) for h, v, i in rows if h == g and v is not None]
+                if sum(w for _, w in own):
+                    want[g, k] = sum(v * w for v, w in own) / sum(w for _, w in own)
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)

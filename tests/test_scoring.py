@@ -230,3 +230,31 @@ def test_lcs_of_any_length(spark):
     assert [got[i] for i in range(len(cases))] == [plain_lcs(a, b) for a, b in cases]
     odd = spark.createDataFrame([(["a", None, "b"], [None, "b"]), (None, ["a"])], "a array<string>, b array<string>")
     assert [r.n for r in odd.select(scoring.lcs(F.col("a"), F.col("b")).alias("n")).collect()] == [1, None]
+
+
+def test_functions_under_sql_names(spark):
+    from quern.functions import sql
+
+    names = sql.register(spark)
+    assert set(names) >= {"parse_calls", "match_string"}
+    rows = [("Hello  World", "hello world", 4.0, 5.0), ("hello worlds", "hello world", 0.0, 1e-5), ("abc", "xyz", -2.0, 7.0), ("", "", 3.0, 3.0002), (None, "a", None, 1.0)]
+    df = spark.createDataFrame(rows, "e string, a string, x double, y double").withColumn("d", F.to_date(F.lit("2026-02-22")))
+    got = spark.sql("SELECT match_string(e, a) AS s, match_numeric(x, y) AS n, percentage_change(x, y) AS p, clamp_value(y, 0D, 2D) AS c, is_business_day(d) AS b, pass_rate(array(x, 0.9D)) AS r FROM {df}", df=df).collect()
+    want = df.select(scoring.match_string(F.col("e"), F.col("a")).alias("s"), scoring.match_numeric(F.col("x"), F.col("y")).alias("n")).collect()
+    assert [(r.s, r.n) for r in got[:4]] == [(r.s, r.n) for r in want[:4]]
+    assert [r.p for r in got][0] == 25.0 and [r.c for r in got] == [2.0, 1e-5, 2.0, 2.0, 1.0] and not got[0].b and got[0].r == 1.0
+
+
+def test_a_bad_call_is_a_row_with_a_fault(spark):
+    from quern.functions import sql
+
+    sql.register(spark)
+    texts = ['{"tool": "a", "args": {"x": [1, 2], "y": "t"}}', "[]", "{", "say {} or {\"name\": \"b\"}", None, "words", '```json\n[{"name": "c"}, 5]\n```', "{bad} {\"tool\": \"d\"}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, answer string")
+    got = spark.sql("SELECT i, t.* FROM {df}, LATERAL parse_calls(answer, 'x', 'y') t ORDER BY i, call_index NULLS LAST", df=df)
+    assert got.columns == ["i", "call_index", "tool", "arguments", "fault", "x", "y"]
+    rows = [(r.i, r.call_index, r.tool, r.fault, r.x, r.y) for r in got.collect()]
+    assert rows == [(0, 0, "a", None, "[1, 2]", "t"), (1, None, None, "no_call", None, None), (2, None, None, "not_json", None, None), (3, 0, "b", None, None, None), (3, None, None, "no_tool", None, None),
+                    (5, None, None, "no_call", None, None), (6, 0, "c", None, None, None), (6, None, None, "no_tool", None, None), (7, 0, "d", None, None, None), (7, None, None, "not_json", None, None)]
+    with pytest.raises(Exception, match="constant"):
+        spark.sql("SELECT t.* FROM {df}, LATERAL parse_calls(answer, answer) t", df=df).collect()
