@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def trim() -> None:
+    """Hands memory that a task has freed back to the system, for a Python worker stays for the next tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """The name, with underscores in front until no column of df is called so."""
     taken = {c.lower() for c in df.columns}

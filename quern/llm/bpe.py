@@ -22,8 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import trim
+
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 """Most distinct words in each of the two generations of encodings that a worker keeps."""
 
 LONG_WORD = 100
@@ -273,5 +275,7 @@ def report(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             rows = [c.digest(t.as_py() or "", cache) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _, _ in rows], pa.int64()), pa.array([sha(i) for _, i, _ in rows]), pa.array([sha(d) for _, _, d in rows])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        del cache
+        trim()
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from ._common import cut
+from ._common import cut, trim
 
 CHUNK = 4096
 """Rows of a bucket that one task compares; larger buckets are split into pairs of chunks."""
@@ -488,6 +488,7 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
         for b in batches:
             fps = [wide_fingerprint(shingles(t.as_py(), words_per_shingle)) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], ["doc_id", "row", "fp"])
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row(docs).alias("row"), F.col("text").cast("string").alias("text"))
     fps = cut(rows.mapInArrow(sketch, "doc_id long, row long, fp binary"))

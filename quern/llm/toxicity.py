@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod
+from ._common import crc_mod, trim
 
 FOLDS = 5
 FIT_ROWS = 20_000
@@ -270,5 +270,6 @@ def reject(docs: DataFrame, classifier: Classifier) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([classifier.score(*features(t.as_py())) < 0.5 for t in b.column(at)], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, schema)
