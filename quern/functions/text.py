@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 from . import tables as T
 
 WORD = r"[\p{L}\p{N}_]+"
+# What is looked for in texts.
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
 PHONE = r"\+?[0-9][0-9\s\-()]{7,}[0-9]"
 SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"

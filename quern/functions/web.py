@@ -11,6 +11,7 @@ from pyspark.sql.types import LongType
 
 from .text import found
 
+# What an e-mail address, a url in a text and a link in HTML look like.
 ADDRESS = r"^[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)+$"
 URL = r"""https?://[^\s<>"')\]]+"""
 HREF = r"""(?i)href=["']([^"']+)["']"""

@@ -82,6 +82,26 @@ def query(df: DataFrame, where: Column | None = None, sort_by: str | None = None
     return out.limit(limit)
 
 
+ASKED = {
+    "equals": lambda c, v: F.lower(c.cast("string")) == str(v).lower(),
+    "greater_than": lambda c, v: c.cast("string").try_cast("double") > float(v),
+    "less_than": lambda c, v: c.cast("string").try_cast("double") < float(v),
+    "contains": lambda c, v: F.contains(F.lower(c.cast("string")), F.lit(str(v).lower())),
+}
+
+
+def ask(df: DataFrame, filter_field: str | None = None, filter_op: str | None = None, filter_value: object = None, sort_by: str | None = None, limit: int = 10, tie: str | None = None) -> DataFrame:
+    """One query over a table, by arguments: a filter of four kinds, texts without case, a falling sort, a limit.
+
+    A field that the table lacks matches nothing, and one to sort by is passed over; a filter that lacks a part filters
+    nothing. Of rows that tie in the order those with the smallest tie come first.
+    """
+    out = df
+    if filter_field and filter_op and filter_value is not None:
+        out = df.where(ASKED[filter_op](F.col(filter_field), filter_value)) if filter_field in df.columns else df.limit(0)
+    return query(out, None, sort_by if sort_by in df.columns else None, limit, tie)
+
+
 def row_mean(*columns: Column) -> Column:
     """The mean of a row's values that are not null."""
     known = F.filter(F.array(*columns), lambda x: x.isNotNull())

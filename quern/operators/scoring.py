@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
+from quern.functions.text import let
+
 
 WORD = 62
 """Bits of a long that an addition of two leaves room above."""
@@ -144,11 +145,6 @@ def pairs(steps: pd.Series, calls: pd.Series) -> pd.Series:
     return pd.Series([one(*x) for x in zip(steps, calls)])
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value worked out once however often use reads it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def lcs(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two arrays of any length, by sets of bits.
 
@@ -195,6 +191,7 @@ def assign(steps: Column, pairs: Column) -> Column:
     return F.when(steps > 0, F.aggregate(F.sequence(F.lit(0), steps - 1), F.array().cast("array<int>"), choose)).otherwise(F.array().cast("array<int>"))
 
 
+# The weights of a level's scores.
 WEIGHTS = {  # sequence, arguments, completeness, data flow
     "L1": (0.40, 0.35, 0.25, 0.0),
     "L2": (0.35, 0.35, 0.15, 0.15),

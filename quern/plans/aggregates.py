@@ -217,6 +217,23 @@ def step_position_failure(spark, sf):
     return s.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("tasks"), F.round(F.avg((F.col("l_returnflag") == "R").cast("double")), 6).alias("rate"))
 
 
+@query("step_failure_by_model", """SELECT model, step, count(*) AS n, count(DISTINCT l_orderkey) AS tasks, round(avg(failed::INT), 6) AS rate FROM (SELECT l_orderkey, l_returnflag = 'R' AS failed, o_orderpriority AS model,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS step FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY ALL""")
+def step_failure_by_model(spark, sf):
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")  # an order's lines
+    s = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_returnflag") == "R").cast("double").alias("failed"), F.row_number().over(w).alias("step"))
+    s = s.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("model")), "l_orderkey")
+    return s.groupBy("model", "step").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("tasks"), F.round(F.avg("failed"), 6).alias("rate"))
+
+
+@query("tool_difficulty_by_level", """SELECT tool, coalesce(level, 'all') AS level, count(*) AS n, round(avg(l_discount), 6) AS mean, round(avg((l_discount >= 0.05)::INT), 6) AS pass_rate FROM (SELECT l_returnflag AS tool, 'L' || l_linenumber::VARCHAR AS level, l_discount FROM lineitem) GROUP BY GROUPING SETS ((tool), (tool, level))""")
+def tool_difficulty_by_level(spark, sf):
+    """Every level there is, and all of them together, in one pass."""
+    g = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("tool"), F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("level"), "l_discount")
+    g = g.groupingSets([["tool"], ["tool", "level"]], "tool", "level").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_discount"), 6).alias("mean"), F.round(F.avg((F.col("l_discount") >= 0.05).cast("double")), 6).alias("pass_rate"))
+    return g.withColumn("level", F.coalesce("level", F.lit("all")))
+
+
 @query("share_of_group", "SELECT source, lang, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY lang), 6) AS share FROM documents GROUP BY source, lang")
 def share_of_group(spark, sf):
     g = table(spark, sf, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -176,6 +174,55 @@ def leaderboard_csv(spark, sf):
     return io.csv(spark, path, "model string, overall double, l0 double, gap double")
 
 
+_BOARD = {"model": "string", "provider": "string"} | {c: "double" for c in ("overall_accuracy", "composition_gap", "L0_accuracy", "L1_accuracy", "L2_accuracy", "L3_accuracy", "gap_L1", "gap_L2", "gap_L3", "tool_selection", "argument_accuracy")} | {"total_tokens": "long", "avg_latency_ms": "double"}
+
+
+@query("leaderboard_file", """WITH s AS (SELECT event_type AS model, 'site' || (length(event_type) % 2)::VARCHAR AS provider, user_id % 4 AS k, value / 100 AS v, user_id FROM events),
+m AS (SELECT model, any_value(provider) AS provider, avg(v) AS overall, avg(v) FILTER (k = 0) AS l0, avg(v) FILTER (k = 1) AS l1, avg(v) FILTER (k = 2) AS l2, avg(v) FILTER (k = 3) AS l3, avg((v >= 0.5)::INT) AS sel, avg(v) FILTER (v >= 0.5) AS args, sum(user_id)::BIGINT AS tokens, avg(v * 1000) AS latency FROM s GROUP BY 1)
+SELECT model, provider, round(overall, 4) AS overall_accuracy, round(0.3 * (l0 - l1) + 0.3 * (l0 - l2) + 0.4 * (l0 - l3), 4) AS composition_gap, round(l0, 4) AS "L0_accuracy", round(l1, 4) AS "L1_accuracy", round(l2, 4) AS "L2_accuracy", round(l3, 4) AS "L3_accuracy",
+  round(l0 - l1, 4) AS "gap_L1", round(l0 - l2, 4) AS "gap_L2", round(l0 - l3, 4) AS "gap_L3", round(sel, 4) AS tool_selection, round(args, 4) AS argument_accuracy, tokens AS total_tokens, round(latency, 1) AS avg_latency_ms FROM m""")
+def leaderboard_file(spark, sf):
+    """All fifteen columns of a leaderboard, written by rising gap as one CSV file with a header, and read back."""
+    v, k = F.col("value") / 100, F.col("user_id") % 4
+    at = lambda n: F.avg(F.when(k == n, v)).alias(f"l{n}")
+    site = F.concat(F.lit("site"), (F.length("event_type") % 2).cast("string"))
+    m = table(spark, sf, "events").groupBy(F.col("event_type").alias("model"), site.alias("provider")).agg(F.avg(v).alias("overall"), *map(at, range(4)), F.avg((v >= 0.5).cast("double")).alias("sel"), F.avg(F.when(v >= 0.5, v)).alias("args"), F.sum("user_id").alias("total_tokens"), F.avg(v * 1000).alias("latency"))
+    gap = lambda n: F.col("l0") - F.col(f"l{n}")
+    four = {"overall_accuracy": F.col("overall"), "composition_gap": 0.3 * gap(1) + 0.3 * gap(2) + 0.4 * gap(3)} | {f"L{n}_accuracy": F.col(f"l{n}") for n in range(4)} | {f"gap_L{n}": gap(n) for n in (1, 2, 3)} | {"tool_selection": F.col("sel"), "argument_accuracy": F.col("args")}
+    m = m.select("model", "provider", *[F.round(c, 4).alias(n) for n, c in four.items()], "total_tokens", F.round("latency", 1).alias("avg_latency_ms"))
+    path = io.scratch(spark, "leaderboard")
+    io.write_csv(m.orderBy("composition_gap", "model"), path)
+    return io.csv(spark, path, ", ".join(f"{n} {t}" for n, t in _BOARD.items()))
+
+
+@query("latex_document", r"""WITH m AS (SELECT source, round(avg(quality), 4) AS quality, round(avg(toxic), 4) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY 1), t AS (SELECT *, abs(quality - max(quality) OVER ()) < 1e-4 AS q, abs(toxic - min(toxic) OVER ()) < 1e-4 AS x, row_number() OVER (ORDER BY source) AS i FROM m),
+b AS (SELECT i + 100 AS place, source || ' & ' || CASE WHEN q THEN '\textbf{' || printf('%.1f', quality * 100) || '\%}' ELSE printf('%.1f', quality * 100) || '\%' END || ' & ' || CASE WHEN x THEN '\textbf{' || printf('%.1f', toxic * 100) || '\%}' ELSE printf('%.1f', toxic * 100) || '\%' END || ' \\' AS line FROM t)
+SELECT line FROM b UNION ALL SELECT unnest(['\begin{table}[t]', '\centering', '\caption{Sources}', '\label{tab:sources}', '\begin{tabular}{lcc}', '\toprule', 'Source & Quality & Toxic \\', '\midrule', '\bottomrule', '\end{tabular}', '\end{table}']) AS line""")
+def latex_document(spark, sf):
+    """A whole table: its frame and header, a row for each source, the best value of each column in bold."""
+    m = table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels"), "doc_id").groupBy("source").agg(F.round(F.avg("quality"), 4).alias("quality"), F.round(F.avg("toxic"), 4).alias("toxic"))
+    return io.latex_document(m, ["source"], {"quality": True, "toxic": False}, "Sources", "tab:sources", {"source": "Source", "quality": "Quality", "toxic": "Toxic"}).select("line")
+
+
+@query("markdown_document", """WITH m AS (SELECT lang, source, count(*) AS n, avg(n_chars) AS chars FROM documents GROUP BY ALL), b AS (SELECT '| ' || coalesce(lang, '—') || ' | ' || source || ' | ' || n::VARCHAR || ' | ' || printf('%.4f', chars) || ' |' AS line, row_number() OVER (ORDER BY lang, source) + 1 AS place FROM m)
+SELECT place, line FROM b UNION ALL SELECT 0, '| lang | source | n | chars |' UNION ALL SELECT 1, '| --- | --- | --- | --- |'""")
+def markdown_document(spark, sf):
+    m = table(spark, sf, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("chars"))
+    return io.markdown_document(m, ["lang", "source"])
+
+
+@query("transform_table", """WITH n AS (SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey) AS k, list(n_name ORDER BY n_nationkey) AS s FROM nation GROUP BY 1), r AS (SELECT n_regionkey, list_zip(k, s) AS z FROM n)
+SELECT n_regionkey, 'n_nationkey,n_name' || chr(13) || chr(10) || array_to_string(list_transform(z, lambda x: x[1]::VARCHAR || ',"' || x[2] || ', ' || repeat('"', 2) || 'x' || repeat('"', 3) || chr(13) || chr(10)), '') AS as_csv,
+  array_to_string(list_transform(z, lambda x: 'n_nationkey: ' || x[1]::VARCHAR || ', n_name: ' || x[2] || ', "x"'), chr(10)) AS as_text, len(z) AS rows FROM r""")
+def transform_table(spark, sf):
+    """A region's nations as a JSON list, turned into CSV, and that into text and back into JSON."""
+    one = F.struct("n_nationkey", F.concat("n_name", F.lit(', "x"')).alias("n_name"))
+    n = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("data"))  # a region's nations
+    n = n.withColumn("as_csv", io.transform_format("data", F.lit("json"), F.lit("csv")))
+    n = n.withColumn("as_text", io.transform_format("as_csv", F.lit("csv"), F.lit("text"))).withColumn("again", io.transform_format("as_csv", F.lit("csv"), F.lit("json")))
+    return n.select("n_regionkey", "as_csv", "as_text", F.json_array_length("again").alias("rows"))
+
+
 @query("latex_table", r"""WITH m AS (SELECT source, count(*) AS n, round(avg(n_chars), 1) AS chars FROM documents GROUP BY 1) SELECT source || ' & ' || CASE WHEN n = max(n) OVER () THEN '\textbf{' || n::VARCHAR || '}' ELSE n::VARCHAR END || ' & ' || CASE WHEN chars = max(chars) OVER () THEN '\textbf{' || printf('%.1f', chars) || '}' ELSE printf('%.1f', chars) END || ' \\' AS line FROM m""")
 def latex_table(spark, sf):
     m = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 1).alias("chars"))
@@ -236,14 +283,3 @@ def memory_details(spark, sf):
     asked = spark.createDataFrame([("1",), ("7",), ("nobody",)], "key string")
     found = state.latest(log.join(F.broadcast(asked), "key", "left_semi"), "key", "at").select("key", "value", F.lit(True).alias("hit"))
     return asked.join(found, "key", "left").select("key", F.when(F.col("hit"), "found").otherwise("not_found").alias("status"), "value", F.when(F.col("hit"), "float").alias("type"))
-
-
-@query("function_catalogue")
-def function_catalogue(spark, sf):
-    """The registered column functions with their call schemas, and one of them called through SQL."""
-    from quern.functions import registry
-
-    rows = [(f.name, f.category, json.dumps(f.schema(), sort_keys=True)) for f in registry.functions()]
-    return spark.createDataFrame(rows, "name string, category string, schema string")
-
-

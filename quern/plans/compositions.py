@@ -90,12 +90,11 @@ OPS: dict[str, tuple[Callable[..., Column], str]] = {
     "link": (lambda s: F.concat(F.lit("https://example.com/"), s), "'https://example.com/' || $0"),
     "french": (lambda s: cols.translated(s, F.lit("fr")), "$0 || ' (French translation)'"),
     "spanish": (lambda s: cols.translated(s, F.lit("es")), "$0 || ' (Spanish translation)'"),
-    "first80": (lambda s: F.substring(s, 1, 80), "substr($0, 1, 80)"),
     "address": (lambda s: F.concat(F.lower(F.replace(s, F.lit("#"), F.lit("."))), F.lit("@example.com")), "lower(replace($0, '#', '.')) || '@example.com'"),
     "said": (lambda a, b: F.concat_ws(": ", a.cast("string"), b.cast("string")), "concat_ws(': ', $0::VARCHAR, $1::VARCHAR)"),
     "md5": (F.md5, "md5($0)"),
     "sha256": (lambda s: F.sha2(s, 256), "sha256($0)"),
-    "encrypted": (lambda s: F.hex(F.encode(s, "UTF-8")), "hex($0::BLOB)"),
+    "encrypted": (lambda s: F.base64(F.unhex(F.sha2(F.concat(F.lit('{"method": "aes256", "text": '), records.json_text(s), F.lit("}")), 256))), """to_base64(unhex(sha256('{"method": "aes256", "text": "' || $0 || '"}')))"""),
     "size": (F.length, "length($0)::INT"),
     "report": (lambda title, value: io.report(title, F.create_map(F.lit("value"), value.cast("string")), "markdown"), "'# ' || $0 || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || '- **value**: ' || $1::VARCHAR || chr(10) || chr(10) || '*Report generated at 2026-02-22T12:00:00*'"),
     "mime": (io.mime, "CASE WHEN ends_with($0, '.md') THEN 'text/markdown' WHEN ends_with($0, '.json') THEN 'application/json' ELSE 'text/plain' END"),
@@ -106,7 +105,7 @@ OPS: dict[str, tuple[Callable[..., Column], str]] = {
     "price_change": _drawn("stock", lambda h: F.round((R(h, 200) - 100) / 10, 2), f"round(({cols.mod('#', 200)} - 100) / 10, 2)", upper=True),
     "latitude": _drawn("location", lambda h: (R(h, 180) - 90).cast("double"), f"({cols.mod('#', 180)} - 90)::DOUBLE"),
     "article": _drawn("search_result", lambda h: F.concat(F.lit("About "), records.pick(h, fixed.SEARCH_DOMAINS), F.lit(". Good news. More to read.")), f"'About ' || {cols.listed(fixed.SEARCH_DOMAINS)}[{cols.mod('#', 10)} + 1] || '. Good news. More to read.'"),
-    "knowledge": (lambda s: F.concat(F.lit("Known of "), s, F.lit(".")), "'Known of ' || $0 || '.'"),
+    "knowledge": (lambda s: F.concat(F.lit("Based on available knowledge, "), s, F.lit(" relates to a topic with multiple facets. Further research may be needed for a complete answer.")), "'Based on available knowledge, ' || $0 || ' relates to a topic with multiple facets. Further research may be needed for a complete answer.'"),
     "entity": (lambda s: F.concat(s, F.lit(" can be reached at info@example.com or 555-123-4567. An excellent place.")), "$0 || ' can be reached at info@example.com or 555-123-4567. An excellent place.'"),
     "mail": _named("msg", "to", "subject"),
     "notice": _named("notif", "title"),
@@ -180,7 +179,7 @@ PATTERNS = [
     _p("kb_translate", "L1", *N, "_known knowledge n_name", "translated spanish _known"),
     _p("search_classify", "L1", *N, "_found article n_name", "category category _found"),
     _p("word_count_format", "L1", *D, "words words text", "shown comma words"),
-    _p("detect_translate", "L1", *T, "language language text", "_short first80 text", "translated french _short"),
+    _p("detect_translate", "L1", *T, "language language text", "translated french text"),
     _p("pctchange_format", "L1", *C, "changed scaled c_acctbal", "change percent_change c_acctbal changed", "shown comma change"),
     _p("read_wordcount", "L1", *T, "words words text"),
     _p("weather_log", "L1", *N, "celsius celsius n_name", "logged logged =weather celsius"),
@@ -203,10 +202,10 @@ PATTERNS = [
     _p("multi_translate", "L2", *C, "french french c_name", "spanish spanish c_name"),
     _p("multi_hash", "L2", *C, "name md5 c_name", "segment md5 c_mktsegment", "sha sha256 c_name"),
     _p("multi_format_date", "L2", *O, "iso iso o_orderdate", "european european o_orderdate", "month month o_orderdate"),
-    _p("multi_detect_language", "L2", *T, "whole language text", "_short first80 text", "start language _short"),
+    _p("multi_detect_language", "L2", *T, "_short summary text", "whole language text", "start language _short"),
     _p("parallel_weather_stock", "L2", *N, "celsius celsius n_name", "price price n_name"),
     _p("multi_word_count", "L2", *T, "_summary summary text", "whole words text", "short words _summary", "more larger whole short"),
-    _p("multi_extract_numbers", "L2", *D, "_figures figures text", "_short first80 text", "_early figures _short", "whole count_of _figures", "start count_of _early"),
+    _p("multi_extract_numbers", "L2", *D, "_summary summary text", "_figures figures text", "_early figures _summary", "whole count_of _figures", "start count_of _early"),
     _p("parallel_weather_location", "L2", *N, "celsius celsius n_name", "latitude latitude n_name"),
     _p("multi_business_days", "L2", *O, "later later o_orderdate", "today business o_orderdate", "due business later"),
     _p("weather_stock_location", "L2", *N, "celsius celsius n_name", "price price n_name", "latitude latitude n_name"),
@@ -216,7 +215,7 @@ PATTERNS = [
     _p("search_summarize_translate_email", "L3", *N, "_found article n_name", "summary summary _found", "translated french summary", "sent mail n_name translated"),
     _p("read_extract_stats_save", "L3", *D, "_figures figures text", "mean mean_of _figures", "most most_of _figures", "least least_of _figures", "spread spread most least"),
     _p("search_keyword_summarize", "L3", *N, "_found article n_name", "slug slug _found", "_again article slug", "summary summary _again"),
-    _p("detect_translate_summarize_email", "L3", *T, "language language text", "_summary summary text", "_short first80 _summary", "translated spanish _short", "size size translated"),
+    _p("detect_translate_summarize_email", "L3", *T, "language language text", "_summary summary text", "translated spanish _summary", "size size translated"),
     _p("multi_stock_pctchange_notify", "L3", *N, "_other slug n_name", "one price n_name", "two price _other", "change percent_change one two", "notice notice change"),
     _p("weather_calendar_reminder", "L3", *N, "celsius celsius n_name", "event event n_name celsius", "reminder reminder n_name event"),
     _p("multi_entity_mask_save", "L3", *N, "_a entity n_name", "_b knowledge n_name", "_both said _a _b", "masked masked _both", "path path_md n_nationkey", "size size masked"),
@@ -237,12 +236,3 @@ def _register(p: Pattern) -> None:
 
 for _pattern in PATTERNS:
     _register(_pattern)
-
-
-def _values() -> list[tuple[str, str, int, bool]]:
-    return [(p.name, p.level, len(p.steps), p.parallel()) for p in PATTERNS]
-
-
-@query("pattern_catalogue", "SELECT * FROM (VALUES " + ", ".join(f"({cols.q(n)}, {cols.q(lv)}, {k}, {str(x).lower()})" for n, lv, k, x in _values()) + ") v(name, level, steps, parallel)")
-def pattern_catalogue(spark, sf):
-    return spark.createDataFrame(_values(), "name string, level string, steps int, parallel boolean")

@@ -196,6 +196,7 @@ def gap_definitions(spark, sf):
 
 
 # sequence, arguments, completeness, data flow of L1, L2 and L3, and the score that counts as a pass
+# The weight configurations that are compared.
 CONFIGS = (
     ("default", ((0.40, 0.35, 0.25, 0.0), (0.35, 0.35, 0.15, 0.15), (0.30, 0.30, 0.15, 0.25)), None),
     ("uniform", ((1 / 3, 1 / 3, 1 / 3, 0.0), (0.25,) * 4, (0.25,) * 4), None),
@@ -422,9 +423,9 @@ def chain_weekday_format(spark, sf):
     return compose.run(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), steps).select("o_orderkey", "day")
 
 
-@query("fanout_hash", "SELECT doc_id, md5(text) = md5(text) AS same, substr(md5(text), 1, 8) AS md5, substr(sha256(text), 1, 8) AS sha FROM documents")
+@query("fanout_hash", "SELECT doc_id, md5(text) = md5(lower(text)) AS same, substr(md5(text), 1, 8) AS md5, substr(sha256(text), 1, 8) AS sha FROM documents")
 def fanout_hash(spark, sf):
-    steps = [compose.Step("m", lambda t: web.digest(t, "md5"), ["text"]), compose.Step("s", lambda t: web.digest(t, "sha256"), ["text"]), compose.Step("same", lambda m, t: m == F.md5(t), ["m", "text"])]
+    steps = [compose.Step("m", lambda t: web.digest(t, "md5"), ["text"]), compose.Step("s", lambda t: web.digest(t, "sha256"), ["text"]), compose.Step("same", lambda m, t: m == web.digest(F.lower(t), "md5"), ["m", "text"])]
     return compose.run(table(spark, sf, "documents").select("doc_id", "text"), steps).select("doc_id", "same", F.substring("m", 1, 8).alias("md5"), F.substring("s", 1, 8).alias("sha"))
 
 
@@ -445,8 +446,21 @@ def dag_fork_join(spark, sf):
     return compose.run(table(spark, sf, "documents").select("doc_id", "text"), steps).select("doc_id", "score", "w", "u")
 
 
-@query("dag_two_scans", "SELECT doc_id, length(d.text)::INT AS a, n AS b, d.doc_id % 2 = 0 AS even FROM documents d LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) ON conv_id = doc_id")
+_SAID, _READ = (rf"list_distinct(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+'))" for c in ("said", "text"))
+
+
+@query("dag_two_scans", f"""WITH c AS (SELECT conv_id AS doc_id, count(*) AS turns, max(text) AS said FROM conversations GROUP BY 1), j AS (SELECT doc_id, length(text)::INT AS chars, turns, {_READ} AS x, {_SAID} AS y FROM documents JOIN c USING (doc_id))
+SELECT doc_id, chars, turns, CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 4) END AS similarity FROM j""")
 def dag_two_scans(spark, sf):
+    """Two scans, each with a step of its own, meet in a third: how alike a document and a turn of the conversation are."""
+    d = compose.run(table(spark, sf, "documents").select("doc_id", "text"), [compose.Step("chars", F.length, ["text"])])
+    c = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("turns"), F.max("text").alias("said"))
+    both = compose.run(d.join(c, "doc_id"), [compose.Step("similarity", lambda a, b: F.round(text.overlap(a, b), 4), ["text", "said"])])
+    return both.select("doc_id", "chars", "turns", "similarity")
+
+
+@query("dag_left_join", "SELECT doc_id, length(d.text)::INT AS a, n AS b, d.doc_id % 2 = 0 AS even FROM documents d LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) ON conv_id = doc_id")
+def dag_left_join(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.length("text").alias("a"), (F.col("doc_id") % 2 == 0).alias("even"))
     c = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("b"))
     return compose.join("doc_id", d, c)

@@ -21,8 +21,19 @@ def level_rollup(spark, sf):
 
 @query("database_query", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE lower(c_mktsegment) = 'building' ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
 def database_query(spark, sf):
-    c = table(spark, sf, "customer")
-    return rel.query(c, F.lower("c_mktsegment") == "building", "c_acctbal", 10, "c_custkey").select("c_custkey", "c_name", "c_acctbal")
+    return rel.ask(table(spark, sf, "customer"), "c_mktsegment", "equals", "Building", "c_acctbal", 10, "c_custkey").select("c_custkey", "c_name", "c_acctbal")
+
+
+def _asked(op, field, value, limit, sql):
+    @query(f"database_query_{op}", f"SELECT p_partkey, p_name, p_retailprice, p_size FROM part WHERE {sql} ORDER BY p_retailprice DESC, p_partkey LIMIT {limit}")
+    def run(spark, sf):
+        return rel.ask(table(spark, sf, "part"), field, op, value, "p_retailprice", limit, "p_partkey").select("p_partkey", "p_name", "p_retailprice", "p_size")
+
+
+_asked("greater_than", "p_size", "40", 25, "p_size > 40")
+_asked("less_than", "p_retailprice", 1000, 10, "p_retailprice < 1000")
+_asked("contains", "p_name", "RING", 15, "contains(lower(p_name), 'ring')")
+_asked("equals", "p_size", "11", 5, "p_size::VARCHAR = '11'")
 
 
 def _filter(name, column, condition, value, sql):
@@ -149,11 +160,11 @@ def pairwise_join(spark, sf):
     return a.join(b, "user_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("va") - F.col("vb")), 6).alias("mean_diff"))
 
 
-@query("default_fill_join", "SELECT doc_id, coalesce(quality, 0) AS quality, CASE WHEN l.doc_id IS NULL THEN 'E10_no_calls' END AS error_type FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("default_fill_join", "SELECT doc_id, coalesce(quality, 0) AS quality, CASE WHEN l.doc_id IS NULL THEN 'E10_format_error' END AS error_type FROM documents d LEFT JOIN labels l USING (doc_id)")
 def default_fill_join(spark, sf):
     scored = table(spark, sf, "labels").select("doc_id", "quality", F.lit(True).alias("hit"))
     filled = rel.filled(table(spark, sf, "documents").select("doc_id"), scored, "doc_id", {"quality": 0, "hit": False})
-    return filled.select("doc_id", "quality", F.when(~F.col("hit"), "E10_no_calls").alias("error_type"))
+    return filled.select("doc_id", "quality", F.when(~F.col("hit"), "E10_format_error").alias("error_type"))
 
 
 @query("resume_anti_join", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

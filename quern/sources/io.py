@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import csv as csv_module
+import json
 import tempfile
 import uuid
+from io import StringIO
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +16,7 @@ from pyspark.sql.window import Window as W
 
 from quern.functions import records as R
 from quern.functions import tables as fixed
+from quern.operators.ordered import numbered
 
 SCORE = "struct<task_id:string,level:string,overall:double,tool_sequence_score:double,argument_score:double,completeness_score:double,data_flow_score:double,error_type:string,call_scores:array<struct<step:string,tool_correct:boolean,args_score:double,matched:boolean>>>"
 RECORD = f"task_id:string,model:string,score:{SCORE},tokens:struct<input:bigint,output:bigint>,latency_ms:double,num_tool_calls:int"
@@ -101,6 +106,84 @@ def converted(data: Column, of: str, to: str, schema: str) -> Column:
     return F.concat_ws(", ", *[F.concat(F.lit(f"{n}: "), row[n].cast("string")) for n in names])
 
 
+def _records(data: str, of: str) -> object:
+    """What a text holds: a list of records where it is one, a record, or the text itself."""
+    if of == "csv":
+        head, *lines = [*csv_module.reader(StringIO(data))] or [[]]
+        return [dict(zip(head, x)) for x in lines if x]
+    return json.loads(data) if of == "json" else data
+
+
+def _sheet(records: list[dict]) -> str:
+    """Lines of the first record's fields, in its order, under a header."""
+    out = StringIO()
+    names = list(records[0])
+    if any(not isinstance(r, dict) or r.keys() - records[0].keys() for r in records):
+        raise ValueError("a record with other fields")
+    csv_module.writer(out).writerows([names, *([r.get(n, "") for n in names] for r in records)])
+    return out.getvalue()
+
+
+def _said(record: object, between: str) -> str:
+    return between.join(f"{k}: {v}" for k, v in record.items()) if isinstance(record, dict) else str(record)
+
+
+def _table_text(data: str, of: str, to: str) -> str | None:
+    """One text as JSON, CSV with a header or plain text, into another of these; null where it can't be read or written."""
+    try:
+        held = _records(data, of)
+        if to == "json":
+            return json.dumps(held, indent=2)
+        listed = isinstance(held, list)
+        if to == "csv":
+            return _sheet(held) if listed and held and isinstance(held[0], dict) else str(held)
+        return "\n".join(_said(r, ", ") for r in held) if listed else _said(held, "\n")
+    except (ValueError, csv_module.Error):
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def transform_format(data: pd.Series, of: pd.Series, to: pd.Series) -> pd.Series:
+    """Whole texts from json, csv or text into another of these; null of null and of what can't be read."""
+    return pd.Series([None if d is None else _table_text(d, o, t) for d, o, t in zip(data, of, to)], dtype="object")
+
+
+def markdown_document(df: DataFrame, order: list[str], digits: int = 4) -> DataFrame:
+    """(place, line): a Markdown table with its header, rows by order. For reports: a row for each group."""
+    names = df.columns
+    rows = numbered(df, order, name="__place")
+    cell = lambda f: F.coalesce(F.when(~F.isnan(f.name), F.format_string(f"%.{digits}f", F.col(f.name))), F.lit("—")) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.coalesce(F.col(f.name).cast("string"), F.lit("—"))
+    body = rows.select((F.col("__place") + 1).alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(f) for f in df.schema.fields]), F.lit(" |")).alias("line"))
+    return _headed(body, [f"| {' | '.join(names)} |", f"| {' | '.join('---' for _ in names)} |"], [])
+
+
+def _headed(body: DataFrame, head: list[str], tail: list[str]) -> DataFrame:
+    """body's places with lines before and after them."""
+    spark = body.sparkSession
+    top = spark.createDataFrame([(i, x) for i, x in enumerate(head)], "place long, line string")
+    out = top.unionByName(body.select("place", "line"))
+    return out.unionByName(spark.createDataFrame([((1 << 62) + i, x) for i, x in enumerate(tail)], "place long, line string")) if tail else out
+
+
+def latex_document(df: DataFrame, order: list[str], best: dict[str, bool], caption: str, label: str, titles: dict[str, str] | None = None) -> DataFrame:
+    """(place, line): a LaTeX table, rows by order, shares in percent; the best value of each column of best, the largest if
+    True and else the smallest, and what is within 0.0001 of it, in bold. For reports: a row for each group."""
+    titles = titles or {}
+    tops = df.agg(*[(F.max if high else F.min)(c).alias(f"__{c}") for c, high in best.items()])
+    rows = numbered(df, order, name="__place").join(F.broadcast(tops))  # one row
+
+    def cell(f: T.StructField) -> Column:
+        if not isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            return F.coalesce(F.col(f.name).cast("string"), F.lit("--"))
+        c = F.concat(F.format_string("%.1f", F.col(f.name) * 100), F.lit("\\%"))
+        shown = F.when(F.abs(F.col(f.name) - F.col(f"__{f.name}")) < 1e-4, F.concat(F.lit("\\textbf{"), c, F.lit("}"))).otherwise(c) if f.name in best else c
+        return F.when(F.col(f.name).isNull(), "--").otherwise(shown)
+
+    body = rows.select((F.col("__place") + 7).alias("place"), F.concat(F.concat_ws(" & ", *[cell(f) for f in df.schema.fields]), F.lit(" \\\\")).alias("line"))
+    head = ["\\begin{table}[t]", "\\centering", f"\\caption{{{caption}}}", f"\\label{{{label}}}", f"\\begin{{tabular}}{{l{'c' * (len(df.columns) - 1)}}}", "\\toprule", " & ".join(titles.get(c, c) for c in df.columns) + " \\\\", "\\midrule"]
+    return _headed(body, head, ["\\bottomrule", "\\end{tabular}", "\\end{table}"])
+
+
 def markdown(df: DataFrame, digits: int = 4) -> DataFrame:
     """(line): the rows of a Markdown table, numbers rounded, null and NaN as a dash."""
     cell = lambda f: F.when(F.col(f.name).isNull() | F.isnan(f.name), "–").otherwise(F.format_string(f"%.{digits}f", F.col(f.name))) if isinstance(f.dataType, T.DoubleType) else F.coalesce(F.col(f.name).cast("string"), F.lit("–"))

@@ -111,7 +111,13 @@ def test_every_line_of_an_order_is_assigned(spark, sf):
     orders = {}
     for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount").collect():
         orders.setdefault(r[0], []).append(tuple(r[1:]))
-    want = {k: sorted(range(len(v)), key=lambda i: (-sorted(v)[i][2], i)) for k, v in orders.items()}
+    want = {}
+    for k, v in orders.items():
+        d, free, want[k] = [x[2] for x in sorted(v)], set(range(len(v))), []
+        for i in range(len(d)):
+            best = max(free, key=lambda j: (1 - abs(d[i] - d[len(d) - 1 - j] / 2), -j))
+            free.remove(best)
+            want[k].append(best)
     assert {r.l_orderkey: r.chosen for r in evaluation.greedy_assignment(spark, sf).collect()} == want
 
 
@@ -215,3 +221,77 @@ def test_bootstrap_beside_a_plain_one(spark):
                 if sum(w for _, w in own):
                     want[g, k] = sum(v * w for v, w in own) / sum(w for _, w in own)
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_whole_texts_between_formats(spark):
+    cases = [
+        ('[{"a": 1, "b": "x, y"}, {"a": null}]', "json", "csv", 'a,b\r\n1,"x, y"\r\n,\r\n'), ("a,b\n1,\"x\ny\"\n", "csv", "text", "a: 1, b: x\ny"), ("a,b\n1,2\n", "csv", "json", '[\n  {\n    "a": "1",\n    "b": "2"\n  }\n]'),
+        ('{"a": 1, "b": [2]}', "json", "text", "a: 1\nb: [2]"), ('[1, "x"]', "json", "text", "1\nx"), ("plain", "text", "json", '"plain"'), ("plain", "text", "csv", "plain"), ("{", "json", "csv", None),
+        ('[{"a": 1}, {"b": 2}]', "json", "csv", None), ("", "csv", "text", ""), (None, "csv", "json", None),
+    ]
+    df = spark.createDataFrame([c[:3] for c in cases], "d string, o string, t string")
+    assert [r.x for r in df.select(io.transform_format("d", "o", "t").alias("x")).collect()] == [c[3] for c in cases]
+
+
+def test_asked_by_arguments(spark):
+    df = spark.createDataFrame([(1, "Apple", "10", 1.0), (2, "pineapple", "x", 3.0), (3, None, "30", None), (4, "fig", None, 3.0)], "id int, name string, size string, price double")
+    ask = lambda *a, **k: [r.id for r in relational.ask(df, *a, **k).collect()]
+    assert ask("name", "equals", "APPLE") == [1] and ask("name", "contains", "Apple", sort_by="price") == [2, 1]
+    assert ask("size", "greater_than", "9", "id") == [3, 1] and ask("size", "less_than", 11) == [1]
+    assert ask("nothing", "equals", "1") == [] and sorted(ask("name", None, "x")) == [1, 2, 3, 4]
+    assert ask(sort_by="price", limit=2, tie="id") == [2, 4] and len(ask(sort_by="nothing", limit=3)) == 3
+    assert ask("id", "equals", 3) == [3]
+
+
+def test_queries_that_sql_cannot_express(spark, sf):
+    import hashlib
+    import os
+    import re
+
+    from quern import catalog
+
+    q = catalog.queries()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id: r.sha512 for r in q["hash_sha512"](spark, sf).collect()} == {i: hashlib.sha512(t.encode()).hexdigest() for i, t in texts.items()}
+    files = {f: os.path.getsize(f"{sf}/{f}") for f in os.listdir(sf) if not f.startswith(".")}
+    assert {r.name: r.size for r in q["list_files"](spark, sf).collect()} == files
+    r = q["read_file"](spark, sf).first()
+    with open(f"{sf}/region.parquet", "rb") as f:
+        assert (r.name, r.size, r.sha256) == ("region.parquet", files["region.parquet"], hashlib.sha256(f.read()).hexdigest())
+    found = q["extract_entities"](spark, sf).columns
+    assert "doc_id" in found
+    emails = spark.createDataFrame([("write to ab@x.org or call +1 523 555 1055 on 3/4/2024",)], "t string").select(text.entities(F.col("t")).alias("e")).first()["e"]
+    assert "ab@x.org" in str(emails) and "3/4/2024" in str(emails) and re.search("523 555 1055", str(emails))
+
+
+def test_correlation_test_beside_plain_numbers(spark, sf):
+    """r by its definition, ranks by sorting, and the p-value by integrating the density of t."""
+    from collections import defaultdict
+
+    from quern import catalog
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("source", "n_chars", "quality").collect()
+    by = defaultdict(list)
+    for r in d:
+        by[r.source].append((r.n_chars, r.quality))
+    xs, ys = (([sum(v[i] for v in g) / len(g) for g in by.values()]) for i in (0, 1))
+
+    def pearson(a, b):
+        ma, mb = sum(a) / len(a), sum(b) / len(b)
+        return sum((x - ma) * (y - mb) for x, y in zip(a, b)) / math.sqrt(sum((x - ma) ** 2 for x in a) * sum((y - mb) ** 2 for y in b))
+
+    def ranks(a):
+        return [sum(y < x for y in a) + (sum(y == x for y in a) + 1) / 2 for x in a]
+
+    def p_value(r, n):
+        k = n - 2
+        t = abs(r) * math.sqrt(k / (1 - r * r))
+        density = lambda u: math.gamma((k + 1) / 2) / math.sqrt(k * math.pi) / math.gamma(k / 2) * (1 + u * u / k) ** (-(k + 1) / 2)
+        steps = 20_000
+        h = t / steps
+        return 1 - 2 * h / 3 * sum(density(i * h) * (1 if i in (0, steps) else 4 if i % 2 else 2) for i in range(steps + 1))
+
+    got = catalog.queries()["correlation_test"](spark, sf).first()
+    r, rho = pearson(xs, ys), pearson(ranks(xs), ranks(ys))
+    assert got.n == len(by) and got.pearson == pytest.approx(r, abs=2e-6) and got.spearman == pytest.approx(rho, abs=2e-6)
+    assert got.pearson_p == pytest.approx(p_value(r, len(by)), abs=1e-5) and got.spearman_p == pytest.approx(p_value(rho, len(by)), abs=1e-5)
