@@ -33,6 +33,9 @@ HASH_BITS = 18
 INDUCED = 256
 """Most words that the labelled sample adds as voters of their own."""
 
+CLEAN_COST = 10
+"""Toxic texts kept that a clean one lost costs."""
+
 CALIBRATION = 5
 """One in so many rows of the sample sets the threshold instead of training."""
 
@@ -164,29 +167,33 @@ def cast_votes(rows: list[np.ndarray], fixed: np.ndarray, labels: np.ndarray, in
 
 
 def threshold(odds: np.ndarray, labels: np.ndarray) -> float:
-    """The odds that split the labels with the fewest errors, each label's errors weighed by its rarity: the middle of
-    the best gap."""
+    """The odds that split the labels with the fewest errors, each label's errors weighed by its rarity and those on clean
+    texts CLEAN_COST times: the middle of the best gap."""
     order = np.argsort(odds, kind="stable")
     y = labels[order] == 1
     if not y.any() or y.all():
         return 0.0
     missed = np.r_[0, np.cumsum(y)] / y.sum()
     alarms = np.r_[(~y).sum(), (~y).sum() - np.cumsum(~y)] / (~y).sum()
-    loss = missed + alarms * 10  # a clean text lost costs more than a toxic one kept
+    loss = missed + alarms * CLEAN_COST
     best = np.flatnonzero(loss <= loss.min() + 1e-12)
     edge = np.r_[odds[order][0] - 2, odds[order], odds[order][-1] + 2]
     return float((edge[best[0]] + edge[best[-1] + 1]) / 2)
 
 
-def train(rows: list[np.ndarray], fixed: np.ndarray, labels: np.ndarray, rounds: int = 150) -> Classifier:
-    """From hashed words, fixed votes and labels of the sample. Without rows of both labels every text scores low."""
+def train(rows: list[np.ndarray], fixed: np.ndarray, labels: np.ndarray, rounds: int = 150, label_votes: bool = True) -> Classifier:
+    """From hashed words, fixed votes and labels of the sample. Without rows of both labels every text scores low.
+
+    label_votes: the label's own vote enters the posterior that the classifier learns; without it the label only chooses the
+    induced words, starts the label model and sets the threshold.
+    """
     size = 1 << HASH_BITS
     if not len(rows) or len(set(labels.tolist())) < 2:
         return Classifier(np.zeros(size, np.float32), np.zeros(size, np.float32), np.zeros(len(FIXED)), -3.0)
     induced = induce(rows, labels)
     votes = cast_votes(rows, fixed, labels, induced)
     model = LabelModel.fit(votes)
-    goal = model.posterior(votes)
+    goal = model.posterior(votes, None if label_votes else votes.shape[1] - 1)
     lengths = np.array([len(r) for r in rows])
     flat = np.concatenate(rows) if lengths.sum() else np.array([], np.int32)
     owner = np.repeat(np.arange(len(rows)), lengths)
@@ -214,11 +221,12 @@ def train(rows: list[np.ndarray], fixed: np.ndarray, labels: np.ndarray, rounds:
     return Classifier(weight.astype(np.float32), extra, vote[: len(FIXED)], bias, model.accuracy(votes.shape[1] - 1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, chars: int = FIT_CHARS) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, chars: int = FIT_CHARS, label_votes: bool = True) -> Classifier:
     """The classifier from labelled training rows: crc32(doc_id) modulo FOLDS is not 0, label 0 or 1.
 
     A doc_id with several labels counts with its largest. About most rows and about chars characters at most are
     read, drawn by hash (a row brings 2**HASH_BITS distinct words at most). Texts that tie are trained on each.
+    label_votes as in train.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), FOLDS) != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
@@ -240,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, chars: int = F
     toxic = got["toxic"].to_numpy().astype(int)
     ids = got["doc_id"].to_pylist()
     order = sorted(range(len(words)), key=lambda i: (ids[i], words[i].tobytes()))  # the same model whatever the order of arrival
-    return train([words[i] for i in order], fixed[order], toxic[order])
+    return train([words[i] for i in order], fixed[order], toxic[order], label_votes=label_votes)
 
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:

@@ -302,6 +302,20 @@ def test_toxicity_beside_a_plain_version(spark):
     assert sum(p == (i % 4 == 0) for i, p in enumerate(predicted)) >= 235  # the true class, whatever the noise of the labels
 
 
+def test_toxicity_without_the_labels_vote():
+    """The classifier learns the other voters' posterior, which finds what they know and is not the labels."""
+    rng = random.Random(6)
+    clean, bad = "alpha beta gamma delta please thanks".split(), "zork blarg idiot scum".split()
+    toxic = np.array([int(i % 4 == 0) for i in range(240)])
+    texts = [" ".join(rng.choices(clean, k=12) + (rng.choices(bad, k=rng.randint(1, 3)) if y else [])) for y in toxic]
+    labels = np.where(np.array([rng.random() for _ in texts]) < 0.1, 1 - toxic, toxic)
+    rows = [toxicity.features(t) for t in texts]
+    words, fixed = [h for h, _ in rows], np.array([v for _, v in rows])
+    alone = toxicity.train(words, fixed, labels, label_votes=False)
+    assert not np.array_equal(alone.words, toxicity.train(words, fixed, labels).words)
+    assert sum((alone.score(h, v) >= 0.5) == bool(y) for (h, v), y in zip(rows, toxic)) >= 230
+
+
 def test_fit_takes_ties_and_repeated_rows(spark):
     docs = spark.createDataFrame([(i % 50, "same text idiot" if i % 2 else "same text") for i in range(200)] + [(None, None), (51, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(i, 0) for i in range(50)] + [(51, 0)], "doc_id long, toxic int")
