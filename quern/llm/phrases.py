@@ -72,18 +72,27 @@ class Frequent:
         return (self.bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+class _Numbers(dict):
+    """Words by their number, which is the next one where a word is new."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class _Chunk:
     """Documents' words as local numbers, for each language: 0 is a break, 1 nothing."""
 
     def __init__(self):
-        self.known: dict[str, dict[bytes, int]] = {}
+        self.known: dict[str, _Numbers] = {}
         self.parts: dict[str, list[np.ndarray]] = {}
         self.size = 0
 
     def add(self, lang: str, text: bytes) -> None:
-        known = self.known.setdefault(lang, {_BREAK: 0, _NONE: 1})
+        if lang not in self.known:
+            self.known[lang] = _Numbers({_BREAK: 0, _NONE: 1})
         found = tokens(text)
-        ids = np.fromiter((known.setdefault(w, len(known)) for w in found), np.int64, len(found))
+        ids = np.fromiter(map(self.known[lang].__getitem__, found), np.int64, len(found))
         self.parts.setdefault(lang, []).extend([ids[ids != 1], np.zeros(1, np.int64)])
         self.size += len(ids)
 
