@@ -197,6 +197,40 @@ def leaderboard_file(spark, sf):
     return io.csv(spark, path, ", ".join(f"{n} {t}" for n, t in _BOARD.items()))
 
 
+@query("task_export", """WITH l AS (SELECT l_orderkey, list({'n': l_linenumber, 'f': l_returnflag, 'q': l_quantity} ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag, l_linestatus, l_quantity, l_discount) AS s FROM lineitem GROUP BY 1)
+SELECT l_orderkey::VARCHAR AS task_id, 'L' || (l_orderkey % 4)::VARCHAR AS level, len(s)::INT AS num_steps, len(list_distinct(list_transform(s, lambda x: x.f)))::INT AS num_tools_offered, array_to_string(list_transform(s, lambda x: x.f), ' -> ') AS tools,
+  s[1].q AS first_quantity, 's' || (len(s) - 1)::VARCHAR AS source, len(s)::INT AS answer, 'orders' AS category, '' AS pattern FROM l""")
+def task_export(spark, sf):
+    """Tasks with all ten columns, as Parquet with zstd under a given schema, and read back: the nested parts from their JSON."""
+    t = ev.order_tasks(spark, sf)
+    n = F.size("steps")
+    t = t.select(F.col("task").alias("task_id"), "level", F.concat(F.lit("Fill order "), F.col("task").cast("string")).alias("prompt"), F.array_distinct(F.transform("steps", lambda s: s["tool"])).alias("available_tools"), "steps",
+                 F.concat(F.lit("s"), (n - 1).cast("string")).alias("answer_from"), F.to_json(F.struct(n.alias("lines"))).alias("answer"), F.lit("orders").alias("category"), F.lit(None).cast("string").alias("pattern"))
+    path = io.scratch(spark, "export")
+    io.write_parquet(io.flat_tasks(t), path)
+    r = spark.read.schema(io.EXPORT).parquet(path)
+    steps = F.from_json("expected_trace", "struct<steps:array<struct<tool_name:string,arguments:struct<q:double>>>,final_answer_source:string>")
+    r = r.withColumn("trace", steps)
+    return r.select("task_id", "level", "num_steps", "num_tools_offered", F.array_join(F.transform("trace.steps", lambda s: s["tool_name"]), " -> ").alias("tools"), F.get("trace.steps", F.lit(0))["arguments"]["q"].alias("first_quantity"),
+                    F.col("trace.final_answer_source").alias("source"), F.get_json_object("expected_final_answer", "$.lines").cast("int").alias("answer"), "category", "pattern")
+
+
+@query("results_scan", """WITH e AS (SELECT 'user ' || user_id::VARCHAR AS model, 'site' || (user_id % 3)::VARCHAR AS provider, 'L' || (event_id % 4)::VARCHAR AS level, value / 100 AS overall, event_type, user_id, event_id, value FROM events)
+SELECT provider, level, count(*) AS n_tasks, count(DISTINCT model) AS models, round(avg(overall), 6) AS accuracy, count(*) FILTER (event_type = 'error') AS errors, sum(user_id + event_id % 100)::BIGINT AS tokens, round(avg(value), 4) AS latency FROM e GROUP BY 1, 2""")
+def results_scan(spark, sf):
+    """Nested results documents, one for each user as the model, written and read as a row for each task, then summed by level."""
+    c = F.col
+    e = table(spark, sf, "events").select("user_id", F.struct(c("event_id").cast("string").alias("task_id"), F.struct(F.concat(F.lit("L"), (c("event_id") % 4).cast("string")).alias("level"), (c("value") / 100).alias("overall"), F.when(c("event_type") == "error", "E1_wrong_tool").alias("error_type")).alias("score"),
+                                          F.struct(c("user_id").alias("input"), (c("event_id") % 100).alias("output")).alias("tokens"), c("value").alias("latency_ms")).alias("r"))
+    m = e.groupBy("user_id").agg(F.collect_list("r").alias("task_results"))  # a user's tasks
+    key = F.concat(F.lit("user "), c("user_id").cast("string"))
+    model = F.struct(key.alias("name"), F.concat(F.lit("site"), (c("user_id") % 3).cast("string")).alias("provider"))
+    path = io.scratch(spark, "results")
+    io.write_json(m.select(F.create_map(key, F.struct(model.alias("model"), c("task_results"))).alias("models")), path)
+    r = io.results(spark, path, lines=True)
+    return r.groupBy("provider", "level").agg(F.count(F.lit(1)).alias("n_tasks"), F.count_distinct("model").alias("models"), F.round(F.avg("overall"), 6).alias("accuracy"), F.count("error_type").alias("errors"), F.sum(c("input") + c("output")).alias("tokens"), F.round(F.avg("latency_ms"), 4).alias("latency"))
+
+
 @query("run_folders", """WITH s AS (SELECT 'm' || (doc_id % 5)::VARCHAR AS model, doc_id, quality FROM labels), n AS (SELECT model, count(*) AS n, count(*) FILTER (model <> 'm3' AND (doc_id % 3 = 0 OR model <> 'm2')) AS a FROM s GROUP BY 1),
 f AS (SELECT model, CASE WHEN a >= min(n) OVER () THEN 'first' ELSE 'second' END AS folder FROM n)
 SELECT s.model, any_value(folder) AS folder, count(*) AS tasks, round(avg(CASE folder WHEN 'first' THEN quality ELSE 1 - quality END), 6) AS overall FROM s JOIN f ON s.model = f.model GROUP BY 1""")

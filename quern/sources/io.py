@@ -23,9 +23,10 @@ RECORD = f"task_id:string,model:string,score:{SCORE},tokens:struct<input:bigint,
 RESULTS = f"models map<string,struct<model:struct<name:string,provider:string>,task_results:array<struct<{RECORD}>>>>"
 
 
-def results(spark: SparkSession, path: str) -> DataFrame:
-    """One nested results document as (model_key, model, provider, task_id, level, ...): a row for each task."""
-    doc = spark.read.option("multiLine", True).schema(RESULTS).json(path)
+def results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested results documents as (model_key, model, provider, task_id, level, ...): a row for each task. A file is one document,
+    or with lines a document a line, so that files of many can be split."""
+    doc = spark.read.option("multiLine", not lines).schema(RESULTS).json(path)
     models = doc.select(F.explode("models").alias("model_key", "m"))
     r = models.select("model_key", F.col("m.model.name").alias("model"), F.col("m.model.provider").alias("provider"), F.explode("m.task_results").alias("r"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -89,6 +90,25 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+EXPORT = "task_id string, level string, prompt string, available_tools array<string>, expected_trace string, expected_final_answer string, num_steps int, num_tools_offered int, category string, pattern string"
+
+
+def flat_tasks(tasks: DataFrame) -> DataFrame:
+    """Tasks as the ten columns of EXPORT, nested parts as JSON: the trace with its steps' arguments as objects, and the answer.
+
+    tasks: task_id, level, prompt, available_tools, steps array<struct<id,tool,arguments,depends_on>> with arguments as JSON text,
+    answer_from, answer (JSON text), category and pattern. Null lists count as empty, a null category or pattern as no text;
+    arguments that are no JSON stay null.
+    """
+    steps = F.transform(F.coalesce("steps", F.array().cast(tasks.schema["steps"].dataType)), lambda s: F.struct(s["id"].alias("step_id"), s["tool"].alias("tool_name"), F.try_parse_json(s["arguments"]).alias("arguments"), F.coalesce(s["depends_on"], F.array().cast("array<string>")).alias("depends_on")))
+    tools = F.coalesce("available_tools", F.array().cast("array<string>"))
+    made = {
+        "task_id": F.col("task_id").cast("string"), "level": F.col("level"), "prompt": F.col("prompt"), "available_tools": tools, "expected_trace": F.to_json(F.struct(steps.alias("steps"), F.col("answer_from").alias("final_answer_source"))),
+        "expected_final_answer": F.to_json(F.try_parse_json("answer")), "num_steps": F.size(steps), "num_tools_offered": F.size(tools), "category": F.coalesce("category", F.lit("")), "pattern": F.coalesce("pattern", F.lit("")),
+    }
+    return tasks.select(*[c.alias(n) for n, c in made.items()])
+
+
 def violations(tasks: DataFrame) -> DataFrame:
     """(task_id, fault) for tasks without a prompt, tools or steps."""
     fault = F.when(F.coalesce(F.trim("prompt"), F.lit("")) == "", "no prompt").when(F.coalesce(F.size("available_tools"), F.lit(0)) < 1, "no tools").when(F.coalesce(F.col("num_steps"), F.lit(0)) < 1, "no steps")
