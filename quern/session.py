@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -16,6 +18,13 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+def own_folder() -> str:
+    """A temporary folder that goes with this process: for local masters, where driver and executors are one."""
+    folder = tempfile.mkdtemp(prefix="quern-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the session's spark.checkpoint.dir; where that is unset and the master local, in a temporary
     folder. A cluster without a shared folder is an error."""
@@ -24,5 +33,5 @@ def cut(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not (sc.master or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-ckpt-"))
+        sc.setCheckpointDir(folder or own_folder())
     return df.checkpoint()

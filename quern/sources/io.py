@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv as csv_module
 import json
-import tempfile
 import uuid
 from io import StringIO
 
@@ -17,6 +16,7 @@ from pyspark.sql.window import Window as W
 from quern.functions import records as R
 from quern.functions import tables as fixed
 from quern.operators.ordered import numbered
+from quern.session import own_folder
 
 SCORE = "struct<task_id:string,level:string,overall:double,tool_sequence_score:double,argument_score:double,completeness_score:double,data_flow_score:double,error_type:string,call_scores:array<struct<step:string,tool_correct:boolean,args_score:double,matched:boolean>>>"
 RECORD = f"task_id:string,model:string,score:{SCORE},tokens:struct<input:bigint,output:bigint>,latency_ms:double,num_tool_calls:int"
@@ -225,7 +225,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not (spark.sparkContext.master or "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{shared or tempfile.gettempdir()}/quern-{uuid.uuid4().hex}/{name}"
+    return f"{shared}/quern-{uuid.uuid4().hex}/{name}" if shared else f"{own_folder()}/{name}"
 
 
 def report(title: Column, data: Column, style: str) -> Column:
