@@ -5,13 +5,12 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import importable
+from quern.session import cut, importable  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -22,21 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster shares.
-
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a temporary folder is taken if driver
-    and executors are one process; a cluster without a shared folder is an error.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not (sc.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-ckpt-"))
-    return df.checkpoint()
-
-
 def trim() -> None:
     """Hands memory that a task has freed back to the system, for a Python worker stays for the next tasks."""
     gc.collect()
