@@ -480,10 +480,13 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     """docs with one row of each group of near-copies: that with the smallest doc_id, rows without one last.
 
     Two texts are near-copies if the Jaccard similarity of their sets of shingles is at least similarity; groups are closed
-    under this. A null text counts as empty, and texts without words are copies of one another. Of equal rows, and of rows
+    under this; a pair just at the threshold is found with the chance recall, under 1, and closer pairs with a larger one. A null text counts as empty, and texts without words are copies of one another. Of equal rows, and of rows
     that differ in further columns only, one stays. Rows that share a doc_id but not their text are documents of their
     own. An empty table gives an empty result.
     """
+    if not 0 < recall < 1:
+        raise ValueError("recall lies between 0 and 1: buckets of random bits never make a pair certain")
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [wide_fingerprint(shingles(t.as_py(), words_per_shingle)) for t in b.column(2)]

@@ -68,3 +68,12 @@ def test_no_level_is_larger_than_allowed(spark):
     assert cascade.mark(keys, "key", "found").where("found <> listed").count() == 0
     one = url_filter.BloomCascade.build(keys)
     assert len(one.shards) == 1 and one.mark(keys, "key", "found").where("found <> listed").count() == 0
+
+
+def test_recall_is_a_parameter(spark):
+    words = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(words[: 300 - 3 * i]), i) for i in range(4)], "doc_id long, text string, n_chars int")
+    assert [r.doc_id for r in simhash.deduplicate(docs, recall=0.999).collect()] == [0]
+    for wrong in (0.0, 1.0):
+        with pytest.raises(ValueError, match="recall"):
+            simhash.deduplicate(docs, recall=wrong)
