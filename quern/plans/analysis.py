@@ -250,7 +250,7 @@ def run_folders(spark, sf):
 
 
 @query("latex_document", r"""WITH m AS (SELECT source, round(avg(quality), 4) AS quality, round(avg(toxic), 4) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY 1), t AS (SELECT *, abs(quality - max(quality) OVER ()) < 1e-4 AS q, abs(toxic - min(toxic) OVER ()) < 1e-4 AS x, row_number() OVER (ORDER BY source) AS i FROM m),
-b AS (SELECT i + 100 AS place, source || ' & ' || CASE WHEN q THEN '\textbf{' || printf('%.1f', quality * 100) || '\%}' ELSE printf('%.1f', quality * 100) || '\%' END || ' & ' || CASE WHEN x THEN '\textbf{' || printf('%.1f', toxic * 100) || '\%}' ELSE printf('%.1f', toxic * 100) || '\%' END || ' \\' AS line FROM t)
+b AS (SELECT i + 100 AS place, source || ' & ' || CASE WHEN q THEN '\textbf{' || printf('%.1f', round(quality * 100, 1)) || '\%}' ELSE printf('%.1f', round(quality * 100, 1)) || '\%' END || ' & ' || CASE WHEN x THEN '\textbf{' || printf('%.1f', round(toxic * 100, 1)) || '\%}' ELSE printf('%.1f', round(toxic * 100, 1)) || '\%' END || ' \\' AS line FROM t)
 SELECT line FROM b UNION ALL SELECT unnest(['\begin{table}[t]', '\centering', '\caption{Sources}', '\label{tab:sources}', '\begin{tabular}{lcc}', '\toprule', 'Source & Quality & Toxic \\', '\midrule', '\bottomrule', '\end{tabular}', '\end{table}']) AS line""")
 def latex_document(spark, sf):
     """A whole table: its frame and header, a row for each source, the best value of each column in bold."""

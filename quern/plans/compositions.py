@@ -104,9 +104,9 @@ OPS: dict[str, tuple[Callable[..., Column], str]] = {
     "price": _drawn("stock", lambda h: (R(h, 500) + 50).cast("double"), f"({cols.mod('#', 500)} + 50)::DOUBLE", upper=True),
     "price_change": _drawn("stock", lambda h: F.round((R(h, 200) - 100) / 10, 2), f"round(({cols.mod('#', 200)} - 100) / 10, 2)", upper=True),
     "latitude": _drawn("location", lambda h: (R(h, 180) - 90).cast("double"), f"({cols.mod('#', 180)} - 90)::DOUBLE"),
-    "article": _drawn("search_result", lambda h: F.concat(F.lit("About "), records.pick(h, fixed.SEARCH_DOMAINS), F.lit(". Good news. More to read.")), f"'About ' || {cols.listed(fixed.SEARCH_DOMAINS)}[{cols.mod('#', 10)} + 1] || '. Good news. More to read.'"),
+    "sentence": (lambda s: F.trim(F.regexp_extract(s, r"[^.!?\n]* (?:the|of|de|la|der|el) [^.!?\n]*", 0)), r"trim(regexp_extract($0, '[^.!?\n]* (?:the|of|de|la|der|el) [^.!?\n]*', 0))"),
     "knowledge": (lambda s: F.concat(F.lit("Based on available knowledge, "), s, F.lit(" relates to a topic with multiple facets. Further research may be needed for a complete answer.")), "'Based on available knowledge, ' || $0 || ' relates to a topic with multiple facets. Further research may be needed for a complete answer.'"),
-    "entity": (lambda s: F.concat(s, F.lit(" can be reached at info@example.com or 555-123-4567. An excellent place.")), "$0 || ' can be reached at info@example.com or 555-123-4567. An excellent place.'"),
+    "contact": (lambda s: F.trim(F.regexp_extract(s, r"[^.!?\n]*@[^ \n]*", 0)), r"trim(regexp_extract($0, '[^.!?\n]*@[^ \n]*', 0))"),
     "mail": _named("msg", "to", "subject"),
     "notice": _named("notif", "title"),
     "task": _named("task", "title"),
@@ -170,14 +170,14 @@ def _p(name: str, level: str, of: str, keys: str, *steps: str) -> Pattern:
 N, C, D, T, O = ("nation", "n_nationkey"), ("customer", "c_custkey"), ("documents", "doc_id"), ("conversations", "conv_id turn"), ("orders", "o_orderkey")
 PATTERNS = [
     # chains
-    _p("search_summarize", "L1", *N, "_found article n_name", "summary summary _found"),
+    _p("search_summarize", "L1", *T, "_found sentence text", "summary summary _found"),
     _p("stock_convert", "L1", *N, "price price n_name", "euros eur price"),
-    _p("entity_sentiment", "L1", *N, "_entity entity n_name", "label sentiment _entity"),
-    _p("search_translate", "L1", *N, "_found article n_name", "translated french _found"),
+    _p("entity_sentiment", "L1", *D, "_entity contact text", "label sentiment _entity"),
+    _p("search_translate", "L1", *T, "_found sentence text", "translated french _found"),
     _p("weather_email", "L1", *N, "celsius celsius n_name", "body said n_name celsius", "sent mail n_name celsius"),
     _p("read_summarize", "L1", *T, "summary summary text"),
     _p("kb_translate", "L1", *N, "_known knowledge n_name", "translated spanish _known"),
-    _p("search_classify", "L1", *N, "_found article n_name", "category category _found"),
+    _p("search_classify", "L1", *T, "_found sentence text", "category category _found"),
     _p("word_count_format", "L1", *D, "words words text", "shown comma words"),
     _p("detect_translate", "L1", *T, "language language text", "translated french text"),
     _p("pctchange_format", "L1", *C, "changed scaled c_acctbal", "change percent_change c_acctbal changed", "shown comma change"),
@@ -190,15 +190,15 @@ PATTERNS = [
     _p("report_save", "L1", *N, "report report n_name n_nationkey", "path path_md n_nationkey", "size size report", "type mime path"),
     _p("encrypt_save", "L1", *C, "secret encrypted c_name", "path path_md c_custkey", "size size secret"),
     _p("slugify_url", "L1", *C, "slug slug c_name", "link link slug"),
-    _p("entity_mask", "L1", *N, "_entity entity n_name", "masked masked _entity"),
+    _p("entity_mask", "L1", *D, "_entity contact text", "masked masked _entity"),
     _p("stock_pctchange", "L1", *N, "price price n_name", "_moved price_change n_name", "_before difference price _moved", "change percent_change _before price"),
     _p("weather_calendar", "L1", *N, "celsius celsius n_name", "event event n_name celsius"),
     _p("parse_weekday", "L1", *O, "later later o_orderdate", "weekday weekday later"),
     # fan-outs
     _p("multi_weather", "L2", *N, "_other slug n_name", "here celsius n_name", "there celsius _other", "warmer warmer here there n_name _other"),
     _p("multi_stock", "L2", *N, "_other slug n_name", "one price n_name", "two price _other", "best warmer one two n_name _other"),
-    _p("multi_sentiment", "L2", *N, "_a article n_name", "_b entity n_name", "first sentiment _a", "second sentiment _b"),
-    _p("parallel_search_kb", "L2", *N, "found article n_name", "known knowledge n_name"),
+    _p("multi_sentiment", "L2", *T, "_found sentence text", "first sentiment _found", "second sentiment text"),
+    _p("parallel_search_kb", "L2", *T, "found sentence text", "known knowledge role"),
     _p("multi_translate", "L2", *C, "french french c_name", "spanish spanish c_name"),
     _p("multi_hash", "L2", *C, "name md5 c_name", "segment md5 c_mktsegment", "sha sha256 c_name"),
     _p("multi_format_date", "L2", *O, "iso iso o_orderdate", "european european o_orderdate", "month month o_orderdate"),
@@ -212,20 +212,20 @@ PATTERNS = [
     # DAGs
     _p("weather_compare_email", "L3", *N, "_other slug n_name", "here celsius n_name", "there celsius _other", "warmest larger here there", "fahrenheit fahrenheit warmest", "sent mail n_name fahrenheit"),
     _p("stock_compare_notify", "L3", *N, "_other slug n_name", "one price n_name", "two price _other", "best larger one two", "euros eur best", "notice notice euros"),
-    _p("search_summarize_translate_email", "L3", *N, "_found article n_name", "summary summary _found", "translated french summary", "sent mail n_name translated"),
+    _p("search_summarize_translate_email", "L3", *T, "_found sentence text", "summary summary _found", "translated french summary", "size size translated", "sent mail conv_id size"),
     _p("read_extract_stats_save", "L3", *D, "_figures figures text", "mean mean_of _figures", "most most_of _figures", "least least_of _figures", "spread spread most least"),
-    _p("search_keyword_summarize", "L3", *N, "_found article n_name", "slug slug _found", "_again article slug", "summary summary _again"),
+    _p("search_keyword_summarize", "L3", *T, "_found sentence text", "words words _found", "summary summary text", "short words summary"),
     _p("detect_translate_summarize_email", "L3", *T, "language language text", "_summary summary text", "translated spanish _summary", "size size translated"),
     _p("multi_stock_pctchange_notify", "L3", *N, "_other slug n_name", "one price n_name", "two price _other", "change percent_change one two", "notice notice change"),
     _p("weather_calendar_reminder", "L3", *N, "celsius celsius n_name", "event event n_name celsius", "reminder reminder n_name event"),
-    _p("multi_entity_mask_save", "L3", *N, "_a entity n_name", "_b knowledge n_name", "_both said _a _b", "masked masked _both", "path path_md n_nationkey", "size size masked"),
+    _p("multi_entity_mask_save", "L3", *D, "_a contact text", "_b sentence text", "_both said _a _b", "masked masked _both", "path path_md doc_id", "size size masked"),
     _p("read_wordcount_pctchange_log", "L3", *T, "_short summary text", "whole words text", "short words _short", "change percent_change whole short", "logged logged =words change"),
-    _p("search_entities_sentiment_report", "L3", *N, "_found article n_name", "_entity entity n_name", "label sentiment _found", "_masked masked _entity", "entity_label sentiment _masked", "report report n_name label"),
+    _p("search_entities_sentiment_report", "L3", *T, "_found sentence text", "label sentiment _found", "_masked masked text", "entity_label sentiment _masked", "report report role label"),
     _p("multi_currency_spread_format", "L3", *C, "euros eur c_acctbal", "pounds gbp c_acctbal", "spread spread euros pounds", "shown comma spread"),
     _p("kb_translate_hash_email", "L3", *N, "_known knowledge n_name", "translated french _known", "hash sha256 translated", "sent mail n_name hash"),
     _p("products_compare_notify", "L3", *C, "changed scaled c_acctbal", "best larger c_acctbal changed", "shown currency best", "notice notice shown"),
-    _p("kb_sentiment_store", "L3", *N, "_known entity n_name", "label sentiment _known", "stored stored n_name label"),
-    _p("entities_classify_task", "L3", *N, "_entity entity n_name", "category category _entity", "task task category"),
+    _p("kb_sentiment_store", "L3", *N, "_known knowledge n_name", "label sentiment _known", "stored stored n_name label"),
+    _p("entities_classify_task", "L3", *D, "_entity contact text", "category category _entity", "task task category"),
     _p("directions_weather_schedule", "L3", *N, "latitude latitude n_name", "celsius celsius n_name", "body said latitude celsius", "event event n_name body"),
 ]
 

@@ -195,7 +195,7 @@ def latex_document(df: DataFrame, order: list[str], best: dict[str, bool], capti
     def cell(f: T.StructField) -> Column:
         if not isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             return F.coalesce(F.col(f.name).cast("string"), F.lit("--"))
-        c = F.concat(F.format_string("%.1f", F.col(f.name) * 100), F.lit("\\%"))
+        c = F.concat(F.format_string("%.1f", F.round(F.col(f.name) * 100, 1)), F.lit("\\%"))
         shown = F.when(F.abs(F.col(f.name) - F.col(f"__{f.name}")) < 1e-4, F.concat(F.lit("\\textbf{"), c, F.lit("}"))).otherwise(c) if f.name in best else c
         return F.when(F.col(f.name).isNull(), "--").otherwise(shown)
 
