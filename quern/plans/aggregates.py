@@ -217,7 +217,7 @@ def step_position_failure(spark, sf):
     return s.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("tasks"), F.round(F.avg((F.col("l_returnflag") == "R").cast("double")), 6).alias("rate"))
 
 
-@query("step_failure_by_model", """SELECT model, step, count(*) AS n, count(DISTINCT l_orderkey) AS tasks, round(avg(failed::INT), 6) AS rate FROM (SELECT l_orderkey, l_returnflag = 'R' AS failed, o_orderpriority AS model,
+@query("step_failure_by_model", """SELECT model, step::INT AS step, count(*) AS n, count(DISTINCT l_orderkey) AS tasks, round(avg(failed::INT), 6) AS rate FROM (SELECT l_orderkey, l_returnflag = 'R' AS failed, o_orderpriority AS model,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS step FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY ALL""")
 def step_failure_by_model(spark, sf):
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")  # an order's lines

@@ -267,7 +267,7 @@ def markdown_document(spark, sf):
 
 @query("transform_table", """WITH n AS (SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey) AS k, list(n_name ORDER BY n_nationkey) AS s FROM nation GROUP BY 1), r AS (SELECT n_regionkey, list_zip(k, s) AS z FROM n)
 SELECT n_regionkey, 'n_nationkey,n_name' || chr(13) || chr(10) || array_to_string(list_transform(z, lambda x: x[1]::VARCHAR || ',"' || x[2] || ', ' || repeat('"', 2) || 'x' || repeat('"', 3) || chr(13) || chr(10)), '') AS as_csv,
-  array_to_string(list_transform(z, lambda x: 'n_nationkey: ' || x[1]::VARCHAR || ', n_name: ' || x[2] || ', "x"'), chr(10)) AS as_text, len(z) AS rows FROM r""")
+  array_to_string(list_transform(z, lambda x: 'n_nationkey: ' || x[1]::VARCHAR || ', n_name: ' || x[2] || ', "x"'), chr(10)) AS as_text, len(z)::INT AS rows FROM r""")
 def transform_table(spark, sf):
     """A region's nations as a JSON list, turned into CSV, and that into text and back into JSON."""
     one = F.struct("n_nationkey", F.concat("n_name", F.lit(', "x"')).alias("n_name"))

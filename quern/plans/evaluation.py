@@ -155,7 +155,7 @@ def parse_calls(spark, sf):
 
 
 @query("sql_functions", """SELECT l_orderkey, count(*) AS n, round(avg(CASE WHEN l_quantity = round(l_quantity * 1.00005, 6) OR abs(l_quantity - l_quantity * 1.00005) <= 1e-4 * (l_quantity * 1.00005) THEN 1.0 ELSE 0.0 END), 6) AS near,
-  round(sum(greatest(5, least(l_quantity, 20))), 4) AS clamped, count_if(isodow(l_shipdate) < 6) AS workdays FROM lineitem GROUP BY 1""")
+  round(sum(greatest(5, least(l_quantity, 20))), 4) AS clamped, count_if(isodow(l_shipdate) < 6)::BIGINT AS workdays FROM lineitem GROUP BY 1""")
 def sql_functions(spark, sf):
     """The library's functions by their SQL names."""
     sql.register(spark)
