@@ -129,7 +129,9 @@ def sequence_score(spark, sf):
     return steps.select(F.col("l_orderkey").alias("task"), F.round(scoring.lcs(wanted, flags) / F.size(flags), 6).alias("score"))
 
 
-@query("greedy_assignment")
+@query("greedy_assignment", """WITH RECURSIVE t AS (SELECT l_orderkey, list(l_discount ORDER BY l_linenumber, l_partkey, l_discount) AS d FROM lineitem GROUP BY 1), r AS (SELECT l_orderkey, d, 0 AS i, []::INT[] AS chosen FROM t UNION ALL
+  SELECT l_orderkey, d, i + 1, list_append(chosen, list_sort(list_transform(list_filter(range(len(d)), lambda j: NOT list_contains(chosen, j::INT)), lambda j: {'v': -(1 - abs(d[i + 1] - d[len(d) - j] / 2)), 'c': j::INT}))[1].c) FROM r WHERE i < len(d))
+SELECT l_orderkey, chosen FROM r WHERE i = len(d)""")
 def greedy_assignment(spark, sf):
     s = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_discount"))).alias("s"))
     n = F.size("s")
