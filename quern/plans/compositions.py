@@ -179,7 +179,7 @@ PATTERNS = [
     _p("kb_translate", "L1", *N, "_known knowledge n_name", "translated spanish _known"),
     _p("search_classify", "L1", *T, "_found sentence text", "category category _found"),
     _p("word_count_format", "L1", *D, "words words text", "shown comma words"),
-    _p("detect_translate", "L1", *T, "language language text", "translated french text"),
+    _p("detect_translate", "L1", *T, "language language text", "_said said language text", "translated french _said"),
     _p("pctchange_format", "L1", *C, "changed scaled c_acctbal", "change percent_change c_acctbal changed", "shown comma change"),
     _p("read_wordcount", "L1", *T, "words words text"),
     _p("weather_log", "L1", *N, "celsius celsius n_name", "logged logged =weather celsius"),
