@@ -8,9 +8,10 @@ lists of crowded keys reaches the driver.
 
 Two searches use it. ``near_duplicates`` is exact in the distance of 64-bit fingerprints: two within ``radius`` bits agree
 on at least two of six bit blocks (radius 4), or three of seven and so on in larger corpora, so each distinct fingerprint
-enters one bucket for each such choice. ``deduplicate`` looks for a similarity of shingle sets: fingerprints of 512 bits
-enter buckets by random choices of their bits, as many as find a pair at the threshold with a stated chance; close
-fingerprints are linked, and doubtful ones are compared by their shingles.
+enters one bucket for each such choice. ``deduplicate`` is exact in the similarity of shingle sets. Fingerprints of 512 bits
+enter buckets by random choices of their bits, and each set is compared with the nearest it meets, which groups most
+copies; then sets of different groups that share one of their rarest shingles are compared, which no similar pair
+escapes. Bounds on what two sets can share spare most comparisons; no link is made or missed by a fingerprint.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
+from pyspark.sql.window import Window as W
 
 from ._common import cut, trim
 
@@ -37,6 +39,9 @@ HOT = 512
 HOT_BROADCAST = 100_000
 """Most rows of the list of large buckets or keys that are broadcast; a longer list is joined by a shuffle."""
 
+FEW_EDGES = 20_000
+"""Most edges that components keeps in one partition, where their steps need no exchange."""
+
 BUCKET = 512
 """Rows of a bucket that deduplicate aims at."""
 
@@ -44,7 +49,16 @@ WORDS = 8
 """Machine words of a wide fingerprint."""
 
 RECALL = 0.97
-"""Chance that a pair exactly at the threshold meets in a bucket."""
+"""Chance that a pair exactly at the threshold meets in a bucket of fingerprints; what does not is found by its shingles."""
+
+OFTEN = 32
+"""Texts that share a shingle from which on it counts as common."""
+
+COMMON = 1 << 17
+"""Most common shingles that are told to all tasks. They only set an order; any order finds the same pairs."""
+
+COUNTED = 1_000_000
+"""Shingles that a task counts at a time."""
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _NULL_BASE = 0x7000000000000000  # node ids of fingerprints whose documents all lack a doc_id
@@ -200,38 +214,67 @@ def _star(rep: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rep[keep], low[root[keep]]
 
 
-def _nearest_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which of the links a-b make a forest of least total distance."""
-    root, kept = np.arange(n), np.zeros(len(a), bool)
-    order = np.argsort(d, kind="stable")
-    while len(order):
-        ra, rb = root[a[order]], root[b[order]]
-        order = order[ra != rb]
-        ra, rb = root[a[order]], root[b[order]]
-        best = np.full(n, len(order))  # each component's first link: links stand by distance, then place
-        np.minimum.at(best, ra, np.arange(len(order)))
-        np.minimum.at(best, rb, np.arange(len(order)))
-        pick = order[np.unique(best[best < len(order)])]
-        kept[pick] = True
-        root = _roots(n, a[pick], b[pick], root)
-    return kept
-
-
-def _links(group: np.ndarray, side: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, distance): stars, at distance 0, over the links of at most sure bits inside each group, and the nearest
-    pairs that connect the stars, of at most radius bits: together fewer than there are rows."""
-    order = np.lexsort((rep, side, group))
-    group, side, fp, rep = group[order], side[order], fp[order], rep[order]
-    root = np.arange(len(fp))
-    far = [np.zeros(0, np.int64)] * 3
-    for a, b, d in _hits(group, side, fp, radius):
-        root = _roots(len(fp), a[d <= sure], b[d <= sure], root)
-        if sure < radius:
-            far = [np.concatenate(x) for x in zip(far, (c[d > sure] for c in (a, b, d)))]
-            kept = _nearest_forest(len(fp), root[far[0]], root[far[1]], far[2])
-            far = [c[kept] for c in far]
-    a, b = _star(rep, root)
-    return np.r_[a, rep[far[0]]], np.r_[b, rep[far[1]]], np.r_[np.zeros(len(a), np.int64), far[2]]
+def _links(radius: int):
+    """Stars over the links of at most radius bits inside each group: fewer than there are rows."""
+
+    def find(group: np.ndarray, side: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((rep, side, group))
+        group, side, fp, rep = group[order], side[order], fp[order], rep[order]
+        root = np.arange(len(fp))
+        for a, b, _ in _hits(group, side, fp, radius):
+            root = _roots(len(fp), a, b, root)
+        a, b = _star(rep, root)
+        return a, b, np.zeros(len(a), np.int64)
+
+    return find
+
+
+def _nearest(radius: int):
+    """Each row's nearest of its group with a smaller rep, within radius bits: no more than there are rows."""
+
+    def find(group: np.ndarray, side: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((rep, side, group))
+        group, side, fp, rep = group[order], side[order], fp[order], rep[order]
+        n, none = len(fp), np.iinfo(np.int64).max
+        best = np.full(n, none)
+        for a, b, d in _hits(group, side, fp, radius):
+            up = rep[a] > rep[b]
+            np.minimum.at(best, np.where(up, a, b), d * n + np.where(up, b, a))
+        a = np.flatnonzero(best < none)
+        return rep[a], rep[best[a] % n], best[a] // n
+
+    return find
+
+
+def _sharing(similarity: float):
+    """Pairs of rows of different groups that may be similar. A row is a set that has the bucket's shingle at pos in its
+    order; n: the set's size; bits: its parities. Sets meet in the bucket of the first shingle they share."""
+
+    def find(group: np.ndarray, side: np.ndarray, bits: np.ndarray, rep: np.ndarray, owner: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((rep, side, group))
+        group, side, bits, rep, owner, n, left = (c[order] for c in (group, side, bits, rep, owner, n, n - pos))
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        size = np.diff(np.r_[first, len(group)])
+        start, end = np.repeat(first, size), np.repeat(first + size, size)
+        zero = np.repeat(np.add.reduceat((side == 0).astype(np.int64), first), size)
+        begin = np.where(side < 0, np.arange(len(group)) + 1, np.where(side == 0, start + zero, end))
+        todo = np.cumsum(end - begin)
+        found, done = [np.zeros((3, 0), np.int64)], 0
+        while done < len(group):
+            upto = max(done + 1, int(np.searchsorted(todo, (todo[done - 1] if done else 0) + 200_000)))
+            many = (end - begin)[done:upto]
+            q = np.repeat(np.arange(done, upto), many)
+            r = np.repeat(begin[done:upto], many) + np.arange(len(q)) - np.repeat(np.cumsum(many) - many, many)
+            done = upto
+            on = (owner[q] != owner[r]) & (np.minimum(left[q], left[r]) * (1 + similarity) >= similarity * (n[q] + n[r]) - 1e-6)
+            q, r = q[on], r[on]
+            d = np.bitwise_count(bits[q] ^ bits[r]).sum(axis=1, dtype=np.int64)  # the sets differ in as many shingles at least
+            on = d * (1 + similarity) <= (1 - similarity) * (n[q] + n[r]) + 1e-6
+            q, r, d = q[on], r[on], d[on]
+            found.append(np.unique(np.stack([np.maximum(rep[q], rep[r]), np.minimum(rep[q], rep[r]), d]), axis=1))
+        return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
+
+    return find
 
 
 def _words(column: pa.Array) -> np.ndarray:
@@ -241,34 +284,39 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-def _linker(radius: int, sure: int):
+def _linker(find: Callable):
+    """(a, b, d) that find returns for buckets; a batch has the bucket's t, key, lo and hi, a row's slot, what else find
+    takes and the fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         rows = 0
 
         def flush(final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, rows
-            t, key, lo, hi, slot, rep, fp = (np.concatenate(c) for c in zip(*held))
+            t, key, lo, hi, slot, *rest, fp = all_ = [np.concatenate(c) for c in zip(*held)]
             new = np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
             stop = len(t) if final else int(np.flatnonzero(new)[-1])
             group = np.cumsum(new) - 1
-            held, rows = ([] if final else [tuple(c[stop:] for c in (t, key, lo, hi, slot, rep, fp))]), len(t) - stop
+            held, rows = ([] if final else [tuple(c[stop:].copy() for c in all_)]), len(t) - stop
             size = np.bincount(group[:stop])
             on = size[group[:stop]] > 1
             if on.any():
                 pick = lambda c: c[:stop][on]
                 side = np.where(pick(lo) == pick(hi), -1, (pick(slot) == pick(hi)).astype(np.int64))
-                found = _links(pick(group), side, pick(fp), pick(rep), radius, sure)
+                found = find(pick(group), side, pick(fp), *map(pick, rest))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b", "d"])
 
         for batch in batches:
-            fp = _words(batch.column(6))
-            held.append((*(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:6]), fp))
+            *longs, words = batch.columns
+            fp = _words(words)
+            held.append((*(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in longs), fp))
             rows += batch.num_rows
             if rows >= 200_000 // fp.shape[1]:
                 yield from flush(False)
         if held:
             yield from flush(True)
+        trim()
 
     return run
 
@@ -305,21 +353,22 @@ def _tables(radius: int, n: int = 0, chunk: int = CHUNK) -> list[int]:
     return [signed(sum(x)) for x in combinations(block, k - radius)]
 
 
-def _search(keys: DataFrame, radius: int, sure: int, chunk: int) -> DataFrame:
-    """(a, b, d) of _links for every bucket. keys: (t, key, fp, rep)."""
-    hot = cut(keys.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk))
+def _search(keys: DataFrame, find: Callable, chunk: int) -> DataFrame:
+    """(a, b, d) that find returns for every bucket. keys: (t, key, fp) and the further longs that find takes."""
+    rest = [c for c in keys.columns if c not in ("t", "key", "fp")]
+    hot = cut(keys.groupBy("t", "key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > chunk))
     large = hot.count()
     if large:
         hot = F.broadcast(hot) if large <= HOT_BROADCAST else hot
-        keys = keys.join(hot, ["t", "key"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
+        keys = keys.join(hot, ["t", "key"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("__n") / chunk), F.lit(1)).cast("int"))
         keys = keys.withColumn("slot", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int"))
         keys = keys.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        keys = keys.select("t", "key", F.least("slot", "j").alias("lo"), F.greatest("slot", "j").alias("hi"), "slot", "rep", "fp")
+        keys = keys.select("t", "key", F.least("slot", "j").alias("lo"), F.greatest("slot", "j").alias("hi"), "slot", *rest, "fp")
     else:
         zero = F.lit(0)
-        keys = keys.select("t", "key", zero.alias("lo"), zero.alias("hi"), zero.alias("slot"), "rep", "fp")
+        keys = keys.select("t", "key", zero.alias("lo"), zero.alias("hi"), zero.alias("slot"), *rest, "fp")
     dealt = keys.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
-    return dealt.mapInArrow(_linker(radius, sure), "a long, b long, d long")
+    return dealt.mapInArrow(_linker(find), "a long, b long, d long")
 
 
 def links(nodes: DataFrame, radius: int = 4, chunk: int = CHUNK, n: int = 0) -> DataFrame:
@@ -328,25 +377,27 @@ def links(nodes: DataFrame, radius: int = 4, chunk: int = CHUNK, n: int = 0) ->
     nodes: (fp, rep), distinct in both, about n of them. radius: 0 to 7.
     """
     keys = nodes.select(F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(_tables(radius, n, chunk))])).alias("k"), "fp", "rep").select("k.t", "k.key", "fp", "rep")
-    return _search(keys, radius, radius, chunk).select("a", "b").distinct()
+    return _search(keys, _links(radius), chunk).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): each node that has a link, other than its component's smallest, with that smallest node.
 
     Alternates large-star and small-star steps with joins and partial minima only, a node's many links dealt over
-    several tasks; a step's edges are checkpointed.
+    several tasks; a step's edges are checkpointed. Steps add no edges.
     """
     edges = cut(edges)
+    few = edges.count() <= FEW_EDGES
+    together = lambda df: df.coalesce(1) if few else df
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = together(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         hot = crowded(both, "a")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = salted(both, least, "a", F.col("b"), "inner", hot).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = salted(large, least, "a", F.col("b"), "inner", hot)
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        small = together(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))).distinct()
         edges = cut(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
@@ -414,22 +465,72 @@ def _row(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)])
 
 
-def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float, words_per_shingle: int = 5, chunk: int = CHUNK, recall: float = RECALL) -> DataFrame:
+def common_shingles(texts: DataFrame, words_per_shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of shingles that many rows of texts (text) share, ascending by hash, for an order of shingles: the
+    counts leave out what a task sees once, and copies beside one another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        rows = 0
+
+        def flush() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held.values()]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], ["h", "n"])
+
+        for b in batches:
+            for t in b.column(0):
+                s = shingles(t.as_py(), words_per_shingle)
+                if held.setdefault(xxhash.xxh3_64_intdigest(s), s) is s:
+                    rows += len(s)
+                if rows >= COUNTED:
+                    yield flush()
+                    rows = 0
+        yield flush()
+        trim()
+
+    counts = texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    got = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = got["h"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def rarest_first(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A sorted set by (count, hash), uncommon shingles first: an order of all shingles that is the same for every set."""
+    known, counts = common
+    if not len(known) or not len(s):
+        return s
+    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+    return s[np.lexsort((s, np.where(known[at] == s, counts[at], 0)))]
+
+
+def prefix(s: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of an ordered set: so many that any set as similar shares one of them, the first it shares at all."""
+    return s[: len(s) - max(1, math.ceil(similarity * len(s) - 1e-6)) + 1] if len(s) else s
+
+
+def parities(s: np.ndarray) -> bytes:
+    """For each of 64 * WORDS classes of shingles, whether the set has an odd number of them."""
+    return np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1, bitorder="little").astype(np.uint8).tobytes()
+
+
+def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float, words_per_shingle: int = 5, chunk: int = CHUNK, recall: float = RECALL, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(a, b): each node that is similar to another, other than its group's smallest, with that smallest node.
 
-    nodes: (fp, rep), wide fingerprints; texts: from (rep), distinct and asked for, to (rep, text). Links of less than the sure distance, four
-    deviations below the threshold's, are taken as they are; of the others, up to two deviations above it, the nearest that
-    connect what the sure ones leave apart are compared by their shingle sets, exactly.
+    nodes: (rep, fp, n, prefix, bits), distinct shingle sets with wide fingerprint, size, prefix and parities; texts: from
+    (rep), distinct and asked for, to (rep, text); common: the shingles by which the prefixes are ordered. Every link is a
+    comparison of two sets. Fingerprints propose the first ones: each node's nearest in the buckets that recall asks for.
+    Prefixes propose all others between the groups that these make.
     """
     n, bits, p = nodes.count(), 64 * WORDS, _share(similarity)
-    spread = math.sqrt(bits * p * (1 - p))
-    radius, sure = min(127, int(bits * p + 2 * spread)), max(0, int(bits * p - 4 * spread))
+    radius = min(127, int(bits * p + 2 * math.sqrt(bits * p * (1 - p))))
     width = max(4, math.ceil(math.log2(max(2, n / BUCKET))))
     meet = (1 - p) ** width
     tables = math.ceil(math.log(1 - recall) / math.log(1 - meet))
     rng = np.random.default_rng(11)
     chosen = [sorted(rng.choice(bits, width, replace=False).tolist()) for _ in range(tables)]
-    schema = "t int, key long, fp binary, rep long"
+    often = np.zeros(0, np.uint64) if common is None else common[0]
 
     def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -440,47 +541,62 @@ def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarit
                 key = fp[:, places].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(key), b.column(0), b.column(1)], ["t", "key", "fp", "rep"])
 
-    found = cut(_search(nodes.select("fp", "rep").mapInArrow(spread_out, schema), radius, sure, chunk).distinct())
-    roots = components(found.where("d = 0").select("a", "b"))
-    up = roots.select(F.col("a").alias("x"), F.col("b").alias("r"))
-    far = found.where("d > 0")
-    for c in ("a", "b"):
-        far = far.withColumnRenamed(c, "x")
-        far = salted(far, up, "x", F.xxhash64(*far.columns), "left", crowded(far, "x")).withColumn(f"r{c}", F.coalesce("r", "x")).withColumnRenamed("x", c).drop("r")
-    far = far.where("ra <> rb").groupBy(F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high")).agg(F.min(F.struct("d", "a", "b")).alias("m"))
-    far = cut(far.select("low", "high", "m.a", "m.b"))
-    asked = cut(far.select(F.col("a").alias("rep")).unionByName(far.select(F.col("b").alias("rep"))).distinct())
-    if not asked.head(1):
-        return roots
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words_per_shingle).tobytes() for t in b.column(1)], pa.binary())], ["x", "s"])
+            for at in range(0, b.num_rows, 1000):
+                rep, sets = b.column(0)[at : at + 1000].to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in b.column(1)[at : at + 1000]]
+                size = np.array([len(x) for x in sets])
+                key = np.concatenate(sets)
+                pos = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(rep, size)), pa.array(pos.astype(np.int32)), pa.array(np.isin(key, often))], ["key", "rep", "pos", "common"])
 
-    known = cut(texts(asked).select("rep", "text").mapInArrow(sets, "x long, s binary"))
-    pairs = far
-    for c in ("a", "b"):
-        pairs = pairs.withColumnRenamed(c, "x")
-        pairs = salted(pairs, known, "x", F.xxhash64("low", "high"), "inner", crowded(pairs, "x")).withColumnRenamed("s", f"s{c}").drop("x")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    more = cut(pairs.select("low", "high", "sa", "sb").mapInArrow(exact, "a long, b long"))
-    return components(roots.unionByName(more)) if more.head(1) else roots
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words_per_shingle).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["x", "s"])
+
+    def true(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar."""
+        pairs = cut(pairs)
+        asked = cut(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
+        if not asked.head(1):
+            return pairs
+        known = cut(texts(asked).select("rep", "text").mapInArrow(sets, "x long, s array<bigint>"))
+        for c in ("a", "b"):
+            one = known.select(F.col("x").alias(c), F.col("s").alias(f"s{c}"))
+            pairs = salted(pairs, one, c, F.xxhash64("a", "b"), "inner", crowded(pairs.select("a", "b"), c))
+        both = F.size(F.array_intersect("sa", "sb"))
+        return cut(pairs.where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b"))
+
+    def grouped(df: DataFrame, groups: DataFrame, key: str, name: str) -> DataFrame:
+        return df.join(groups.select(F.col("a").alias(key), F.col("b").alias("__g")), key, "left").withColumn(name, F.coalesce("__g", key)).drop("__g")
+
+    met = _search(nodes.select("fp", "rep").mapInArrow(spread_out, "t int, key long, fp binary, rep long"), _nearest(radius), chunk)
+    links = true(met.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b"))
+    groups = components(links)
+
+    keys = nodes.select("rep", "prefix").mapInArrow(listed, "key long, rep long, pos int, common boolean")
+    part = F.when(F.col("common"), F.pmod(F.xxhash64("rep"), F.lit(64))).otherwise(F.lit(0))  # a common one needs no count
+    counted = keys.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("key", part)))
+    shared = cut(counted.where("common or c > 1").select("key", "rep", "pos"))
+    holders = grouped(nodes.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", "n", F.col("bits").alias("fp")), groups, "rep", "owner")
+    found = cut(_search(shared.join(holders, "rep").select(F.lit(0).alias("t"), "key", "fp", "rep", "owner", "n", "pos"), _sharing(similarity), chunk).distinct())
+    if not found.head(1):
+        return groups
+    apart = grouped(grouped(found, groups, "a", "ga"), groups, "b", "gb")
+    nearest = apart.groupBy(F.least("ga", "gb").alias("low"), F.greatest("ga", "gb").alias("high")).agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b")
+    links = cut(links.unionByName(true(nearest)))  # the nearest of two groups first: most others need no comparison then
+    groups = components(links)
+    apart = grouped(grouped(found, groups, "a", "ga"), groups, "b", "gb").where("ga <> gb").select("a", "b")
+    more = true(apart.join(nearest, ["a", "b"], "left_anti"))
+    return components(links.unionByName(more)) if more.head(1) else groups
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, chunk: int = CHUNK, recall: float = RECALL) -> DataFrame:
     """docs with one row of each group of near-copies: that with the smallest doc_id, rows without one last.
 
     Two texts are near-copies if the Jaccard similarity of their sets of shingles is at least similarity; groups are closed
-    under this; a pair just at the threshold is found with the chance recall, under 1, and closer pairs with a larger one. A null text counts as empty, and texts without words are copies of one another. Of equal rows, and of rows
+    under this, and no link is missed. recall: the share of pairs at the threshold that are looked for by fingerprints, before the
+    others are found by shingles; the result does not depend on it. A null text counts as empty, and texts without words are copies of one another. Of equal rows, and of rows
     that differ in further columns only, one stays. Rows that share a doc_id but not their text are documents of their
     own. An empty table gives an empty result.
     """
@@ -489,14 +605,22 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [wide_fingerprint(shingles(t.as_py(), words_per_shingle)) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], ["doc_id", "row", "fp"])
+            rep, n, fps, prefixes, bits = [], [], [], [], []
+            for t in b.column(2):
+                s = shingles(t.as_py(), words_per_shingle)
+                rep.append(xxhash.xxh64_intdigest(s, 42))
+                n.append(len(s))
+                fps.append(wide_fingerprint(s))
+                prefixes.append(prefix(rarest_first(s, common), similarity).tobytes())
+                bits.append(parities(s))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(rep, np.uint64).view(np.int64)), pa.array(n, pa.int32()), *(pa.array(x, pa.binary()) for x in (fps, prefixes, bits))], ["doc_id", "row", "rep", "n", "fp", "prefix", "bits"])
         trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row(docs).alias("row"), F.col("text").cast("string").alias("text"))
-    fps = cut(rows.mapInArrow(sketch, "doc_id long, row long, fp binary"))
+    common = common_shingles(rows, words_per_shingle)
+    fps = cut(rows.mapInArrow(sketch, "doc_id long, row long, rep long, n int, fp binary, prefix binary, bits binary"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")).alias("best")
-    nodes = cut(fps.groupBy("fp").agg(best).withColumn("rep", F.xxhash64("fp")))
+    nodes = cut(fps.groupBy("rep").agg(best, *[F.first(c).alias(c) for c in ("n", "fp", "prefix", "bits")]))  # one for each set
 
     def texts(asked: DataFrame) -> DataFrame:
         """The asked nodes' texts; where they are few, the documents stay where they are."""
@@ -504,7 +628,7 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
         wanted = F.broadcast(wanted) if wanted.count() <= HOT_BROADCAST else wanted
         return rows.join(wanted, "row").where(F.col("id").eqNullSafe(F.col("doc_id"))).select("rep", "text").dropDuplicates(["rep"])
 
-    groups = similar(nodes, texts, similarity, words_per_shingle, chunk, recall)
+    groups = similar(nodes, texts, similarity, words_per_shingle, chunk, recall, common)
     joined = nodes.select("rep", "best").join(groups.select(F.col("a").alias("rep"), "b"), "rep", "left")
     chosen = cut(joined.groupBy(F.coalesce("b", "rep").alias("g")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"), F.col("best.doc_id").alias("doc_id")))
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col("doc_id").cast("long").alias("id"), _row(docs).alias("h"))
