@@ -6,13 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import bpe, mixing, pii, simhash, toxicity
-from quern.llm._common import cut, importable, table
+from quern.llm._common import cut, importable, table, trim
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier predicts toxic; it is fitted on the labels of training rows."""
     importable(spark)
-    return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    trim()  # the driver is done with the training rows
+    return toxicity.reject(docs, model)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,8 +56,8 @@ class Cache:
         return self.new, self.old
 
 
-PAIRS = 1 << 20
-"""Most pairs whose compatibility a worker remembers; then it starts anew."""
+PAIRS = 1 << 17
+"""Most pairs whose compatibility a worker remembers; then it starts anew. Any number gives the same tokens."""
 
 
 class Codec:
@@ -96,7 +96,7 @@ class Codec:
                 self.automaton.add_word(s, (len(s), i))
         self.automaton.make_automaton()
         self.shorter = {i: next((self.spelled[s[:k]] for k in range(len(s) - 1, 0, -1) if self.spelled.get(s[:k]) in self.formed), None) for s, i in self.spelled.items() if i in self.formed}
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}  # left << 32 | right
         # decoding: all tokens' texts in one string, token i from offset[i] to offset[i + 1]
         texts = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         size = max(texts) + 1
@@ -125,7 +125,7 @@ class Codec:
         Undo both tokens' merges, latest first: if at some depth the two border tokens have a merge that comes
         before those that formed the tokens around them, it would have been made and the border is impossible.
         """
-        known = self.compatible.get((left, right))
+        known = self.compatible.get(left << 32 | right)
         if known is not None:
             return known
         a, b, limit, out = left, right, 1 << 60, True
@@ -145,7 +145,7 @@ class Codec:
                 limit, b = rb + 1, self.parts[b][1]
         if len(self.compatible) >= PAIRS:
             self.compatible.clear()
-        self.compatible[left, right] = out
+        self.compatible[left << 32 | right] = out
         return out
 
     def _longest(self, word: str) -> list[int | None]:
