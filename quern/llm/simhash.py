@@ -39,8 +39,8 @@ HOT = 512
 HOT_BROADCAST = 100_000
 """Most rows of the list of large buckets or keys that are broadcast; a longer list is joined by a shuffle."""
 
-FEW_EDGES = 20_000
-"""Most edges that components keeps in one partition, where their steps need no exchange."""
+FEW_EDGES = 100_000
+"""Most edges whose components one task finds, in a few MB; more take steps of joins."""
 
 BUCKET = 512
 """Rows of a bucket that deduplicate aims at."""
@@ -380,24 +380,35 @@ def links(nodes: DataFrame, radius: int = 4, chunk: int = CHUNK, n: int = 0) ->
     return _search(keys, _links(radius), chunk).select("a", "b").distinct()
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """components() of the links of one task."""
+    links = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches]
+    if links:
+        nodes, at = np.unique(np.concatenate(links, axis=1), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        root = _roots(len(nodes), a, b)
+        on = root != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[on]), pa.array(nodes[root[on]])], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): each node that has a link, other than its component's smallest, with that smallest node.
 
-    Alternates large-star and small-star steps with joins and partial minima only, a node's many links dealt over
-    several tasks; a step's edges are checkpointed. Steps add no edges.
+    Up to FEW_EDGES links meet in one task. More alternate large-star and small-star steps with joins and partial minima
+    only, a node's many links dealt over several tasks; a step's edges are checkpointed. Steps add no edges.
     """
     edges = cut(edges)
-    few = edges.count() <= FEW_EDGES
-    together = lambda df: df.coalesce(1) if few else df
+    if edges.count() <= FEW_EDGES:
+        return cut(edges.coalesce(1).mapInArrow(_grouped, "a long, b long"))
     before = None
     while True:
-        both = together(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hot = crowded(both, "a")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = salted(both, least, "a", F.col("b"), "inner", hot).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = salted(large, least, "a", F.col("b"), "inner", hot)
-        small = together(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))).distinct()
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         edges = cut(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
@@ -519,9 +530,10 @@ def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarit
     """(a, b): each node that is similar to another, other than its group's smallest, with that smallest node.
 
     nodes: (rep, fp, n, prefix, bits), distinct shingle sets with wide fingerprint, size, prefix and parities; texts: from
-    (rep), distinct and asked for, to (rep, text); common: the shingles by which the prefixes are ordered. Every link is a
-    comparison of two sets. Fingerprints propose the first ones: each node's nearest in the buckets that recall asks for.
-    Prefixes propose all others between the groups that these make.
+    rows (b, part, rep) to the same with rep's text, a row once at least; common: the shingles by which the prefixes are
+    ordered. Every link is a comparison of two sets, made anew from their texts, which are smaller than the sets.
+    Fingerprints propose the first ones: each node's nearest in the buckets that recall asks for. Prefixes propose all
+    others between the groups that these make.
     """
     n, bits, p = nodes.count(), 64 * WORDS, _share(similarity)
     radius = min(127, int(bits * p + 2 * math.sqrt(bits * p * (1 - p))))
@@ -550,22 +562,38 @@ def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarit
                 pos = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(rep, size)), pa.array(pos.astype(np.int32)), pa.array(np.isin(key, often))], ["key", "rep", "pos", "common"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words_per_shingle).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["x", "s"])
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs (rep, b) that are similar. Rows come by b, part and rep, that of b itself first; equal rows count once."""
+        first, last, known = None, None, np.zeros(0, np.uint64)
+        for batch in batches:
+            b, x, texts = batch["b"].to_pylist(), batch["rep"].to_pylist(), batch["text"]
+            found = []
+            for i in range(batch.num_rows):
+                if (b[i], x[i]) == last:
+                    continue
+                last = b[i], x[i]
+                s = known if x[i] == first else shingles(texts[i].as_py(), words_per_shingle)
+                if b[i] == x[i]:
+                    first, known = b[i], s
+                    continue
+                both = len(np.intersect1d(known, s, assume_unique=True))
+                if both >= similarity * (len(known) + len(s) - both) - 1e-9:
+                    found.append(last)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (1, 0)], ["a", "b"])
+        trim()
 
     def true(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar."""
+        """The pairs (a, b) that are similar. The pairs of one b are a task's, or several tasks' where they are many; b's text
+        goes to each of these once, and that of a once for each pair."""
         pairs = cut(pairs)
-        asked = cut(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
-        if not asked.head(1):
+        if not pairs.head(1):
             return pairs
-        known = cut(texts(asked).select("rep", "text").mapInArrow(sets, "x long, s array<bigint>"))
-        for c in ("a", "b"):
-            one = known.select(F.col("x").alias(c), F.col("s").alias(f"s{c}"))
-            pairs = salted(pairs, one, c, F.xxhash64("a", "b"), "inner", crowded(pairs.select("a", "b"), c))
-        both = F.size(F.array_intersect("sa", "sb"))
-        return cut(pairs.where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b"))
+        large = crowded(pairs, "b", HOT)
+        parts = F.lit(0) if large is None else F.pmod(F.xxhash64("a"), F.coalesce(F.ceil(F.col("__n") / HOT), F.lit(1))).cast("int")
+        dealt = (pairs if large is None else pairs.join(large, "b", "left")).select("a", "b", parts.alias("part"))
+        asked = dealt.select("b", "part", F.col("a").alias("rep")).unionByName(dealt.select("b", "part", F.col("b").alias("rep")).distinct())
+        rows = texts(asked).select("b", "part", (F.col("rep") != F.col("b")).alias("other"), "rep", "text")
+        return cut(rows.repartition("b", "part").sortWithinPartitions("b", "part", "other", "rep").mapInArrow(compared, "a long, b long"))
 
     def grouped(df: DataFrame, groups: DataFrame, key: str, name: str) -> DataFrame:
         return df.join(groups.select(F.col("a").alias(key), F.col("b").alias("__g")), key, "left").withColumn(name, F.coalesce("__g", key)).drop("__g")
@@ -618,22 +646,23 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row(docs).alias("row"), F.col("text").cast("string").alias("text"))
     common = common_shingles(rows, words_per_shingle)
-    fps = cut(rows.mapInArrow(sketch, "doc_id long, row long, rep long, n int, fp binary, prefix binary, bits binary"))
+    fps = rows.mapInArrow(sketch, "doc_id long, row long, rep long, n int, fp binary, prefix binary, bits binary")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")).alias("best")
     nodes = cut(fps.groupBy("rep").agg(best, *[F.first(c).alias(c) for c in ("n", "fp", "prefix", "bits")]))  # one for each set
 
     def texts(asked: DataFrame) -> DataFrame:
         """The asked nodes' texts; where they are few, the documents stay where they are."""
-        wanted = cut(nodes.join(asked, "rep", "left_semi").select("rep", F.col("best.row").alias("row"), F.col("best.doc_id").alias("id")))
+        known = nodes.select("rep", F.col("best.row").alias("row"), F.col("best.doc_id").alias("id"))
+        wanted = cut(salted(asked, known, "rep", F.xxhash64("b", "part"), "inner", crowded(asked, "rep")))
         wanted = F.broadcast(wanted) if wanted.count() <= HOT_BROADCAST else wanted
-        return rows.join(wanted, "row").where(F.col("id").eqNullSafe(F.col("doc_id"))).select("rep", "text").dropDuplicates(["rep"])
+        return rows.join(wanted, "row").where(F.col("id").eqNullSafe(F.col("doc_id"))).select("b", "part", "rep", "text")
 
     groups = similar(nodes, texts, similarity, words_per_shingle, chunk, recall, common)
     joined = nodes.select("rep", "best").join(groups.select(F.col("a").alias("rep"), "b"), "rep", "left")
     chosen = cut(joined.groupBy(F.coalesce("b", "rep").alias("g")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"), F.col("best.doc_id").alias("doc_id")))
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col("doc_id").cast("long").alias("id"), _row(docs).alias("h"))
     kept = tagged.join(chosen, (tagged["h"] == chosen["row"]) & tagged["id"].eqNullSafe(chosen["doc_id"]), "left_semi")
-    again = fps.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # equal rows
+    again = rows.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # equal rows
     if again.alias("a").join(chosen.alias("c"), F.expr("a.row = c.row and a.doc_id <=> c.doc_id"), "left_semi").head(1):
         kept = kept.dropDuplicates(["id", "h"])
     return kept.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 """Near-duplicates at the threshold: every link between shingle sets counts, none is left to fingerprints."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -55,3 +56,41 @@ def test_prefixes_and_bounds_lose_no_similar_pair():
         a, b, _ = simhash._sharing(t)(np.zeros(2, int), np.array([-1, -1]), bits, np.array([1, 2]), np.array([1, 2]), np.array([len(x), len(y)]), pos)
         assert (a.tolist(), b.tolist()) == ([2], [1])
     assert tried > 500
+
+
+@pytest.mark.parametrize("few", [simhash.FEW_EDGES, 0])
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW_EDGES", few)
+    rng = random.Random(7)
+    pairs = {(max(p), min(p)) for p in (rng.sample(range(-99, 400), 2) for _ in range(240))} | {(i + 1, i) for i in range(1000, 1040)}
+    least = {}
+    for _ in range(500):
+        for a, b in pairs:
+            least[a] = least[b] = min(least.get(a, a), least.get(b, b))
+    spark.sparkContext.setJobGroup(f"few {few}", "")
+    try:
+        got = simhash.components(spark.createDataFrame(sorted(pairs), "a long, b long").repartition(5)).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"few {few}"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, got)) == sorted((k, v) for k, v in least.items() if k != v)
+    assert not few or jobs <= 8
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT, 3])
+def test_sets_are_not_stored_to_be_compared(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = random.Random(11)
+    base = [rng.choice("abcdefghij") + str(rng.randrange(5000)) for _ in range(20_000)]
+    texts = []
+    for i in range(24):
+        copy = list(base) if i < 16 else [f"{w}{i}" for w in base]
+        copy[rng.randrange(len(copy))] = f"only{i}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id long, text string")
+    simhash.deduplicate(docs.limit(0)).collect()
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("part-*"))
+    before = size()
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [0, *range(16, 24)]
+    assert size() - before < 24 * len(base) * 8 / 2  # half of the sets; prefixes are a fifth
