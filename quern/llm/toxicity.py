@@ -196,9 +196,10 @@ def train(rows: list[np.ndarray], fixed: np.ndarray, labels: np.ndarray, rounds:
     goal = model.posterior(votes, None if label_votes else votes.shape[1] - 1)
     lengths = np.array([len(r) for r in rows])
     flat = np.concatenate(rows) if lengths.sum() else np.array([], np.int32)
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    known = np.bincount(flat, minlength=size) >= 3  # rarer words carry no weight
-    owner, flat = owner[known[flat]], flat[known[flat]]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+    known = (np.bincount(flat, minlength=size) >= 3)[flat]  # rarer words carry no weight
+    owner = owner[known]
+    flat = flat[known]
     scale = 1 / np.sqrt(np.maximum(1, lengths))
     x = votes[:, :-1].astype(np.float64)
     on = (np.arange(len(rows)) % CALIBRATION != 0).astype(np.float64)
@@ -247,6 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, chars: int = F
     fixed = np.array(got["votes"].to_pylist(), np.int8).reshape(len(words), len(FIXED))
     toxic = got["toxic"].to_numpy().astype(int)
     ids = got["doc_id"].to_pylist()
+    del got
     order = sorted(range(len(words)), key=lambda i: (ids[i], words[i].tobytes()))  # the same model whatever the order of arrival
     return train([words[i] for i in order], fixed[order], toxic[order], label_votes=label_votes)
 
